@@ -125,7 +125,8 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id
                 if has_letter(text):
                     at = trigram_buckets(text)
                     sums.setdefault(lang, np.zeros(1 << BUCKET_BITS)).__iadd__(np.bincount(at, minlength=1 << BUCKET_BITS) / at.size)
-        yield pd.DataFrame({"lang": list(sums), "sums": [s.astype("<f4").tobytes() for s in sums.values()]})
+        if sums:
+            yield pd.DataFrame({"lang": list(sums), "sums": [s.astype("<f4").tobytes() for s in sums.values()]})
 
     found: dict[str, np.ndarray] = {}
     for row in sample.mapInPandas(profiles, "lang string, sums binary").toLocalIterator():
@@ -138,7 +139,8 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id
     def margins(batches):
         for batch in batches:
             kept = [(lang, model.margins(text).tolist()) for lang, text in zip(batch["lang"], batch["text"], strict=True) if has_letter(text)]
-            yield pd.DataFrame(kept, columns=["lang", "margins"])
+            if kept:
+                yield pd.DataFrame(kept, columns=["lang", "margins"])
 
     rows = sample.mapInPandas(margins, "lang string, margins array<double>").collect()
     model.weigh(np.array([languages.index(r.lang) for r in rows]), np.array([r.margins for r in rows]))
