@@ -7,7 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lectern.sources.tables import load
 
-from . import language_id, simhash, token_counts, toxicity
+from . import language_id, packing, simhash, token_counts, toxicity
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +31,7 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op4_toxicity": op4_toxicity,
     "op5_language_id": op5_language_id,
     "op9_token_counts": op9_token_counts,
