@@ -7,7 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lectern.sources.tables import load
 
-from . import language_id, packing, simhash, token_counts, toxicity
+from . import fingerprints, language_id, packing, simhash, token_counts, toxicity
+
+
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(load(spark, sf_dir, "documents"))
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +35,7 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_fingerprints": op1_fingerprints,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_toxicity": op4_toxicity,
     "op5_language_id": op5_language_id,
