@@ -7,13 +7,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lectern.sources.tables import load
 
-from . import fingerprints, language_id, packing, simhash, token_counts, toxicity
+from . import fingerprints, language_id, language_model, packing, simhash, token_counts, toxicity
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(load(spark, sf_dir, "documents"))
 
 
+def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(load(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
@@ -36,6 +40,7 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_kneser_ney": op2_kneser_ney,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_toxicity": op4_toxicity,
     "op5_language_id": op5_language_id,
