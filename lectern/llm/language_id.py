@@ -176,3 +176,12 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     held = held_out(F.col(id_col), 5, 0)
     model = fit(docs.where(~held), per_language, id_col, text_col, lang_col)
     return docs.select(F.col(id_col).alias("doc_id"), held.alias("held_out"), predicted(F.col(text_col), model).alias("p")).select("doc_id", "held_out", "p.*")
+
+
+def keep_identified(docs: DataFrame, **options) -> DataFrame:
+    """The rows of `docs` with a clear language: texts without a letter and those between two languages go."""
+    text, name = F.col(options.get("text_col", "text")), "_lectern_language"
+    held = held_out(F.col(options.get("id_col", "doc_id")), 5, 0)
+    model = fit(docs.where(~held), **options)
+    clear = (F.col(f"{name}.lang_pred") != UNKNOWN) & ~F.col(f"{name}.ambiguous")
+    return docs.withColumn(name, predicted(text, model)).where(clear).drop(name)
