@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ()
+MODULES = ("text",)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
