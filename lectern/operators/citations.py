@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
@@ -31,3 +31,66 @@ def mine_sources(messages: DataFrame, most: int = 6, most_rulings: int = 4) -> D
     named = ((F.col("kind") == 0) & (F.length(F.trim("title")) > 5)) | (F.col("kind") == 2)
     court = (F.col("kind") == 2) | ((F.col("kind") == 0) & domain.rlike("corte|suin|ramajudicial"))
     return ranked.select("message_id", "n", F.when(named, F.trim("title")).otherwise(domain).alias("title"), "key", domain.alias("domain"), F.when(court, "court").otherwise("web").alias("class"))
+
+
+def emit_citations(context: DataFrame) -> DataFrame:
+    """One row for each context chunk, in order, with what it showed then."""
+    position = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    return context.select("query_id", position.alias("position"), "chunk_id", "document_id", T.excerpt(F.col("content")).alias("excerpt"), F.coalesce("rerank_score", "fusion_score").alias("relevance_score"))
+
+
+def verify_citations(quotes: DataFrame, context: DataFrame) -> DataFrame:
+    """quotes (message_id, n, quote) against context (message_id, n, content)."""
+    j = quotes.join(context, ["message_id", "n"], "left")
+    verdict = F.when(F.col("content").isNull(), "NOT_IN_CONTEXT").when(F.col("content").contains(F.col("quote")), "VERIFIED").otherwise("EXCERPT_MISMATCH")
+    return j.select("message_id", "n", verdict.alias("verdict"))
+
+
+def verdict_rollup(verdicts: DataFrame, *by: str) -> DataFrame:
+    return verdicts.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.col("verification_status") == "SUPPORTED").alias("supported"), F.round(F.avg((F.col("verification_status") == "SUPPORTED").cast("int")), 6).alias("rate"))
+
+
+def answer_support(answers: DataFrame, context: DataFrame, full: float = 0.8, part: float = 0.3, covered: float = 0.5) -> DataFrame:
+    """(message_id, status): the share of an answer's sentences whose words its context covers."""
+    words = F.array_distinct(T.rank_terms(F.col("sentence")))
+    s = answers.select("message_id", F.posexplode(F.split("answer", r"[.!?]\s+")).alias("i", "sentence")).select("message_id", "i", F.explode_outer(words).alias("term"))
+    c = context.select("message_id", F.explode(F.array_distinct(T.rank_terms(F.col("content")))).alias("term")).distinct().withColumn("held", F.lit(1))
+    per = s.where("term is not null").join(c, ["message_id", "term"], "left").groupBy("message_id", "i").agg((F.count("held") / F.count("*")).alias("share"))
+    rate = per.groupBy("message_id").agg(F.avg((F.col("share") >= covered).cast("int")).alias("rate"))
+    j = answers.join(rate, "message_id", "left").join(context.select("message_id").distinct().withColumn("has", F.lit(1)), "message_id", "left")
+    status = F.when(F.trim("answer") == "", "NOT_VERIFIED").when(F.col("has").isNull(), "INSUFFICIENT_EVIDENCE").when(F.col("rate") >= full, "SUPPORTED").when(F.col("rate") >= part, "PARTIALLY_SUPPORTED").otherwise("UNSUPPORTED")
+    return j.select("message_id", status.alias("status"))
+
+
+def parse_verdict(text: Column) -> Column:
+    """The verdict that a checker's answer names, whole words, the negative one first."""
+    t = F.upper(text)
+    return F.when(t.rlike(r"\bUNSUPPORTED\b"), "UNSUPPORTED").when(t.rlike(r"\bPARTIALLY[_ ]SUPPORTED\b"), "PARTIALLY_SUPPORTED").when(t.rlike(r"\bSUPPORTED\b"), "SUPPORTED").otherwise("NOT_VERIFIED")
+
+
+def stale_citations(citations: DataFrame, docs: DataFrame) -> DataFrame:
+    """Citations whose frozen status is no longer that of the document."""
+    return citations.join(docs.select("document_id", F.col("status").alias("status_now")), "document_id").where("status <> status_now").select("message_id", "document_id", "position", "status", "status_now")
+
+
+def citing_answers(citations: DataFrame, docs: DataFrame) -> DataFrame:
+    """Answers that cite a document that is repealed by now."""
+    repealed = docs.where("status in ('DEROGADO', 'INEXEQUIBLE')").select("document_id")
+    return citations.join(repealed, "document_id", "left_semi").select("message_id", "document_id", "position")
+
+
+def grounded_answer(context: DataFrame, queries: DataFrame, limit: int = 160) -> DataFrame:
+    """Extractive answers: the start of each source to a word's end, quoted with its number; a refusal without sources."""
+    head = F.substring("content", 1, limit)
+    cut = F.when(F.length("content") <= limit, F.col("content")).when(F.instr(head, " ") > 0, F.regexp_extract(head, r"(?s)^(.*) ", 1)).otherwise(head)
+    rows = context.select("query_id", "n", F.concat(F.lit('"'), cut, F.lit('" ['), F.col("n"), F.lit("]")).alias("part"))
+    parts = rows.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "part"))), lambda x: x.part), "\n").alias("answer"))
+    return queries.select("query_id").join(parts, "query_id", "left").select("query_id", F.coalesce("answer", F.lit("No hay evidencia suficiente.")).alias("answer"))
+
+
+def render_block(number, section, chunk_index, title, source, published, status, content):
+    """A numbered source block with its date, its force and a caveat where it is not in force."""
+    caveat = F.when(status == "DESCONOCIDO", " (no verificada: no debe presentarse como vigente)").when(status != "VIGENTE", " (ADVERTENCIA: no es norma plenamente vigente)").otherwise("")
+    place = F.coalesce(F.nullif(section, F.lit("")), F.concat(F.lit("Fragmento "), (chunk_index + 1).cast("string")))
+    head = F.concat(F.lit("["), number.cast("string"), F.lit("] "), place, F.lit(" — "), title, F.lit(" ("), source, F.lit(")"))
+    return F.concat_ws("\n", head, F.concat(F.lit("Fecha de publicación: "), published.cast("string")), F.concat(F.lit("Vigencia: "), status, caveat), F.lit(""), content)

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("text", "service")
+MODULES = ("corpus", "text", "service")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
