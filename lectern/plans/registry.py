@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("corpus", "text", "service")
+MODULES = ("search", "structure", "corpus", "text", "service")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
