@@ -76,26 +76,29 @@ def bodies(spark, sf_dir):
     return load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.trim(F.regexp_replace("text", r"(?U)^\s+|\s+$", "")).alias("body")).where("body <> ''")
 
 
-_UNITS = """bd AS MATERIALIZED (SELECT doc_id AS id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS body FROM documents WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''),
+def _units(size, overlap):
+    """Units and greedy parts, as the operator makes them."""
+    again = f"greatest(f.first + 1, coalesce((SELECT max(j) FROM unnest(generate_series(f.first, u.i - 1)) t(j) WHERE list_sum(u.prior[j + 1:]) >= {overlap}), f.first))" if overlap > 0 else "u.i"
+    return """bd AS MATERIALIZED (SELECT doc_id AS id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS body FROM documents WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''),
 mk AS (SELECT id, string_split(regexp_replace(regexp_replace(body, '(\\n\\s*\\n)', chr(1) || '\\1' || chr(2), 'g'), '([.;:])(\\s+)([A-ZÁÉÍÓÚÑ0-9¿«"])', '\\1' || chr(1) || '\\2' || chr(2) || '\\3', 'g'), chr(2)) AS ps FROM bd),
 us AS (SELECT id, unnest(generate_series(1, len(ps))) AS i, unnest(ps) AS p FROM mk),
 uo AS (SELECT *, string_split(p, chr(1))[1] AS u, coalesce(sum(length(p) - contains(p, chr(1))::int) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM us),
 un AS MATERIALIZED (SELECT id, row_number() OVER (PARTITION BY id ORDER BY i) - 1 AS i, off, length(u) AS len, greatest(1, round_even(length(u) / 3.6::double, 0)) AS tok FROM uo WHERE regexp_replace(u, '\\s', '', 'g') <> ''),
 uc AS (SELECT *, sum(tok) OVER (PARTITION BY id ORDER BY i) AS upto, list(tok) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM un),
 fo AS (SELECT id, i, 0::bigint AS first, -1::bigint AS closed FROM uc WHERE i = 0 UNION ALL
- SELECT f.id, u.i, CASE WHEN list_sum(u.prior[f.first + 1:]) + u.tok > 120 THEN greatest(f.first + 1, coalesce((SELECT max(j) FROM unnest(generate_series(f.first, u.i - 1)) t(j) WHERE list_sum(u.prior[j + 1:]) >= 25), f.first)) ELSE f.first END::bigint,
-  CASE WHEN list_sum(u.prior[f.first + 1:]) + u.tok > 120 THEN f.first ELSE -1 END::bigint FROM fo f JOIN uc u ON u.id = f.id AND u.i = f.i + 1),
-pr AS MATERIALIZED (SELECT id, closed AS a, i - 1 AS b FROM fo WHERE closed >= 0 UNION ALL SELECT id, first, i FROM fo JOIN (SELECT id, max(i) AS i FROM uc GROUP BY 1) USING (id, i))"""
+ SELECT f.id, u.i, CASE WHEN list_sum(u.prior[f.first + 1:]) + u.tok > SIZE THEN AGAIN ELSE f.first END::bigint,
+  CASE WHEN list_sum(u.prior[f.first + 1:]) + u.tok > SIZE THEN f.first ELSE -1 END::bigint FROM fo f JOIN uc u ON u.id = f.id AND u.i = f.i + 1),
+pr AS MATERIALIZED (SELECT id, closed AS a, i - 1 AS b FROM fo WHERE closed >= 0 UNION ALL SELECT id, first, i FROM fo JOIN (SELECT id, max(i) AS i FROM uc GROUP BY 1) USING (id, i))""".replace("AGAIN", again).replace("SIZE", str(size))
 
 
-@query("c5_divide_sections", f"WITH RECURSIVE {_UNITS} SELECT pr.id, row_number() OVER (PARTITION BY pr.id ORDER BY a, b) AS part, count(*) OVER (PARTITION BY pr.id) AS total, x.off AS char_start, y.off + y.len AS char_end FROM pr JOIN un x ON x.id = pr.id AND x.i = a JOIN un y ON y.id = pr.id AND y.i = b")
+@query("c5_divide_sections", f"WITH RECURSIVE {_units(120, 25)} SELECT pr.id, row_number() OVER (PARTITION BY pr.id ORDER BY a, b) AS part, count(*) OVER (PARTITION BY pr.id) AS total, x.off AS char_start, y.off + y.len AS char_end FROM pr JOIN un x ON x.id = pr.id AND x.i = a JOIN un y ON y.id = pr.id AND y.i = b")
 def c5(spark, sf_dir):
     return C.divide(bodies(spark, sf_dir), 120, 25).select("id", "part", "total", "char_start", "char_end")
 
 
-@query("c6_unstructured", f"WITH RECURSIVE {_UNITS} SELECT pr.id, row_number() OVER (PARTITION BY pr.id ORDER BY a, b) - 1 AS chunk_index, sha256(substr(body, x.off + 1, y.off + y.len - x.off)) AS digest FROM pr JOIN un x ON x.id = pr.id AND x.i = a JOIN un y ON y.id = pr.id AND y.i = b JOIN bd ON bd.id = pr.id".replace("x.off + 1", "(x.off + 1)::bigint").replace("y.off + y.len - x.off)) AS", "(y.off + y.len - x.off)::bigint)) AS"))
+@query("c6_unstructured", f"WITH RECURSIVE {_units(100, 0)} SELECT pr.id, row_number() OVER (PARTITION BY pr.id ORDER BY a, b) - 1 AS chunk_index, x.off AS char_start, y.off + y.len AS char_end FROM pr JOIN un x ON x.id = pr.id AND x.i = a JOIN un y ON y.id = pr.id AND y.i = b")
 def c6(spark, sf_dir):
-    return C.divide(bodies(spark, sf_dir), 120, 25).select("id", (F.col("part") - 1).alias("chunk_index"), F.sha2("content", 256).alias("digest"))
+    return C.divide(bodies(spark, sf_dir), 100, 0).select("id", (F.col("part") - 1).alias("chunk_index"), "char_start", "char_end")
 
 
 @query("c7_chunk_invariants", "SELECT doc_id AS id, 0 AS chunk_index, '' AS rule FROM documents WHERE false")
