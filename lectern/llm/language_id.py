@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import held_here, written
 
 BUCKET_BITS = 16
 PER_LANGUAGE = 800
@@ -153,6 +153,7 @@ def predicted(text: Column, model: Model) -> Column:
 
     @F.pandas_udf("lang_pred string, score double, ambiguous boolean")
     def guess(texts: pd.Series) -> pd.DataFrame:
+        held_here("language", object)
         m = sent.value
         return pd.DataFrame([m.predict(t) for t in texts], columns=["lang_pred", "score", "ambiguous"])
 

@@ -14,7 +14,6 @@ import math
 import os
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -22,7 +21,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import held_here, written
 
 SEQUENCE = 2048
 END_ID = 0
@@ -71,11 +70,6 @@ class WordIds(dict):
         return b"".join(out)
 
 
-@lru_cache(maxsize=2)
-def word_ids(path: str, pattern: str) -> WordIds:
-    return WordIds(path, pattern)
-
-
 def cut(n: int, size: int) -> list[tuple[int, int]]:
     """(start, length) of a document's pieces: whole if it fits, else full ones after a first that may be shorter."""
     first = n if n <= size else n % size or size
@@ -87,7 +81,7 @@ def pieces(docs: DataFrame, path: str, pattern: str, size: int = SEQUENCE, id_co
 
     @F.pandas_udf("array<struct<start:long,length:long,ids_crc32:long>>")
     def tokenised(texts: pd.Series) -> pd.Series:
-        ids = word_ids(path, pattern)
+        ids = held_here(("packing", path, pattern), lambda: WordIds(path, pattern))
         out = []
         for text in texts:
             got = ids.of(text) + END_ID.to_bytes(4, "little")

@@ -6,7 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -28,6 +30,18 @@ def written(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_HELD: dict = {}
+
+
+def held_here(key: object, make: Callable[[], object]) -> object:
+    """What a Python worker keeps between batches and tasks: the thing made for `key`, and nothing of an earlier operator."""
+    if key not in _HELD:
+        _HELD.clear()
+        pa.default_memory_pool().release_unused()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def byte_words(text: str | None) -> list[bytes]:
     """Words `[^\\x20\\x09-\\x0D]+` of the text as UTF-8, A-Z lower-cased; none for null."""
     return text.encode("utf-8", "replace").lower().split() if text else []

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import byte_words, written
+from .shared import byte_words, held_here, written
 
 SHINGLE = 3
 RADIUS = 2
@@ -59,6 +59,7 @@ def fingerprint(text: Column, size: int = SHINGLE) -> Column:
 
     @F.pandas_udf("long")
     def signed(texts: pd.Series) -> pd.Series:
+        held_here("simhash", object)
         return pd.Series(np.array([fingerprint_of(t, size) for t in texts], np.uint64).view(np.int64))
 
     return signed(text)

@@ -11,13 +11,14 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
-from functools import lru_cache
 
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import held_here
+
 WORD_MEMORY = 800_000
 
 
@@ -105,17 +106,12 @@ class TokenCounter:
         return total
 
 
-@lru_cache(maxsize=2)
-def counter(path: str) -> TokenCounter:
-    return TokenCounter(path)
-
-
 def token_count(text: Column, path: str) -> Column:
     """Number of tokens of each whole text. `path` must be readable on every executor."""
 
     @F.pandas_udf("long")
     def counted(texts: pd.Series) -> pd.Series:
-        count = counter(path)
+        count = held_here(("tokens", path), lambda: TokenCounter(path))
         return pd.Series([count(t) for t in texts], dtype="int64")
 
     return counted(text)
