@@ -80,6 +80,8 @@ def nearest(base: DataFrame, queries: DataFrame, k: int, floor: float, query_row
     found = None
     for s in range(slices):
         rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == s).select("query_id", "vector").collect()
+        if not rows:
+            continue
         ids = np.array([r.query_id for r in rows])
         q = np.array([r.vector for r in rows], float).reshape(len(rows), -1)
         sent = spark.sparkContext.broadcast((ids, q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)))
@@ -100,6 +102,8 @@ def nearest(base: DataFrame, queries: DataFrame, k: int, floor: float, query_row
 
         part = base.select("id", "vector").mapInPandas(score, "query_id long, id long, score double")
         found = part if found is None else found.unionAll(part)
+    if found is None:
+        found = spark.createDataFrame([], "query_id long, id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "id", F.greatest(F.lit(0.0), "score").alias("score"), "rank")
 

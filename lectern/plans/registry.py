@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("search", "structure", "corpus", "text", "service")
+MODULES = ("search", "structure", "recognise", "corpus", "text", "service", "streams")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
