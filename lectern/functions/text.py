@@ -108,13 +108,14 @@ GREETINGS = ("hola", "buenas", "saludos", "buenos dias", "buenas tardes", "buena
 HELP = ("quien eres", "que puedes hacer", "como funcionas", "como me ayudas", "en que me puedes ayudar")
 PHRASES = (
     "hola", "buenas", "buenos dias", "buenas tardes", "buenas noches", "saludos", "hey", "hi", "hello", "que tal", "como estas", "como te va",
-    "hola como estas", "hola buenas", "quien eres", "que es legalia", "que puedes hacer", "como funcionas", "como me puedes ayudar", "que haces",
+    "hola como estas", "hola buenas", "quien eres", "que puedes hacer", "como funcionas", "como me puedes ayudar", "que haces",
     "gracias", "muchas gracias", "ok gracias", "listo gracias", "adios", "chao", "hasta luego", "buen dia", "feliz dia", "ayuda",
 )
 _ACCENTED, _PLAIN = "áàâäãéèêëíìîïóòôöõúùûüñç", "aaaaaeeeeiiiiooooouuuunc"
 
 
-def is_conversational(text: Column) -> Column:
+def is_conversational(text: Column, more: tuple[str, ...] = ()) -> Column:
+    """Whether a turn only greets or asks for help; `more` holds a service's own phrases, such as questions after its name."""
     plain = F.translate(F.lower(composed(text)), _ACCENTED, _PLAIN)
     norm = F.trim(F.regexp_replace(F.regexp_replace(plain, r"[^a-z0-9\s]", " "), r"\s+", " "))
     n = F.size(F.split(norm, " "))
@@ -124,7 +125,7 @@ def is_conversational(text: Column) -> Column:
     helps = F.lit(False)
     for h in HELP:
         helps = helps | norm.contains(h)
-    return (norm == "") | norm.isin(*PHRASES) | ((n <= 5) & starts) | ((n <= 6) & helps)
+    return (norm == "") | norm.isin(*PHRASES, *more) | ((n <= 5) & starts) | ((n <= 6) & helps)
 
 
 def clean_search_query(q: Column) -> Column:
