@@ -114,8 +114,12 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id
     summed profiles, one for each language and each of 8 tasks, and one row of margins for each sampled text.
     """
     usable = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.where("lang is not null and text is not null").select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
+    known = usable.where("lang is not null and text is not null").select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)).alias("h"))
+    # rows that can be among the least of their language, so that a language with many rows doesn't meet in one task
+    share = known.groupBy("lang").agg((F.lit(2.0 * per_language) / F.count("*")).alias("share"))
+    few = known.join(F.broadcast(share), "lang").where(F.col("h") < F.greatest(F.lit(64.0), F.col("share") * (1 << 20)))
+    order = Window.partitionBy("lang").orderBy("h", "doc_id")
+    chosen = few.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
     sample = written(usable.join(F.broadcast(chosen.select("doc_id", "lang").distinct()), ["doc_id", "lang"]).select("lang", "text").repartition(8), "language-sample")
 
     def profiles(batches):
