@@ -168,7 +168,8 @@ def text_session(model: object):
     """The model (of a size fixed by its parameters) as a broadcast variable."""
     from pyspark.sql import SparkSession
 
-    return SparkSession.getActiveSession().sparkContext.broadcast(model)
+    session = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+    return session.sparkContext.broadcast(model)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> DataFrame:

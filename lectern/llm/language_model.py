@@ -188,10 +188,10 @@ def answered_words(part: pd.DataFrame) -> pd.DataFrame:
 
 
 def discounts(n: list[int]) -> np.ndarray:
-    """Modified Kneser-Ney discounts of counts 0, 1, 2 and over 2, from the numbers of counts 1 to 4."""
+    """Modified Kneser-Ney discounts of counts 0, 1, 2 and over 2, from the numbers of counts 1 to 4; never 0, so that every word has a probability."""
     n1, n2, n3, n4 = n
     y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
-    of = lambda k, a, b: min(float(k), max(0.0, k - (k + 1) * y * b / a)) if a else k / 2
+    of = lambda k, a, b: min(float(k), max(1e-3, k - (k + 1) * y * b / a)) if a else k / 2
     return np.array([0.0, of(1, n1, n2), of(2, n2, n3), of(3, n3, n4)])
 
 
