@@ -112,3 +112,16 @@ def c9(spark, sf_dir):
     d = load(spark, sf_dir, "documents")
     section = F.expr("case doc_id % 4 when 1 then 'Capítulo 2 > ARTÍCULO ' || cast(doc_id % 50 as string) || 'A' when 2 then 'articulo  ' || cast(doc_id % 50 as string) || 'A. x' else 'Título 4' end")
     return d.select("doc_id", C.article_number(section, F.when(F.col("doc_id") % 4 == 0, F.col("doc_id").cast("string")).otherwise("")).alias("article_number"))
+
+
+@query("c8_split_articles", f"""WITH {_LINES} SELECT id, 'Artículo ' || (i + 1) AS section, (i + 1)::varchar AS article_number, 'TÍTULO ' || (i // 6 + 1) || CASE WHEN i % 6 >= 3 THEN ' > CAPÍTULO ' || (i // 3 + 1) ELSE '' END || ' > Artículo ' || (i + 1) AS path, 'Artículo ' || (i + 1) || '.' || chr(10) || 'x' || length(line) || CASE WHEN i % 3 = 2 THEN '' ELSE chr(10) END || '' AS content FROM ll""".replace(" || CASE WHEN i % 3 = 2 THEN '' ELSE chr(10) END || ''", ""))
+def c8(spark, sf_dir):
+    """Every line as an article, under a title every sixth and a chapter every other third."""
+    from lectern.operators.upload_chunking import split_articles
+
+    docs = load(spark, sf_dir, "documents").where("text <> ''").select(F.col("doc_id").alias("id"), F.split("text", "\n").alias("lines"))
+    head = lambda line, i: F.concat(
+        F.when(i % 6 == 0, F.concat(F.lit("TÍTULO "), F.floor(i / 6 + 1).cast("string"), F.lit("\n"))).otherwise(""), F.when(i % 6 == 3, F.concat(F.lit("CAPÍTULO "), F.floor(i / 3 + 1).cast("string"), F.lit("\n"))).otherwise(""),
+        F.lit("Artículo "), (i + 1).cast("string"), F.lit(".\nx"), F.length(line).cast("string"))
+    text = F.concat(F.lit("preámbulo\n"), F.array_join(F.transform("lines", head), "\n"))
+    return split_articles(docs.select("id", text.alias("text"))).select("id", "section", "article_number", "path", "content")
