@@ -114,10 +114,11 @@ _DROP = "regexp_replace(html, '(?s)<!--.*?-->', '', 'g')"
 for _tag in H.DROPPED:
     _DROP = f"regexp_replace({_DROP}, '(?is)<{_tag}\\b[^>]*>.*?</{_tag}\\s*>', '', 'g')"
 _ARTICLE = _lines("regexp_replace(regexp_extract(h, '(?is)<article\\b[^>]*>(.*)</article\\s*>', 1), '(?s)<[^>]*>', chr(10), 'g')")
+_WHOLE = _lines("regexp_replace(h, '(?s)<[^>]*>', chr(10), 'g')")
 _BODY = _lines("regexp_replace(regexp_extract(h, '(?is)<body\\b[^>]*>(.*)</body\\s*>', 1), '(?s)<[^>]*>', chr(10), 'g')")
 
 
-@query("a5_extract_html", f"WITH d AS (SELECT page_id, {_DROP} AS h FROM pages), t AS (SELECT page_id, coalesce({_ARTICLE}, '') AS a, coalesce({_BODY}, '') AS b FROM d) SELECT page_id, CASE WHEN length(replace(a, chr(10), '')) > 200 THEN a ELSE b END AS text, CASE WHEN length(replace(a, chr(10), '')) > 200 THEN 'article' ELSE 'body' END AS selector FROM t")
+@query("a5_extract_html", f"WITH d AS (SELECT page_id, {_DROP} AS h FROM pages), t AS (SELECT page_id, coalesce({_ARTICLE}, '') AS a, CASE WHEN regexp_extract(h, '(?is)<body\\b[^>]*>(.*)</body\\s*>', 1) <> '' THEN coalesce({_BODY}, '') ELSE coalesce({_WHOLE}, '') END AS b, CASE WHEN regexp_extract(h, '(?is)<body\\b[^>]*>(.*)</body\\s*>', 1) <> '' THEN 'body' ELSE 'document' END AS rest FROM d) SELECT page_id, CASE WHEN length(replace(a, chr(10), '')) > 200 THEN a ELSE b END AS text, CASE WHEN length(replace(a, chr(10), '')) > 200 THEN 'article' ELSE rest END AS selector FROM t")
 def a5(spark, sf_dir):
     return H.extract_html(load(spark, sf_dir, "pages"))
 
