@@ -181,14 +181,18 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def kept_rows(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of `docs` that `found` (doc_id, component_id) names as their component's; of equal rows of one id one."""
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    one = Window.partitionBy(F.col(id_col), F.xxhash64(F.col(text_col))).orderBy(F.lit(0))
+    joined = docs.join(kept, docs[id_col].eqNullSafe(F.col("_kept")), "left_semi")
+    return joined.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
+
+
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of `docs` whose id is that of their component; of equal rows of one id one stays.
 
     A row without an id stays only if a component has no id at all; then all rows without an id but
     equal ones stay, because nothing tells them apart.
     """
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    one = Window.partitionBy(F.col(id_col), F.xxhash64(F.col(text_col))).orderBy(F.lit(0))
-    joined = docs.join(kept, docs[id_col].eqNullSafe(F.col("_kept")), "left_semi")
-    return joined.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
+    return kept_rows(docs, near_duplicates(docs, id_col=id_col, text_col=text_col, **options), id_col, text_col)
