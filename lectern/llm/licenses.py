@@ -1,9 +1,9 @@
 """License scans by conditional compression.
 
 Stretches of text around words that licences use are the candidate blocks. Each block is
-compressed by zstandard alone and with every template as raw dictionary; templates are ranked by
-how much smaller they make it, and the best are confirmed by aligning words: what the block lacks
-of the template and adds inside it is reported exactly.
+compressed by zstandard alone and with a template as raw dictionary; how much smaller that makes it
+is reported. Every place of every template is confirmed by aligning words: what the block lacks of
+the template and adds inside it is reported exactly.
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ TEMPLATES = {
     "all-rights-reserved": "All rights reserved.",
 }
 CUES = r"(?i)licen[sc]e|rights reserved|permission is hereby|redistribution and use|free software|creative commons|public domain"
-#: Templates confirmed for each block, and the share of a template's words that must stand in order.
-RANKED, COVERAGE = 3, 0.75
+#: The share of a template's words that must stand in order.
+COVERAGE = 0.75
 _WORD = re.compile(r"\d+(?:\.\d+)*|\w+(?:-\w+)*")
 
 
@@ -64,45 +64,56 @@ def blocks(text: str, reach: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def confirmed(block: list[tuple[str, int, int]], template: list[str]) -> tuple[float, int, int, list[str], list[str]] | None:
-    """(coverage, first word, last word, missing words, added words) of the best place of the template in the block."""
+Place = tuple[float, int, int, list[str], list[str]]
+
+
+def confirmed(block: list[tuple[str, int, int]], template: list[str]) -> list[Place]:
+    """(coverage, first word, last word, missing words, added words) of every place of the template in the block, none overlapping a better one."""
     words = [w for w, _, _ in block]
-    best, size, wanted = None, len(template), set(template)
+    found, past, size, wanted = [], 0, len(template), set(template)
     starts = [i for i, w in enumerate(words) if w in wanted]
     for i in starts if len(starts) * size < 200_000 else [i for i in starts if words[i] == template[0]] or starts[:1]:
-        if best and i < best[2] and best[0] == 1:
+        if i < past:
             continue
         part = words[i : i + size + size // 4 + 1]
         if len(wanted.intersection(part)) < COVERAGE * len(wanted):
             continue
         runs = [r for r in difflib.SequenceMatcher(None, template, part, autojunk=False).get_matching_blocks() if r.size]
         share = sum(r.size for r in runs) / size
-        if runs and runs[0].b == 0 and share >= COVERAGE and (not best or share > best[0]):
+        if runs and runs[0].b == 0 and share >= COVERAGE:
             last = runs[-1].b + runs[-1].size
             kept = {runs_a for r in runs for runs_a in range(r.a, r.a + r.size)}
             inside = {runs_b for r in runs for runs_b in range(r.b, r.b + r.size)}
-            best = (share, i, i + last, [w for k, w in enumerate(template) if k not in kept], [w for k, w in enumerate(part[:last]) if k not in inside])
-    return best
+            found.append((share, i, i + last, [w for k, w in enumerate(template) if k not in kept], [w for k, w in enumerate(part[:last]) if k not in inside]))
+            if last == size and share == 1:
+                past = i + last
+    out, taken = [], set()
+    for place in sorted(found, key=lambda x: (-x[0], x[2] - x[1], x[1])):
+        if taken.isdisjoint(range(place[1], place[2])):
+            taken |= set(range(place[1], place[2]))
+            out.append(place)
+    return out
 
 
 def scan(text: str | None, templates: tuple[tuple[str, str], ...]) -> list[dict]:
-    """Findings in one text: every confirmed template of every block, the same words never twice."""
+    """Findings in one text: every confirmed place of every template in every block, the same words never twice."""
     if not text or not templates:
         return []
     plain, each, reach = prepared(templates)
     out = []
     for a, b in blocks(text, reach):
+        block, taken = normal_words(text[a:b]), set()
+        found = [(place, name, c) for name, words, c in each for place in confirmed(block, words)]
+        if not found:
+            continue
         raw = text[a:b].encode("utf-8", "replace")
         alone = len(plain.compress(raw))
-        ranked = sorted(((1 - len(c.compress(raw)) / alone, name, words) for name, words, c in each), key=lambda x: (-x[0], x[1]))
-        block, taken = normal_words(text[a:b]), set()
-        found = [(hit, gain, name) for gain, name, words in ranked if (hit := confirmed(block, words))]
-        for hit, gain, name in sorted(found[:RANKED] if len(found) > RANKED else found, key=lambda x: (-x[0][0], x[0][1] - x[0][2], x[2])):
-            share, first, last, missing, added = hit
+        gains = {name: 1 - len(c.compress(raw)) / alone for name, c in {name: c for _, name, c in found}.items()}
+        for (share, first, last, missing, added), name, _ in sorted(found, key=lambda x: (-x[0][0], x[0][1] - x[0][2], x[1], x[0][1])):
             if taken.isdisjoint(range(first, last)):
                 taken |= set(range(first, last))
                 out.append({
-                    "start": a + block[first][1], "end": a + block[last - 1][2], "template": name, "reduction": round(gain, 6), "coverage": round(share, 6),
+                    "start": a + block[first][1], "end": a + block[last - 1][2], "template": name, "reduction": round(gains[name], 6), "coverage": round(share, 6),
                     "verdict": "exact" if share == 1 and not added else "modified", "missing": " ".join(missing), "added": " ".join(added),
                 })
     return sorted(out, key=lambda x: (x["start"], x["template"]))
