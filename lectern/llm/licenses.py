@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -32,7 +34,7 @@ TEMPLATES = {
     "unlicense": "This is free and unencumbered software released into the public domain.",
     "all-rights-reserved": "All rights reserved.",
 }
-CUES = r"(?i)licen[sc]e|rights reserved|permission is hereby|redistribution and use|free software|creative commons|public domain"
+CUES = r"(?i)licen[sc]e|rights\W+reserved|permission\W+is\W+hereby|redistribution\W+and\W+use|free\W+software|creative\W+commons|public\W+domain"
 #: The share of a template's words that must stand in order.
 COVERAGE = 0.75
 _WORD = re.compile(r"\d+(?:\.\d+)*|\w+(?:-\w+)*")
@@ -64,20 +66,33 @@ def blocks(text: str, reach: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def dense(words: list[str], template: list[str], reach: int) -> Iterator[int]:
+    """Places of a template's word from which `reach` words hold COVERAGE of its words or more, repeats as often as it has them."""
+    wanted, seen, held, end = Counter(template), Counter(), 0, 0
+    for i, word in enumerate(words):
+        while end < min(len(words), i + reach):
+            if words[end] in wanted:
+                seen[words[end]] += 1
+                held += seen[words[end]] <= wanted[words[end]]
+            end += 1
+        if word in wanted:
+            if held >= COVERAGE * len(template):
+                yield i
+            held -= seen[word] <= wanted[word]
+            seen[word] -= 1
+
+
 Place = tuple[float, int, int, list[str], list[str]]
 
 
 def confirmed(block: list[tuple[str, int, int]], template: list[str]) -> list[Place]:
     """(coverage, first word, last word, missing words, added words) of every place of the template in the block, none overlapping a better one."""
     words = [w for w, _, _ in block]
-    found, past, size, wanted = [], 0, len(template), set(template)
-    starts = [i for i, w in enumerate(words) if w in wanted]
-    for i in starts if len(starts) * size < 200_000 else [i for i in starts if words[i] == template[0]] or starts[:1]:
+    found, past, size = [], 0, len(template)
+    for i in dense(words, template, size + size // 4 + 1):
         if i < past:
             continue
         part = words[i : i + size + size // 4 + 1]
-        if len(wanted.intersection(part)) < COVERAGE * len(wanted):
-            continue
         runs = [r for r in difflib.SequenceMatcher(None, template, part, autojunk=False).get_matching_blocks() if r.size]
         share = sum(r.size for r in runs) / size
         if runs and runs[0].b == 0 and share >= COVERAGE:

@@ -10,3 +10,17 @@ def test_every_notice_of_a_block():
     assert all(f["verdict"] == "exact" for f in found)
     twice = "All rights reserved. Header and footer. Released under the MIT License. All rights reserved."
     assert [f["template"] for f in licenses.scan(twice, CHOSEN)] == ["all-rights-reserved", "mit-line", "all-rights-reserved"]
+
+
+def test_altered_notice_in_a_long_block():
+    altered = licenses.TEMPLATES["gpl-or-later-notice"].replace("This program is", "The thing is")
+    filler = "the license of the terms of that software " * 900
+    for text in (altered, filler + altered + " " + filler):
+        places = [(text[f["start"] : f["end"]], f["missing"]) for f in licenses.scan(text, CHOSEN) if f["template"] == "gpl-or-later-notice"]
+        assert [m for t, m in places if t.endswith("any later version")] == ["this program"]
+
+
+def test_wrapped_cues(spark):
+    rows = [(1, "x All rights\nreserved. y"), (2, licenses.TEMPLATES["bsd-redistribution"].replace("Redistribution and use", "Redistribution\n * and use")), (3, "This is free and unencumbered software released into the public domain.")]
+    got = licenses.scan_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.template, r.verdict) for r in got) == [(1, "all-rights-reserved", "exact"), (2, "bsd-redistribution", "exact"), (3, "unlicense", "exact")]
