@@ -31,7 +31,7 @@ _P = f"p AS (SELECT {_PARTS} FROM documents)"
 
 
 def headers(spark, sf_dir):
-    return spark.sql(f"SELECT doc_id, n, y, yy, {HEADER.format(nl='chr(10)')} || chr(10) || 'x ' || substr(text, 1, 40) AS text FROM (SELECT {_PARTS} FROM {{d}}) p", d=load(spark, sf_dir, "documents"))
+    return spark.sql(f"SELECT doc_id, n, y, yy, {HEADER.format(nl='chr(10)')} || chr(10) || 'x ' || coalesce(text, '') AS text FROM (SELECT {_PARTS} FROM {{d}}) p", d=load(spark, sf_dir, "documents"))
 
 
 _YEAR = "CASE WHEN yy::int >= 92 THEN '19' ELSE '20' END || yy"
@@ -70,7 +70,7 @@ def b14(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", G.legal_area(F.expr(_AREA_TEXT)).alias("area"))
 
 
-_CLASS_TEXT = "substr(text, 1, 30) || CASE doc_id % 5 WHEN 0 THEN ' ACCIÓN DE TUTELA' WHEN 1 THEN ' un contrato civil' WHEN 2 THEN ' la sentencia penal' WHEN 3 THEN ' recurso de queja laboral' ELSE '' END"
+_CLASS_TEXT = "text || CASE doc_id % 5 WHEN 0 THEN ' ACCIÓN DE TUTELA' WHEN 1 THEN ' un contrato civil' WHEN 2 THEN ' la sentencia penal' WHEN 3 THEN ' recurso de queja laboral' ELSE '' END"
 
 
 @query("b16_document_class", "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Acción de Tutela' WHEN 1 THEN 'Contrato / Minuta' WHEN 2 THEN 'Providencia / Sentencia Judicial' WHEN 3 THEN 'Recurso Procesal' ELSE 'Documento Jurídico General' END AS class FROM documents")
@@ -83,7 +83,7 @@ def b17(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", G.jurisdiction_class(F.expr(_CLASS_TEXT)).alias("class"))
 
 
-_CASE_TEXT = "'Radicado No. 2024-' || lpad(CAST(doc_id AS VARCHAR(9)), 6, '0') || chr(10) || 'Demandante: Ana ' || CASE doc_id % 2 WHEN 0 THEN 'Ruiz' ELSE 'Pardo' END || ', ' || CASE WHEN doc_id % 3 = 0 THEN 'Demandada: Empresa Uno;' ELSE '' END || chr(10) || CAST(doc_id AS VARCHAR(9))"
+_CASE_TEXT = "'Radicado No. 2024-' || lpad(CAST(doc_id AS VARCHAR(9)), 6, '0') || chr(10) || 'Demandante: Ana ' || CASE doc_id % 2 WHEN 0 THEN 'Ruiz' ELSE 'Pardo' END || ', ' || CASE WHEN doc_id % 3 = 0 THEN 'Demandada: Empresa Uno;' ELSE '' END || chr(10) || CAST(doc_id AS VARCHAR(9)) || chr(10) || coalesce(text, '')"
 
 
 @query("b18_case_fields", "SELECT doc_id, '2024-' || lpad(doc_id::varchar, 6, '0') AS case_number, CASE doc_id % 2 WHEN 0 THEN 'Ana Ruiz' ELSE 'Ana Pardo' END AS claimant, CASE WHEN doc_id % 3 = 0 THEN 'Empresa Uno' END AS defendant FROM documents")

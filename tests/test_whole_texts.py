@@ -1,0 +1,13 @@
+from lectern.plans import recognise
+
+
+def test_words_late_in_a_text_are_read(spark, tmp_path):
+    late = "agua y piedra " * 20 + "\nLEY 5 DE 1999\n4 de Mayo de 2001\nCorte Constitucional\nACCIÓN DE TUTELA\nDemandada: Empresa Dos;\n"
+    spark.createDataFrame([(29, late, "es", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {name: recognise.QUERIES[name](spark, str(tmp_path)).first() for name in ("b9_identify", "b11_publication_date", "b13_court", "b16_document_class", "b17_jurisdiction_class", "b18_case_fields")}
+    assert got["b9_identify"].external_id == "LEY_5_1999"
+    assert str(got["b11_publication_date"].published) == "2001-05-04"
+    assert got["b13_court"].court == "CORTE_CONSTITUCIONAL"
+    assert got["b16_document_class"]["class"] == "Acción de Tutela"
+    assert got["b17_jurisdiction_class"]["class"] == "Jurisdicción Constitucional"
+    assert got["b18_case_fields"].defendant == "Empresa Dos"
