@@ -3,8 +3,8 @@
 Items are partitioned by their number of distinct shingles. An item's MinHash sketch is its k
 shingles of least hash, and k grows with the partition so that an item contained at the wanted
 share must have at least one sketch shingle in the document: it misses fewer shingles than the
-sketch holds. Pairs with a sketch hit are candidates, and are verified by counting every distinct
-shingle of the item that the document holds. All steps are DataFrame functions; the texts are read
+sketch holds. The search itself is an exact join: every distinct shingle of an item that a document
+holds is counted, and the sketch only flags pairs, it selects none beforehand. All steps are DataFrame functions; the texts are read
 once and never shuffled, only hashes that some item also has are.
 """
 
