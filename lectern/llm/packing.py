@@ -10,10 +10,12 @@ their length, with joins and windows whose groups are salted.
 
 from __future__ import annotations
 
+import itertools
 import math
 import os
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,6 +30,9 @@ END_ID = 0
 #: Fillings tried at a node, steps spent to find them, and nodes visited in all.
 FILLINGS, STEPS, NODES = 4, 300, 6000
 WORD_MEMORY = 500_000
+#: Characters of text whose words are looked up together, and the least character that the spelled-out pattern doesn't know.
+STRETCH, NARROW = 1 << 20, 0x250
+_WIDE, _EDGE = re.compile(f"[^\\x00-{chr(NARROW - 1)}]"), re.compile("[!-~](?= )")
 
 Pattern = tuple[tuple[int, int], ...]  # (length, copies), lengths falling
 
@@ -35,6 +40,34 @@ Pattern = tuple[tuple[int, int], ...]  # (length, copies), lengths falling
 # ---- ids --------------------------------------------------------------------
 
 
+def members(category: str) -> str:
+    """The characters below NARROW of a class such as `\\s`, escaped for a character set."""
+    return "".join(f"\\x{i:02x}" if i < 256 else chr(i) for i in range(NARROW) if regex.fullmatch(category, chr(i)))
+
+
+def narrow(pattern: str) -> str | None:
+    """The pattern with its Unicode classes spelled out, right for texts of characters below NARROW; None if it holds other classes."""
+    sets = {c: members(c) for c in (r"\p{L}", r"\p{N}", r"\s")}
+    for inside in regex.findall(r"\[\^?(?:\\p\{\w\}|\\s)+\]", pattern):
+        spelled = inside
+        for c, chars in sets.items():
+            spelled = spelled.replace(c, chars)
+        pattern = pattern.replace(inside, spelled)
+    for c, chars in sets.items():
+        pattern = pattern.replace(c, f"[{chars}]")
+    pattern = pattern.replace(r"\S", f"[^{sets[chr(92) + 's']}]")
+    return None if r"\p" in pattern else pattern
+
+
+def stretches(text: str, most: int = STRETCH) -> Iterator[str]:
+    """The text in parts of about `most` characters, cut before a blank that follows a visible character, where no word goes on."""
+    a = 0
+    while len(text) - a > most and (edge := _EDGE.search(text, a + most)):
+        yield text[a : edge.end()]
+        a = edge.end()
+    yield text[a:]
+
+
 class WordIds(dict):
     """word -> its ids by the library as little-endian unsigned 32-bit; forgets all words when full."""
 
@@ -44,30 +77,72 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.words = regex.compile(pattern).findall
-        special = self.library.get_added_tokens_decoder()
-        self.special = regex.compile("(" + "|".join(regex.escape(t.content) for t in special.values()) + ")") if special else None
-        self.special_ids = {t.content: np.array([i], "<u4").tobytes() for i, t in special.items()}
+        self.any_words = regex.compile(pattern).findall
+        spelled = narrow(pattern)
+        self.narrow_words = re.compile(spelled).findall if spelled else self.any_words
+        vocab, special = self.library.get_vocab(), {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
+        self.special_ids = {content: np.array([i], "<u4").tobytes() for content, i in special.items()}
+        self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
+        #: bytes of text that each id stands for; a word's ids are told from the next one's by them
+        self.width = np.zeros(max(vocab.values(), default=0) + 1, np.int64)
+        for symbol, i in vocab.items():
+            self.width[i] = len(symbol)
+
+    def words(self, text: str) -> list[str]:
+        return self.any_words(text) if _WIDE.search(text) else self.narrow_words(text)
 
     def encode(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(words, add_special_tokens=False)]
+        """Ids of each word; many words are given to the library at once."""
+        out = []
+        for a in range(0, len(words), 2000):
+            part = words[a : a + 2000]
+            ids = np.array(self.library.encode_batch_fast([part], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
+            ends = np.cumsum(np.fromiter(map(len, map(str.encode, part)), np.int64, len(part)))
+            cuts = [0, *(4 * (np.searchsorted(np.cumsum(self.width[ids]), ends) + 1)).tolist()]
+            held = ids.tobytes()
+            out += [held[i:j] for i, j in zip(cuts, cuts[1:])]
+        return out
+
+    def learn(self, lists: list[list[str]]) -> None:
+        """Makes all words of the lists known."""
+        fresh = set(itertools.chain.from_iterable(lists)).difference(self)
+        if len(self) + len(fresh) > WORD_MEMORY:
+            self.clear()
+            fresh = set(itertools.chain.from_iterable(lists))
+        fresh = [*fresh]
+        self.update(zip(fresh, self.encode(fresh), strict=True))
+
+    def parts(self, text: str) -> Iterator[bytes | list[str]]:
+        """A stretch's words, and the ids of special tokens between them."""
+        if self.special and any(content in text for content in self.special_ids):
+            for part in self.special.split(text):
+                yield self.special_ids[part] if part in self.special_ids else self.words(part)
+        else:
+            yield self.words(text)
+
+    def ids_of(self, held: list[list[bytes | list[str]]]) -> list[bytes]:
+        """Ids of texts given as their parts."""
+        self.learn([p for parts in held for p in parts if isinstance(p, list)])
+        find = self.__getitem__
+        return [b"".join(p if isinstance(p, bytes) else b"".join(map(find, p)) for p in parts) for parts in held]
+
+    def of_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """Ids of each whole text in turn; short texts are taken together up to STRETCH characters, long ones by stretches."""
+        held, size = [], 0
+        for text in texts:
+            size += len(text or "")
+            if size > STRETCH:
+                yield from self.ids_of(held)
+                held, size = [], len(text or "")
+            if size > STRETCH:
+                yield b"".join(self.ids_of([[*self.parts(stretch)]])[0] for stretch in stretches(text))
+                size = 0
+            else:
+                held.append([*self.parts(text or "")])
+        yield from self.ids_of(held)
 
     def of(self, text: str | None) -> bytes:
-        """Ids of the whole text, one after another."""
-        out = []
-        parts = self.special.split(text or "") if self.special else [text or ""]
-        for part in parts:
-            if part in self.special_ids:
-                out.append(self.special_ids[part])
-                continue
-            words = self.words(part)
-            fresh = [w for w in dict.fromkeys(words) if w not in self]
-            if len(self) + len(fresh) > WORD_MEMORY:
-                self.clear()
-                fresh = list(dict.fromkeys(words))
-            self.update(zip(fresh, self.encode(fresh), strict=True))
-            out.append(b"".join(map(self.__getitem__, words)))
-        return b"".join(out)
+        return next(self.of_all([text]))
 
 
 def cut(n: int, size: int) -> list[tuple[int, int]]:
@@ -83,8 +158,8 @@ def pieces(docs: DataFrame, path: str, pattern: str, size: int = SEQUENCE, id_co
     def tokenised(texts: pd.Series) -> pd.Series:
         ids = held_here(("packing", path, pattern), lambda: WordIds(path, pattern))
         out = []
-        for text in texts:
-            got = ids.of(text) + END_ID.to_bytes(4, "little")
+        for own in ids.of_all(texts):
+            got = own + END_ID.to_bytes(4, "little")
             out.append([{"start": a, "length": n, "ids_crc32": zlib.crc32(got[4 * a : 4 * (a + n)])} for a, n in cut(len(got) // 4, size)])
         return pd.Series(out)
 
@@ -174,14 +249,12 @@ def fillings(counts: list[int], largest: int, room: int) -> list[Pattern]:
 
     search(room, room, ())
     found.sort(key=lambda x: x[0])
-    out: list[Pattern] = []
-    for free, chosen in found[: 4 * FILLINGS]:
-        if len(out) < FILLINGS and (not out or not dominated(chosen, free)):
-            full = sorted((largest, *chosen), reverse=True)
-            pattern = tuple((n, full.count(n)) for n in dict.fromkeys(full))
-            if pattern not in out:
-                out.append(pattern)
-    return out or [((largest, 1),)]
+    best = [chosen for free, chosen in found if not dominated(chosen, free)] or [chosen for _, chosen in found[:1]]
+    out: dict[Pattern, None] = {}
+    for chosen in best:
+        full = sorted((largest, *chosen), reverse=True)
+        out[tuple((n, full.count(n)) for n in dict.fromkeys(full))] = None
+    return [*out][:FILLINGS] or [((largest, 1),)]
 
 
 def complete_bins(counts: dict[int, int], size: int, nodes: int = NODES) -> list[tuple[Pattern, int]]:

@@ -64,6 +64,33 @@ def test_ids_equal_the_library():
         assert np.frombuffer(ids.of(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_long_texts_and_full_memory(monkeypatch):
+    library = Tokenizer.from_file(PATH)
+    rng = random.Random(4)
+    pieces = ["word", " ", "  ", "\n", " \n", "'s", "é", "x1", "¾", "\x1c", "\x85", "\xa0", "日", "<|endoftext|>", "!?", " and", "\u0250"]
+    texts = ["".join(rng.choices(pieces, k=rng.randrange(400))) for _ in range(200)]
+    monkeypatch.setattr(packing, "STRETCH", 300)
+    monkeypatch.setattr(packing, "WORD_MEMORY", 50)
+    monkeypatch.setattr(packing.stretches, "__defaults__", (300,))
+    got = [*packing.WordIds(PATH, PATTERN).of_all([*texts, None, "", "".join(texts)])]
+    want = [library.encode(t, add_special_tokens=False).ids for t in [*texts, "", "", "".join(texts)]]
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == want
+
+
+def test_fillings_are_undominated():
+    rng = random.Random(5)
+    for _ in range(100):
+        counts = [0] + [rng.choice((0, 0, 1, 2)) for _ in range(30)]
+        if not any(counts):
+            continue
+        largest = max(n for n, c in enumerate(counts) if c)
+        for pattern in packing.fillings(counts, largest, 40 - largest):
+            used = dict(pattern)
+            free = 40 - sum(n * k for n, k in pattern)
+            assert free >= 0 and all(counts[n] >= k for n, k in pattern)
+            assert not any(counts[n] > used.get(n, 0) for n in range(1, min(free, 30) + 1))
+
+
 def test_rows(spark):
     rng = random.Random(2)
     texts = [" ".join(rng.choices("alpha beta gamma delta,.".split(), k=rng.choice((1, 30, 300, 5000)))) for _ in range(60)]
