@@ -1,17 +1,21 @@
 """License scans by conditional compression.
 
-Stretches of text around words that licences use are the candidate blocks. Each block is
-compressed by zstandard alone and with a template as raw dictionary; how much smaller that makes it
-is reported. Every place of every template is confirmed by aligning words: what the block lacks of
-the template and adds inside it is reported exactly.
+A text holds a template where enough of its words stand in order. So many of each template's words
+are its anchors that a place with enough of them holds at least one anchor; the words around every
+anchor in a text are a candidate block. Blocks are compressed by zstandard alone and with each
+template of their anchor as raw dictionary. All (block, template) of a text are ranked by the bytes
+that the dictionary saves, and confirmed in that order by aligning words: a winner takes its words,
+and what it lacks of the template and adds inside it is reported exactly. Only templates that save
+nothing are not tried.
 """
 
 from __future__ import annotations
 
 import difflib
+import math
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, deque
+from collections.abc import Container, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -34,40 +38,81 @@ TEMPLATES = {
     "unlicense": "This is free and unencumbered software released into the public domain.",
     "all-rights-reserved": "All rights reserved.",
 }
-CUES = r"(?i)licen[sc]e|rights\W+reserved|permission\W+is\W+hereby|redistribution\W+and\W+use|free\W+software|creative\W+commons|public\W+domain"
-#: The share of a template's words that must stand in order.
-COVERAGE = 0.75
+#: The share of a template's words that must stand in order, and the effort of compression.
+COVERAGE, LEVEL = 0.75, 13
 _WORD = re.compile(r"\d+(?:\.\d+)*|\w+(?:-\w+)*")
 
+Word = tuple[str, int, int]  # lower-cased word, first place, place after it
 
-def normal_words(text: str) -> list[tuple[str, int, int]]:
+
+def normal_words(text: str) -> list[Word]:
     return [(m[0].lower(), m.start(), m.end()) for m in _WORD.finditer(text)]
 
 
-@lru_cache(maxsize=4)
-def prepared(templates: tuple[tuple[str, str], ...]):
-    plain = zstandard.ZstdCompressor(level=3)
-    each = []
-    for name, text in templates:
-        dictionary = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        each.append((name, [w for w, _, _ in normal_words(text)], zstandard.ZstdCompressor(level=3, dict_data=dictionary)))
-    return plain, each, max((len(t) for _, t in templates), default=0)
+def needed(n: int) -> int:
+    """Words in order that confirm a template of n words."""
+    return math.ceil(COVERAGE * n - 1e-9)
+
+
+def anchors_of(words: list[str]) -> list[str]:
+    """The longest words, as many that a place without any of them lacks too many of the template's words."""
+    out: list[str] = []
+    for word in sorted(set(words), key=lambda w: (-len(w), w)):
+        if sum(map(words.count, out)) > len(words) - needed(len(words)):
+            break
+        out.append(word)
+    return out
 
 
-def blocks(text: str, reach: int) -> list[tuple[int, int]]:
-    """(start, end) around every cue, as far as the longest template reaches, overlapping ones joined."""
-    out: list[list[int]] = []
-    for m in re.finditer(CUES, text):
-        a, b = max(0, m.start() - reach), min(len(text), m.end() + reach)
-        if out and a <= out[-1][1]:
-            out[-1][1] = b
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+class Templates:
+    """The templates' words, compressors and anchors."""
+
+    def __init__(self, templates: tuple[tuple[str, str], ...]):
+        self.plain = zstandard.ZstdCompressor(level=LEVEL)
+        self.words = {name: words for name, text in templates if (words := [w for w, _, _ in normal_words(text)])}
+        self.by = {}
+        for name, words in self.words.items():
+            wording = zstandard.ZstdCompressionDict(" ".join(words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            wording.precompute_compress(level=LEVEL)
+            self.by[name] = zstandard.ZstdCompressor(level=LEVEL, dict_data=wording)
+        self.anchors: dict[str, list[str]] = {}
+        for name in sorted(self.words):
+            for word in anchors_of(self.words[name]):
+                self.anchors.setdefault(word, []).append(name)
+        self.reach = max((span(len(w)) for w in self.words.values()), default=0)
+
+
+prepared = lru_cache(maxsize=4)(Templates)
+
+
+def span(n: int) -> int:
+    """Words that a place of a template of n words may have, those added inside included."""
+    return n + n // 4 + 1
+
+
+def runs_near(text: str, anchors: Container[str], reach: int) -> Iterator[list[Word]]:
+    """Stretches of words that hold all within `reach` of an anchor; what is far from anchors is not kept."""
+    recent: deque[Word] = deque(maxlen=reach)
+    run: list[Word] = []
+    left = 0
+    for m in _WORD.finditer(text):
+        word = (m[0].lower(), m.start(), m.end())
+        if word[0] in anchors:
+            if not left:
+                run = [*recent]
+            left = 2 * reach + 1
+        if left:
+            run.append(word)
+            left -= 1
+            if not left:
+                yield run
+        recent.append(word)
+    if left:
+        yield run
 
 
 def dense(words: list[str], template: list[str], reach: int) -> Iterator[int]:
-    """Places of a template's word from which `reach` words hold COVERAGE of its words or more, repeats as often as it has them."""
+    """Places of a template's word from which `reach` words hold enough of its words, repeats as often as it has them."""
     wanted, seen, held, end = Counter(template), Counter(), 0, 0
     for i, word in enumerate(words):
         while end < min(len(words), i + reach):
@@ -76,7 +121,7 @@ def dense(words: list[str], template: list[str], reach: int) -> Iterator[int]:
                 held += seen[words[end]] <= wanted[words[end]]
             end += 1
         if word in wanted:
-            if held >= COVERAGE * len(template):
+            if held >= needed(len(template)):
                 yield i
             held -= seen[word] <= wanted[word]
             seen[word] -= 1
@@ -85,22 +130,21 @@ def dense(words: list[str], template: list[str], reach: int) -> Iterator[int]:
 Place = tuple[float, int, int, list[str], list[str]]
 
 
-def confirmed(block: list[tuple[str, int, int]], template: list[str]) -> list[Place]:
-    """(coverage, first word, last word, missing words, added words) of every place of the template in the block, none overlapping a better one."""
-    words = [w for w, _, _ in block]
+def confirmed(words: list[str], template: list[str]) -> list[Place]:
+    """(coverage, first word, word after the last, missing words, added words) of every place of the template, none overlapping a better one."""
     found, past, size = [], 0, len(template)
-    for i in dense(words, template, size + size // 4 + 1):
+    for i in dense(words, template, span(size)):
         if i < past:
             continue
-        part = words[i : i + size + size // 4 + 1]
+        part = words[i : i + span(size)]
         runs = [r for r in difflib.SequenceMatcher(None, template, part, autojunk=False).get_matching_blocks() if r.size]
-        share = sum(r.size for r in runs) / size
-        if runs and runs[0].b == 0 and share >= COVERAGE:
+        held = sum(r.size for r in runs)
+        if runs and runs[0].b == 0 and held >= needed(size):
             last = runs[-1].b + runs[-1].size
-            kept = {runs_a for r in runs for runs_a in range(r.a, r.a + r.size)}
-            inside = {runs_b for r in runs for runs_b in range(r.b, r.b + r.size)}
-            found.append((share, i, i + last, [w for k, w in enumerate(template) if k not in kept], [w for k, w in enumerate(part[:last]) if k not in inside]))
-            if last == size and share == 1:
+            kept = {k for r in runs for k in range(r.a, r.a + r.size)}
+            inside = {k for r in runs for k in range(r.b, r.b + r.size)}
+            found.append((held / size, i, i + last, [w for k, w in enumerate(template) if k not in kept], [w for k, w in enumerate(part[:last]) if k not in inside]))
+            if last == size == held:
                 past = i + last
     out, taken = [], set()
     for place in sorted(found, key=lambda x: (-x[0], x[2] - x[1], x[1])):
@@ -110,27 +154,47 @@ def confirmed(block: list[tuple[str, int, int]], template: list[str]) -> list[Pl
     return out
 
 
+def free_stretches(a: int, b: int, taken: set[int]) -> Iterator[tuple[int, int]]:
+    """Parts of a..b without a taken place."""
+    start = a
+    for i in range(a, b + 1):
+        if i == b or i in taken:
+            if i > start:
+                yield start, i
+            start = i + 1
+
+
+def ranked(words: list[str], t: Templates) -> list[tuple[int, float, int, int, str]]:
+    """(bytes saved, share saved, first word, word after the last, template) of every block of a run, most saved first."""
+    out = []
+    for i, word in enumerate(words):
+        sizes: dict[int, tuple[bytes, int]] = {}
+        for name in t.anchors.get(word, ()):
+            reach = span(len(t.words[name]))
+            if reach not in sizes:
+                raw = " ".join(words[max(0, i - reach + 1) : i + reach]).encode("utf-8", "replace")
+                sizes[reach] = raw, len(t.plain.compress(raw))
+            raw, alone = sizes[reach]
+            saved = alone - len(t.by[name].compress(raw))
+            if saved > 0:
+                out.append((saved, saved / alone, max(0, i - reach + 1), min(len(words), i + reach), name))
+    return sorted(out, key=lambda x: (-x[0], x[2], x[4]))
+
+
 def scan(text: str | None, templates: tuple[tuple[str, str], ...]) -> list[dict]:
-    """Findings in one text: every confirmed place of every template in every block, the same words never twice."""
-    if not text or not templates:
-        return []
-    plain, each, reach = prepared(templates)
+    """Findings in one text: winners of the ranking that word alignment confirms, the same words never twice."""
+    t = prepared(templates)
     out = []
-    for a, b in blocks(text, reach):
-        block, taken = normal_words(text[a:b]), set()
-        found = [(place, name, c) for name, words, c in each for place in confirmed(block, words)]
-        if not found:
-            continue
-        raw = text[a:b].encode("utf-8", "replace")
-        alone = len(plain.compress(raw))
-        gains = {name: 1 - len(c.compress(raw)) / alone for name, c in {name: c for _, name, c in found}.items()}
-        for (share, first, last, missing, added), name, _ in sorted(found, key=lambda x: (-x[0][0], x[0][1] - x[0][2], x[1], x[0][1])):
-            if taken.isdisjoint(range(first, last)):
-                taken |= set(range(first, last))
-                out.append({
-                    "start": a + block[first][1], "end": a + block[last - 1][2], "template": name, "reduction": round(gains[name], 6), "coverage": round(share, 6),
-                    "verdict": "exact" if share == 1 and not added else "modified", "missing": " ".join(missing), "added": " ".join(added),
-                })
+    for run in runs_near(text or "", t.anchors, t.reach):
+        words, taken = [w for w, _, _ in run], set()
+        for _, share_saved, a, b, name in ranked(words, t):
+            for start, stop in [*free_stretches(a, b, taken)]:
+                for share, first, last, missing, added in confirmed(words[start:stop], t.words[name]):
+                    taken.update(range(start + first, start + last))
+                    out.append({
+                        "start": run[start + first][1], "end": run[start + last - 1][2], "template": name, "reduction": round(share_saved, 6), "coverage": round(share, 6),
+                        "verdict": "modified" if missing or added else "exact", "missing": " ".join(missing), "added": " ".join(added),
+                    })
     return sorted(out, key=lambda x: (x["start"], x["template"]))
 
 
@@ -140,14 +204,18 @@ FOUND = "array<struct<start:long,end:long,template:string,reduction:double,cover
 def scan_documents(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each notice: doc_id, its place in code points, template, size reduction, wording differences.
 
-    Only texts with a cue reach Python. Null and empty texts have no notice; repeated rows are each
-    scanned; null ids stay; ties between templates go to the longer wording, then by name.
+    Only texts with an anchor word reach Python. Null and empty texts have no notice, an empty table
+    and an empty set of templates give an empty result; repeated rows are each scanned; null ids
+    stay; other columns are not read. Long texts are scanned whole, keeping only words near anchors.
+    Of templates that save equally many bytes the one that stands first, then the first by name, is
+    confirmed first.
     """
     chosen = tuple(sorted(templates.items()))
+    cues = "(?iu)" + "|".join(re.escape(w) for w in sorted(prepared(chosen).anchors)) if prepared(chosen).anchors else "(?!)"
 
     @F.pandas_udf(FOUND)
     def scanned(texts: pd.Series) -> pd.Series:
         return pd.Series([scan(t, chosen) for t in texts])
 
-    cued = docs.where(F.col(text_col).rlike(CUES)).select(F.col(id_col).alias("doc_id"), F.explode(scanned(F.col(text_col))).alias("f"))
+    cued = docs.where(F.col(text_col).rlike(cues)).select(F.col(id_col).alias("doc_id"), F.explode(scanned(F.col(text_col))).alias("f"))
     return cued.select("doc_id", "f.*")
