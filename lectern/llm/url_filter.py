@@ -1,10 +1,11 @@
 """URL filtering by rules and by a tree of path templates for each host.
 
-A path is a row of segments. Level by level, a place whose segments are nearly all different
-becomes a wildcard; among the branches that stay, those whose share of bad labelled pages does not
-differ from their siblings' by a two-proportion test are merged into a wildcard as well. Each
-template is then judged by its share of bad pages, smoothed towards its host's share, which is
-smoothed towards that of all pages.
+A path is a row of segments. Level by level, down to the last segment of the deepest path, a place
+whose segments are nearly all different becomes a wildcard; among the branches that stay, those
+whose share of bad labelled pages does not differ from their siblings' by a two-proportion test are
+merged into a wildcard as well. Each template is then judged by its share of bad pages, smoothed
+towards its host's share, which is smoothed towards that of all pages. Joins spread keys that many
+rows have over several tasks.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from .shared import written
 RULES = (
     ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"),
 )
-DEPTH = 4
+#: A key of over one in HOT of all pages is spread in joins, so that fewer than HOT keys are broadcast for it.
+HOT = 1000
 #: A place is variable with at least so many different segments, and this share of its pages.
 KINDS, VARIETY = 8, 0.3
 #: Branches whose shares differ by less than this many standard errors are merged.
@@ -48,14 +50,34 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return F.array_max(F.array(*fits)) if fits else F.lit(None).cast("struct<length:int,rule:string,verdict:string>")
 
 
-def templates(paths: DataFrame, depth: int = DEPTH, kinds: int = KINDS, variety: float = VARIETY, similar: float = SIMILAR) -> DataFrame:
-    """(host, path, n, labelled, bad) with its template; one row for each host and path."""
-    tree = paths.withColumn("segments", F.array_remove(F.split("path", "/"), "")).withColumn("template", F.lit(""))
-    for d in range(depth):
-        tree = tree.withColumn("segment", F.get("segments", F.lit(d)))
-        branch = tree.where("segment is not null").groupBy("host", "template", "segment").agg(F.sum("n").alias("b_n"), F.sum("labelled").alias("b_lab"), F.sum("bad").alias("b_bad"))
-        node = branch.groupBy("host", "template").agg(F.count("*").alias("kinds"), F.sum("b_n").alias("t_n"), F.sum("b_lab").alias("t_lab"), F.sum("b_bad").alias("t_bad"))
-        both = branch.join(node, ["host", "template"])
+def spread_join(big: DataFrame, small: DataFrame, keys: list[str], weight: str, share: int) -> DataFrame:
+    """`big` with the row of `small` for its keys; every key is there once, with the number of `big`'s rows as `weight`.
+
+    A key of over `share` rows is dealt to as many tasks as it has shares.
+    """
+    hot = small.where(F.col(weight) > share).select(*keys, F.ceil(F.col(weight) / share).cast("int").alias("_parts"))
+    dealt = big.join(F.broadcast(hot), keys, "left").withColumn("_part", F.coalesce(F.floor(F.rand(7) * F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
+    copies = F.sequence(F.lit(0), F.when(F.col(weight) > share, F.ceil(F.col(weight) / share).cast("int") - 1).otherwise(F.lit(0)))
+    return dealt.join(small.withColumn("_part", F.explode(copies)).drop(weight), [*keys, "_part"]).drop("_part")
+
+
+def templates(paths: DataFrame, share: int, kinds: int = KINDS, variety: float = VARIETY, similar: float = SIMILAR) -> DataFrame:
+    """(host, path, n, labelled, bad) with its template; one row for each host and path.
+
+    One round for each level; a path ends with its last segment, or where no other path shares its
+    template any more, because what follows is then kept as it is.
+    """
+    tree = paths.withColumn("left", F.array_remove(F.split("path", "/"), "")).withColumn("template", F.lit(""))
+    done = []
+    while True:
+        tree = written(tree, "url-tree")  # read several times at the next level
+        done.append(tree.where(F.size("left") == 0).drop("left"))
+        open_ = tree.where(F.size("left") > 0).withColumn("segment", F.get("left", F.lit(0)))
+        if open_.isEmpty():
+            break
+        branch = open_.groupBy("host", "template", "segment").agg(F.sum("n").alias("b_n"), F.sum("labelled").alias("b_lab"), F.sum("bad").alias("b_bad"), F.count("*").alias("b_paths"))
+        node = branch.groupBy("host", "template").agg(F.count("*").alias("kinds"), F.sum("b_n").alias("t_n"), F.sum("b_lab").alias("t_lab"), F.sum("b_bad").alias("t_bad"), F.sum("b_paths").alias("t_paths"))
+        both = spread_join(branch, node.withColumn("_kinds", F.col("kinds")), ["host", "template"], "_kinds", share)
         variable = (F.col("kinds") >= kinds) & (F.col("kinds") >= variety * F.col("t_n"))
         others = F.col("t_lab") - F.col("b_lab")
         p = F.try_divide("t_bad", "t_lab")
@@ -63,15 +85,18 @@ def templates(paths: DataFrame, depth: int = DEPTH, kinds: int = KINDS, variety:
         error = F.sqrt(p * (1 - p) * (F.try_divide(F.lit(1.0), "b_lab") + F.try_divide(F.lit(1.0), others)))
         alike = ~F.coalesce(apart >= similar * error, F.lit(False)) | F.coalesce(error == 0, F.lit(True))
         star = variable | ((F.col("kinds") > 1) & alike)
-        named = both.select("host", "template", "segment", F.when(star, F.lit("*")).otherwise(F.col("segment")).alias("part"))
+        named = both.select("host", "template", "segment", F.when(star, F.lit("*")).otherwise(F.col("segment")).alias("part"), (F.col("t_paths") == 1).alias("alone"), "b_paths")
+        rest = F.slice("left", F.lit(2), F.size("left"))
         tree = (
-            tree.join(named, ["host", "template", "segment"], "left")
-            .withColumn("template", F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "part")))
-            .drop("part", "segment")
+            spread_join(open_, written(named, "url-branches"), ["host", "template", "segment"], "b_paths", share)
+            .withColumn("template", F.concat("template", F.lit("/"), F.when(F.col("alone"), F.array_join("left", "/")).otherwise(F.col("part"))))
+            .withColumn("left", F.when(F.col("alone"), F.array().cast("array<string>")).otherwise(rest))
+            .drop("part", "segment", "alone")
         )
-        tree = written(tree, "url-tree")  # read twice at the next level
-    deeper = F.size("segments") > depth
-    return tree.withColumn("template", F.when(deeper, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))).drop("segments")
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", label_id_col: str = "page_id", bad_col: str = "bad", prior: float = PRIOR, reject: float = REJECT) -> DataFrame:
@@ -79,48 +104,49 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, id_col: str = "page_
 
     `labels` holds (page_id, bad); of several labels of one page bad wins, null labels are ignored.
     purity is the smoothed share of bad pages of the template; at `reject` and above the template is
-    rejected. A rule's verdict comes first. A null url or one without `://` has an empty host and
-    path, with a template of its own. Repeated rows and null ids stay; an empty table gives none.
+    rejected. A rule's verdict comes first; no two rules that fit a page are equally long, since both
+    would be the same one. A null url or one without `://` has an empty host and path, with a
+    template of its own. Repeated rows and null ids stay; an empty table gives none. Paths of any
+    length are read to their end; other columns are not read.
     """
     marks = labels.where(F.col(bad_col).isNotNull() & F.col(label_id_col).isNotNull()).groupBy(F.col(label_id_col).alias("l_id")).agg(F.max(F.col(bad_col).cast("int")).alias("mark"))
     seen = parsed(pages, id_col, url_col)
-    marked = seen.join(marks, seen.page_id == marks.l_id, "left")
+    known = seen.where("page_id is not null")
+    marked = known.join(marks, known.page_id == marks.l_id, "left").select("host", "path", "mark").unionAll(seen.where("page_id is null").select("host", "path", F.lit(None).cast("int")))
     paths = written(marked.groupBy("host", "path").agg(F.count("*").alias("n"), F.count("mark").alias("labelled"), F.coalesce(F.sum("mark"), F.lit(0)).alias("bad")), "url-paths")
-    tree = templates(paths)
-    of_host = paths.groupBy("host").agg(F.sum("labelled").alias("h_lab"), F.sum("bad").alias("h_bad"))
-    of_all = F.broadcast(paths.agg(F.coalesce(F.try_divide(F.sum("bad"), F.sum("labelled")), F.lit(0.0)).alias("base")))  # one row
-    of_template = tree.groupBy("host", "template").agg(F.sum("labelled").alias("t_lab"), F.sum("bad").alias("t_bad"))
-    host_share = (F.col("h_bad") + prior * F.col("base")) / (F.col("h_lab") + prior)
-    purity = of_template.join(of_host, "host").join(of_all).select("host", "template", ((F.col("t_bad") + prior * host_share) / (F.col("t_lab") + prior)).alias("purity"))
-    judged = tree.select("host", "path", "template").join(purity, ["host", "template"])
-    out = seen.join(judged, ["host", "path"]).withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
+    all_ = paths.agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")).first()
+    share, base = max(1, (all_.n or 0) // HOT), F.lit(all_.bad / all_.labelled if all_.labelled else 0.0)
+    tree = written(templates(paths, share), "url-templates")
+    of_host = paths.groupBy("host").agg(F.sum("labelled").alias("h_lab"), F.sum("bad").alias("h_bad"), F.count("*").alias("h_paths"))
+    of_template = tree.groupBy("host", "template").agg(F.sum("labelled").alias("t_lab"), F.sum("bad").alias("t_bad"), F.count("*").alias("t_paths"))
+    host_share = (F.col("h_bad") + prior * base) / (F.col("h_lab") + prior)
+    purity = spread_join(of_template, of_host, ["host"], "h_paths", share).select("host", "template", ((F.col("t_bad") + prior * host_share) / (F.col("t_lab") + prior)).alias("purity"), "t_paths")
+    judged = spread_join(tree.select("host", "path", "template", "n"), written(purity, "url-purity"), ["host", "template"], "t_paths", share)
+    out = spread_join(seen, written(judged, "url-judged"), ["host", "path"], "n", share).withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
     verdict = F.coalesce("fit.verdict", F.when(F.col("purity") >= reject, F.lit("block")).otherwise(F.lit("allow")))
     return out.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), "template", F.round("purity", 6).alias("purity"))
 
 
 def oracle() -> str:
     """The same in DuckDB SQL, for page labels from `labels` (bad: low quality or toxic)."""
-    out = ["""WITH RECURSIVE u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    longest = ", ".join(f"CASE WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN {{'length': {len(h + p)}, 'rule': '{h + p}', 'verdict': '{v}'}} END" for h, p, v in RULES)
+    return f"""WITH RECURSIVE u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 r AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM u),
 seen AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM r),
 marks AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS mark FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
-paths AS (SELECT host, path, count(*) AS n, count(mark) AS labelled, coalesce(sum(mark), 0) AS bad FROM seen LEFT JOIN marks ON page_id = doc_id GROUP BY 1, 2),
-tree0 AS (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS segments, '' AS template FROM paths)"""]
-    for d in range(DEPTH):
-        out.append(f"""branch{d} AS (SELECT host, template, segments[{d + 1}] AS segment, sum(n) AS b_n, sum(labelled) AS b_lab, sum(bad) AS b_bad FROM tree{d} WHERE len(segments) > {d} GROUP BY ALL),
-node{d} AS (SELECT host, template, count(*) AS kinds, sum(b_n) AS t_n, sum(b_lab) AS t_lab, sum(b_bad) AS t_bad FROM branch{d} GROUP BY ALL),
-test{d} AS (SELECT *, abs(b_bad / nullif(b_lab, 0) - (t_bad - b_bad) / nullif(t_lab - b_lab, 0)) AS apart,
-  sqrt((t_bad / nullif(t_lab, 0)) * (1 - t_bad / nullif(t_lab, 0)) * (1.0::double / nullif(b_lab, 0) + 1.0::double / nullif(t_lab - b_lab, 0))) AS error FROM branch{d} JOIN node{d} USING (host, template)),
-named{d} AS (SELECT host, template, segment, CASE WHEN (kinds >= {KINDS} AND kinds >= {VARIETY}::double * t_n) OR (kinds > 1 AND (NOT coalesce(apart >= {SIMILAR}::double * error, false) OR coalesce(error = 0, true))) THEN '*' ELSE segment END AS part FROM test{d}),
-tree{d + 1} AS (SELECT t.host, t.path, t.n, t.labelled, t.bad, t.segments, CASE WHEN len(t.segments) > {d} THEN t.template || '/' || part ELSE t.template END AS template
-  FROM tree{d} t LEFT JOIN named{d} m ON t.host = m.host AND t.template = m.template AND t.segments[{d + 1}] = m.segment)""")
-    longest = ", ".join(f"CASE WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN {{'length': {len(h + p)}, 'rule': '{h + p}', 'verdict': '{v}'}} END" for h, p, v in RULES)
-    out.append(f"""tree AS (SELECT host, path, labelled, bad, CASE WHEN len(segments) > {DEPTH} THEN template || '/**' ELSE template END AS template FROM tree{DEPTH}),
+paths AS (SELECT host, path, count(*)::bigint AS n, count(mark)::bigint AS labelled, coalesce(sum(mark), 0)::bigint AS bad FROM seen LEFT JOIN marks ON page_id = doc_id GROUP BY 1, 2),
+grown AS (SELECT host, path, n, labelled, bad, list_filter(string_split(path, '/'), lambda x: x <> '') AS segments, 0 AS d, '' AS template FROM paths
+UNION ALL SELECT host, path, n, labelled, bad, segments, d + 1, template || '/' || CASE WHEN (kinds >= {KINDS} AND kinds >= {VARIETY}::double * t_n) OR (kinds > 1 AND (NOT coalesce(apart >= {SIMILAR}::double * error, false) OR coalesce(error = 0, true))) THEN '*' ELSE segment END FROM
+  (SELECT *, abs(b_bad / nullif(b_lab, 0) - (t_bad - b_bad) / nullif(t_lab - b_lab, 0)) AS apart,
+     sqrt((t_bad / nullif(t_lab, 0)) * (1 - t_bad / nullif(t_lab, 0)) * (1.0::double / nullif(b_lab, 0) + 1.0::double / nullif(t_lab - b_lab, 0))) AS error FROM
+   (SELECT *, max(nth) OVER node AS kinds, sum(n) OVER node AS t_n, sum(labelled) OVER node AS t_lab, sum(bad) OVER node AS t_bad, sum(labelled) OVER branch AS b_lab, sum(bad) OVER branch AS b_bad FROM
+    (SELECT *, segments[d + 1] AS segment, dense_rank() OVER (PARTITION BY host, template ORDER BY segments[d + 1]) AS nth FROM grown WHERE len(segments) > d)
+    WINDOW node AS (PARTITION BY host, template), branch AS (PARTITION BY host, template, segment)))),
+tree AS (SELECT host, path, labelled, bad, template FROM grown WHERE len(segments) = d),
 hosts AS (SELECT host, sum(labelled) AS h_lab, sum(bad) AS h_bad FROM paths GROUP BY 1),
 base AS (SELECT coalesce(sum(bad) / nullif(sum(labelled), 0), 0) AS base FROM paths),
 per_template AS (SELECT host, template, sum(labelled) AS t_lab, sum(bad) AS t_bad FROM tree GROUP BY ALL),
 judged AS (SELECT host, template, (t_bad + {PRIOR}::double * ((h_bad + {PRIOR}::double * base) / (h_lab + {PRIOR}::double))) / (t_lab + {PRIOR}::double) AS purity FROM per_template JOIN hosts USING (host), base),
 fit AS (SELECT page_id, host, path, list_max(list_filter([{longest}], lambda x: x IS NOT NULL)) AS f FROM seen)
 SELECT page_id, fit.host, fit.path, f.rule AS rule, coalesce(f.verdict, CASE WHEN purity >= {REJECT} THEN 'block' ELSE 'allow' END) AS verdict, tree.template, round(purity, 6) AS purity
-FROM fit JOIN tree ON fit.host = tree.host AND fit.path = tree.path JOIN judged ON tree.host = judged.host AND tree.template = judged.template""")
-    return ",\n".join(out)
+FROM fit JOIN tree ON fit.host = tree.host AND fit.path = tree.path JOIN judged ON tree.host = judged.host AND tree.template = judged.template"""

@@ -49,15 +49,18 @@ def test_decontamination(spark):
 
 def test_url_rules_and_sql(spark):
     rows = [(1, "http://Www.Example.com/en/9?x#y"), (2, "https://example.com/en/9"), (3, "http://a.example.com/de/9"), (4, "ftp://x.net/es/"), (5, "http://x.net/esx"), (6, None), (7, "no scheme"), (8, "http://com"), (9, "http://com/"), (10, "http://h.org?q"), (11, "http://notexample.com/en/1"), (None, "http://h.org//a//b/c/d/e/f"), (1, "http://Www.Example.com/en/9?x#y"), (12, "a://b://c/d")]
+    deep = random.Random(8)
+    rows += [(1000 + i, "http://deep.org/" + "/".join(deep.choice(("a", "b", f"v{deep.randrange(40)}")) for _ in range(deep.randrange(12)))) for i in range(300)] + [(1500, "http://deep.org/" + "x/" * 300)]
+    rows += [(2000 + i, "http://hot.org/same/page?" + str(i)) for i in range(400)]
     rows += [(100 + i, f"http://site.org/{'bad' if i % 2 else 'good'}/{i}") for i in range(80)] + [(300 + i, f"http://site.org/bad/page{i}.html") for i in range(10)]
     pages = spark.createDataFrame([(*r, "h") for r in rows], "page_id long, url string, host string")
-    labels = [(100 + i, 0 if i % 2 else 1, 0) for i in range(80)] + [(100, None, None), (None, 0, 1)]
+    labels = [(100 + i, 0 if i % 2 else 1, 0) for i in range(80)] + [(1000 + i, i * i % 7 % 2, 0) for i in range(0, 300, 2)] + [(100, None, None), (None, 0, 1)]
     table = spark.createDataFrame(labels, "page_id long, quality int, toxic int")
     marks = table.selectExpr("page_id", "(quality = 0 or toxic = 1) as bad")
     got = {r.page_id: r for r in url_filter.judge(pages, marks).collect()}
     assert [(got[i].rule, got[i].verdict) for i in (1, 2, 3, 4)] == [("www.example.com/en/", "allow"), ("example.com/en/", "block"), ("com/", "allow"), ("net/es/", "block")] and got[5].rule is None
     assert (got[6].host, got[6].path, got[7].host, got[8].path, got[8].rule, got[9].rule, got[10].host, got[12].host) == ("", "", "", "", None, "com/", "h.org", "b:")
-    assert got[11].rule == "com/" and got[None].template.endswith("/**")
+    assert got[11].rule == "com/" and got[None].template == "/a/b/c/d/e/f" and got[1500].template.endswith("/x" * 280) and got[1500].template.count("/") == 300
     assert {got[100 + i].verdict for i in range(80) if i % 2} == {"block"} and {got[100 + i].verdict for i in range(80) if not i % 2} == {"allow"}
     assert got[305].template == "/bad/*" and got[305].verdict == "block"
     con = duckdb.connect()
