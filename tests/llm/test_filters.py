@@ -42,11 +42,32 @@ def test_decontamination(spark):
     kept = decontamination.decontaminated(a, b)
     assert kept.columns == a.columns
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == sorted((d is None, d or 0) for d, _, _ in docs if d not in {d for d, _ in want})
+    split = [(None, "w9 w8 x"), (None, "x w8 w7"), (600, "p1 p2 p3 p4 p5 p6"), (600, "p5 p6 p7 p8 p9")]  # rows without an id don't add up, rows of one id do
+    whole = spark.createDataFrame([(1, "w9 w8 w8 w7"), (2, "p1 p2 p3 p4 p5 p6 p7"), (3, "p5 p6 p7 p8 p9 q1"), (4, "p5 p6 p7 p8 p9")], "item_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in decontamination.contained_items(spark.createDataFrame(split, "doc_id long, text string"), whole).collect()] == [(600, 4)]
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.contained_items(a, none).count() == 0
     assert decontamination.contained_items(a.limit(0), b).count() == 0
 
 
+def test_only_candidates_are_verified(spark):
+    """Verification reads the pairs that the sketches found; others that share shingles with an item never reach it."""
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=60))) for i in range(30)]
+    docs = [(i, " ".join([*rng.choices(vocabulary, k=200), *items[i % 30][1].split()[: 60 if i < 40 else 12]])) for i in range(400)]
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    wanted, sizes, few = decontamination.item_shingles(b), [5], lambda df: df
+    texts = decontamination.worded(a.withColumn("id", a.doc_id.cast("string")), "id", "text").withColumnRenamed("id", "key")
+    pairs = decontamination.candidates(texts, wanted, sizes, few).cache()
+    sharing = {(d, i) for d, t in docs for i, s in items if shingles(t) & shingles(s)}
+    right = {(d, i) for d, t in docs for i, s in items if contains(t, s) >= 0.8}
+    found = {(int(r.key), r.item_id) for r in pairs.collect()}
+    assert right <= found < sharing and len(right) == 40
+    one = pairs.where("key = '0'")
+    assert {r.key for r in decontamination.verified(texts, one, wanted, sizes, few).collect()} == {"0"}
+
+
 def test_url_rules_and_sql(spark):
     rows = [(1, "http://Www.Example.com/en/9?x#y"), (2, "https://example.com/en/9"), (3, "http://a.example.com/de/9"), (4, "ftp://x.net/es/"), (5, "http://x.net/esx"), (6, None), (7, "no scheme"), (8, "http://com"), (9, "http://com/"), (10, "http://h.org?q"), (11, "http://notexample.com/en/1"), (None, "http://h.org//a//b/c/d/e/f"), (1, "http://Www.Example.com/en/9?x#y"), (12, "a://b://c/d")]
     deep = random.Random(8)
