@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,23 +84,33 @@ def merge_spans(docs: DataFrame, paths: DataFrame, chunk_size: int = CHUNK_SIZE,
     head = spans.where("i = 0 and start > 0").where(_tokens_of(F.col("start")) >= min_size)
     none = F.lit(None).cast("string")
     all_ = spans.unionByName(head.select("id", F.lit(-1).alias("i"), F.lit(0).alias("start"), F.col("start").alias("end"), none.alias("section"), none.alias("article_number"), none.alias("path"), F.lit(0).alias("levels")))
-    item = F.struct("i", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("levels").cast("int").alias("levels"), F.col("i").cast("int").alias("owner"))
+    item = F.struct("i", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("levels").cast("int").alias("levels"))
     rows = all_.groupBy("id").agg(F.array_sort(F.collect_list(item)).alias("a"))
 
-    def step(out, x):
-        p = F.element_at(out, -1)
-        join = (F.size(out) > 0) & (_tokens_of(p.end - p.start) < min_size) & (_tokens_of(x.end - p.start) <= chunk_size)
-        joined = F.struct(p.start.alias("start"), x.end.alias("end"), F.least(p.levels, x.levels).alias("levels"), F.when(p.levels <= x.levels, p.owner).otherwise(x.owner).alias("owner"))
-        fresh = F.struct(x.start.alias("start"), x.end.alias("end"), x.levels.alias("levels"), x.owner.alias("owner"))
-        return F.when(join, F.concat(F.slice(out, 1, F.size(out) - 1), F.array(joined))).otherwise(F.concat(out, F.array(fresh)))
-
-    empty = F.array().cast("array<struct<start:bigint,end:bigint,levels:int,owner:int>>")
-    # element_at of an empty array is null only through try_element_at, so the first step is guarded by the size test
-    first = F.transform(F.slice("a", 1, 1), lambda x: F.struct(x.start.alias("start"), x.end.alias("end"), x.levels.alias("levels"), x.owner.alias("owner")))
-    merged = rows.select("id", F.posexplode(F.aggregate(F.slice(F.col("a"), F.lit(2), F.greatest(F.lit(0), F.size("a") - 1)), F.coalesce(first, empty), step)).alias("n", "s")).select("id", "n", "s.*")
+    @F.pandas_udf("array<struct<start:long,end:long,owner:int>>")
+    def joined(owners: pd.Series, starts: pd.Series, ends: pd.Series, levels: pd.Series) -> pd.Series:
+        return pd.Series([merged_spans(*x, chunk_size, min_size) for x in zip(owners, starts, ends, levels, strict=True)])
+
+    merged = rows.select("id", F.posexplode(joined(*[F.col(f"a.{c}") for c in ("i", "start", "end", "levels")])).alias("n", "s")).select("id", "n", "s.*")
     return merged.join(all_.select("id", F.col("i").alias("owner"), "section", "article_number", "path"), ["id", "owner"]).select("id", "n", "start", "end", "section", "article_number", "path")
 
 
+def merged_spans(owners: Sequence[int], starts: Sequence[int], ends: Sequence[int], levels: Sequence[int], chunk_size: int, min_size: int) -> list[dict]:
+    """One pass over a text's spans; of joined ones the first of the fewest levels owns the span."""
+    tokens = lambda n: max(1, round(n / 3.6))
+    out: list[dict] = []
+    shallow = 0
+    for owner, start, end, level in zip(owners, starts, ends, levels, strict=True):
+        if out and tokens(out[-1]["end"] - out[-1]["start"]) < min_size and tokens(end - out[-1]["start"]) <= chunk_size:
+            out[-1]["end"] = int(end)
+            if level < shallow:
+                out[-1]["owner"], shallow = int(owner), level
+        else:
+            out.append({"start": int(start), "end": int(end), "owner": int(owner)})
+            shallow = level
+    return out
+
+
 def emit_chunks(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """One chunk for each span: its text without outer blanks, exact offsets, tokens."""
     j = spans.join(docs.select("id", "text"), "id").withColumn("raw", F.substring(F.col("text"), (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")))
@@ -110,46 +124,49 @@ PARAGRAPH = r"\n\s*\n"
 SENTENCE = "(?<=[.;:])\\s+(?=[A-ZÁÉÍÓÚÑ0-9¿«\"])"
 
 
-def split_units(bodies: DataFrame) -> DataFrame:
-    """(id, units): sentences of paragraphs of (id, body) as array<struct(off, len, tok)> with exact offsets."""
-    marked = F.regexp_replace(F.regexp_replace("body", PARAGRAPH, "\x01$0\x02"), SENTENCE, "\x01$0\x02")
-    rows = bodies.select("id", F.posexplode(F.split(marked, "\x02")).alias("i", "p"))
-    unit = F.substring_index("p", "\x01", 1)
-    length = F.length("p") - F.when(F.contains("p", F.lit("\x01")), 1).otherwise(0)
-    off = F.coalesce(F.sum(length).over(Window.partitionBy("id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    kept = rows.select("id", "i", off.alias("off"), F.length(unit).alias("len"), estimate_tokens(unit).alias("tok"), F.trim(F.regexp_replace(unit, r"\s", "")).alias("t")).where("t <> ''")
-    return kept.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "off", "len", "tok"))), lambda u: F.struct(u.off.alias("off"), u.len.alias("len"), u.tok.alias("tok"))).alias("units"))
+def split_units(body: Column) -> Column:
+    """array<struct(text, len, filled)>: sentences of paragraphs with the blanks after them, their length without those, and whether they hold more than blanks."""
+    marked = F.regexp_replace(F.regexp_replace(body, PARAGRAPH, "\x01$0\x02"), SENTENCE, "\x01$0\x02")
+    return F.transform(F.split(marked, "\x02"), lambda p: F.struct(F.replace(p, F.lit("\x01"), F.lit("")).alias("text"), F.length(F.substring_index(p, "\x01", 1)).alias("len"), (F.regexp_replace(F.substring_index(p, "\x01", 1), r"\s", "") != "").alias("filled")))
+
+
+def greedy_parts(tokens: np.ndarray, size: int, overlap: int) -> list[tuple[int, int]]:
+    """(first, after last) of parts of whole units: each as long as it keeps within `size` but with one new unit at least, then back by the fewest units that reach `overlap`, never by all of a part."""
+    upto = np.concatenate(([0], np.cumsum(tokens)))
+    out, a, b, n = [], 0, 0, len(tokens)
+    while True:
+        b = max(b + 1, int(np.searchsorted(upto, upto[a] + size, side="right")) - 1)
+        if b >= n:
+            return [*out, (a, n)]
+        out.append((a, b))
+        a = b if overlap <= 0 else max(a + 1, int(np.searchsorted(upto[:b], upto[b] - overlap, side="right")) - 1)
 
 
 def divide(bodies: DataFrame, chunk_size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> DataFrame:
     """(id, part, total, char_start, char_end, content): greedy parts of whole units, the last units of a part repeated.
 
     The repeated units are the fewest that reach `overlap` tokens, never all of a part. A text
-    within the size is one part. Units are folded by place, so texts are not carried along.
+    within the size is one part. A text stays in its row; only the lengths of its units are folded.
     """
-    u = split_units(bodies)
-    cum = F.aggregate("units", F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x.tok)))
-    counted = u.withColumn("n", F.size("units")).withColumn("cum", cum)
-    state = "struct<first:int,parts:array<struct<a:int,b:int>>>"
-
-    def step(acc, i):
-        c = F.col("cum")
-        sums = lambda a, b: F.get(c, b) - F.get(c, a)
-        over = (i > acc.first) & (sums(acc.first, i + 1) > chunk_size)
-        reach = F.array_max(F.filter(F.sequence(acc.first, F.greatest(acc.first, i - 1)), lambda j: sums(j, i) >= overlap))
-        again = F.lit(0) + F.when(F.lit(overlap <= 0), i).otherwise(F.greatest(F.coalesce(reach, acc.first), acc.first + 1))
-        return F.when(over, F.struct(again.cast("int").alias("first"), F.concat(acc.parts, F.array(F.struct(acc.first.alias("a"), i.alias("b")))).alias("parts"))).otherwise(acc).cast(state)
-
-    start = F.struct(F.lit(0).alias("first"), F.array().cast("array<struct<a:int,b:int>>").alias("parts")).cast(state)
-    end = F.aggregate(F.sequence(F.lit(0), F.col("n") - 1), start, step)
-    folded = counted.select("id", "units", "n", end.alias("e")).withColumn("parts", F.concat("e.parts", F.array(F.struct(F.col("e.first").alias("a"), F.col("n").alias("b")))))
-    at = folded.select("id", "units", F.size("parts").alias("total"), F.posexplode("parts").alias("part", "p"))
-    last = F.get("units", F.col("p.b") - 1)
-    cut = at.select("id", "part", "total", F.get("units", F.col("p.a")).off.alias("a"), (last.off + last.len).alias("b")).join(bodies, "id")
-    raw = F.substring(F.col("body"), (F.col("a") + 1).cast("int"), (F.col("b") - F.col("a")).cast("int"))
-    lead = F.length(F.regexp_extract(raw, r"(?U)^\s*", 0))
-    out = cut.select("id", (F.col("part") + 1).alias("part"), "total", (F.col("a") + lead).alias("char_start"), stripped(raw).alias("content"))
-    return out.withColumn("char_end", F.col("char_start") + F.length("content"))
+
+    @F.pandas_udf("array<struct<first:int,units:int,off:long>>")
+    def parted(lens: pd.Series, wholes: pd.Series, filled: pd.Series) -> pd.Series:
+        out = []
+        for own, whole, has in zip(lens, wholes, filled, strict=True):
+            at = np.flatnonzero(np.asarray(has, bool))
+            offs = np.concatenate(([0], np.cumsum(whole)))
+            tokens = np.maximum(1, np.round(np.asarray(own, float)[at] / 3.6)).astype(np.int64)
+            out.append([{"first": int(at[a]), "units": int(at[b - 1] - at[a]) + 1, "off": int(offs[at[a]])} for a, b in greedy_parts(tokens, chunk_size, overlap)] if at.size else [])
+        return pd.Series(out)
+
+    rows = bodies.select("id", split_units(F.col("body")).alias("u"))
+    cut = rows.select("id", "u", parted(F.col("u.len"), F.transform("u", lambda x: F.length(x.text)), F.col("u.filled")).alias("p"))
+    raw = lambda p: F.array_join(F.transform(F.slice("u", p.first + 1, p.units), lambda x: x.text), "")
+    made = F.transform("p", lambda p: F.struct(p.off.alias("off"), raw(p).alias("raw")))
+    out = cut.select("id", F.size("p").alias("total"), F.posexplode(made).alias("part", "x")).select("id", (F.col("part") + 1).alias("part"), "total", "x.*")
+    lead = F.length(F.regexp_extract("raw", r"(?U)^\s*", 0))
+    placed = out.select("id", "part", "total", (F.col("off") + lead).alias("char_start"), stripped(F.col("raw")).alias("content"))
+    return placed.withColumn("char_end", F.col("char_start") + F.length("content"))
 
 
 def chunk_invariants(docs: DataFrame, chunks: DataFrame) -> DataFrame:
