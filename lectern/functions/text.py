@@ -1,9 +1,11 @@
-"""Text preparation as column expressions: nothing here leaves the JVM."""
+"""Text preparation as column expressions; only texts that are not in composed form leave the JVM."""
 
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,17 +18,23 @@ DROPPED = "​‌‍﻿­"
 ELLIPSIS = ("…", "...")
 CHARS_PER_TOKEN = 3.6
 
-_MARKS = "̧̀́̂̃̈"
-#: Base letter and mark -> one letter, for the Latin letters that have it.
-COMPOSED = {b + m: c for b in "aceinouyACEINOUY" for m in _MARKS if len(c := unicodedata.normalize("NFC", b + m)) == 1}
+#: Texts of these characters alone are composed already (NFC); a test holds every one of them to that.
+COMPOSED = "\\x{0}-\\x{2ff}\\x{2002}-\\x{2027}\\x{2030}-\\x{205e}\\x{20a0}-\\x{20bf}\\x{2122}\\x{feff}"
+
+
+@F.pandas_udf("string")
+def _nfc(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))
 
 
 def composed(text: Column) -> Column:
-    """Latin letters with a combining mark as one code point; texts without a mark are passed through."""
-    out = text
-    for pair, one in COMPOSED.items():
-        out = F.replace(out, F.lit(pair), F.lit(one))
-    return F.when(text.rlike(f"[{_MARKS}]"), out).otherwise(text)
+    """The text in Unicode's composed form (NFC); only texts with a character that can change are handed to Python."""
+    return F.coalesce(_nfc(F.when(text.rlike(f"[^{COMPOSED}]"), text)), text)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def fold_confusables(text: Column) -> Column:
@@ -60,14 +68,12 @@ def clean_text(text: Column) -> Column:
     sentences rejoined across lines, furniture lines dropped, blanks collapsed."""
     folded = F.replace(F.replace(fold_confusables(text), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
     hyphen = f"(?<=[{_LOW}])-\\n(?=[{_LOW}])"
-    joined = F.regexp_replace(F.regexp_replace(folded, hyphen, ""), f"(?<=[{_LOW},;])\\n(?=[{_LOW}])", " ")
-    lines = F.transform(F.split(joined, "\n"), stripped)
-    kept = F.filter(lines, lambda x: ~x.rlike("(?iu)^(?:" + "|".join(FURNITURE) + ")$"))
-    out = stripped(F.regexp_replace(F.regexp_replace(F.array_join(kept, "\n"), " {2,}", " "), r"\n{3,}", "\n\n"))
-    return F.struct(
-        out.alias("text"), F.length(text).alias("original_length"), F.length(out).alias("cleaned_length"),
-        (F.size(lines) - F.size(kept)).alias("dropped"), F.regexp_count(folded, F.lit(hyphen)).alias("rejoined"),
-    )
+    lines_of = lambda f: F.transform(F.split(F.regexp_replace(F.regexp_replace(f, hyphen, ""), f"(?<=[{_LOW},;])\\n(?=[{_LOW}])", " "), "\n"), stripped)
+    kept_of = lambda lines: F.filter(lines, lambda x: ~x.rlike("(?iu)^(?:" + "|".join(FURNITURE) + ")$"))
+    text_of = lambda kept: stripped(F.regexp_replace(F.regexp_replace(F.array_join(kept, "\n"), " {2,}", " "), r"\n{3,}", "\n\n"))
+    rejoined = lambda f: F.regexp_count(f, F.lit(hyphen))
+    row = lambda f, lines, kept, out: F.struct(out.alias("text"), F.length(text).alias("original_length"), F.length(out).alias("cleaned_length"), (F.size(lines) - F.size(kept)).alias("dropped"), rejoined(f).alias("rejoined"))
+    return let(folded, lambda f: let(lines_of(f), lambda lines: let(kept_of(lines), lambda kept: let(text_of(kept), lambda out: row(f, lines, kept, out)))))
 
 
 def removed_ratio(original: Column, cleaned: Column) -> Column:
@@ -128,6 +134,18 @@ def is_conversational(text: Column, more: tuple[str, ...] = ()) -> Column:
     return (norm == "") | norm.isin(*PHRASES, *more) | ((n <= 5) & starts) | ((n <= 6) & helps)
 
 
+# What asks for the web; the first as it is written, the others in any case.
+WEB_MODE, WEB_PHRASES = "[MODO: BÚSQUEDA WEB", ("buscar en internet", "noticias")
+
+
+def wants_web(text: Column) -> Column:
+    """Whether a turn asks for a live search; a null turn doesn't."""
+    asks = text.contains(WEB_MODE)
+    for phrase in WEB_PHRASES:
+        asks = asks | F.lower(text).contains(phrase)
+    return F.coalesce(asks, F.lit(False))
+
+
 def clean_search_query(q: Column) -> Column:
     a = F.regexp_replace(q, r"\[[^\]]+\]", "")
     b = F.regexp_replace(a, r"(?i)Consulta del litigante:\s*", "")

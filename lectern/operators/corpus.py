@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ACTIVE_MODEL = "hash/words-64"
@@ -82,9 +82,15 @@ def ingest_report(plan: DataFrame, chunks: DataFrame) -> DataFrame:
     return p.join(c).withColumn("exit_failed", F.col("failed") > 0)
 
 
+def ingest_failures(plan: DataFrame) -> DataFrame:
+    """The run's failures, one row each, by document."""
+    return plan.where("action = 'REFUSED_CITED'").select("document_id", F.lit("cited chunks would be destroyed").alias("detail")).orderBy("document_id")
+
+
 def list_documents(docs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Documents with their numbers of chunks, newest first, those without a date last."""
     n = chunks.groupBy("document_id").agg(F.count("*").alias("chunks"))
-    return docs.join(n, "document_id", "left").select("document_id", "title", "document_type", "status", F.coalesce("chunks", F.lit(0)).alias("chunks"))
+    return docs.join(n, "document_id", "left").select("document_id", "title", "document_type", "status", "publication_date", F.coalesce("chunks", F.lit(0)).alias("chunks")).orderBy(F.desc_nulls_last("publication_date"), "document_id")
 
 
 def alignment_check(docs: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -97,8 +103,3 @@ def alignment_check(docs: DataFrame, chunks: DataFrame) -> DataFrame:
 def catalog(entries: DataFrame, ids: DataFrame) -> DataFrame:
     """Wanted ids with their catalogue entry, or a generic one; the catalogue is a fixed short list."""
     return ids.join(F.broadcast(entries), "norm_id", "left").select("norm_id", F.coalesce("title", F.concat(F.lit("Norma "), "norm_id")).alias("title"), F.coalesce("category", F.lit("general")).alias("category"))
-
-
-def newest(df: DataFrame, by: str, order: str, n: int) -> DataFrame:
-    """The n newest rows of each group."""
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(order)))).where(F.col("rank") <= n)

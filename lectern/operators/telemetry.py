@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MONTHLY_TOKENS, RPM_LIMIT, PER_MINUTE, PER_HOUR = 15_000_000, 120, 60, 1000
+MONTHLY_TOKENS, PER_MINUTE, PER_HOUR = 15_000_000, 60, 1000
 TOKENS = ("input_tokens", "output_tokens", "verifier_input_tokens", "verifier_output_tokens")
 STAGES = ("embedding", "retrieval", "rerank", "llm", "verification")
 

@@ -30,9 +30,9 @@ def assign_threads(turns: DataFrame, user: Column, known: DataFrame) -> DataFram
 
 
 def list_threads(threads: DataFrame, turns: DataFrame) -> DataFrame:
-    """Threads with message counts and times in epoch milliseconds; a default title where there is none."""
+    """Threads with message counts and times in epoch milliseconds, latest first; a default title where there is none."""
     n = turns.groupBy("conv_id").agg(F.count("*").alias("messages"))
-    return threads.join(n, "conv_id", "left").select("conv_id", F.coalesce("title", F.lit("Nueva consulta")).alias("title"), F.coalesce("messages", F.lit(0)).alias("messages"), F.unix_millis("created_at").alias("created_ms"), F.unix_millis("updated_at").alias("updated_ms"))
+    return threads.join(n, "conv_id", "left").select("conv_id", F.coalesce("title", F.lit("Nueva consulta")).alias("title"), F.coalesce("messages", F.lit(0)).alias("messages"), F.unix_millis("created_at").alias("created_ms"), F.unix_millis("updated_at").alias("updated_ms")).orderBy(F.desc_nulls_last("updated_ms"), "conv_id")
 
 
 def thread_detail(turns: DataFrame) -> DataFrame:
@@ -68,8 +68,8 @@ def recency_bucket(ts: Column, now: Column) -> Column:
 
 
 def provision_users(events: DataFrame, known: DataFrame) -> DataFrame:
-    """New users by (issuer, subject), with a synthetic address where none is given."""
-    seen = events.dropDuplicates(["issuer", "subject"])
+    """New users by (issuer, subject), with the first of their addresses in order, or a synthetic one where none is given."""
+    seen = events.groupBy("issuer", "subject").agg(F.min("email").alias("email"))
     fresh = seen.join(known.select("issuer", "subject"), ["issuer", "subject"], "left_anti")
     return fresh.select("issuer", "subject", F.lower(F.coalesce("email", F.concat("subject", F.lit("@"), "issuer"))).alias("email"))
 

@@ -149,7 +149,13 @@ def f9(spark, sf_dir):
     return corpus.ingest_report(plan, pieces(spark, sf_dir))
 
 
-@query("f10_list_documents", cte("corpus", "pieces") + " SELECT c.document_id, title, document_type, status, count(p.document_id) AS chunks FROM corpus c LEFT JOIN pieces p ON p.document_id = c.document_id GROUP BY ALL")
+@query("f9_ingest_failures", "SELECT doc_id AS document_id, 'cited chunks would be destroyed' AS detail FROM documents WHERE doc_id % 4 = 3")
+def f9_failures(spark, sf_dir):
+    plan = view(spark, sf_dir, "corpus").selectExpr("document_id", "CASE document_id % 4 WHEN 0 THEN 'NEW' WHEN 1 THEN 'UNCHANGED' WHEN 2 THEN 'REPLACE' ELSE 'REFUSED_CITED' END AS action")
+    return corpus.ingest_failures(plan)
+
+
+@query("f10_list_documents", cte("corpus", "pieces") + " SELECT c.document_id, title, document_type, status, publication_date, count(p.document_id) AS chunks FROM corpus c LEFT JOIN pieces p ON p.document_id = c.document_id GROUP BY ALL")
 def f10(spark, sf_dir):
     return corpus.list_documents(view(spark, sf_dir, "corpus"), pieces(spark, sf_dir))
 

@@ -128,9 +128,16 @@ def a6(spark, sf_dir):
     return load(spark, sf_dir, "pages").select("page_id", H.html_title(F.col("html")).alias("title"))
 
 
-@query("a7_canonical", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'http://canon.example/' || page_id WHEN 1 THEN 'http://og.example/' || page_id END AS canonical FROM pages")
+@query("a7_canonical", "SELECT page_id, CASE WHEN page_id % 6 IN (0, 2, 3) THEN 'http://canon.example/' || page_id WHEN page_id % 6 = 1 THEN 'http://og.example/' || page_id WHEN page_id % 6 = 4 THEN 'https://og.example/' || page_id END AS canonical FROM pages")
 def a7(spark, sf_dir):
-    tag = F.expr("case page_id % 3 when 0 then '<link rel=\"canonical\" href=\"http://canon.example/' || page_id || '\">' when 1 then '<meta property=\"og:url\" content=\"http://og.example/' || page_id || '\">' else '<link rel=\"canonical\" href=\"/local\">' end")
+    """Attributes in either order, bare and in either quotes, addresses that are no http ones, and a later link that doesn't count."""
+    shapes = (
+        '<link rel="canonical" href="http://canon.example/@">', '<meta property="og:url" content="http://og.example/@">', "<link href='http://canon.example/@' class=x rel='canonical'>",
+        '<LINK REL=canonical HREF=http://canon.example/@><meta content="http://og.example/1" property="og:url">',
+        '<link rel="canonical" href="/local"><link rel="canonical" href="http://second.example/"><meta content="https://og.example/@" property="og:url">', '<link rel="alternate" href="http://no.example/"><link rel="canonical">',
+    )
+    shape = F.get(F.array(*map(F.lit, shapes)), (F.col("page_id") % 6).cast("int"))
+    tag = F.replace(shape, F.lit("@"), F.col("page_id").cast("string"))
     marked = F.replace(F.col("html"), F.lit("<head>"), F.concat(F.lit("<head>"), tag))
     return load(spark, sf_dir, "pages").select("page_id", H.html_canonical(marked).alias("canonical"))
 
@@ -141,7 +148,17 @@ def a10(spark, sf_dir):
     return H.portal_fields(load(spark, sf_dir, "pages").select("page_id", made.alias("html")))
 
 
-@query("a11_article_rows", "SELECT page_id, k AS position, 'Artículo ' || k AS number, 'Texto ' || k || ' de ' || page_id AS text FROM (SELECT page_id, unnest(generate_series(0, page_id % 4)) AS k FROM pages)")
+@query("a11_article_rows", "SELECT page_id, page_id % 13 + 1 AS title, k AS position, 'Artículo ' || k AS number, 'Texto ' || k || ' de ' || page_id AS text FROM (SELECT page_id, unnest(generate_series(0, page_id % 4)) AS k FROM pages)")
 def a11(spark, sf_dir):
+    """Articles after the page's own markup, then headings that are none."""
     one = F.transform(F.sequence(F.lit(0), (F.col("page_id") % 4).cast("int")), lambda k: F.concat(F.lit("<h3 class='t'><a href='#'>Artículo "), k.cast("string"), F.lit("</a></h3>\n<div class='texto'><p>Texto "), k.cast("string"), F.lit(" de "), F.col("page_id").cast("string"), F.lit("</p></div>")))
-    return H.article_rows(load(spark, sf_dir, "pages").select("page_id", F.concat("html", F.array_join(one, "\n")).alias("html")))
+    decoys = F.lit("<h3><a>Norma 1</a></h3><div class='texto'>x</div><h3>Artículo 9</h3><div class='texto'>y</div>")
+    return H.article_rows(load(spark, sf_dir, "pages").select("page_id", (F.col("page_id") % 13 + 1).alias("title"), F.concat("html", F.array_join(one, "\n"), decoys).alias("html")))
+
+
+@query("a11_uploaded_articles", "SELECT page_id, k AS position, 'Artículo ' || k AS number, 'Texto ' || k || ' de ' || page_id AS text FROM (SELECT page_id, unnest(generate_series(0, least(page_id % 60, 49))) AS k FROM pages) WHERE k % 7 <> 5")
+def a11_uploaded(spark, sf_dir):
+    """Pages of up to 60 blocks, every seventh without a number."""
+    block = lambda k: F.concat(F.lit("<div class='articulo'>"), F.when(k % 7 != 5, F.concat(F.lit("<span class='numero'>Artículo "), k.cast("string"), F.lit("</span>"))).otherwise(""), F.lit("<div class='texto'>Texto "), k.cast("string"), F.lit(" de "), F.col("page_id").cast("string"), F.lit("</div></div>"))
+    blocks = F.array_join(F.transform(F.sequence(F.lit(0), (F.col("page_id") % 60).cast("int")), block), "\n")
+    return H.uploaded_articles(load(spark, sf_dir, "pages").select("page_id", F.concat("html", blocks).alias("html")))

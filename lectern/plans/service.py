@@ -154,9 +154,9 @@ def h8(spark, sf_dir):
     return marked.where("role = 'user' and verification_status is not null").select("conv_id", "turn")
 
 
-@query("h9_provision_users", "SELECT DISTINCT 'Issuer' || user_id % 3 AS issuer, 'S' || user_id AS subject, lower('S' || user_id || '@' || 'Issuer' || user_id % 3) AS email FROM events WHERE user_id % 5 <> 0")
+@query("h9_provision_users", "SELECT 'Issuer' || user_id % 3 AS issuer, 'S' || user_id AS subject, lower(coalesce(min(CASE WHEN user_id % 2 = 0 AND event_id % 3 > 0 THEN event_type || '@mail.example' END), 'S' || user_id || '@' || 'Issuer' || user_id % 3)) AS email FROM events WHERE user_id % 5 <> 0 GROUP BY user_id")
 def h9(spark, sf_dir):
-    e = load(spark, sf_dir, "events").selectExpr("'Issuer' || cast(user_id % 3 as string) as issuer", "'S' || cast(user_id as string) as subject", "cast(null as string) as email", "user_id")
+    e = load(spark, sf_dir, "events").selectExpr("'Issuer' || cast(user_id % 3 as string) as issuer", "'S' || cast(user_id as string) as subject", "case when user_id % 2 = 0 and event_id % 3 > 0 then event_type || '@mail.example' end as email", "user_id")
     return threads.provision_users(e, e.where("user_id % 5 = 0"))
 
 

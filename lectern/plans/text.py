@@ -102,26 +102,28 @@ def b8(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", (est + extra).alias("raw_tokens"), est.alias("tokens"), F.round(extra / (est + extra) * 100, 1).alias("reduction"), words.alias("words"), F.length("text").alias("chars"))
 
 
-@query("b20_conversational", """WITH t AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'Hola, ' || substr(text, 1, 12) WHEN 1 THEN '¿Quién eres?' WHEN 2 THEN 'BUENAS noches!' ELSE text END AS q FROM conversations),
+@query("b20_conversational", """WITH t AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'Hola, ' || text WHEN 1 THEN '¿Quién eres? ' || text WHEN 2 THEN 'BUENAS noches!' ELSE text END AS q FROM conversations),
 n AS (SELECT *, trim(regexp_replace(regexp_replace(strip_accents(lower(q)), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS s FROM t)
 SELECT conv_id, turn, s = '' OR s IN ('hola','buenas','buenos dias','buenas tardes','buenas noches','saludos','hey','hi','hello','gracias','ayuda','quien eres','que tal') OR (len(string_split(s, ' ')) <= 5 AND regexp_matches(s, '^(hola|buenas|saludos|buenos dias|hey|hi|hello)')) OR (len(string_split(s, ' ')) <= 6 AND (contains(s, 'quien eres') OR contains(s, 'que puedes hacer') OR contains(s, 'como funcionas') OR contains(s, 'como me ayudas') OR contains(s, 'en que me puedes ayudar'))) AS conversational FROM n""")
 def b20(spark, sf_dir):
-    q = F.expr("CASE turn % 4 WHEN 0 THEN 'Hola, ' || substr(text, 1, 12) WHEN 1 THEN '¿Quién eres?' WHEN 2 THEN 'BUENAS noches!' ELSE text END")
+    q = F.expr("CASE turn % 4 WHEN 0 THEN 'Hola, ' || text WHEN 1 THEN '¿Quién eres? ' || text WHEN 2 THEN 'BUENAS noches!' ELSE text END")
     return load(spark, sf_dir, "conversations").select("conv_id", "turn", T.is_conversational(q).alias("conversational"))
 
 
-@query("b21_web_search_intent", "SELECT conv_id, turn, contains(lower(text), 'busca en la web') OR contains(lower(text), 'internet') OR conv_id % 7 = 0 AND contains(lower(text), 'th') AS wants_web FROM conversations WHERE role = 'user'")
+#: Whole turns, some after the mode's mark or its lower-case double, some with a phrase in mixed case or cut in two.
+ASKING = """CASE turn % 7 WHEN 0 THEN '[MODO: BÚSQUEDA WEB] ' || text WHEN 1 THEN '[modo: búsqueda web] ' || text WHEN 2 THEN text || ' Buscar en INTERNET?' WHEN 3 THEN text || ' buscar  en internet' WHEN 4 THEN 'NOTICIAS: ' || text WHEN 5 THEN text || ' internet' ELSE text END"""
+
+
+@query("b21_web_search_intent", f"WITH t AS (SELECT conv_id, turn, {ASKING} AS q FROM conversations WHERE role = 'user') SELECT conv_id, turn, contains(q, '[MODO: BÚSQUEDA WEB') OR contains(lower(q), 'buscar en internet') OR contains(lower(q), 'noticias') AS wants_web FROM t")
 def b21(spark, sf_dir):
-    t = F.lower("text")
-    wants = t.contains("busca en la web") | t.contains("internet") | ((F.col("conv_id") % 7 == 0) & t.contains("th"))
-    return load(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", wants.alias("wants_web"))
+    return load(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", T.wants_web(F.expr(ASKING)).alias("wants_web"))
 
 
-@query("b22_clean_search_query", """WITH t AS (SELECT conv_id, turn, '[MODO: x]  Consulta del litigante: ' || CASE WHEN turn % 3 = 0 THEN 'ab' ELSE text END AS q FROM conversations),
+@query("b22_clean_search_query", """WITH t AS (SELECT conv_id, turn, '[MODO: x]  Consulta del litigante: ' || CASE WHEN turn % 3 = 0 AND length(text) < 40 THEN 'ab' ELSE text END AS q FROM conversations),
 c AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(q, '\\[[^\\]]+\\]', '', 'g'), '(?i)Consulta del litigante:\\s*', '', 'g'), '(?i)Analiza este documento[^\\n]*', '', 'g'), '\\s+', ' ', 'g')) AS d FROM t)
 SELECT conv_id, turn, md5(CASE WHEN length(d) >= 3 THEN d ELSE trim(q, ' ' || chr(10)) END) AS digest FROM c""")
 def b22(spark, sf_dir):
-    q = F.expr("'[MODO: x]  Consulta del litigante: ' || CASE WHEN turn % 3 = 0 THEN 'ab' ELSE text END")
+    q = F.expr("'[MODO: x]  Consulta del litigante: ' || CASE WHEN turn % 3 = 0 AND length(text) < 40 THEN 'ab' ELSE text END")
     return load(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(T.clean_search_query(q)).alias("digest"))
 
 

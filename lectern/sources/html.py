@@ -53,11 +53,18 @@ def html_title(html: Column) -> Column:
     return F.coalesce(*[F.when(F.length(x).between(10, 512), x) for x in (h1, title)])
 
 
+def attribute(tag: Column, name: str) -> Column:
+    """The value of an attribute of a tag, in quotes or bare; empty where it has none."""
+    pattern = f"(?is)\\s{name}\\s*=\\s*(?:\"([^\"]*)\"|'([^']*)'|([^\\s\"'>]+))"
+    return F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)])
+
+
 def html_canonical(html: Column) -> Column:
-    """The page's own address: canonical link, else og:url, if it is an http address."""
-    link = F.regexp_extract(html, "(?is)<link\\b[^>]*\\brel=[\"']canonical[\"'][^>]*\\bhref=[\"'](http[^\"']*)", 1)
-    meta = F.regexp_extract(html, "(?is)<meta\\b[^>]*\\bproperty=[\"']og:url[\"'][^>]*\\bcontent=[\"'](http[^\"']*)", 1)
-    return F.coalesce(F.nullif(link, F.lit("")), F.nullif(meta, F.lit("")))
+    """The page's own address: canonical link, else og:url, if it is an http address; attributes in any order."""
+    first = lambda tags: F.get(tags, F.lit(0))
+    links = F.filter(F.regexp_extract_all(html, F.lit("(?is)(<link\\b[^>]*>)"), 1), lambda t: F.array_contains(F.split(F.lower(attribute(t, "rel")), r"\s+"), "canonical"))
+    metas = F.filter(F.regexp_extract_all(html, F.lit("(?is)(<meta\\b[^>]*>)"), 1), lambda t: attribute(t, "property") == "og:url")
+    return F.coalesce(*[F.when(x.startswith("http"), x) for x in (attribute(first(links), "href"), attribute(first(metas), "content"))])
 
 
 # Labels of a portal's record, its disclaimer, and words of list items that are no topics.
@@ -77,9 +84,20 @@ def portal_fields(pages: DataFrame) -> DataFrame:
     return t.select("page_id", *fields, topics.alias("topics"), F.when(at > 0, after).otherwise(F.col("t")).alias("text"))
 
 
+MOST_UPLOADED = 50
+
+
 def article_rows(pages: DataFrame) -> DataFrame:
-    """(page_id, position, number, text): headings that link an article, each with the text block that follows."""
+    """(page_id, title, position, number, text) of list pages (page_id, title, html): headings that link an article, each with the text block that follows."""
     pattern = "(?is)<h3[^>]*>\\s*<a[^>]*>([^<]*)</a>\\s*</h3>\\s*<div class=[\"']texto[\"'][^>]*>(.*?)</div>"
     zipped = F.arrays_zip(F.regexp_extract_all("html", F.lit(pattern), 1).alias("number"), F.regexp_extract_all("html", F.lit(pattern), 2).alias("text"))
-    rows = pages.select("page_id", F.posexplode(zipped).alias("position", "a"))
-    return rows.select("page_id", "position", F.trim("a.number").alias("number"), lines_of(F.col("a.text")).alias("text")).where(F.col("number").contains("Art"))
+    rows = pages.select("page_id", "title", F.posexplode(zipped).alias("position", "a"))
+    return rows.select("page_id", "title", "position", F.trim("a.number").alias("number"), lines_of(F.col("a.text")).alias("text")).where(F.col("number").contains("Art"))
+
+
+def uploaded_articles(pages: DataFrame, most: int = MOST_UPLOADED) -> DataFrame:
+    """(page_id, position, number, text): the first `most` article blocks of an uploaded page, their number and their text elements."""
+    blocks = F.regexp_extract_all("html", F.lit("(?is)<div\\b[^>]*\\bclass=[\"'][^\"']*\\barticulo\\b[^>]*>(.*?)(?=<div\\b[^>]*\\bclass=[\"'][^\"']*\\barticulo\\b|$)"), 1)
+    part = lambda x, name: lines_of(F.regexp_extract(x, f"(?is)<(\\w+)\\b[^>]*\\bclass=[\"'][^\"']*\\b{name}\\b[^>]*>(.*?)</\\1\\s*>", 2))
+    rows = pages.select("page_id", F.posexplode(F.slice(blocks, 1, most)).alias("position", "b"))
+    return rows.select("page_id", "position", part(F.col("b"), "numero").alias("number"), part(F.col("b"), "texto").alias("text")).where("number <> '' and text <> ''")
