@@ -24,12 +24,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import held_here, written
+from .token_counts import byte_symbols
 
 SEQUENCE = 2048
 END_ID = 0
 #: Fillings tried at a node, steps spent to find them, and nodes visited in all.
 FILLINGS, STEPS, NODES = 4, 300, 6000
-WORD_MEMORY = 500_000
+#: Words that a worker remembers, and as many from before.
+WORD_MEMORY = 400_000
 #: Characters of text whose words are looked up together, and the least character that the spelled-out pattern doesn't know.
 STRETCH, NARROW = 1 << 20, 0x250
 _WIDE, _EDGE = re.compile(f"[^\\x00-{chr(NARROW - 1)}]"), re.compile("[!-~](?= )")
@@ -69,18 +71,23 @@ def stretches(text: str, most: int = STRETCH) -> Iterator[str]:
 
 
 class WordIds(dict):
-    """word -> its ids by the library as little-endian unsigned 32-bit; forgets all words when full."""
+    """word -> its ids by the library as little-endian unsigned 32-bit; when full, forgets words not met since it was last full."""
 
     def __init__(self, path: str, pattern: str):
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        library = Tokenizer.from_file(path)
+        #: the file's merges alone, for words that are cut already and written in its byte symbols
+        self.merges = Tokenizer(library.model)
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.symbols = dict(enumerate(byte_symbols()))
+        self.before: dict[str, bytes] = {}
         self.any_words = regex.compile(pattern).findall
         spelled = narrow(pattern)
         self.narrow_words = re.compile(spelled).findall if spelled else self.any_words
-        vocab, special = self.library.get_vocab(), {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
+        vocab, special = library.get_vocab(), {t.content: i for i, t in library.get_added_tokens_decoder().items()}
         self.special_ids = {content: np.array([i], "<u4").tobytes() for content, i in special.items()}
         self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
         #: bytes of text that each id stands for; a word's ids are told from the next one's by them
@@ -95,9 +102,10 @@ class WordIds(dict):
         """Ids of each word; many words are given to the library at once."""
         out = []
         for a in range(0, len(words), 2000):
-            part = words[a : a + 2000]
-            ids = np.array(self.library.encode_batch_fast([part], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
-            ends = np.cumsum(np.fromiter(map(len, map(str.encode, part)), np.int64, len(part)))
+            part = [w.encode() for w in words[a : a + 2000]]
+            written = " ".join([w.decode("latin-1").translate(self.symbols) for w in part])
+            ids = np.array(self.merges.encode_batch_fast([written], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)))
             cuts = [0, *(4 * (np.searchsorted(np.cumsum(self.width[ids]), ends) + 1)).tolist()]
             held = ids.tobytes()
             out += [held[i:j] for i, j in zip(cuts, cuts[1:])]
@@ -105,11 +113,13 @@ class WordIds(dict):
 
     def learn(self, lists: list[list[str]]) -> None:
         """Makes all words of the lists known."""
-        fresh = set(itertools.chain.from_iterable(lists)).difference(self)
-        if len(self) + len(fresh) > WORD_MEMORY:
+        if len(self) > WORD_MEMORY:
+            self.before = dict(self)
             self.clear()
-            fresh = set(itertools.chain.from_iterable(lists))
-        fresh = [*fresh]
+        unmet = set(itertools.chain.from_iterable(lists)).difference(self)
+        met = unmet.intersection(self.before)
+        self.update(zip(met, map(self.before.__getitem__, met), strict=True))
+        fresh = [*unmet.difference(met)]
         self.update(zip(fresh, self.encode(fresh), strict=True))
 
     def parts(self, text: str) -> Iterator[bytes | list[str]]:
