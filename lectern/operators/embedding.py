@@ -1,47 +1,92 @@
-"""Hashed embeddings, the model seam, width truncation, and nearest neighbours."""
+"""Hashed embeddings, the model seam, width truncation, and nearest neighbours by blocks of vectors."""
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that travel to the tasks at once.
-QUERY_ROWS = 20_000
+from lectern.sources.tables import stored
+
+#: Vectors of a block, bytes of query blocks that are broadcast, and words that a task keeps the coordinates of.
+BLOCK_ROWS, BROADCAST_BYTES, WORD_MEMORY = 4096, 64 << 20, 300_000
+
+
+_HASH_WORDS = regex.compile(r"[\p{Alphabetic}\p{M}\p{Nd}\p{Pc}\u200c\u200d]+")
+
+
+class HashVectors:
+    """Texts to unit vectors: four signed coordinates for each word from its SHA-256, summed and scaled; the first axis for a text without words."""
+
+    def __init__(self, dim: int):
+        self.dim, self.known = dim, {}
+
+    def coordinates(self, word: str) -> tuple[list[int], list[int]]:
+        if word not in self.known:
+            if len(self.known) >= WORD_MEMORY:
+                self.known.clear()
+            h = hashlib.sha256(word.encode()).digest()
+            self.known[word] = [(h[o] << 8 | h[o + 1]) % self.dim for o in (0, 4, 8, 12)], [1 if h[o + 2] & 1 else -1 for o in (0, 4, 8, 12)]
+        return self.known[word]
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        """One row for each text, in lower case already."""
+        out = np.zeros((len(texts), self.dim))
+        for row, text in zip(out, texts, strict=True):
+            places, signs = [], []
+            for word in _HASH_WORDS.findall(text):
+                at, sign = self.coordinates(word)
+                places += at
+                signs += sign
+            if places:
+                row += np.bincount(places, weights=signs, minlength=self.dim)
+            norm = math.sqrt(float(row @ row))
+            if norm:
+                row /= norm
+            else:
+                row[0] = 1.0
+        return out
 
 
 def hash_embed(df: DataFrame, id_col: str, text_col: str, dim: int) -> DataFrame:
-    """(id, vector): four signed coordinates for each word from its SHA-256, summed and scaled to length 1.
+    """(id, vector) by HashVectors; a null text has the vector of no words."""
 
-    A text without words has the first unit vector.
-    """
-    words = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"(?U)(\w+)"), 1)
-    counted = df.select(F.col(id_col).alias("id"), F.explode(words).alias("t")).groupBy("id", "t").agg(F.count("*").alias("n")).withColumn("h", F.sha2("t", 256))
-    spots = F.array(*[F.struct((F.conv(F.substring("h", 1 + 2 * o, 4), 16, 10).cast("int") % dim).alias("i"), F.when(F.substring("h", 2 * o + 6, 1).rlike("[13579bdf]"), F.col("n")).otherwise(-F.col("n")).alias("s")) for o in (0, 4, 8, 12)])
-    sums = counted.select("id", F.explode(spots).alias("x")).groupBy("id", "x.i").agg(F.sum("x.s").alias("w")).where("w <> 0")
-    held = sums.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("i", "w"))).alias("m"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)) / F.col("norm"))
-    unit = F.array(*[F.lit(1.0 if i == 0 else 0.0) for i in range(dim)])
-    return df.select(F.col(id_col).alias("id")).join(held, "id", "left").select("id", F.coalesce(dense, unit).alias("vector"))
+    @F.pandas_udf("array<double>")
+    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = HashVectors(dim)
+        for texts in batches:
+            yield pd.Series([*model(texts.tolist())])
+
+    return df.select(F.col(id_col).alias("id"), vectors(F.coalesce(F.lower(F.col(text_col)), F.lit(""))).alias("vector"))
 
 
 def embed(chunks: DataFrame, model: Callable[[list[str]], np.ndarray], dim: int, batch: int = 32) -> DataFrame:
-    """The seam for any model: chunks (chunk_id, content) with vectors, in batches of the model's size.
+    """The seam for any model: chunks (chunk_id, content) with vectors, in batches of at most the model's size.
 
-    `model` takes texts and returns one row of `dim` numbers for each; anything else fails the task.
+    `model` takes texts and returns one row of `dim` finite numbers for each. A blank or null text, a
+    short answer, another width or a number that is none fails the task. No text, no call.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for a in range(0, len(frame), batch):
                 part = frame.iloc[a : a + batch]
-                got = np.asarray(model(part.content.tolist()), np.float32)
-                if got.shape != (len(part), dim):
-                    raise ValueError(f"the model gave {got.shape} for {len(part)} texts of width {dim}")
+                texts = part.content.tolist()
+                if not all(t and t.strip() for t in texts):
+                    raise ValueError("cannot embed an empty text")
+                got = np.asarray(model(texts), np.float32)
+                if len(got) != len(texts):
+                    raise ValueError(f"the model gave {len(got)} vectors for {len(texts)} inputs")
+                if got.shape != (len(texts), dim):
+                    raise ValueError(f"the model gave dimension {got.shape[1:]}, {dim} is configured")
+                if not np.isfinite(got).all():
+                    raise ValueError("the model gave a vector that is not finite")
                 yield pd.DataFrame({"chunk_id": part.chunk_id, "vector": list(got)})
 
     return chunks.select("chunk_id", "content").mapInPandas(run, "chunk_id long, vector array<float>")
@@ -69,60 +114,125 @@ def model_counts(chunks: DataFrame, model: str) -> DataFrame:
     return chunks.agg(F.count_if(has & (F.col("embedding_model") == model)).alias("active"), F.count_if(has & (F.col("embedding_model") != model)).alias("other"), F.count_if(~has).alias("unembedded"))
 
 
-def nearest(base: DataFrame, queries: DataFrame, k: int, floor: float, query_rows: int = QUERY_ROWS) -> DataFrame:
-    """(query_id, id, score, rank): the k rows of `base` (id, vector) of the largest cosine with each query, at `floor` or above.
+def unit_rows(vectors: pd.Series) -> np.ndarray:
+    """Vectors as rows of length 1; zeros stay."""
+    x = np.stack(vectors.to_numpy()).astype(float)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
 
-    Queries travel in slices of about `query_rows`, so that what a task holds does not grow with
-    their number; each task keeps the best k of each batch before the shuffle.
+def blocks(df: DataFrame, id_col: str, extra: str | None = None, keys: str | None = None) -> DataFrame:
+    """(ids, rows, extra, cell): up to BLOCK_ROWS vectors of length 1 as one row, for products of blocks.
+
+    `extra` is an array<int> of each row (filters it passes, or the one it asks for); with `keys`, an
+    int column, rows of one key make their own blocks.
     """
-    spark = base.sparkSession
-    slices = max(1, math.ceil(queries.count() / query_rows))
-    found = None
-    for s in range(slices):
-        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == s).select("query_id", "vector").collect()
-        if not rows:
-            continue
-        ids = np.array([r.query_id for r in rows])
-        q = np.array([r.vector for r in rows], float).reshape(len(rows), -1)
-        sent = spark.sparkContext.broadcast((ids, q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)))
-
-        def score(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            ids, q = sent.value
-            for frame in frames:
-                if not len(frame) or not len(ids):
-                    continue
-                x = np.stack(frame.vector.to_numpy()).astype(float)
-                cos = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)) @ q.T
-                cos = cos.round(9)  # equal texts tie exactly
-                own = frame.id.to_numpy()
-                order = np.lexsort((np.broadcast_to(own[:, None], cos.shape), -cos), axis=0)[:k]
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for cell, own in frame.groupby("cell") if len(frame) else ():
+                for a in range(0, len(own), BLOCK_ROWS):
+                    part = own.iloc[a : a + BLOCK_ROWS]
+                    yield pd.DataFrame({"ids": [part.id.to_numpy()], "rows": [unit_rows(part.vector).tobytes()], "extra": [[*part.extra]], "cell": [cell]})
+
+    given = df.where("vector is not null").select(F.col(id_col).alias("id"), "vector", (F.col(extra) if extra else F.array().cast("array<int>")).alias("extra"), (F.col(keys) if keys else F.lit(0)).cast("int").alias("cell"))
+    return given.mapInPandas(pack, "ids array<long>, rows binary, extra array<array<int>>, cell int")
+
+
+def best_of_pairs(pairs: DataFrame, k: int, floor: float, filtered: bool) -> DataFrame:
+    """(query_id, id, score) of the best k of each pair of blocks (ids, rows, extra; q_ids, q_rows, q_extra)."""
+
+    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for p in frame.itertuples():
+                ids, asked = np.asarray(p.ids), np.asarray(p.q_ids)
+                cos = (np.frombuffer(p.rows).reshape(len(ids), -1) @ np.frombuffer(p.q_rows).reshape(len(asked), -1).T).round(9)  # equal texts tie exactly
+                if filtered:
+                    wanted = np.array([e[0] for e in p.q_extra])
+                    passes = np.zeros((len(ids), int(max(wanted.max(), *(max(e, default=0) for e in p.extra))) + 1), bool)
+                    for row, e in zip(passes, p.extra, strict=True):
+                        row[np.asarray(e, int)] = True
+                    cos = np.where(passes[:, wanted], cos, -np.inf)
+                order = np.lexsort((np.broadcast_to(ids[:, None], cos.shape), -cos), axis=0)[:k]
                 top = np.take_along_axis(cos, order, 0)
                 keep = top >= floor
-                yield pd.DataFrame({"query_id": np.broadcast_to(ids, top.shape)[keep], "id": own[order][keep], "score": top[keep]})
+                yield pd.DataFrame({"query_id": np.broadcast_to(asked, top.shape)[keep], "id": ids[order][keep], "score": top[keep]})
+
+    return pairs.mapInPandas(score, "query_id long, id long, score double")
 
-        part = base.select("id", "vector").mapInPandas(score, "query_id long, id long, score double")
-        found = part if found is None else found.unionAll(part)
-    if found is None:
-        found = spark.createDataFrame([], "query_id long, id long, score double")
+
+def _asked(blocks_: DataFrame) -> DataFrame:
+    return blocks_.select(*[F.col(c).alias(f"q_{c}") for c in ("ids", "rows", "extra")], "cell")
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "id", F.greatest(F.lit(0.0), "score").alias("score"), "rank")
 
 
-def nearest_by_cells(base: DataFrame, queries: DataFrame, k: int, floor: float, cells: int = 16, probes: int = 12, sample: int = 5000, seed: int = 3) -> DataFrame:
-    """Approximate `nearest`: every row is indexed by its nearest of `cells` centres, a query looks into `probes` of them.
+def nearest(base: DataFrame, queries: DataFrame, k: int, floor: float, passes: str | None = None, asks: str | None = None) -> DataFrame:
+    """(query_id, id, score, rank): the k rows of `base` (id, vector) of the largest cosine with each query, at `floor` or above.
 
-    The centres are fitted on at most `sample` rows (those of least hashed id); all rows are indexed.
+    Both sides are packed into blocks, and every block of queries meets every block of the base in
+    some task: a stated query set against all rows. The query blocks are written once, and broadcast
+    if they are few; nothing goes through the driver. With `passes` (array<int> of the base) and
+    `asks` (int of the queries) only rows that pass a query's filter are ranked for it.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    unit = lambda df: df.withColumn("u", truncate_vector(F.col("vector"), 1 << 20))
-    few = unit(base.orderBy(F.xxhash64("id")).limit(sample)).select(array_to_vector("u").alias("features"))
-    centres = [c.tolist() for c in KMeans(k=cells, seed=seed, maxIter=10).fit(few).clusterCenters()]
-    table = F.array(*[F.struct(F.lit(i).alias("cell"), F.array(*[F.lit(float(x)) for x in c]).alias("c")) for i, c in enumerate(centres)])
-    gap = lambda u: F.array_sort(F.transform(table, lambda t: F.struct((dot(t.c, t.c) - 2 * dot(u, t.c)).alias("d"), t.cell.alias("cell"))))
-    own = unit(base).select("id", "u", gap(F.col("u"))[0].cell.alias("cell"))
-    asked = unit(queries).select("query_id", F.col("u").alias("q"), F.explode(F.slice(gap(F.col("u")), 1, probes)).alias("x")).select("query_id", "q", "x.cell")
-    scored = own.join(asked, "cell").select("query_id", "id", dot(F.col("u"), F.col("q")).alias("score")).where(F.col("score") >= floor)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    wanted = queries.withColumn("_asks", F.array(F.col(asks).cast("int"))) if asks else queries
+    q = stored(_asked(blocks(wanted, "query_id", "_asks" if asks else None)), "query-blocks")
+    size = q.agg(F.coalesce(F.sum(F.length("q_rows")), F.lit(0))).first()[0]
+    b = blocks(base, "id", passes)
+    if size > BROADCAST_BYTES:
+        b = stored(b, "base-blocks")
+    pairs = b.drop("cell").crossJoin(F.broadcast(q.drop("cell")) if size <= BROADCAST_BYTES else q.drop("cell"))
+    return _ranked(best_of_pairs(pairs, k, floor, bool(asks)), k)
+
+
+def centres_of(x: np.ndarray, cells: int, seed: int, rounds: int = 8) -> np.ndarray:
+    """Centres of length 1 of `cells` groups of the rows of x, by rounds of nearest centre and mean."""
+    rng = np.random.default_rng(seed)
+    c = x[rng.choice(len(x), min(cells, len(x)), replace=False)]
+    for _ in range(rounds):
+        own = (x @ c.T).argmax(axis=1)
+        sums = np.zeros_like(c)
+        np.add.at(sums, own, x)
+        norm = np.linalg.norm(sums, axis=1, keepdims=True)
+        c = np.where(norm > 0, sums / np.maximum(norm, 1e-300), c)
+    return c
+
+
+def probes_for(x: np.ndarray, c: np.ndarray, k: int, recall: float, asked: int = 200) -> int:
+    """The fewest cells to look into so that sampled rows find that share of their k nearest in the sample."""
+    q = x[:: max(1, len(x) // asked)]
+    true = np.argsort(-(q @ x.T), axis=1, kind="stable")[:, :k]
+    own = (x @ c.T).argmax(axis=1)
+    place = np.argsort(np.argsort(-(q @ c.T), axis=1, kind="stable"), axis=1)  # of each cell in each query's order
+    at = np.take_along_axis(place, own[true], axis=1)
+    return next((p for p in range(1, len(c)) if (at < p).mean() >= recall), len(c))
+
+
+def nearest_by_cells(base: DataFrame, queries: DataFrame, k: int, floor: float, sample: int = 5000, recall: float = 0.97, seed: int = 3) -> DataFrame:
+    """Approximate `nearest`: every row is indexed in the cell of its nearest centre, a query looks into its nearest cells only.
+
+    The centres, as many as the root of the number of rows, are fitted on at most `sample` rows
+    (those of least hashed id), and so is the number of cells that a query looks into: the fewest
+    that find `recall` of the neighbours within the sample. All rows are indexed.
+    """
+    spark = base.sparkSession
+    few = base.where("vector is not null").orderBy(F.xxhash64("id"), "id").limit(sample).select("vector").toPandas()
+    if not len(few):
+        return nearest(base, queries, k, floor)
+    x = unit_rows(few.vector)
+    cells = int(min(max(16, math.isqrt(base.count())), 4096, len(x)))
+    c = centres_of(x, cells, seed)
+    looks = probes_for(x, c, k, recall)
+    sent = spark.sparkContext.broadcast(c)  # at most 4096 rows
+
+    @F.pandas_udf("array<int>")
+    def cells_of(vectors: pd.Series, n: pd.Series) -> pd.Series:
+        order = np.argsort(-(unit_rows(vectors) @ sent.value.T), axis=1, kind="stable")[:, : int(n.iloc[0])].astype(np.int32)
+        return pd.Series([*order])
+
+    split = lambda df, n: df.where("vector is not null").withColumn("cell", F.explode(cells_of("vector", F.lit(n))))
+    asked = stored(_asked(blocks(split(queries, looks), "query_id", keys="cell")), "query-blocks")
+    pairs = blocks(split(base, 1), "id", keys="cell").join(asked, "cell").drop("cell")
+    return _ranked(best_of_pairs(pairs, k, floor, False), k)

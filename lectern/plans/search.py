@@ -127,16 +127,11 @@ def c10(spark, sf_dir):
     return E.hash_embed(pieces(spark, sf_dir), "chunk_id", "content", DIM).select("id", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
 
 
-def _model(texts):
-    """A stand-in model: letter counts."""
-    import numpy as np
-
-    return np.array([[t.count(c) for c in "aeiounrs"] for t in texts])
-
-
-@query("c11_embed_seam", cte("pieces") + " SELECT chunk_id, list_transform(['a','e','i','o','u','n','r','s'], lambda c: length(content) - length(replace(content, c, ''))) AS vector FROM pieces")
+@query("c11_embed_seam", ",\n".join([cte("pieces"), _embed("pv", "pieces", "chunk_id", "content")]) + " SELECT id AS chunk_id, list_transform(vector, lambda x: round(x::float::double, 5)) AS vector FROM pv")
 def c11(spark, sf_dir):
-    return E.embed(pieces(spark, sf_dir), _model, 8)
+    """The hashed words model through the seam."""
+    made = E.embed(pieces(spark, sf_dir).withColumn("content", F.lower("content")), E.HashVectors(DIM), DIM)
+    return made.select("chunk_id", F.transform("vector", lambda x: F.round(x.cast("double"), 5)).alias("vector"))
 
 
 @query("c12_truncate_vector", "SELECT vec_id, list_transform(h, lambda x: round(x / sqrt(list_dot_product(h, h)), 6)) AS vector FROM (SELECT vec_id, list_transform(embedding[1:16], lambda x: x::double) AS h FROM embeddings)")
@@ -191,12 +186,24 @@ def d5(spark, sf_dir):
     return E.nearest(v, v.where("id % 50 = 0").withColumnRenamed("id", "query_id"), 20, 0.1).withColumn("score", F.round("score", 6))
 
 
-@query("d6_approximate_search")
-def d6(spark, sf_dir):
+def approximate(spark, sf_dir):
     v = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     return E.nearest_by_cells(v, v.where("id % 50 = 0").withColumnRenamed("id", "query_id"), 20, 0.1)
 
 
+@query("d6_approximate_search")
+def d6(spark, sf_dir):
+    return approximate(spark, sf_dir)
+
+
+@query("d6_recall", "SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 50 = 0")
+def d6_recall(spark, sf_dir):
+    """Whether the approximate search finds 0.9 or more of what the exact one does."""
+    true, got = d5(spark, sf_dir).select("query_id", "id"), approximate(spark, sf_dir).select("query_id", "id", F.lit(1).alias("hit"))
+    share = true.join(got, ["query_id", "id"], "left").agg((F.count("hit") / F.count("*")).alias("recall"))
+    return load(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").agg(F.count("*").alias("queries")).join(share).select("queries", (F.col("recall") >= 0.9).alias("enough"))
+
+
 @query("d7_rrf_fusion", _ALL + " SELECT query_id, chunk_id, semantic_rank, lexical_rank, round(fusion_score, 9) AS fusion_score, retrieval_source, rank FROM fused")
 def d7(spark, sf_dir):
     return fused(spark, sf_dir).select("query_id", "chunk_id", "semantic_rank", "lexical_rank", F.round("fusion_score", 9).alias("fusion_score"), "retrieval_source", "rank")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.sources.files import scan_corpus, scan_text, write_corpus
-from lectern.sources.tables import load
+from lectern.sources.tables import load, workspace
 from lectern.streaming import jobs as S
 
 QUERIES, ORACLE = {}, {}
@@ -27,12 +27,12 @@ def events(spark, sf_dir):
 
 @query("s2_rate_stream", "SELECT user_id, date_trunc('hour', ts) AS window_start, count(*) AS requests FROM events GROUP BY 1, 2 HAVING count(*) > 1 AND date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE")
 def s2(spark, sf_dir):
-    return S.run_append(S.rate_stream(events(spark, sf_dir), "1 hour", 1), S.workspace(spark, "rate"))
+    return S.run_append(S.rate_stream(events(spark, sf_dir), "1 hour", 1), workspace(spark, "rate"))
 
 
 @query("s3_quota_stream", "SELECT user_id, date_trunc('month', ts)::timestamp AS month, sum(floor(abs(value))::bigint) AS tokens, count(*) AS requests FROM events GROUP BY 1, 2")
 def s3(spark, sf_dir):
-    return S.run_latest(S.quota_stream(events(spark, sf_dir), F.floor(F.abs("value")).cast("long")), S.workspace(spark, "quota"), "user_id", "month")
+    return S.run_latest(S.quota_stream(events(spark, sf_dir), F.floor(F.abs("value")).cast("long")), workspace(spark, "quota"), "user_id", "month")
 
 
 @query("s4_dedup_stream", "SELECT event_id FROM events")
@@ -40,7 +40,7 @@ def s4(spark, sf_dir):
     """Every fifth event comes twice."""
     e = events(spark, sf_dir)
     twice = e.select("ts", F.explode(F.when(F.col("event_id") % 5 == 0, F.array("event_id", "event_id")).otherwise(F.array("event_id"))).alias("event_id"))
-    return S.run_append(S.dedup_stream(twice, "event_id").select("event_id"), S.workspace(spark, "dedup"))
+    return S.run_append(S.dedup_stream(twice, "event_id").select("event_id"), workspace(spark, "dedup"))
 
 
 @query("s5_join_stream", "SELECT event_id AS request_id, (event_id % 20)::int AS minutes FROM events WHERE event_id % 2 = 0 AND event_id % 20 <= 10")
@@ -48,20 +48,20 @@ def s5(spark, sf_dir):
     usage = events(spark, sf_dir).select(F.col("event_id").alias("request_id"), "ts")
     messages = events(spark, sf_dir).where("event_id % 2 = 0").select(F.col("event_id").alias("request_id"), (F.col("ts") + F.make_interval(mins=F.col("event_id") % 20)).alias("sent_at"))
     joined = S.join_usage_messages(usage, messages)
-    return S.run_append(joined.select("request_id", ((F.unix_micros("sent_at") - F.unix_micros("ts")) / 60_000_000).cast("int").alias("minutes")), S.workspace(spark, "join"))
+    return S.run_append(joined.select("request_id", ((F.unix_micros("sent_at") - F.unix_micros("ts")) / 60_000_000).cast("int").alias("minutes")), workspace(spark, "join"))
 
 
 @query("s6_token_stream", "SELECT user_id AS job, count(*) AS n_tokens, bool_or(event_type = 'error') AS finished FROM events GROUP BY 1")
 def s6(spark, sf_dir):
     tokens = events(spark, sf_dir).select(F.col("user_id").alias("job"), "ts", F.col("event_type").alias("token"), (F.col("event_type") == "error").alias("last"))
-    return S.run_latest(S.accumulate_tokens(tokens), S.workspace(spark, "tokens"), "job")
+    return S.run_latest(S.accumulate_tokens(tokens), workspace(spark, "tokens"), "job")
 
 
 def texts(spark, sf_dir):
     """One file for each source's shortest texts, under header blocks, in the shared folder."""
     d = load(spark, sf_dir, "documents")
     per = d.groupBy("source").agg(F.min_by("text", F.struct("n_chars", "doc_id")).alias("text"))
-    folder = S.workspace(spark, "corpus")
+    folder = workspace(spark, "corpus")
     write_corpus(per.select(F.col("source").alias("slug"), F.concat(F.lit("Norma "), "source").alias("name"), F.lit("1").alias("number"), F.lit("X").alias("issuer"), F.lit("VIGENTE").alias("status"), F.lit("http://x").alias("url"), "text"), folder)
     return folder
 

@@ -2,9 +2,29 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table `name` below `sf_dir`; columns are pruned by the plan that uses it."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def workspace(spark: SparkSession, tag: str) -> str:
+    """A new folder below spark.checkpoint.dir, which driver and executors share; a temporary one where that is unset and the session is local, as in tests."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names the folder that executors share; it is unset")
+        at = tempfile.mkdtemp(prefix="lectern-")
+    return f"{at}/{tag}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """`df` written once in the shared folder and read from there."""
+    path = workspace(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,12 +14,6 @@ from lectern.functions import text as T
 LATE = "10 minutes"
 
 
-def workspace(spark: SparkSession, tag: str) -> str:
-    """A new folder below the one that driver and executors share (a temporary one where none is set, as in tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lectern-")
-    return f"{at}/{tag}-{uuid.uuid4().hex}"
-
-
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """A table (a file or a folder) as a stream, with the table's schema and its times in the session's zone."""
     glob = f"{path[:-1]}[{path[-1]}]"  # a pattern, because a plain path must be a folder
