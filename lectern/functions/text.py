@@ -8,6 +8,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Characters that are folded, one for one, to nothing, or to a longer text.
 ONE_FOR_ONE = {
@@ -22,7 +23,7 @@ CHARS_PER_TOKEN = 3.6
 COMPOSED = "\\x{0}-\\x{2ff}\\x{2002}-\\x{2027}\\x{2030}-\\x{205e}\\x{20a0}-\\x{20bf}\\x{2122}\\x{feff}"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))
 

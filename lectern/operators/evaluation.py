@@ -13,6 +13,25 @@ def judged(results: DataFrame, expected: DataFrame) -> DataFrame:
     return results.withColumn("key", norm(F.nullif(F.col("item"), F.lit("")))).join(e, ["query_id", "key"], "left")
 
 
+def containing(docs: DataFrame, items: DataFrame, broadcast_rows: int = 100_000) -> DataFrame:
+    """(doc_id, query_id): documents (doc_id, text) that contain the text `wanted` of an item (query_id, wanted).
+
+    An item's second to fourth word stand whole in such a document, so documents are joined by runs
+    of three words first and compared after that. Items of under five words have no such run and are
+    held against all documents.
+    """
+    words = lambda c: F.split(c, r"\s+")
+    run = lambda w, i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+    own = items.where("wanted is not null").select("query_id", "wanted", words(F.col("wanted")).alias("w"))
+    long, short = own.where(F.size("w") >= 5).select("query_id", "wanted", run(F.col("w"), F.lit(1)).alias("h")), own.where(F.size("w") < 5).select("query_id", "wanted")
+    few = F.broadcast if long.count() <= broadcast_rows else lambda df: df
+    cut = docs.where("text is not null").select("doc_id", words(F.col("text")).alias("w")).where(F.size("w") >= 3)
+    runs = cut.select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: run(F.col("w"), i))).alias("h"))
+    met = runs.join(few(long.select("query_id", "h")), "h").select("doc_id", "query_id").distinct().join(few(long.select("query_id", "wanted")), "query_id")
+    found = docs.join(met, "doc_id").where(F.contains("text", "wanted")).select("doc_id", "query_id")
+    return found.unionAll(docs.join(F.broadcast(short), F.contains("text", "wanted")).select("doc_id", "query_id") if not short.isEmpty() else found.limit(0))
+
+
 def evaluate_cases(queries: DataFrame, results: DataFrame, expected: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
     """Hit at k, reciprocal rank, recall and precision of every query.
 

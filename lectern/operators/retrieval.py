@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.sources.tables import stored
 
 RRF_K, SEMANTIC_WEIGHT, LEXICAL_WEIGHT, TOP_K, RERANK_K = 60, 0.7, 0.3, 20, 5
 MIN_EVIDENCE, MIN_CHUNKS, CONTEXT_TOKENS = 0.35, 1, 12_000
+#: Terms of a query set that are broadcast to the postings.
+BROADCAST_TERMS = 500_000
 
 
 def ranked(df: DataFrame, by: str, *order: Column, k: int | None = None, name: str = "rank") -> DataFrame:
@@ -16,15 +22,39 @@ def ranked(df: DataFrame, by: str, *order: Column, k: int | None = None, name: s
     return out if k is None else out.where(F.col(name) <= k)
 
 
-def apply_filters(candidates: DataFrame, filters: DataFrame) -> DataFrame:
-    """Candidates that pass their query's filters: empty lists let all pass, unknown dates stay."""
-    j = candidates.join(filters, "query_id")
-    ok = F.lit(True)
-    for column, wanted in (("legal_area", "areas"), ("document_type", "types"), ("status", "statuses")):
-        ok = ok & ((F.size(wanted) == 0) | F.coalesce(F.array_contains(F.col(wanted), F.col(column)), F.lit(False)))
-    day = F.col("publication_date")
-    ok = ok & (F.col("published_after").isNull() | day.isNull() | (day >= F.col("published_after"))) & (F.col("published_before").isNull() | day.isNull() | (day <= F.col("published_before")))
-    return j.where(ok).select(*candidates.columns)
+#: Column of a candidate -> list of a query's filters that it must be in.
+LISTS = {"legal_area": "areas", "jurisdiction": "jurisdictions", "court": "courts", "document_type": "types", "status": "statuses", "document_id": "document_ids"}
+
+
+def passes(row: Callable[[str], Column], wanted: Callable[[str], Column], model: str) -> Column:
+    """Whether a row has a vector of the active model and passes the filters: null and empty lists let all pass, unknown dates stay."""
+    ok = F.coalesce(row("embedding_model") == model, F.lit(False)) & row("has_vector")
+    for column, name in LISTS.items():
+        ok = ok & ((F.coalesce(F.size(wanted(name)), F.lit(0)) <= 0) | F.coalesce(F.array_contains(wanted(name), row(column)), F.lit(False)))
+    day, after, before = row("publication_date"), wanted("published_after"), wanted("published_before")
+    return ok & (after.isNull() | day.isNull() | (day >= after)) & (before.isNull() | day.isNull() | (day <= before))
+
+
+def apply_filters(candidates: DataFrame, filters: DataFrame, model: str) -> DataFrame:
+    """Candidates (query_id and a chunk's columns) that pass their query's filters; queries without filters only ask for the model."""
+    own = F.struct(*[F.col(c) for c in filters.columns if c != "query_id"])
+    j = candidates.join(filters.select("query_id", own.alias("_wanted")), "query_id", "left")
+    return j.where(passes(F.col, lambda c: F.col(f"_wanted.{c}"), model)).drop("_wanted")
+
+
+def filter_numbers(rows: DataFrame, filters: DataFrame, model: str, most: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """(rows with `passes`: numbers of the distinct filters that each passes, query_id with the number of its filter in `asks`).
+
+    The distinct filters of a query set travel with the plan; more than `most` are refused.
+    """
+    own = F.struct(*[F.col(c) for c in filters.columns if c != "query_id"])
+    keyed = filters.select("query_id", own.alias("wanted"), F.to_json(own).alias("key"))
+    one = stored(keyed.groupBy("key").agg(F.first("wanted").alias("wanted")).withColumn("asks", F.row_number().over(Window.orderBy("key")) - 1), "filters")
+    if (n := one.count()) > most:
+        raise ValueError(f"{n} distinct filters; at most {most} are searched at once")
+    all_ = F.broadcast(one.agg(F.collect_list(F.struct("asks", "wanted")).alias("_all")))  # one row
+    held = F.transform(F.filter("_all", lambda f: passes(F.col, lambda c: f.wanted[c], model)), lambda f: f.asks)
+    return rows.crossJoin(all_).withColumn("passes", held).drop("_all"), keyed.join(F.broadcast(one.select("key", "asks")), "key").select("query_id", "asks")
 
 
 def stem(term: Column) -> Column:
@@ -52,33 +82,50 @@ def parse_query(queries: DataFrame) -> DataFrame:
     return terms.select("key.query_id", "key.grp", "key.part", F.col("pos").alias("i"), "term", "key.kind")
 
 
-def lexical_search(parsed: DataFrame, index: DataFrame, k: int = TOP_K) -> DataFrame:
+def window_score(places: Sequence[int], terms: Sequence[str], needed: int) -> float:
+    """Sum of 1 / (1 + gap) over the minimal windows that hold all terms, in one pass over places in order."""
+    last: dict[str, int] = {}  # in order of their last places
+    total, before = 0.0, -1
+    for place, term in zip(places, terms, strict=True):
+        last.pop(term, None)
+        last[term] = place
+        start = next(iter(last.values()))
+        if len(last) == needed and start > before:
+            total += 1.0 / (1 + place - start + 1 - needed)
+            before = start
+    return total
+
+
+def lexical_search(parsed: DataFrame, index: DataFrame, k: int = TOP_K, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rank): chunks that hold all of a group's terms and phrases and nothing excluded.
 
-    The score adds 1 / (1 + gap) over the minimal windows that hold all terms.
+    The score adds 1 / (1 + gap) over the minimal windows that hold all terms. Query terms are few
+    beside the postings and are broadcast up to BROADCAST_TERMS, so that a frequent term's postings
+    stay where they are. `keep` narrows (query_id, chunk_id, score) before the best k are taken.
     """
+    parsed = stored(parsed, "query-terms")
+    few = F.broadcast if parsed.count() <= BROADCAST_TERMS else lambda df: df
     wanted = parsed.where("kind <> 'not'").select("query_id", "grp", "term").distinct()
     needs = wanted.groupBy("query_id", "grp").agg(F.count("*").alias("needed"))
-    hits = wanted.join(index, "term").select("query_id", "grp", "chunk_id", "term", "positions")
-    full = hits.groupBy("query_id", "grp", "chunk_id").agg(F.count("*").alias("held")).join(needs, ["query_id", "grp"]).where("held = needed").select("query_id", "grp", "chunk_id", "needed")
-    barred = parsed.where("kind = 'not'").select("query_id", "grp", "term").distinct().join(index, "term").select("query_id", "grp", "chunk_id").distinct()
     phrases = parsed.where("kind = 'phrase'")
     sizes = phrases.groupBy("query_id", "grp", "part").agg(F.count("*").alias("size"))
-    starts = phrases.join(index, "term").select("query_id", "grp", "part", "i", "chunk_id", F.explode("positions").alias("p")).withColumn("start", F.col("p") - F.col("i"))
-    whole = starts.groupBy("query_id", "grp", "part", "chunk_id", "start").agg(F.count("*").alias("n")).join(sizes, ["query_id", "grp", "part"]).where("n = size").select("query_id", "grp", "part", "chunk_id").distinct()
-    having = whole.groupBy("query_id", "grp", "chunk_id").agg(F.count("*").alias("phrases"))
     asked = sizes.groupBy("query_id", "grp").agg(F.count("*").alias("asked"))
-    kept = full.join(barred, ["query_id", "grp", "chunk_id"], "left_anti").join(asked, ["query_id", "grp"], "left").join(having, ["query_id", "grp", "chunk_id"], "left").where("asked is null or phrases = asked")
-    spots = hits.join(kept.select("query_id", "grp", "chunk_id", "needed"), ["query_id", "grp", "chunk_id"]).select("query_id", "grp", "chunk_id", "needed", "term", F.explode("positions").alias("p"))
     key = ["query_id", "grp", "chunk_id"]
-    a, b = spots.alias("a"), spots.alias("b")
-    last = a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in key] + [F.col("b.p") <= F.col("a.p")]).groupBy(*[F.col(f"a.{c}").alias(c) for c in key], F.col("a.needed").alias("needed"), F.col("a.p").alias("end"), F.col("b.term").alias("term")).agg(F.max("b.p").alias("p"))
-    windows = last.groupBy(*key, "needed", "end").agg(F.count("*").alias("n"), F.min("p").alias("start")).where("n = needed")
-    before = F.lag("start").over(Window.partitionBy(*key).orderBy("end"))
-    minimal = windows.withColumn("before", before).where("before is null or start > before")
-    scores = minimal.groupBy(*key).agg(F.sum(1.0 / (1 + F.col("end") - F.col("start") + 1 - F.col("needed"))).alias("score"))
-    best = scores.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
-    return ranked(best, "query_id", F.desc(F.round("score", 9)), F.col("chunk_id"), k=k)
+    hits = index.join(few(wanted.join(needs, ["query_id", "grp"])), "term")
+    spots = F.array_sort(F.flatten(F.collect_list(F.transform("positions", lambda p: F.struct(p.alias("p"), F.col("term").alias("t"))))))
+    full = hits.groupBy(*key, "needed").agg(F.count("*").alias("held"), spots.alias("spots")).where("held = needed")
+    barred = index.join(few(parsed.where("kind = 'not'").select("query_id", "grp", "term").distinct()), "term").select(*key).distinct()
+    starts = index.join(few(phrases.select("query_id", "grp", "part", "i", "term")), "term").select("query_id", "grp", "part", "i", "chunk_id", F.explode("positions").alias("p")).withColumn("start", F.col("p") - F.col("i"))
+    whole = starts.groupBy("query_id", "grp", "part", "chunk_id", "start").agg(F.count("*").alias("n")).join(few(sizes), ["query_id", "grp", "part"]).where("n = size").select("query_id", "grp", "part", "chunk_id").distinct()
+    having = whole.groupBy(*key).agg(F.count("*").alias("phrases"))
+    kept = full.join(barred, key, "left_anti").join(few(asked), ["query_id", "grp"], "left").join(having, key, "left").where("asked is null or phrases = asked")
+
+    @F.pandas_udf("double")
+    def scored(places: pd.Series, terms: pd.Series, needed: pd.Series) -> pd.Series:
+        return pd.Series([window_score(*x) for x in zip(places, terms, needed, strict=True)], dtype="float64")
+
+    best = kept.select(*key, scored("spots.p", "spots.t", "needed").alias("score")).groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
+    return ranked(keep(best) if keep else best, "query_id", F.desc(F.round("score", 9)), F.col("chunk_id"), k=k)
 
 
 def rrf_fuse(semantic: DataFrame, lexical: DataFrame, k: int = TOP_K) -> DataFrame:
@@ -163,7 +210,15 @@ def fuzzy_title(queries: DataFrame, titles: DataFrame, threshold: float = 0.3, k
     return ranked(s, "query_id", F.desc("similarity"), F.col("title_id"), k=k)
 
 
-def dedup_results(results: DataFrame, default_title: str = "Fuente Web") -> DataFrame:
-    """(query_id, n, url, title): results without an address go, the first of each address stays, titles are never empty."""
-    one = ranked(results.where("url is not null and url <> ''").withColumn("u", F.struct("query_id", "url")), "u", F.col("pos"), name="rn").where("rn = 1")
-    return ranked(one, "query_id", F.col("pos"), name="n").select("query_id", "n", "url", F.coalesce(F.nullif("title", F.lit("")), F.lit(default_title)).alias("title"))
+def dedup_results(results: DataFrame, answers: DataFrame | None = None, default_title: str = "Fuente Web", answer_title: str = "Síntesis de información actualizada", answer_url: str = "https://search.example", least: int = 20) -> DataFrame:
+    """(query_id, n, url, title, snippet): a synthesised answer of over `least` characters first, then results by place.
+
+    Results without an address go, the first of each address stays (the answer's counts as well),
+    and titles are never empty. `answers` holds (query_id, answer), one for each query.
+    """
+    rows = results.select("query_id", F.col("pos").cast("long").alias("pos"), "url", F.coalesce(F.nullif("title", F.lit("")), F.lit(default_title)).alias("title"), F.coalesce("snippet", F.lit("")).alias("snippet"))
+    if answers is not None:
+        first = answers.where(F.length("answer") > least).select("query_id", F.lit(None).cast("long").alias("pos"), F.lit(answer_url).alias("url"), F.lit(answer_title).alias("title"), F.col("answer").alias("snippet"))
+        rows = first.unionByName(rows)
+    one = ranked(rows.where("url is not null and url <> ''").withColumn("u", F.struct("query_id", "url")), "u", F.asc_nulls_first("pos"), name="rn").where("rn = 1")
+    return ranked(one, "query_id", F.asc_nulls_first("pos"), name="n").select("query_id", "n", "url", "title", "snippet")

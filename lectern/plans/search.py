@@ -8,7 +8,8 @@ from lectern.functions import text as T
 from lectern.operators import embedding as E
 from lectern.operators import evaluation as J
 from lectern.operators import retrieval as R
-from lectern.sources.tables import load
+from lectern.operators.corpus import ACTIVE_MODEL
+from lectern.sources.tables import load, stored
 
 from .views import cte, view
 
@@ -152,17 +153,31 @@ def c13_searchable(spark, sf_dir):
     return E.searchable(spark.sql(MODELS.format("{p}"), p=pieces(spark, sf_dir)), "new").select("chunk_id")
 
 
-FILTERS = "SELECT item_id AS query_id, {a} AS areas, {t} AS types, {s} AS statuses, CASE WHEN item_id % 3 = 1 THEN DATE '2005-01-01' END AS published_after, CASE WHEN item_id % 3 = 2 THEN DATE '2010-01-01' END AS published_before FROM {b}"
-_EMPTY = {"a": "CASE WHEN item_id % 2 = 0 THEN ['CIVIL', 'PENAL'] ELSE [] END", "t": "CASE WHEN item_id % 3 = 0 THEN ['LEY'] ELSE [] END", "s": "CASE WHEN item_id % 5 = 0 THEN ['VIGENTE'] ELSE [] END"}
+#: Filters of benchmark items by id; every list is used by some.
+FILTERS = """SELECT item_id AS query_id, {areas} AS areas, {jurisdictions} AS jurisdictions, {courts} AS courts, {types} AS types, {statuses} AS statuses, {document_ids} AS document_ids,
+  CASE WHEN item_id % 3 = 1 THEN DATE '2005-01-01' END AS published_after, CASE WHEN item_id % 3 = 2 THEN DATE '2010-01-01' END AS published_before FROM {b}"""
+_IN = {"areas": ("item_id % 4 = 0", "'CIVIL', 'PENAL'"), "jurisdictions": ("item_id % 3 = 0", "'en', 'fr'"), "courts": ("item_id % 7 = 3", "'Corte 0', 'Corte 2'"), "types": ("item_id % 6 = 1", "'LEY', 'DECRETO'"), "statuses": ("item_id % 5 = 0", "'VIGENTE'"), "document_ids": ("item_id % 9 = 5", "item_id, item_id + 1, item_id + 2, 7, 8, 9")}
+FILTERS_SQL = "f AS (" + FILTERS.format(b="benchmark", **{k: f"CASE WHEN {c} THEN [{v}] END" for k, (c, v) in _IN.items()}) + ")"
+#: A chunk's document columns, whether it has a vector, and of which model.
+META = "SELECT document_id, legal_area, jurisdiction, CASE WHEN document_id % 4 = 1 THEN NULL ELSE 'Corte ' || CAST(document_id % 3 AS VARCHAR(3)) END AS court, document_type, status, publication_date, embedding_model, document_id % 17 <> 4 AS has_vector FROM {}"
+_PASS = " AND ".join([f"embedding_model = '{ACTIVE_MODEL}' AND has_vector", *[f"(coalesce(len({name}), 0) = 0 OR coalesce(list_contains({name}, {column}), false))" for column, name in R.LISTS.items()], "(published_after IS NULL OR publication_date IS NULL OR publication_date >= published_after) AND (published_before IS NULL OR publication_date IS NULL OR publication_date <= published_before)"])
 
 
-@query("d1_apply_filters", cte("corpus") + f", f AS ({FILTERS.format(b='benchmark', **_EMPTY)}) SELECT f.query_id, document_id FROM corpus JOIN f ON document_id % 40 = f.query_id % 40 WHERE (len(areas) = 0 OR coalesce(list_contains(areas, legal_area), false)) AND (len(types) = 0 OR list_contains(types, document_type)) AND (len(statuses) = 0 OR list_contains(statuses, status)) AND (published_after IS NULL OR publication_date IS NULL OR publication_date >= published_after) AND (published_before IS NULL OR publication_date IS NULL OR publication_date <= published_before)")
+def filters(spark, sf_dir):
+    lists = {k: f"CASE WHEN {c} THEN array({v}) END" for k, (c, v) in _IN.items()}
+    return spark.sql(FILTERS.format(b="{b}", **lists), b=load(spark, sf_dir, "benchmark"))
+
+
+def meta(spark, sf_dir):
+    return spark.sql(META.format("{c}"), c=view(spark, sf_dir, "corpus"))
+
+
+@query("d1_apply_filters", ",\n".join([cte("corpus", "pieces"), ASKED, POSTINGS, PARSED, FILTERS_SQL, f"m AS ({META.format('corpus')})"]) + f" SELECT DISTINCT query_id, document_id FROM (SELECT DISTINCT query_id, document_id FROM parsed JOIN spots USING (term) JOIN pieces USING (chunk_id)) c JOIN f USING (query_id) JOIN m USING (document_id) WHERE {_PASS}")
 def d1(spark, sf_dir):
-    some = lambda c, v: f"CASE WHEN {c} THEN array({v}) ELSE cast(array() as array<string>) END"
-    f = spark.sql(FILTERS.format(b="{b}", a=some("item_id % 2 = 0", "'CIVIL', 'PENAL'"), t=some("item_id % 3 = 0", "'LEY'"), s=some("item_id % 5 = 0", "'VIGENTE'")), b=load(spark, sf_dir, "benchmark"))
-    c = view(spark, sf_dir, "corpus").drop("text")
-    pairs = c.join(f.select("query_id"), F.col("document_id") % 40 == F.col("query_id") % 40)
-    return R.apply_filters(pairs, f).select("query_id", "document_id")
+    """The documents that share a term with a query, narrowed by the query's filters."""
+    terms = F.broadcast(R.parse_query(asked(spark, sf_dir)).select("query_id", "term").distinct())
+    shared = R.positioned_terms(pieces(spark, sf_dir), "document_id", "content").join(terms, "term").select("query_id", "document_id").distinct()
+    return R.apply_filters(shared.join(meta(spark, sf_dir), "document_id"), filters(spark, sf_dir), ACTIVE_MODEL).select("query_id", "document_id")
 
 
 @query("d2_lexical_index", ",\n".join([cte("pieces"), POSTINGS]) + " SELECT term, chunk_id, list_sort(list(pos::int)) AS positions FROM spots GROUP BY 1, 2")
@@ -239,15 +254,16 @@ def d9(spark, sf_dir):
     return R.evidence_gate(asked(spark, sf_dir), context)
 
 
-_PACK = """costs AS (SELECT document_id AS query_id, chunk_index AS rank, chunk_id, greatest(1, round_even(length(content) / 3.6::double, 0))::bigint AS cost, row_number() OVER (PARTITION BY document_id ORDER BY chunk_index) AS n FROM pieces WHERE chunk_index < 20),
-fold AS (SELECT query_id, n, chunk_id, cost, 120::bigint - cost AS left_, true AS took, 1 AS kept FROM costs WHERE n = 1 UNION ALL
+_PACK = """costs AS (SELECT f.query_id, f.rank, f.chunk_id, greatest(1, round_even(length(content) / 3.6::double, 0))::bigint AS cost, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM fused f JOIN pieces USING (chunk_id)),
+fold AS (SELECT query_id, n, chunk_id, cost, 400::bigint - cost AS left_, true AS took, 1 AS kept FROM costs WHERE n = 1 UNION ALL
  SELECT c.query_id, c.n, c.chunk_id, c.cost, CASE WHEN f.left_ > 0 AND c.cost <= f.left_ THEN f.left_ - c.cost ELSE f.left_ END, f.left_ > 0 AND c.cost <= f.left_, f.kept + (f.left_ > 0 AND c.cost <= f.left_)::int FROM fold f JOIN costs c ON c.query_id = f.query_id AND c.n = f.n + 1)"""
 
 
-@query("d10_pack_context", ",\n".join([cte("pieces"), _PACK]) + " SELECT query_id, chunk_id, kept AS n FROM fold WHERE took")
+@query("d10_pack_context", ",\n".join([_ALL, _PACK]) + " SELECT query_id, chunk_id, kept AS n FROM fold WHERE took")
 def d10(spark, sf_dir):
-    c = pieces(spark, sf_dir).where("chunk_index < 20").select(F.col("document_id").alias("query_id"), F.col("chunk_index").alias("rank"), "chunk_id", T.estimate_tokens(F.col("content")).cast("long").alias("cost"))
-    return R.pack_context(c, 120)
+    """The fused results packed into 400 tokens."""
+    c = fused(spark, sf_dir).join(pieces(spark, sf_dir), "chunk_id").select("query_id", "rank", "chunk_id", T.estimate_tokens(F.col("content")).cast("long").alias("cost"))
+    return R.pack_context(c, 400)
 
 
 _SUMMARY = " SELECT a.query_id, coalesce(s.n, 0) AS semantic, coalesce(x.n, 0) AS lexical, coalesce(f.n, 0) AS fused, coalesce(r.n, 0) AS reranked, r.top AS top_score, {} AS lexical_degraded FROM asked a LEFT JOIN (SELECT query_id, count(*) AS n FROM sem GROUP BY 1) s USING (query_id) LEFT JOIN (SELECT query_id, count(*) AS n FROM lex GROUP BY 1) x USING (query_id) LEFT JOIN (SELECT query_id, count(*) AS n FROM fused GROUP BY 1) f USING (query_id) LEFT JOIN (SELECT query_id, count(*) AS n, max(rerank_score) AS top FROM reranked GROUP BY 1) r USING (query_id)"
@@ -268,13 +284,27 @@ def d12(spark, sf_dir):
     return R.retrieval_summary(asked(spark, sf_dir), s, none, f, reranked(spark, sf_dir, f), degraded=True)
 
 
-@query("d13_retrieve", _ALL + ", fin AS (SELECT r.query_id, r.chunk_id, p.document_id, rerank_rank, rerank_score, greatest(1, round_even(length(content) / 3.6::double, 0))::bigint AS cost FROM reranked r JOIN pieces p USING (chunk_id)) SELECT query_id, chunk_id, document_id, rerank_rank AS n, rerank_score FROM fin")
+_NARROW = ",\n".join([FILTERS_SQL, f"m AS ({META.format('corpus')}), cm AS (SELECT chunk_id, m.* FROM pieces JOIN m USING (document_id))"])
+_SEM_F = SEMANTIC.replace("FROM qv q, pv p WHERE", "FROM qv q JOIN f ON f.query_id = q.id, pv p JOIN cm ON cm.chunk_id = p.id WHERE " + _PASS + " AND")
+_LEX_F = LEXICAL.replace("bestl AS (SELECT query_id, chunk_id, max(score) AS score FROM sc GROUP BY 1, 2)", f"bestl AS (SELECT query_id, chunk_id, max(score) AS score FROM sc JOIN f USING (query_id) JOIN cm USING (chunk_id) WHERE {_PASS} GROUP BY 1, 2)")
+_FILTERED = ",\n".join([cte("pieces", "corpus"), ASKED, _NARROW, POSTINGS, PARSED, _LEX_F, _embed("pv", "pieces", "chunk_id", "content"), _embed("qv", "asked", "query_id", "text"), _SEM_F, FUSED, RERANKED])
+
+
+@query("d13_retrieve", _FILTERED + ", gated AS (SELECT query_id FROM reranked GROUP BY 1 HAVING arg_min(rerank_score, rerank_rank) >= 0.35) SELECT query_id, chunk_id, document_id, rerank_rank AS n, rerank_score FROM reranked JOIN gated USING (query_id) JOIN pieces USING (chunk_id)")
 def d13(spark, sf_dir):
-    """Arms, fusion, reranking and packing; five pieces never exceed the default budget on these tables."""
-    r = reranked(spark, sf_dir)
-    c = r.join(pieces(spark, sf_dir), "chunk_id").select("query_id", F.col("rerank_rank").alias("rank"), "chunk_id", T.estimate_tokens(F.col("content")).cast("long").alias("cost"))
-    packed = R.pack_context(c)
-    return packed.join(r, ["query_id", "chunk_id"]).join(pieces(spark, sf_dir).select("chunk_id", "document_id"), "chunk_id").select("query_id", "chunk_id", "document_id", "n", "rerank_score")
+    """Filters before both arms' limits, fusion, reranking, the evidence gate and packing; five pieces never exceed the default budget on these tables."""
+    p = pieces(spark, sf_dir)
+    wanted = filters(spark, sf_dir)
+    rows, asks = R.filter_numbers(p.join(meta(spark, sf_dir), "document_id"), wanted, ACTIVE_MODEL)
+    base = E.hash_embed(p, "chunk_id", "content", DIM).join(rows.select(F.col("chunk_id").alias("id"), "passes"), "id")
+    q = E.hash_embed(asked(spark, sf_dir), "query_id", "text", DIM).withColumnRenamed("id", "query_id").join(asks, "query_id")
+    s = E.nearest(base, q, R.TOP_K, FLOOR, "passes", "asks").withColumnRenamed("id", "chunk_id")
+    narrowed = lambda df: R.apply_filters(df.join(rows.drop("passes", "content"), "chunk_id"), wanted, ACTIVE_MODEL).select("query_id", "chunk_id", "score")
+    x = R.lexical_search(R.parse_query(asked(spark, sf_dir)), R.lexical_index(p), keep=narrowed)
+    r = stored(reranked(spark, sf_dir, R.rrf_fuse(s, x)), "reranked")
+    enough = R.evidence_gate(asked(spark, sf_dir), r.withColumnRenamed("rerank_rank", "rank")).where("sufficient").select("query_id")
+    c = r.join(enough, "query_id", "left_semi").join(p, "chunk_id").select("query_id", F.col("rerank_rank").alias("rank"), "chunk_id", "document_id", "rerank_score", T.estimate_tokens(F.col("content")).cast("long").alias("cost"))
+    return R.pack_context(c).join(c, ["query_id", "chunk_id"]).select("query_id", "chunk_id", "document_id", "n", "rerank_score")
 
 
 _GRAMS = "list_distinct(flatten(list_transform(string_split(trim(regexp_replace(lower(title), '[^a-z0-9áéíóúüñ]+', ' ', 'g')), ' '), lambda w: list_transform(generate_series(1, length(w) + 1), lambda i: substr('  ' || w || ' ', i, 3)))))"
@@ -294,12 +324,16 @@ def d15(spark, sf_dir):
     return c.where(F.lower("title").contains("documento 1") & (F.col("legal_area") == "CIVIL")).select("document_id", "title", "publication_date").orderBy(F.desc_nulls_last("publication_date"), "document_id")
 
 
-WEB = "SELECT page_id % 20 AS query_id, page_id AS pos, CASE WHEN page_id % 9 = 0 THEN '' ELSE 'http://r.example/' || CAST(page_id % 50 AS VARCHAR(9)) END AS url, CASE WHEN page_id % 4 = 0 THEN '' ELSE url END AS title FROM {}"
+WEB = "SELECT page_id % 20 AS query_id, page_id AS pos, CASE WHEN page_id % 9 = 0 THEN '' WHEN page_id % 50 = 7 THEN 'https://search.example' ELSE 'http://r.example/' || CAST(page_id % 50 AS VARCHAR(9)) END AS url, CASE WHEN page_id % 4 = 0 THEN '' ELSE url END AS title, html AS snippet FROM {}"
+SAID = "SELECT item_id AS query_id, CASE item_id % 3 WHEN 0 THEN text WHEN 1 THEN 'twenty characters....' END AS answer FROM {} WHERE item_id < 20"
 
 
-@query("d16_dedup_results", f"WITH w AS ({WEB.format('pages').replace('ELSE url END AS title', 'ELSE pages.url END AS title')}), o AS (SELECT *, row_number() OVER (PARTITION BY query_id, url ORDER BY pos) AS rn FROM w WHERE url <> '') SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS n, url, coalesce(nullif(title, ''), 'Fuente Web') AS title FROM o WHERE rn = 1")
+@query("d16_dedup_results", f"""WITH w AS ({WEB.format('pages').replace('ELSE url END AS title', 'ELSE pages.url END AS title')}), s AS ({SAID.format('benchmark')}), a AS (SELECT query_id, -1 AS pos, 'https://search.example' AS url, 'Síntesis de información actualizada' AS title, answer AS snippet FROM s WHERE length(answer) > 20 UNION ALL SELECT query_id, pos, url, coalesce(nullif(title, ''), 'Fuente Web'), snippet FROM w),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id, url ORDER BY pos) AS rn FROM a WHERE url <> '') SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS n, url, title, md5(snippet) AS digest FROM o WHERE rn = 1""")
 def d16(spark, sf_dir):
-    return R.dedup_results(spark.sql(WEB.format("{p}").replace("ELSE url END AS title", "ELSE p.url END AS title").replace("{p}", "{pages} p"), pages=load(spark, sf_dir, "pages")))
+    results = spark.sql(WEB.format("{p}").replace("ELSE url END AS title", "ELSE p.url END AS title").replace("{p}", "{pages} p"), pages=load(spark, sf_dir, "pages"))
+    answers = spark.sql(SAID.format("{b}"), b=load(spark, sf_dir, "benchmark"))
+    return R.dedup_results(results, answers).select("query_id", "n", "url", "title", F.md5("snippet").alias("digest"))
 
 
 @query("g9_arm_contribution", _ALL + " SELECT query_id, count_if(retrieval_source = 'SEMANTIC') AS \"SEMANTIC\", count_if(retrieval_source = 'LEXICAL') AS \"LEXICAL\", count_if(retrieval_source = 'HYBRID') AS \"HYBRID\", round(count_if(retrieval_source = 'HYBRID') / count(*), 6) AS hybrid_share FROM fused GROUP BY 1")
@@ -324,7 +358,7 @@ def cases(spark, sf_dir, rows=None):
     item = F.when(F.col("chunk_id") % 10 == 0, F.lit(None)).otherwise(F.concat(F.lit(" D"), "document_id", F.lit(" ")))
     results = r.join(pieces(spark, sf_dir).select("chunk_id", "document_id"), "chunk_id").select("query_id", F.col("rerank_rank").alias("rank"), item.alias("item"))
     b = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("wanted"))
-    expected = load(spark, sf_dir, "documents").join(b, F.contains("text", "wanted")).select("query_id", F.concat(F.lit("d"), "doc_id").alias("item"))  # a stated query set against all rows
+    expected = J.containing(load(spark, sf_dir, "documents"), b).select("query_id", F.concat(F.lit("d"), "doc_id").alias("item"))
     return J.evaluate_cases(asked(spark, sf_dir), results, expected)
 
 
