@@ -3,7 +3,7 @@
 Fingerprints are computed where the texts are. Distinct fingerprints meet in shards: 64 bits are
 cut into radius + 1 blocks, and two fingerprints within the radius agree on at least one block, so
 each goes to the shard of each of its blocks. A shard that holds more than SHARD_SIZE is cut again
-by blocks of its other bits, so no pair is lost. In a shard the fingerprints form a BK-tree whose
+by blocks of its other bits, and what is still larger into pairs of chunks, so no pair is lost. In a shard the fingerprints form a BK-tree whose
 children are keyed by their distance to the parent, and a search follows only edges within the
 radius. Trees stay with the shard's task rather than being broadcast, because they grow with the
 corpus. A shard returns one edge for each member to its local root, never all pairs.
@@ -25,6 +25,8 @@ from .shared import byte_words, held_here, written
 SHINGLE = 3
 RADIUS = 2
 SHARD_SIZE = 2048
+#: Rows of a list of ids that is broadcast.
+FEW = 1_000_000
 BITS = 64
 
 
@@ -44,7 +46,11 @@ def shingle_hashes(text: str | None, size: int) -> np.ndarray:
 
 def fingerprint_of(text: str | None, size: int = SHINGLE) -> int:
     """Unsigned SimHash; zero without words."""
-    h = shingle_hashes(text, size)
+    return bits_of(shingle_hashes(text, size))
+
+
+def bits_of(h: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
     if not h.size:
         return 0
     ones = np.zeros(BITS, np.int64)
@@ -84,6 +90,21 @@ class BKTree:
                 if d - radius <= edge <= d + radius:
                     todo.append(child)
 
+    def nearest(self, x: int, radius: int) -> int | None:
+        """A member of least distance to x, at most `radius` bits; the bound shrinks with every nearer one."""
+        best, todo = None, [] if self.root is None else [self.root]
+        while todo:
+            node = todo.pop()
+            d = (node ^ x).bit_count()
+            if d <= radius:
+                best, radius = node, d - 1
+                if d == 0:
+                    break
+            for edge, child in self.children[node].items():
+                if d - radius <= edge <= d + radius:
+                    todo.append(child)
+        return best
+
     def add(self, x: int) -> None:
         if self.root is None:
             self.root = x
@@ -152,14 +173,21 @@ def shard_edges(fps: DataFrame, radius: int = RADIUS, shard_size: int = SHARD_SI
     for i, (_, held) in enumerate(first):
         again = F.when(F.col("block") == i, F.array(*[k for k, _ in _keys(fp, radius, held)])).otherwise(again)
     plain = F.array(F.lit(0).cast("long"))
+    keys = ["block", "value", "hot", "sub_block", "sub_value"]
     dealt = marked.select("fp", "block", "value", F.posexplode(F.when(F.col("hot"), again).otherwise(plain)).alias("sub_block", "sub_value"), F.coalesce("hot", F.lit(False)).alias("hot"))
-    shards = dealt.groupBy("block", "value", "hot", "sub_block", "sub_value").agg(F.collect_set("fp").alias("members")).where(F.size("members") > 1)
+    # a shard that is still large is cut into chunks by hash, and every two chunks are a shard
+    large = dealt.groupBy(*keys).count().where(F.col("count") > shard_size).select(*keys, F.ceil(F.col("count") / max(1, shard_size // 2)).cast("int").alias("chunks"))
+    own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda other: F.struct(F.least(own, other).alias("x"), F.greatest(own, other).alias("y")))
+    alone = F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y")))
+    placed = dealt.join(large, keys, "left").select("fp", *keys, F.explode(F.when(F.col("chunks").isNotNull(), pairs).otherwise(alone)).alias("pair"))
+    shards = placed.groupBy(*keys, "pair").agg(F.collect_set("fp").alias("members")).where(F.size("members") > 1)
 
     @F.pandas_udf("array<struct<a:long,b:long>>")
     def linked(members: pd.Series) -> pd.Series:
         mask = (1 << BITS) - 1
         signed = lambda x: x - (1 << BITS) if x >> (BITS - 1) else x
-        return pd.Series([[{"a": signed(m), "b": signed(r)} for m, r in local_roots([int(x) & mask for x in ms], radius).items()] for ms in members])
+        return pd.Series([[{"a": signed(m), "b": signed(r)} for m, r in local_roots(sorted(int(x) & mask for x in ms), radius).items()] for ms in members])
 
     return shards.select(F.explode(linked("members")).alias("e")).select("e.*").distinct()
 
@@ -170,7 +198,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     component_id is the smallest id among rows whose fingerprints are reachable by links of at most
     `radius` bits; equal texts are always together. Null and empty texts have fingerprint zero and
     are linked like any other. Repeated rows stay, one row each; a null id is kept and never chosen
-    as component_id unless a component has no other. Other columns are not read.
+    as component_id unless a component has no other. Long texts are hashed whole, in stretches. An
+    empty table gives an empty result; other columns are not read.
     """
     fps = written(docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col), shingle).alias("fp")), "simhash")
     least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
@@ -181,18 +210,31 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def kept_rows(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of `docs` that `found` (doc_id, component_id) names as their component's; of equal rows of one id one."""
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    one = Window.partitionBy(F.col(id_col), F.xxhash64(F.col(text_col))).orderBy(F.lit(0))
-    joined = docs.join(kept, docs[id_col].eqNullSafe(F.col("_kept")), "left_semi")
-    return joined.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
+def row_id(id_: Column, text: Column) -> Column:
+    """struct that tells rows apart and orders them: by id, those without one last and by text."""
+    return F.struct(id_.isNull().alias("none"), F.coalesce(id_, F.lit(0).cast("long")).alias("id"), F.when(id_.isNull(), F.xxhash64(text)).otherwise(F.lit(0).cast("long")).alias("h"))
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of `docs` whose id is that of their component; of equal rows of one id one stays.
+def few(df: DataFrame, most: int = FEW) -> DataFrame:
+    """The written table, to be broadcast if it has at most so many rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def kept_rows(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of `docs` that `found` (doc_id, component_id: structs of `row_id`) names as their component's; of equal rows one.
 
-    A row without an id stays only if a component has no id at all; then all rows without an id but
-    equal ones stay, because nothing tells them apart.
+    Only the ids that go and those of repeated rows are looked up, and broadcast where they are few,
+    so that texts stay where they are.
     """
-    return kept_rows(docs, near_duplicates(docs, id_col=id_col, text_col=text_col, **options), id_col, text_col)
+    gone = found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("kept")).where("not kept").select(F.col("doc_id").alias("_lectern_gone"))
+    this, text_hash = row_id(docs[id_col], docs[text_col]), F.xxhash64(docs[text_col])
+    left = docs.join(few(written(gone, "rows-gone")), this == F.col("_lectern_gone"), "left_anti")
+    same = docs.groupBy(F.struct(this.alias("id"), text_hash.alias("h")).alias("_lectern_same")).count().where("count > 1").select("_lectern_same")
+    same = few(written(same, "rows-repeated"))
+    key = F.struct(this.alias("id"), text_hash.alias("h"))
+    single = left.join(same, key == F.col("_lectern_same"), "left_anti")
+    order = Window.partitionBy("_lectern_same").orderBy(*[F.col(f"_lectern_row.`{c}`") for c in docs.columns if docs.schema[c].dataType.typeName() != "map"])
+    rows = F.struct(*[docs[c] for c in docs.columns]).alias("_lectern_row")
+    repeated = left.join(same, key == F.col("_lectern_same")).select(rows, "_lectern_same")
+    first = repeated.withColumn("_lectern_n", F.row_number().over(order)).where("_lectern_n = 1").select("_lectern_row.*")
+    return single.unionByName(first)

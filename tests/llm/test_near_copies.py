@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+from lectern.llm import near_copies, simhash
 
 
 def shingles(text):
@@ -47,3 +48,42 @@ def test_edited_copies_against_all_pairs(spark):
     got = [r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
     assert sorted(got) == sorted(set(least.values()))
     assert len(got) < len({shingles(t) for _, t in rows}) - 50
+
+
+def test_rows_that_stay(spark):
+    """Clashing column names, rows without an id, repeated rows and rows of one id with different texts."""
+    long = " ".join(f"w{i}" for i in range(70_000))
+    rows = [(1, "a b c d e f", 7, "x"), (1, "a b c d e f", 7, "x"), (2, "A b c d e f", 7, "x"), (3, "g h i j k", 1, None), (3, "other words of this id", 1, None)]
+    rows += [(None, "a b c d e f", 1, "y"), (None, "only here without an id", 1, "y"), (None, "only here without an id", 1, "y"), (None, None, 1, "z"), (8, "", 2, "z"), (9, long, 3, "l"), (10, long + " end", 3, "l")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _n int, component_id string")
+    kept = near_copies.keep_one_of_each(docs)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, (r.text or "")[:30], r._n, r.component_id) for r in kept.collect()), key=repr)
+    want = [rows[0], rows[3], rows[4], rows[6], rows[9], rows[10]]
+    assert got == sorted(((i, (t or "")[:30], n, c) for i, t, n, c in want), key=repr)
+    assert near_copies.keep_one_of_each(docs.limit(0)).count() == 0
+
+
+def test_nearest_pairs():
+    rng = random.Random(3)
+    members = [(i, rng.getrandbits(64) if i % 4 == 0 else rng.getrandbits(8)) for i in range(200)]
+    got, first = dict(near_copies.nearest_pairs(members)), {}
+    for fp, bits in members:
+        near = min(((bits ^ b).bit_count() for b in first), default=65)
+        assert (near <= near_copies.RADIUS) == (fp in got)
+        if fp in got:
+            assert got[fp] < fp and (dict(members)[got[fp]] ^ bits).bit_count() == near
+        first.setdefault(bits, fp)
+
+
+def test_large_shards_by_chunks(spark):
+    """Over twice the shard size of fingerprints that agree on all bits but the last ones."""
+    from test_simhash import slow_components
+
+    from lectern.llm.components import components
+
+    fps = sorted({random.Random(i).getrandbits(12) for i in range(60)})
+    edges = simhash.shard_edges(spark.createDataFrame([(f,) for f in fps], "fp long"), 2, 10)
+    got = {r.node: r.root for r in components(edges).collect()}
+    slow = slow_components(fps)
+    assert {f: got.get(f, f) for f in fps} == slow
