@@ -9,20 +9,20 @@ are packed; likeness is the share of equal bins, corrected for bits that agree b
 from __future__ import annotations
 
 import hashlib
-import math
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import byte_words
+from .shared import byte_words, written
 
 BINS, BITS, SHINGLE = 512, 4, 5
-PER_GROUP = 500
+#: Rows of a run of neighbouring ids: one in RUNS of all, within bounds.
+RUNS, LEAST_IN_RUN, MOST_IN_RUN = 400, 100, 200_000
 _LOW = np.uint64((1 << BITS) - 1)
 
 
@@ -99,60 +99,84 @@ def edited(text: str, after: str) -> str:
     return text[: len(text) - k] + after[:k]
 
 
-def grouped(docs: DataFrame, per_group: int = PER_GROUP) -> DataFrame:
-    """Rows (id, text) dealt to runs of neighbouring ids, with the next row's text where a run ends.
+def order_key(id_: Column, text: Column) -> Column:
+    """A string that sorts rows by falling id, those without one last, and rows of one id by the falling hash of their texts."""
+    falling = lambda x: F.lpad(F.hex(F.bitwise_not(x.bitwiseXOR(F.lit(-(1 << 63))))), 16, "0")
+    return F.concat(F.when(id_.isNull(), "1").otherwise("0"), falling(F.coalesce(id_.cast("long"), F.lit(0))), falling(F.xxhash64(text)))
 
-    Adds `run`, and `lent`: true for a copy of a run's first row that stands after the last row of
-    the run before it (of the last run for the first of all). Cuts come from quantiles of the ids;
-    their number is rows / per_group, and only they and one id for each run reach the driver.
+
+def run_starts(keys: DataFrame, per_run: int) -> list[str]:
+    """The first key of every run of about `per_run` rows in order; only these and a count for each partition reach the driver.
+
+    Equal keys are never in two runs.
     """
-    spark = docs.sparkSession
-    keyed = docs.withColumn("at", F.coalesce(F.col("id").cast("double"), F.lit(-math.inf)))
-    n = keyed.count()
-    parts = max(1, n // per_group)
-    cuts = keyed.where(F.col("id").isNotNull()).stat.approxQuantile("at", [i / parts for i in range(1, parts)], 0.1 / parts) if parts > 1 else []
-    splits = [-math.inf, *sorted(set(cuts)), math.inf]
-    if len(splits) > 2:
-        keyed = Bucketizer(splits=splits, inputCol="at", outputCol="cut").transform(keyed).withColumn("run", F.col("cut").cast("int")).drop("cut")
-    else:
-        keyed = keyed.withColumn("run", F.lit(0))
-    # of each run the first row in falling order of ids: the largest id, one row of it by the hash of its text
-    head = F.struct("id", F.xxhash64("text").alias("h"))
-    firsts = sorted(keyed.groupBy("run").agg(F.max(head).alias("f")).collect(), key=lambda r: -r.run)
-    lenders = [(r.run, r.f.id, r.f.h, firsts[i - 1].run) for i, r in enumerate(firsts)]
-    lending = F.broadcast(spark.createDataFrame(lenders, "run int, first_id long, first_h long, to_run int"))
-    joined = keyed.join(lending, "run", "left")
-    is_first = F.col("id").eqNullSafe(F.col("first_id")) & (F.xxhash64("text") == F.col("first_h"))
-    own = F.struct(F.col("run").alias("run"), F.lit(False).alias("lent"))
-    lent = F.struct(F.col("to_run").alias("run"), F.lit(True).alias("lent"))
-    return joined.select("id", "text", F.explode(F.when(is_first, F.array(own, lent)).otherwise(F.array(own))).alias("to")).select("id", "text", "to.run", "to.lent")
-
-
-def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_group: int = PER_GROUP) -> DataFrame:
+    parts = max(1, keys.sparkSession.sparkContext.defaultParallelism * 2)
+    placed = written(keys.repartitionByRange(parts, "key").select("key", F.spark_partition_id().alias("part")), "run-keys")
+    counts = {r.part: r["count"] for r in placed.groupBy("part").count().collect()}
+    before, base = 0, []
+    for part in sorted(counts):
+        base.append((part, before))
+        before += counts[part]
+    if not base:
+        return []
+    bases = F.broadcast(keys.sparkSession.createDataFrame(base, "part int, base long"))
+    rank = F.col("base") + F.row_number().over(Window.partitionBy("part").orderBy("key")) - 1
+    firsts = placed.join(bases, "part").withColumn("rank", rank).where(F.col("rank") % per_run == 0)
+    return sorted({r.key for r in firsts.select("key").collect()})
+
+
+def in_runs(rows: DataFrame, starts: list[str]) -> DataFrame:
+    """Rows (key, ...) with their `run`; the first row of each run comes again with `lent` after the last one of the run before it (of the last run for the first of all)."""
+    sent, n = rows.sparkSession.sparkContext.broadcast(np.array(starts, "S33")), len(starts)
+
+    @F.pandas_udf("run int, first boolean")
+    def placed(keys: pd.Series) -> pd.DataFrame:
+        own = keys.to_numpy().astype("S33")
+        run = np.searchsorted(sent.value, own, side="right") - 1
+        return pd.DataFrame({"run": run.astype(np.int32), "first": sent.value[run] == own})
+
+    at = rows.withColumn("p", placed("key"))
+    own = F.struct(F.col("p.run").alias("run"), F.lit(False).alias("lent"))
+    lent = F.struct(F.pmod(F.col("p.run") - 1, F.lit(n)).alias("run"), F.lit(True).alias("lent"))
+    return at.select("*", F.explode(F.when(F.col("p.first"), F.array(own, lent)).otherwise(F.array(own))).alias("to")).select("*", "to.*").drop("p", "to")
+
+
+def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_run: int | None = None) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness.
 
     Rows follow one another by falling id (null ids last), rows of one id by the hash of their
     texts; after the last comes the first. Null texts count as empty; an empty text has the
     fingerprint of no shingle, like any other empty text. A single row is its own next. Repeated
-    rows stay, and of equal rows at the head of a run any stands for the others. An empty table
-    gives an empty result; other columns are not read.
+    rows stay, next to one another, and of equal rows at the head of a run any stands for the others.
+    A worker reads its runs as a stream and holds two texts at a time, long ones whole. An empty
+    table gives an empty result; other columns are not read.
     """
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    runs = grouped(rows, per_group).select("run", "lent", F.col("id").isNull().alias("no_id"), F.coalesce("id", F.lit(0)).alias("id"), "text", F.xxhash64("text").alias("h"))
-
-    def compute(run: pd.DataFrame) -> pd.DataFrame:
-        own = run[~run.lent].sort_values(["no_id", "id", "h"], ascending=[True, False, False])
-        texts = own.text.tolist()
-        follow = [*texts[1:], run.text[run.lent].iloc[0]]
-        prints = [fingerprint(t) for t in texts]
-        next_prints = [*prints[1:], fingerprint(follow[-1])]
-        out = []
-        for t, f, p, q, i, none in zip(texts, follow, prints, next_prints, own.id, own.no_id, strict=True):
-            e = edited(t, f)
-            ep = p if e == t else fingerprint(e)
-            out.append((None if none else i, len(t), hashlib.sha256(e.encode("utf-8", "replace")).hexdigest(), p.hex(), ep.hex(), likeness(p, ep), likeness(p, q)))
-        frame = pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
-        return frame.astype({"doc_id": "Int64"})
-
-    return runs.groupBy("run").applyInPandas(compute, schema)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), order_key(F.col(id_col), text).alias("key"))
+    if per_run is None:
+        per_run = min(MOST_IN_RUN, max(LEAST_IN_RUN, docs.count() // RUNS))
+    starts = run_starts(rows.select("key"), per_run)
+    if not starts:
+        return docs.sparkSession.createDataFrame([], schema)
+    dealt = in_runs(rows, starts).repartition("run").sortWithinPartitions("run", "lent", "key").select("id", "text", "run", "lent")
+
+    def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, run, names = None, None, [c.split()[0] for c in schema.split(", ")]
+        for batch in batches:
+            out = []
+            for i, t, own_run, lent in zip(batch.id, batch.text, batch.run, batch.lent, strict=True):
+                if own_run != run:
+                    run, last = own_run, None
+                if lent and last is None:  # equal first rows are all lent; one of them is needed
+                    continue
+                own = fingerprint(t)
+                if last is not None:
+                    e = edited(last[1], t)
+                    print_e = last[2] if e == last[1] else fingerprint(e)
+                    out.append((last[0], len(last[1]), hashlib.sha256(e.encode("utf-8", "replace")).hexdigest(), last[2].hex(), print_e.hex(), likeness(last[2], print_e), likeness(last[2], own)))
+                last = None if lent else (None if pd.isna(i) else int(i), t, own)
+            if out:
+                yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
+
+    return dealt.mapInPandas(compute, schema)

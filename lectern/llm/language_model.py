@@ -207,9 +207,9 @@ def mapped(**arrays: np.ndarray) -> dict[str, np.ndarray]:
 
 
 class Slice:
-    """The part of the model that a block needs: sorted word and bigram hashes with their statistics, memory-mapped."""
+    """The part of the model that a block needs, as sorted arrays of word and bigram hashes with their statistics, memory-mapped and searched by hash."""
 
-    def __init__(self, b: Block, found: pd.DataFrame, totals: dict):
+    def __init__(self, words: np.ndarray, bigrams: np.ndarray, found: pd.DataFrame, totals: dict):
         d, dc = discounts(totals["bigram"]), discounts(totals["word"])
         self.v, self.n = totals["types"], totals["tokens"]
         c, cont, as_context, one, two, more = np.concatenate([r.reshape(6, -1) for r in reply_of(found, "word")], axis=1).astype(np.float64)
@@ -218,14 +218,19 @@ class Slice:
         k = cont.astype(np.int64)
         spread = float(dc[1:] @ np.array([totals["word"][0], totals["word"][1], totals["word_more"]]))
         lower = (np.maximum(cont - dc[np.minimum(k, 3)], 0) + spread / (self.v + 1)) / all_cont if all_cont else np.full(len(c), 1 / (self.v + 1))
-        self.m = mapped(words=b.words, count=c, lower=lower, context=as_context, left_over=d[1] * one + d[2] * two + d[3] * more, bigrams=b.keys, kept=np.maximum(count - d[np.minimum(count, 3)], 0))
+        self.m = mapped(words=words, count=c, lower=lower, context=as_context, left_over=d[1] * one + d[2] * two + d[3] * more, bigrams=bigrams, kept=np.maximum(count - d[np.minimum(count, 3)], 0))
+
+    def of(self, keys: str, hashes: np.ndarray, *names: str) -> list[np.ndarray]:
+        """Statistics of hashes, each found by binary search in the sorted keys."""
+        at = np.searchsorted(self.m[keys], hashes)
+        return [self.m[name][at] for name in names]
 
     def log10(self, b: Block) -> np.ndarray:
         """log10 probability of each of the block's tokens after the one before it."""
-        m, v, w = self.m, b.context, b.token
-        seen = m["context"][v]
-        p = np.where(seen > 0, (m["kept"][b.bigram] + m["left_over"][v] * m["lower"][w]) / np.maximum(seen, 1), m["lower"][w])
-        return np.log10(p)
+        seen, left_over, lower = self.of("words", b.words, "context", "left_over", "lower")
+        (kept,) = self.of("bigrams", b.keys, "kept")
+        context, w = seen[b.context], b.token
+        return np.log10(np.where(context > 0, (kept[b.bigram] + left_over[b.context] * lower[w]) / np.maximum(context, 1), lower[w]))
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
@@ -234,9 +239,9 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 def scored(totals: dict):
     def score(block: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         b = Block(next(block.itertuples()))
-        s = Slice(b, found, totals)
+        s = Slice(b.words, b.keys, found, totals)
         added = lambda x: np.add.reduceat(x, b.first)
-        c = s.m["count"][b.token]
+        c = s.of("words", b.words, "count")[0][b.token]
         total = added(s.log10(b))
         return pd.DataFrame({
             "doc_id": pd.array([None if i is None or i != i else int(i) for i in b.doc_ids], "Int64"), "held_out": b.held, "n_tokens": b.lens,
@@ -252,7 +257,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null and empty texts are an end alone. Repeated rows are counted as often as they are there;
     null ids are held out and kept. With nothing to learn from, every token has probability 1 (there
-    is one outcome, the unknown word). An empty table gives an empty result; other columns are not read.
+    is one outcome, the unknown word). A long text is scored whole, in a block of its own if need be;
+    words of equal hash are one word. An empty table gives an empty result; other columns are not read.
     """
     held = held_out(F.col(id_col), modulus, remainder)
     made = written(blocks(docs, held, id_col, text_col), "lm-blocks")

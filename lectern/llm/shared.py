@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; its own folder only where that is unset (tests)."""
+    """spark.checkpoint.dir of the session; its own folder only where that is unset and the session is local, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names the folder that executors share; it is unset")
         at = tempfile.mkdtemp(prefix="lectern-")
         atexit.register(shutil.rmtree, at, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", at)
@@ -30,6 +32,16 @@ def written(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Deletes a table that `written` made and nothing will read again."""
+    spark = df.sparkSession
+    at = shared_dir(spark)
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        if path.getParent().getName() == at.rstrip("/").rsplit("/", 1)[-1]:
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 _HELD: dict = {}
 
 

@@ -12,6 +12,15 @@ def tokens(t):
     return [*(t or "").encode().lower().split(), None]
 
 
+def slow_discounts(n1, n2, n3, n4):
+    """Discounts of counts 0 to 3 and over, as the formulas have them."""
+    y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
+    out = [0.0]
+    for k, (a, b) in enumerate(((n1, n2), (n2, n3), (n3, n4)), 1):
+        out.append(k / 2 if not a else min(k, max(0.001, k - (k + 1) * y * b / a)))
+    return out
+
+
 def slow(rows):
     """The model by plain counting; scores by id."""
     train = [tokens(t) for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 7 != 2]
@@ -25,8 +34,8 @@ def slow(rows):
     followers = {}
     for (v, _), c in bi.items():
         followers.setdefault(v, Counter())[min(c, 3)] += 1
-    d = lm.discounts([sum(c == k for c in bi.values()) for k in (1, 2, 3, 4)])
-    dc = lm.discounts([sum(c == k for c in cont.values()) for k in (1, 2, 3, 4)])
+    d = slow_discounts(*[sum(c == k for c in bi.values()) for k in (1, 2, 3, 4)])
+    dc = slow_discounts(*[sum(c == k for c in cont.values()) for k in (1, 2, 3, 4)])
     spread = sum(dc[min(c, 3)] for c in cont.values())
     lower = lambda w: (max(0, cont[w] - dc[min(3, cont[w])]) + spread / (v_size + 1)) / len(bi)
 
@@ -45,6 +54,7 @@ def test_scores_equal_plain_counting(spark, monkeypatch):
     rng = random.Random(8)
     vocabulary = [f"w{i}" for i in range(60)]
     rows = [(i, " ".join(rng.choices(vocabulary, weights=[1 / (k + 1) for k in range(60)], k=rng.randrange(60)))) for i in range(80)]
+    rows += [(600, " ".join(f"x{i % 7000}" for i in range(20_000)))]
     rows += [(500, None), (501, ""), (None, "w1 zzz"), (502, "new words only"), (3, rows[3][1])]
     want = slow(rows)
     table = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, score string")
