@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.operators import citations, corpus, quality
-from lectern.sources.tables import load
+from lectern.sources.tables import load, stored
 
+from . import search
 from .views import STATUSES, TYPES, cte, view
 
 QUERIES, ORACLE = {}, {}
@@ -174,10 +175,13 @@ _LAST = f"length({_HEAD}) - instr(reverse({_HEAD}), ' .') - 1"
 _EXCERPT = f"CASE WHEN length(content) <= 300 THEN trim(content, ' ' || chr(9) || chr(10) || chr(13)) WHEN contains({_HEAD}, '. ') THEN CASE WHEN {_LAST} > 150 THEN substr({_HEAD}, 1, ({_LAST} + 1)::int) ELSE {_HEAD} END ELSE {_HEAD} || '...' END"
 
 
-@query("e1_emit_citations", cte("pieces") + f" SELECT document_id AS query_id, row_number() OVER (PARTITION BY document_id ORDER BY chunk_index) AS position, chunk_id, document_id, {_EXCERPT} AS excerpt, CASE WHEN chunk_index % 2 = 0 THEN 0.5 ELSE 0.25 END::double AS relevance_score FROM pieces WHERE chunk_index < 5")
+@query("e1_emit_citations", search.ALL + f" SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS position, chunk_id, document_id, {_EXCERPT} AS excerpt, round(coalesce(rerank_score, fusion_score), 9) AS relevance_score FROM fused JOIN pieces USING (chunk_id) LEFT JOIN reranked USING (query_id, chunk_id)")
 def e1(spark, sf_dir):
-    c = pieces(spark, sf_dir).where("chunk_index < 5").selectExpr("document_id as query_id", "chunk_index as rank", "chunk_id", "document_id", "content", "case when chunk_index % 2 = 0 then 0.5d end as rerank_score", "0.25d as fusion_score")
-    return citations.emit_citations(c)
+    """The fused results as citations; those that were reranked carry that score."""
+    f = stored(search.fused(spark, sf_dir), "fused")
+    r = search.reranked(spark, sf_dir, f).select("query_id", "chunk_id", "rerank_score")
+    c = f.join(pieces(spark, sf_dir).select("chunk_id", "document_id", "content"), "chunk_id").join(r, ["query_id", "chunk_id"], "left")
+    return citations.emit_citations(c).withColumn("relevance_score", F.round("relevance_score", 9))
 
 
 @query("e2_excerpt", f"SELECT doc_id, {_EXCERPT.replace('content', 'text')} AS excerpt FROM documents")
@@ -248,11 +252,12 @@ def e9(spark, sf_dir):
     return citations.citing_answers(cited(spark, sf_dir), view(spark, sf_dir, "corpus"))
 
 
-@query("e10_grounded_answer", cte("corpus", "pieces") + """, p AS (SELECT document_id AS query_id, chunk_index + 1 AS n, '"' || CASE WHEN length(content) <= 160 THEN content WHEN instr(substr(content, 1, 160), ' ') > 0 THEN substr(content, 1, 160 - instr(reverse(substr(content, 1, 160)), ' ')) ELSE substr(content, 1, 160) END || '" [' || (chunk_index + 1) || ']' AS part FROM pieces WHERE chunk_index < 3 AND document_id % 4 > 0)
-SELECT document_id AS query_id, coalesce(string_agg(part, chr(10) ORDER BY n), 'No hay evidencia suficiente.') AS answer FROM corpus LEFT JOIN p ON query_id = document_id GROUP BY 1""")
+@query("e10_grounded_answer", search.ALL + """, p AS (SELECT query_id, rerank_rank AS n, '"' || CASE WHEN length(content) <= 160 THEN content WHEN instr(substr(content, 1, 160), ' ') > 0 THEN substr(content, 1, 160 - instr(reverse(substr(content, 1, 160)), ' ')) ELSE substr(content, 1, 160) END || '" [' || rerank_rank || ']' AS part FROM reranked JOIN pieces USING (chunk_id))
+SELECT a.query_id, coalesce(string_agg(part, chr(10) ORDER BY n), 'No hay evidencia suficiente.') AS answer FROM asked a LEFT JOIN p USING (query_id) GROUP BY 1""")
 def e10(spark, sf_dir):
-    context = pieces(spark, sf_dir).where("chunk_index < 3 and document_id % 4 > 0").selectExpr("document_id as query_id", "chunk_index + 1 as n", "content")
-    return citations.grounded_answer(context, view(spark, sf_dir, "corpus").selectExpr("document_id as query_id"))
+    """Answers from the reranked results."""
+    context = search.reranked(spark, sf_dir).join(pieces(spark, sf_dir), "chunk_id").select("query_id", F.col("rerank_rank").alias("n"), "content")
+    return citations.grounded_answer(context, search.asked(spark, sf_dir).select("query_id"))
 
 
 @query("b30_render_block", cte("corpus") + """ SELECT document_id, '[' || (document_id % 9 + 1) || '] ' || CASE WHEN document_id % 4 = 0 THEN 'Fragmento ' || (document_id % 6 + 1) ELSE 'Artículo ' || document_id % 50 END || ' — ' || title || ' (' || source_name || ')' || chr(10) || coalesce('Fecha de publicación: ' || publication_date || chr(10), '') || 'Vigencia: ' || status || CASE WHEN status = 'DESCONOCIDO' THEN ' (no verificada: no debe presentarse como vigente)' WHEN status <> 'VIGENTE' THEN ' (ADVERTENCIA: no es norma plenamente vigente)' ELSE '' END || chr(10) || chr(10) || text AS block FROM corpus""")

@@ -96,7 +96,7 @@ rs AS (SELECT query_id, chunk_id, rank, round(CASE WHEN len(q) = 0 OR len(d) = 0
 reranked AS (SELECT query_id, chunk_id, rerank_score, rerank_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank) AS rerank_rank FROM rs) WHERE rerank_rank <= 5)"""
 _BASE = cte("pieces") + ",\n" + ASKED
 _LEX = ",\n".join([_BASE, POSTINGS, PARSED, LEXICAL])
-_ALL = ",\n".join([_LEX, _embed("pv", "pieces", "chunk_id", "content"), _embed("qv", "asked", "query_id", "text"), SEMANTIC, FUSED, RERANKED])
+ALL = ",\n".join([_LEX, _embed("pv", "pieces", "chunk_id", "content"), _embed("qv", "asked", "query_id", "text"), SEMANTIC, FUSED, RERANKED])
 
 
 def vectors(spark, sf_dir):
@@ -219,17 +219,17 @@ def d6_recall(spark, sf_dir):
     return load(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").agg(F.count("*").alias("queries")).join(share).select("queries", (F.col("recall") >= 0.9).alias("enough"))
 
 
-@query("d7_rrf_fusion", _ALL + " SELECT query_id, chunk_id, semantic_rank, lexical_rank, round(fusion_score, 9) AS fusion_score, retrieval_source, rank FROM fused")
+@query("d7_rrf_fusion", ALL + " SELECT query_id, chunk_id, semantic_rank, lexical_rank, round(fusion_score, 9) AS fusion_score, retrieval_source, rank FROM fused")
 def d7(spark, sf_dir):
     return fused(spark, sf_dir).select("query_id", "chunk_id", "semantic_rank", "lexical_rank", F.round("fusion_score", 9).alias("fusion_score"), "retrieval_source", "rank")
 
 
-@query("d8_rerank_overlap", _ALL + " SELECT * FROM reranked")
+@query("d8_rerank_overlap", ALL + " SELECT * FROM reranked")
 def d8(spark, sf_dir):
     return reranked(spark, sf_dir)
 
 
-@query("d8b_rerank_none", _ALL + " SELECT query_id, chunk_id, 0.0::double AS rerank_score, rank AS rerank_rank FROM fused WHERE rank <= 5")
+@query("d8b_rerank_none", ALL + " SELECT query_id, chunk_id, 0.0::double AS rerank_score, rank AS rerank_rank FROM fused WHERE rank <= 5")
 def d8b(spark, sf_dir):
     return R.rerank_none(fused(spark, sf_dir))
 
@@ -248,7 +248,7 @@ _GATE = """ctx AS (SELECT * FROM reranked WHERE query_id % 6 > 0), g AS (SELECT
 gate AS (SELECT a.query_id, CASE WHEN n IS NULL THEN 'no_candidates' WHEN top < 0.35 THEN 'below_evidence_threshold' ELSE 'sufficient' END AS reason, top FROM asked a LEFT JOIN g USING (query_id))"""
 
 
-@query("d9_evidence_gate", _ALL + ",\n" + _GATE + " SELECT query_id, reason = 'sufficient' AS sufficient, reason, top AS top_score FROM gate")
+@query("d9_evidence_gate", ALL + ",\n" + _GATE + " SELECT query_id, reason = 'sufficient' AS sufficient, reason, top AS top_score FROM gate")
 def d9(spark, sf_dir):
     context = reranked(spark, sf_dir).where("query_id % 6 > 0").withColumnRenamed("rerank_rank", "rank")
     return R.evidence_gate(asked(spark, sf_dir), context)
@@ -259,7 +259,7 @@ fold AS (SELECT query_id, n, chunk_id, cost, 400::bigint - cost AS left_, true A
  SELECT c.query_id, c.n, c.chunk_id, c.cost, CASE WHEN f.left_ > 0 AND c.cost <= f.left_ THEN f.left_ - c.cost ELSE f.left_ END, f.left_ > 0 AND c.cost <= f.left_, f.kept + (f.left_ > 0 AND c.cost <= f.left_)::int FROM fold f JOIN costs c ON c.query_id = f.query_id AND c.n = f.n + 1)"""
 
 
-@query("d10_pack_context", ",\n".join([_ALL, _PACK]) + " SELECT query_id, chunk_id, kept AS n FROM fold WHERE took")
+@query("d10_pack_context", ",\n".join([ALL, _PACK]) + " SELECT query_id, chunk_id, kept AS n FROM fold WHERE took")
 def d10(spark, sf_dir):
     """The fused results packed into 400 tokens."""
     c = fused(spark, sf_dir).join(pieces(spark, sf_dir), "chunk_id").select("query_id", "rank", "chunk_id", T.estimate_tokens(F.col("content")).cast("long").alias("cost"))
@@ -269,14 +269,14 @@ def d10(spark, sf_dir):
 _SUMMARY = " SELECT a.query_id, coalesce(s.n, 0) AS semantic, coalesce(x.n, 0) AS lexical, coalesce(f.n, 0) AS fused, coalesce(r.n, 0) AS reranked, r.top AS top_score, {} AS lexical_degraded FROM asked a LEFT JOIN (SELECT query_id, count(*) AS n FROM sem GROUP BY 1) s USING (query_id) LEFT JOIN (SELECT query_id, count(*) AS n FROM lex GROUP BY 1) x USING (query_id) LEFT JOIN (SELECT query_id, count(*) AS n FROM fused GROUP BY 1) f USING (query_id) LEFT JOIN (SELECT query_id, count(*) AS n, max(rerank_score) AS top FROM reranked GROUP BY 1) r USING (query_id)"
 
 
-@query("d11_retrieval_summary", _ALL + _SUMMARY.format("false"))
+@query("d11_retrieval_summary", ALL + _SUMMARY.format("false"))
 def d11(spark, sf_dir):
     s, x = semantic(spark, sf_dir), lexical(spark, sf_dir)
     f = R.rrf_fuse(s, x)
     return R.retrieval_summary(asked(spark, sf_dir), s, x, f, reranked(spark, sf_dir, f))
 
 
-@query("d12_semantic_only", _ALL.replace("WHERE rank <= 20)\"\"\"", "").replace("lex AS (SELECT * FROM (SELECT *,", "lex AS (SELECT * FROM (SELECT * FROM (SELECT *,").replace("FROM bestl) WHERE rank <= 20)", "FROM bestl) WHERE rank <= 20) WHERE false)") + _SUMMARY.format("true"))
+@query("d12_semantic_only", ALL.replace("lex AS (SELECT * FROM (SELECT *,", "lex AS (SELECT * FROM (SELECT * FROM (SELECT *,").replace("FROM bestl) WHERE rank <= 20)", "FROM bestl) WHERE rank <= 20) WHERE false)") + _SUMMARY.format("true"))
 def d12(spark, sf_dir):
     s = semantic(spark, sf_dir)
     none = s.limit(0)
@@ -336,7 +336,7 @@ def d16(spark, sf_dir):
     return R.dedup_results(results, answers).select("query_id", "n", "url", "title", F.md5("snippet").alias("digest"))
 
 
-@query("g9_arm_contribution", _ALL + " SELECT query_id, count_if(retrieval_source = 'SEMANTIC') AS \"SEMANTIC\", count_if(retrieval_source = 'LEXICAL') AS \"LEXICAL\", count_if(retrieval_source = 'HYBRID') AS \"HYBRID\", round(count_if(retrieval_source = 'HYBRID') / count(*), 6) AS hybrid_share FROM fused GROUP BY 1")
+@query("g9_arm_contribution", ALL + " SELECT query_id, count_if(retrieval_source = 'SEMANTIC') AS \"SEMANTIC\", count_if(retrieval_source = 'LEXICAL') AS \"LEXICAL\", count_if(retrieval_source = 'HYBRID') AS \"HYBRID\", round(count_if(retrieval_source = 'HYBRID') / count(*), 6) AS hybrid_share FROM fused GROUP BY 1")
 def g9(spark, sf_dir):
     return R.arm_contribution(fused(spark, sf_dir))
 
@@ -362,7 +362,7 @@ def cases(spark, sf_dir, rows=None):
     return J.evaluate_cases(asked(spark, sf_dir), results, expected)
 
 
-_CASES = _ALL + ",\n" + _JUDGE
+_CASES = ALL + ",\n" + _JUDGE
 for _name, _columns in (("j1_hit_rate", ("hit_at_1", "hit_at_3", "hit_at_5")), ("j2_mrr", ("mrr",)), ("j3_context_recall", ("context_recall",)), ("j4_context_precision", ("context_precision",))):
 
     @query(_name, f"{_CASES} SELECT query_id, {', '.join(_columns)} FROM cases")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lectern.sources.files import scan_corpus, scan_text, write_corpus
+from lectern.sources.files import scan_corpus, scan_text, size_guard, write_corpus
 from lectern.sources.tables import load, workspace
 from lectern.streaming import jobs as S
 
@@ -57,28 +57,58 @@ def s6(spark, sf_dir):
     return S.run_latest(S.accumulate_tokens(tokens), workspace(spark, "tokens"), "job")
 
 
+#: Texts that a source's documents are dealt to.
+FILES = 16
+
+
 def texts(spark, sf_dir):
-    """One file for each source's shortest texts, under header blocks, in the shared folder."""
+    """All documents under header blocks, in FILES texts for each source, in the shared folder."""
     d = load(spark, sf_dir, "documents")
-    per = d.groupBy("source").agg(F.min_by("text", F.struct("n_chars", "doc_id")).alias("text"))
+    slug = F.concat("source", F.lit("_"), (F.col("doc_id") % FILES).cast("string"))
     folder = workspace(spark, "corpus")
-    write_corpus(per.select(F.col("source").alias("slug"), F.concat(F.lit("Norma "), "source").alias("name"), F.lit("1").alias("number"), F.lit("X").alias("issuer"), F.lit("VIGENTE").alias("status"), F.lit("http://x").alias("url"), "text"), folder)
+    write_corpus(d.select(slug.alias("slug"), F.col("doc_id").alias("document_id"), F.concat(F.lit("Norma "), "source").alias("name"), F.col("doc_id").cast("string").alias("number"), F.lit("X").alias("issuer"), F.lit("VIGENTE").alias("status"), F.lit("http://x").alias("url"), "text"), folder)
     return folder
 
 
-_HEAD = "upper('Norma ' || source) || chr(10) || repeat('=', 80) || chr(10) || chr(10) || 'Identificador Oficial: 1' || chr(10) || 'Emisor: X' || chr(10) || 'Estado de Vigencia: VIGENTE' || chr(10) || 'Fuente Oficial: http://x' || chr(10) || chr(10) || repeat('=', 80) || chr(10) || chr(10) || t || chr(10)"
+_HEAD = "upper('Norma ' || source) || chr(10) || repeat('=', 80) || chr(10) || chr(10) || 'Identificador Oficial: ' || doc_id || chr(10) || 'Emisor: X' || chr(10) || 'Estado de Vigencia: VIGENTE' || chr(10) || 'Fuente Oficial: http://x' || chr(10) || chr(10) || repeat('=', 80) || chr(10) || chr(10) || text || chr(10)"
+_FILES = f"p AS (SELECT source || '_' || doc_id % {FILES} AS slug, string_agg({_HEAD}, '' ORDER BY doc_id) AS t, count(*) AS n FROM documents GROUP BY 1)"
 
 
-@query("a1_scan_text", f"WITH p AS (SELECT source, arg_min(text, (n_chars, doc_id)) AS t FROM documents GROUP BY 1) SELECT source AS slug, 'utf-8' AS encoding, sha256({_HEAD}) AS content_hash FROM p")
+@query("a1_scan_text", f"WITH {_FILES} SELECT slug, 'utf-8' AS encoding, sha256(t) AS content_hash, length(t) AS chars FROM p")
 def a1(spark, sf_dir):
-    """Texts written by the sink and scanned again."""
+    """Every document, written by the sink and scanned again."""
     found, _ = scan_text(spark, texts(spark, sf_dir))
-    return found.select(F.regexp_extract("path", "slug=([^/]+)", 1).alias("slug"), "encoding", "content_hash")
+    return found.select(F.regexp_extract("path", "slug=([^/]+)", 1).alias("slug"), "encoding", "content_hash", F.length("text").alias("chars"))
 
 
-@query("a2_scan_corpus", "SELECT DISTINCT source AS slug, NULL::varchar AS reason FROM documents")
+@query("a2_scan_corpus", f"WITH {_FILES} SELECT slug, strlen(t) AS size, NULL::varchar AS reason FROM p")
 def a2(spark, sf_dir):
     """The written folder holds one text for each slug, and nothing that is skipped."""
     kept, skipped = scan_corpus(spark, texts(spark, sf_dir))
     slug = F.regexp_extract("path", "slug=([^/]+)", 1).alias("slug")
-    return kept.select(slug, F.lit(None).cast("string").alias("reason")).unionAll(skipped.select(slug, "reason"))
+    return kept.select(slug, "size", F.lit(None).cast("string").alias("reason")).unionAll(skipped.select(slug, "size", "reason"))
+
+
+@query("a3_size_guard", "SELECT doc_id, CASE WHEN strlen(text) = 0 THEN 'empty' WHEN strlen(text) > 4000 THEN 'too large' END AS reason FROM documents")
+def a3(spark, sf_dir):
+    """The guard at 4000 bytes."""
+    return load(spark, sf_dir, "documents").select("doc_id", size_guard(F.octet_length("text"), 4000).alias("reason"))
+
+
+@query("a13_write_corpus", f"WITH {_FILES} SELECT slug, n AS documents, len(string_split(t, chr(10))) - 1 AS lines FROM p")
+def a13(spark, sf_dir):
+    """Lines and header blocks of each written text."""
+    lines = spark.read.text(texts(spark, sf_dir))
+    return lines.groupBy("slug").agg(F.count_if(F.col("value").startswith("Identificador Oficial: ")).alias("documents"), F.count("*").alias("lines"))
+
+
+@query("s1_ingest_stream", f"WITH {_FILES}, c AS (SELECT slug, sha256(t) AS content_hash, row_number() OVER (PARTITION BY sha256(t) ORDER BY slug) AS nth FROM p) SELECT slug, content_hash, CASE WHEN nth = 1 THEN 'NEW' ELSE 'UNCHANGED' END AS action FROM c UNION ALL SELECT slug || '_again', content_hash, 'UNCHANGED' FROM c")
+def s1(spark, sf_dir):
+    """The written texts, ingested; then the same bytes again under other names, by a second run that goes on from the first one's state."""
+    folder, state = workspace(spark, "incoming"), workspace(spark, "ingest")
+    d = spark.read.text(texts(spark, sf_dir), wholetext=True)
+    d.select(F.col("slug"), F.regexp_replace("value", "\n$", "").alias("value")).write.partitionBy("slug").text(f"{folder}/a")
+    S.ingest_stream(spark, f"{folder}/*", f"{state}/rows", f"{state}/state")
+    d.select(F.concat("slug", F.lit("_again")).alias("slug"), F.regexp_replace("value", "\n$", "").alias("value")).write.partitionBy("slug").text(f"{folder}/b")
+    S.ingest_stream(spark, f"{folder}/*", f"{state}/rows", f"{state}/state")
+    return spark.read.parquet(f"{state}/rows").select(F.regexp_extract("path", "slug=([^/]+)", 1).alias("slug"), "content_hash", "action")

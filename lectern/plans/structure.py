@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from lectern.operators import chunking as C
 from lectern.sources.tables import load
 
+from .text import SPACE, strip_sql
+
 QUERIES, ORACLE = {}, {}
 
 
@@ -66,10 +68,21 @@ def c3(spark, sf_dir):
     return spans(spark, sf_dir, legal(spark, sf_dir)).select("id", "n", "start", "end")
 
 
-@query("c4_emit_chunks")
+_SECTION = """CASE WHEN kind = 'PARAGRAFO' AND i % 4 > 0 THEN 'Artículo ' || i || ' > Parágrafo' ELSE label END"""
+_ARTICLE = """CASE WHEN kind = 'ARTICULO' THEN number WHEN kind = 'PARAGRAFO' AND i % 4 > 0 THEN i::varchar END"""
+_PATH = """'Título ' || (i // 12 * 12) || CASE WHEN kind = 'TITULO' THEN '' ELSE ' > Capítulo ' || (i // 4 * 4) || CASE kind WHEN 'CAPITULO' THEN '' WHEN 'ARTICULO' THEN ' > ' || label ELSE CASE WHEN i % 4 > 0 THEN ' > Artículo ' || i ELSE '' END || ' > Parágrafo' END END"""
+#: The injected text again, the owners of merged spans, and what lies between their places.
+_CHUNKS = f"""{_MERGED}, whole AS (SELECT id, string_agg(CASE WHEN i % 12 = 0 THEN 'TÍTULO ' || i || chr(10) ELSE '' END || CASE WHEN i % 4 = 0 THEN 'CAPÍTULO ' || i || chr(10) ELSE '' END || CASE WHEN i % 5 = 4 THEN 'PARÁGRAFO. ' ELSE 'ARTÍCULO ' || (i + 1) || '. ' END || line, chr(10) || chr(10) ORDER BY i) AS text FROM ll GROUP BY 1),
+named AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY i, k) AS n, {_SECTION} AS section, {_ARTICLE} AS article_number, {_PATH} AS path FROM hd),
+owner AS (SELECT id, part, arg_min(n, levels * 10000000 + n) AS n FROM mg GROUP BY 1, 2),
+cut AS (SELECT f.id, f.n, f.start, substr(text, f.start::int + 1, (f."end" - f.start)::int) AS raw, section, article_number, path FROM fin f JOIN whole USING (id) JOIN owner o ON o.id = f.id AND o.part = f.n JOIN named m ON m.id = f.id AND m.n = o.n),
+chunk AS (SELECT *, {strip_sql('raw')} AS content, length(raw) - length(regexp_replace(raw, '^{SPACE}+', '')) AS lead FROM cut)"""
+
+
+@query("c4_emit_chunks", f"""WITH RECURSIVE {_CHUNKS} SELECT id, row_number() OVER (PARTITION BY id ORDER BY n) - 1 AS chunk_index, section, article_number, path, md5(content) AS digest, start + lead AS char_start, start + lead + length(content) AS char_end, {_TOK.format('length(content)')}::int AS tokens FROM chunk WHERE content <> ''""")
 def c4(spark, sf_dir):
     docs = legal(spark, sf_dir)
-    return C.emit_chunks(docs, spans(spark, sf_dir, docs))
+    return C.emit_chunks(docs, spans(spark, sf_dir, docs)).withColumn("digest", F.md5("content")).drop("content")
 
 
 def bodies(spark, sf_dir):

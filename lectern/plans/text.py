@@ -39,8 +39,12 @@ def _fold(x):
     return f"replace(translate(nfc_normalize({x}), chr(160)||chr(8201)||chr(8239)||chr(8216)||chr(8217)||chr(8218)||chr(8220)||chr(8221)||chr(8211)||chr(8212)||chr(8213)||chr(9)||chr(8203)||chr(8204)||chr(8205)||chr(65279)||chr(173), '{three}'), chr(8230), '...')"
 
 
-def _strip(x):
-    return f"regexp_replace({x}, '^[\\s\\x{{85}}\\x{{1c}}-\\x{{1f}}\\pZ]+|[\\s\\x{{85}}\\x{{1c}}-\\x{{1f}}\\pZ]+$', '', 'g')"
+#: Unicode white space as the functions strip it.
+SPACE = "[\\s\\x{85}\\x{1c}-\\x{1f}\\pZ]"
+
+
+def strip_sql(x):
+    return f"regexp_replace({x}, '^{SPACE}+|{SPACE}+$', '', 'g')"
 
 
 @query("b1_fold_confusables", f"WITH {NOISY} SELECT doc_id, md5({_fold('text')}) AS digest, length({_fold('text')}) AS n FROM noisy")
@@ -49,7 +53,7 @@ def b1(spark, sf_dir):
     return noisy(spark, sf_dir).select("doc_id", F.md5(folded).alias("digest"), F.length(folded).alias("n"))
 
 
-@query("b2_normalize_query", f"WITH {NOISY} SELECT doc_id, md5({_strip('regexp_replace(replace(' + _fold('text') + ', chr(10), chr(32)), chr(32) || chr(123) || chr(50) || chr(44) || chr(125), chr(32), chr(103))')}) AS digest FROM noisy")
+@query("b2_normalize_query", f"WITH {NOISY} SELECT doc_id, md5({strip_sql('regexp_replace(replace(' + _fold('text') + ', chr(10), chr(32)), chr(32) || chr(123) || chr(50) || chr(44) || chr(125), chr(32), chr(103))')}) AS digest FROM noisy")
 def b2(spark, sf_dir):
     return noisy(spark, sf_dir).select("doc_id", F.md5(T.normalize_query(F.col("text"))).alias("digest"))
 
@@ -59,9 +63,9 @@ _FURNITURE = r"(?i)^(p[áa]g(?:ina|\.)?\s*\d+(?:\s*(?:de|/)\s*\d+)?|-+\s*\d+\s*-
 CLEANED = f"""{NOISY}, folded AS (SELECT doc_id, text, replace(replace({_fold('text')}, chr(13)||chr(10), chr(10)), chr(13), chr(10)) AS f FROM noisy),
 h AS (SELECT *, regexp_replace(regexp_replace(f, '([{_LOW}])-\\n([{_LOW}])', '\\1\\2', 'g'), '([{_LOW}])-\\n([{_LOW}])', '\\1\\2', 'g') AS j FROM folded),
 w AS (SELECT *, regexp_replace(regexp_replace(j, '([{_LOW},;])\\n([{_LOW}])', '\\1 \\2', 'g'), '([{_LOW},;])\\n([{_LOW}])', '\\1 \\2', 'g') AS k FROM h),
-l AS (SELECT *, list_transform(string_split(k, chr(10)), lambda x: {_strip('x')}) AS lines FROM w),
+l AS (SELECT *, list_transform(string_split(k, chr(10)), lambda x: {strip_sql('x')}) AS lines FROM w),
 c AS (SELECT *, list_filter(lines, lambda x: NOT regexp_matches(x, '{_FURNITURE}')) AS kept FROM l),
-cleaned AS (SELECT doc_id, {_strip("regexp_replace(regexp_replace(coalesce(array_to_string(kept, chr(10)), ''), ' {2,}', ' ', 'g'), '\\n{3,}', chr(10)||chr(10), 'g')")} AS text,
+cleaned AS (SELECT doc_id, {strip_sql("regexp_replace(regexp_replace(coalesce(array_to_string(kept, chr(10)), ''), ' {2,}', ' ', 'g'), '\\n{3,}', chr(10)||chr(10), 'g')")} AS text,
   length(text) AS original_length, len(lines) - len(kept) AS dropped, length(f) - length(j) AS two_each FROM c)"""
 
 
@@ -78,7 +82,7 @@ def b4(spark, sf_dir):
     return c.withColumn("removed_ratio", ratio).where("removed_ratio > 0.02").select("doc_id", F.round("removed_ratio", 6).alias("removed_ratio"))
 
 
-@query("b5_clean_markdown", f"WITH {NOISY} SELECT doc_id, md5({_strip('''regexp_replace(regexp_replace(regexp_replace(replace(replace(text, chr(13)||chr(10), chr(10)), chr(13), chr(10)), '\\n{3,}', chr(10)||chr(10), 'g'), '(?im)^\\s*p[aá]gina\\s+\\d+\\s+(?:de\\s+\\d+)?\\s*$', '', 'g'), '(?im)^\\s*folio\\s+\\d+\\s*$', '', 'g')''')}) AS digest FROM noisy")
+@query("b5_clean_markdown", f"WITH {NOISY} SELECT doc_id, md5({strip_sql('''regexp_replace(regexp_replace(regexp_replace(replace(replace(text, chr(13)||chr(10), chr(10)), chr(13), chr(10)), '\\n{3,}', chr(10)||chr(10), 'g'), '(?im)^\\s*p[aá]gina\\s+\\d+\\s+(?:de\\s+\\d+)?\\s*$', '', 'g'), '(?im)^\\s*folio\\s+\\d+\\s*$', '', 'g')''')}) AS digest FROM noisy")
 def b5(spark, sf_dir):
     return noisy(spark, sf_dir).select("doc_id", F.md5(T.clean_markdown(F.col("text"))).alias("digest"))
 

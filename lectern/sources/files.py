@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SUFFIXES = ("txt", "md", "html", "htm", "xhtml")
@@ -13,35 +13,51 @@ _UNDEFINED = "\x81\x8d\x8f\x90\x9d"
 _C1 = [b for b in range(0x80, 0xA0) if chr(b) not in _UNDEFINED]
 
 
+def size_guard(size: Column, most: int = MOST_BYTES) -> Column:
+    """Why a file of this size is not read: it is empty, or larger than `most` bytes; null for others."""
+    return F.when(size == 0, "empty").when(size > most, "too large")
+
+
 def scan_corpus(spark: SparkSession, folder: str, recursive: bool = True) -> tuple[DataFrame, DataFrame]:
     """(files to read, files skipped): path, size and why a file is left out; contents are not read.
 
-    Documentation files, other suffixes and very large files are skipped; Spark's reader never lists empty ones.
+    Documentation files, other suffixes and files beyond the size guard are skipped.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder).select("path", F.col("length").alias("size"))
     name = F.lower(F.regexp_extract("path", r"([^/]+)$", 1))
     stem, suffix = F.regexp_extract(name, r"^(.*?)(?:\.[^.]*)?$", 1), F.regexp_extract(name, r"\.([^.]*)$", 1)
-    why = F.when(~suffix.isin(*SUFFIXES), "suffix").when(stem.isin(*DOCUMENTATION), "documentation").when(F.col("size") > MOST_BYTES, "too large")
+    why = F.coalesce(F.when(~suffix.isin(*SUFFIXES), "suffix").when(stem.isin(*DOCUMENTATION), "documentation"), size_guard(F.col("size")))
     marked = files.withColumn("reason", why)
     return marked.where("reason is null").drop("reason"), marked.where("reason is not null")
 
 
-def scan_text(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(texts, rejects): path, text, encoding, content_hash; UTF-8 first, then the Western code page, then Latin-1; blank texts are rejected."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where(F.col("length").between(1, MOST_BYTES))
-    utf8 = F.try_validate_utf8(F.col("content").cast("string"))
-    bom = utf8.startswith("﻿")
-    latin = F.decode("content", "iso-8859-1")
+def decoded(content: Column) -> Column:
+    """struct(text, encoding): UTF-8 first, with or without its mark, then the Western code page, then Latin-1."""
+    utf8 = F.try_validate_utf8(content.cast("string"))
+    bom = utf8.startswith("\ufeff")
+    latin = F.decode(content, "iso-8859-1")
     odd = latin.rlike(f"[{_UNDEFINED}]")
     western = F.translate(latin, "".join(map(chr, _C1)), bytes(_C1).decode("cp1252"))
     text = F.coalesce(F.when(bom, F.substring(utf8, 2, 1 << 30)).otherwise(utf8), F.when(odd, latin).otherwise(western))
-    read = raw.select("path", text.alias("text"), F.when(bom, "utf-8-sig").when(utf8.isNotNull(), "utf-8").when(odd, "latin-1").otherwise("cp1252").alias("encoding"), F.sha2("content", 256).alias("content_hash"))
+    return F.struct(text.alias("text"), F.when(bom, "utf-8-sig").when(utf8.isNotNull(), "utf-8").when(odd, "latin-1").otherwise("cp1252").alias("encoding"))
+
+
+def scan_text(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(texts, rejects): path, text, encoding, content_hash (SHA-256 of the bytes); blank texts and sizes beyond the guard are rejected."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    odd = raw.select("path", size_guard(F.col("length")).alias("reason")).where("reason is not null")
+    read = raw.where(size_guard(F.col("length")).isNull()).select("path", decoded(F.col("content")).alias("d"), F.sha2("content", 256).alias("content_hash")).select("path", "d.*", "content_hash")
     blank = F.regexp_replace("text", r"(?U)\s", "") == ""
-    return read.where(~blank), read.where(blank).select("path", F.lit("no text").alias("reason"))
+    return read.where(~blank), read.where(blank).select("path", F.lit("no text").alias("reason")).unionAll(odd)
 
 
 def write_corpus(docs: DataFrame, folder: str) -> None:
-    """One text below a folder for each slug, under a header block; docs (slug, name, number, issuer, status, url, text)."""
+    """One text below a folder for each slug, its documents in order of `document_id` under header blocks.
+
+    docs (slug, document_id, name, number, issuer, status, url, text). A slug is written by one task, so
+    a slug should hold no more documents than a file may.
+    """
     rule = "=" * 80
     head = F.concat_ws("\n", F.upper("name"), F.lit(rule), F.lit(""), F.concat(F.lit("Identificador Oficial: "), "number"), F.concat(F.lit("Emisor: "), "issuer"), F.concat(F.lit("Estado de Vigencia: "), "status"), F.concat(F.lit("Fuente Oficial: "), "url"), F.lit(""), F.lit(rule), F.lit(""), "text")
-    docs.select("slug", head.alias("value")).write.partitionBy("slug").mode("overwrite").text(folder)
+    ordered = docs.select("slug", "document_id", head.alias("value")).repartition("slug").sortWithinPartitions("slug", "document_id")
+    ordered.select("slug", "value").write.partitionBy("slug").mode("overwrite").text(folder)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lectern.functions import text as T
+from lectern.sources.files import decoded, size_guard
 
 LATE = "10 minutes"
 
@@ -87,19 +88,25 @@ def accumulate_tokens(events: DataFrame, idle_ms: int = 600_000) -> DataFrame:
 
 
 def ingest_stream(spark: SparkSession, folder: str, target: str, state: str) -> None:
-    """New text files become cleaned documents in `target`; content seen before is skipped.
+    """New text files become rows of `target`: path, text (cleaned), content_hash (SHA-256 of the bytes), action.
 
-    Each batch overwrites its own part, so a batch that is run again leaves one result.
+    action is NEW, or UNCHANGED for bytes that are stored already, under this or another path; an
+    unchanged file has no text. Each batch overwrites its own part, so a batch that is run again
+    leaves one result.
     """
-    files = spark.readStream.format("text").option("wholetext", "true").load(folder).select("value", F.input_file_name().alias("path"))
+    shape = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.readStream.format("binaryFile").schema(shape).option("recursiveFileLookup", "true").load(folder).where(size_guard(F.col("length")).isNull())
 
     def put(batch: DataFrame, number: int) -> None:
-        docs = batch.select("path", T.clean_text(F.col("value")).text.alias("text"), F.sha2("value", 256).alias("content_hash")).dropDuplicates(["content_hash"])
+        docs = batch.select("path", T.clean_text(decoded(F.col("content")).text).text.alias("text"), F.sha2("content", 256).alias("content_hash"))
+        first = docs.groupBy("content_hash").agg(F.min("path").alias("first"))
         parts = [p for p in known() if p != number]
         if parts:
-            old = spark.read.parquet(*[f"{target}/batch={p}" for p in parts]).select("content_hash")
-            docs = docs.join(old, "content_hash", "left_anti")
-        docs.write.mode("overwrite").parquet(f"{target}/batch={number}")
+            old = spark.read.parquet(*[f"{target}/batch={p}" for p in parts]).where("action = 'NEW'").select("content_hash")
+            first = first.join(old, "content_hash", "left_anti")
+        new = F.col("path").eqNullSafe(F.col("first"))
+        out = docs.join(first, "content_hash", "left").select("path", F.when(new, F.col("text")).alias("text"), "content_hash", F.when(new, "NEW").otherwise("UNCHANGED").alias("action"))
+        out.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     def known() -> list[int]:
         path = spark._jvm.org.apache.hadoop.fs.Path(target)

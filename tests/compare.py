@@ -22,10 +22,10 @@ def norm(v):
         return None
     if isinstance(v, bool):
         return int(v)
-    if isinstance(v, decimal.Decimal):
-        v = float(v)
+    if isinstance(v, decimal.Decimal):  # sums of whole numbers in DuckDB
+        v = int(v) if v == v.to_integral_value() else float(v)
     if isinstance(v, float):
-        return int(v) if v == int(v) and abs(v) < 1e15 else float(f"{v:.9g}")
+        return float(f"{v:.9g}") + 0.0
     if isinstance(v, datetime.datetime):
         return v.replace(tzinfo=None).isoformat()
     if isinstance(v, (list, tuple)):

@@ -1,6 +1,7 @@
 """Operators on small tables: empty and null inputs, plans, and what SQL does not show."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -73,16 +74,38 @@ def test_headings(spark):
     assert got == {1: [("ARTICULO", "15A", 0)], 2: [("ARTICULO", "7", 0)], 4: [("PARAGRAFO", "1", 0)], 5: [("CONSIDERANDO", None, 0), ("RESUELVE", None, 20), ("NUMERAL", "PRIMERO", 29)]}
 
 
-def test_nearest_in_slices_and_cells(spark):
+def test_nearest_by_blocks_and_cells(spark, monkeypatch):
     rng = random.Random(2)
-    rows = [(i, [rng.gauss(0, 1) for _ in range(16)]) for i in range(300)] + [(900, [0.0] * 16)]
+    rows = [(i, [rng.gauss(0, 1) for _ in range(16)]) for i in range(300)] + [(900, [0.0] * 16), (901, None)]
     base = spark.createDataFrame(rows, "id long, vector array<double>")
     queries = base.where("id % 50 = 0").withColumnRenamed("id", "query_id")
     whole = {(r.query_id, r.id): r.rank for r in E.nearest(base, queries, 10, 0.0).collect()}
-    sliced = {(r.query_id, r.id): r.rank for r in E.nearest(base, queries, 10, 0.0, query_rows=2).collect()}
-    assert whole == sliced and all(whole[q, q] == 1 for q in range(0, 300, 50))
-    near = {(r.query_id, r.id) for r in E.nearest_by_cells(base, queries, 10, 0.0, cells=8, probes=7).collect()}
-    assert len(near & set(whole)) >= 0.9 * len([k for k in whole if k[0] != 900])
+    near = {(r.query_id, r.id) for r in E.nearest_by_cells(base, queries, 10, 0.0).collect()}
+    assert len(near & set(whole)) >= 0.9 * len([k for k in whole if k[0] != 900]) and all(whole[q, q] == 1 for q in range(0, 300, 50))
+    monkeypatch.setattr(E, "BROADCAST_BYTES", -1)  # query blocks meet base blocks without a broadcast
+    assert whole == {(r.query_id, r.id): r.rank for r in E.nearest(base.repartition(5), queries.repartition(3), 10, 0.0).collect()}
+    odd = base.withColumn("passes", F.expr("case when id % 2 = 1 then array(0, 1) else array(1) end"))
+    asked = queries.withColumn("asks", (F.col("query_id") % 100 == 0).cast("int"))
+    got = E.nearest(odd, asked, 10, -1.0, "passes", "asks").collect()
+    assert all(r.id % 2 == 1 for r in got if r.query_id % 100) and any(r.id % 2 == 0 for r in got) and {r.rank for r in got} == set(range(1, 11))
+    assert E.nearest(base.limit(0), queries, 10, 0.0).count() == E.nearest(base, queries.limit(0), 10, 0.0).count() == E.nearest_by_cells(base.limit(0), queries, 10, 0.0).count() == 0
+
+
+def test_filters_come_before_the_limit(spark):
+    rows = [(i, "m" if i % 3 else "old", i % 5 > 0, "CIVIL" if i % 2 else None, "en", None, "LEY", "VIGENTE", None) for i in range(40)]
+    chunks = spark.createDataFrame(rows, "document_id long, embedding_model string, has_vector boolean, legal_area string, jurisdiction string, court string, document_type string, status string, publication_date date")
+    lists = "array<string>"
+    shape = f"query_id long, areas {lists}, jurisdictions {lists}, courts {lists}, types {lists}, statuses {lists}, document_ids array<long>, published_after date, published_before date"
+    asked = [(1, ["CIVIL"], None, None, None, None, None, None, None), (2, [], [], [], [], [], [7, 8, 9, 11], None, None), (3, None, None, ["x"], None, None, None, None, None)]
+    filters = spark.createDataFrame(asked, shape)
+    pairs = chunks.crossJoin(spark.createDataFrame([(1,), (2,), (3,), (4,)], "query_id long"))
+    got = {(r.query_id, r.document_id) for r in R.apply_filters(pairs, filters, "m").collect()}
+    live = {i for i in range(40) if i % 3 and i % 5 > 0}
+    assert got == {(1, i) for i in live if i % 2} | {(2, i) for i in live & {7, 8, 9, 11}} | {(4, i) for i in live}
+    numbered, asks = R.filter_numbers(chunks, filters, "m")
+    passes = {r.document_id: set(r.passes) for r in numbered.collect()}
+    for r in asks.collect():
+        assert {i for i, p in passes.items() if r.asks in p} == {i for q, i in got if q == r.query_id}
 
 
 def test_packing_skips_what_does_not_fit(spark):
@@ -100,7 +123,7 @@ def test_files(spark, tmp_path):
     (tmp_path / "e.bin").write_text("x")
     found, rejected = scan_text(spark, str(tmp_path))
     texts = {r.path[-5:]: (r.text, r.encoding) for r in found.collect()}
-    assert texts["a.txt"] == ("año", "utf-8-sig") and texts["b.txt"] == ("año", "cp1252") and [r.path[-5:] for r in rejected.collect()] == ["c.txt"]
+    assert texts["a.txt"] == ("año", "utf-8-sig") and texts["b.txt"] == ("año", "cp1252") and {r.path[-5:]: r.reason for r in rejected.collect()}["c.txt"] == "no text"
     kept, skipped = scan_corpus(spark, str(tmp_path))
     assert kept.count() == 3 and {r.path.rsplit("/", 1)[1]: r.reason for r in skipped.collect()} == {"README.md": "documentation", "e.bin": "suffix"}
 
@@ -114,4 +137,56 @@ def test_ingest_stream_skips_what_it_has(spark, tmp_path):
     (tmp_path / "in/c.txt").write_text("tres")
     (tmp_path / "in/d.txt").write_text("cuatro")
     run()
-    assert sorted(r.text for r in spark.read.parquet(f"file://{tmp_path}/out").collect()) == ["cuatro", "tres", "unodos"]
+    rows = spark.read.parquet(f"file://{tmp_path}/out").collect()
+    assert sorted((r.path[-5:], r.action, r.text) for r in rows) == [("a.txt", "NEW", "unodos"), ("b.txt", "NEW", "tres"), ("c.txt", "UNCHANGED", None), ("d.txt", "NEW", "cuatro")]
+
+
+def test_composed_forms(spark):
+    """Every character that is passed through is composed and combines with none; the rest is composed as Unicode has it."""
+    import unicodedata
+
+    passed = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000 and re.fullmatch("[\\u0000-\\u02ff\\u2002-\\u2027\\u2030-\\u205e\\u20a0-\\u20bf\\u2122\\ufeff]", chr(c))]
+    assert all(unicodedata.normalize("NFC", c) == c and unicodedata.combining(c) == 0 for c in passed)
+    texts = ["a\u030a s\u030c a\u0304", "\u1112\u1161\u11ab", "\u212b", "q\u0323\u0307", "e\u0301", "plain", None, "e\u0301\u2014"]
+    got = [r.c for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.composed(F.col("t")).alias("c")).collect()]
+    assert got == [None if t is None else unicodedata.normalize("NFC", t) for t in texts]
+
+
+def test_embedding_seam_refuses(spark):
+    import numpy as np
+    import pytest
+
+    from lectern.operators import embedding as E
+
+    rows = lambda *texts: spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "chunk_id long, content string")
+    assert E.embed(rows(), E.HashVectors(8), 8).count() == 0
+    assert E.embed(rows("uno", "dos"), E.HashVectors(8), 8).count() == 2
+    for texts, model, message in ((("a", "  "), E.HashVectors(8), "empty text"), (("a", None), E.HashVectors(8), "empty text"), (("a", "b"), lambda t: np.zeros((1, 8)), "1 vectors for 2 inputs"), (("a",), lambda t: np.zeros((1, 9)), "dimension"), (("a",), lambda t: np.full((1, 8), np.nan), "finite")):
+        with pytest.raises(Exception, match=message):
+            E.embed(rows(*texts).coalesce(1), model, 8).count()
+
+
+def test_window_score():
+    from lectern.operators.retrieval import window_score
+
+    rng = random.Random(2)
+    for _ in range(200):
+        n = rng.randrange(1, 4)
+        spots = sorted((p, rng.choice("abc"[:n])) for p in rng.sample(range(30), rng.randrange(1, 12)))
+        windows = []
+        for p, _ in spots:
+            last = {t: q for q, t in spots if q <= p}
+            if len(last) == n:
+                windows.append((min(last.values()), p))
+        minimal = [(a, b) for i, (a, b) in enumerate(windows) if not i or a > windows[i - 1][0]]
+        want = sum(1 / (1 + b - a + 1 - n) for a, b in minimal)
+        assert abs(window_score(*zip(*spots), n) - want) < 1e-9
+
+
+def test_containing(spark):
+    from lectern.operators.evaluation import containing
+
+    docs = [(1, "xone two three four fivey"), (2, "one two  three four five"), (3, "zero one two three four five six"), (4, "short a b c"), (5, None)]
+    items = [(10, "one two three four five"), (11, "a b"), (12, "ero one two three four fi"), (13, None)]
+    got = containing(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "query_id long, wanted string"))
+    assert sorted(map(tuple, got.collect())) == sorted((d, q) for d, t in docs for q, w in items if t and w and w in t)

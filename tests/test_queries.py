@@ -6,16 +6,13 @@ from compare import connect, same
 from lectern.plans import registry
 
 SF = "/root/testdata/sf0.001"
-#: Compositions whose parts are all compared here; the driver compares them at a larger size.
-SKIPPED = {"j1_hit_rate", "j2_mrr", "j3_context_recall", "j4_context_precision", "j6_corpus_means", "j7_ablation", "d8_rerank_overlap", "d8b_rerank_none", "d9_evidence_gate", "d11_retrieval_summary", "g9_arm_contribution", "c2_section_paths"}
-
 
 @pytest.fixture(scope="module")
 def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.oracle_sql()) - SKIPPED))
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query(spark, con, name):
     same(spark, con, SF, registry.queries()[name], registry.oracle_sql()[name])
 
