@@ -39,7 +39,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def fold_confusables(text: Column) -> Column:
-    plain = F.translate(composed(text), "".join(ONE_FOR_ONE) + DROPPED, "".join(ONE_FOR_ONE.values()))
+    return folded(composed(text))
+
+
+def folded(text: Column) -> Column:
+    """fold_confusables of a composed text; plain expressions, so that it may stand in a lambda."""
+    plain = F.translate(text, "".join(ONE_FOR_ONE) + DROPPED, "".join(ONE_FOR_ONE.values()))
     return F.replace(plain, F.lit(ELLIPSIS[0]), F.lit(ELLIPSIS[1]))
 
 
@@ -198,4 +203,9 @@ su sus tambien tanto te tiene tienen todo todos tu tus un una unas uno unos y ya
 
 def rank_terms(text: Column) -> Column:
     """Words for ranking: folded, without stop words and single letters."""
-    return F.filter(folded_terms(fold_confusables(text)), lambda t: ~t.isin(*STOP_WORDS) & (F.length(t) > 1))
+    return rank_terms_of(composed(text))
+
+
+def rank_terms_of(text: Column) -> Column:
+    """rank_terms of a composed text, for lambdas."""
+    return F.filter(folded_terms(folded(text)), lambda t: ~t.isin(*STOP_WORDS) & (F.length(t) > 1))

@@ -52,12 +52,10 @@ def verdict_rollup(verdicts: DataFrame, *by: str) -> DataFrame:
 
 def answer_support(answers: DataFrame, context: DataFrame, full: float = 0.8, part: float = 0.3, covered: float = 0.5) -> DataFrame:
     """(message_id, status): the share of an answer's sentences whose words its context covers."""
-    words = F.array_distinct(T.rank_terms(F.col("sentence")))
-    s = answers.select("message_id", F.posexplode(F.split("answer", r"[.!?]\s+")).alias("i", "sentence")).select("message_id", "i", F.explode_outer(words).alias("term"))
-    c = context.select("message_id", F.explode(F.array_distinct(T.rank_terms(F.col("content")))).alias("term")).distinct().withColumn("held", F.lit(1))
-    per = s.where("term is not null").join(c, ["message_id", "term"], "left").groupBy("message_id", "i").agg((F.count("held") / F.count("*")).alias("share"))
-    rate = per.groupBy("message_id").agg(F.avg((F.col("share") >= covered).cast("int")).alias("rate"))
-    j = answers.join(rate, "message_id", "left").join(context.select("message_id").distinct().withColumn("has", F.lit(1)), "message_id", "left")
+    held = context.groupBy("message_id").agg(F.array_distinct(F.flatten(F.collect_list(T.rank_terms(F.col("content"))))).alias("held"), F.lit(1).alias("has"))
+    sentences = F.filter(F.transform(F.split(T.composed(F.col("answer")), r"[.!?]\s+"), lambda x: F.array_distinct(T.rank_terms_of(x))), lambda words: F.size(words) > 0)
+    supported = F.size(F.filter("words", lambda words: F.size(F.array_intersect(words, F.col("held"))) >= covered * F.size(words)))
+    j = answers.join(held, "message_id", "left").withColumn("words", sentences).withColumn("rate", F.try_divide(F.when(F.col("has").isNotNull(), supported), F.size("words")))
     status = F.when(F.trim("answer") == "", "NOT_VERIFIED").when(F.col("has").isNull(), "INSUFFICIENT_EVIDENCE").when(F.col("rate") >= full, "SUPPORTED").when(F.col("rate") >= part, "PARTIALLY_SUPPORTED").otherwise("UNSUPPORTED")
     return j.select("message_id", status.alias("status"))
 
