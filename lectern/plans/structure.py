@@ -89,10 +89,13 @@ def bodies(spark, sf_dir):
     return load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.trim(F.regexp_replace("text", r"(?U)^\s+|\s+$", "")).alias("body")).where("body <> ''")
 
 
-def _units(size, overlap):
-    """Units and greedy parts, as the operator makes them."""
+_BODIES = "SELECT doc_id AS id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS body FROM documents WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''"
+
+
+def _units(size, overlap, bodies=_BODIES):
+    """Units and greedy parts of (id, body), as the operator makes them."""
     again = f"greatest(f.first + 1, coalesce((SELECT max(j) FROM unnest(generate_series(f.first, u.i - 1)) t(j) WHERE list_sum(u.prior[j + 1:]) >= {overlap}), f.first))" if overlap > 0 else "u.i"
-    return """bd AS MATERIALIZED (SELECT doc_id AS id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS body FROM documents WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''),
+    return """bd AS MATERIALIZED (BODIES),
 mk AS (SELECT id, string_split(regexp_replace(regexp_replace(body, '(\\n\\s*\\n)', chr(1) || '\\1' || chr(2), 'g'), '([.;:])(\\s+)([A-ZÁÉÍÓÚÑ0-9¿«"])', '\\1' || chr(1) || '\\2' || chr(2) || '\\3', 'g'), chr(2)) AS ps FROM bd),
 us AS (SELECT id, unnest(generate_series(1, len(ps))) AS i, unnest(ps) AS p FROM mk),
 uo AS (SELECT *, string_split(p, chr(1))[1] AS u, coalesce(sum(length(p) - contains(p, chr(1))::int) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM us),
@@ -101,7 +104,7 @@ uc AS (SELECT *, sum(tok) OVER (PARTITION BY id ORDER BY i) AS upto, list(tok) O
 fo AS (SELECT id, i, 0::bigint AS first, -1::bigint AS closed FROM uc WHERE i = 0 UNION ALL
  SELECT f.id, u.i, CASE WHEN list_sum(u.prior[f.first + 1:]) + u.tok > SIZE THEN AGAIN ELSE f.first END::bigint,
   CASE WHEN list_sum(u.prior[f.first + 1:]) + u.tok > SIZE THEN f.first ELSE -1 END::bigint FROM fo f JOIN uc u ON u.id = f.id AND u.i = f.i + 1),
-pr AS MATERIALIZED (SELECT id, closed AS a, i - 1 AS b FROM fo WHERE closed >= 0 UNION ALL SELECT id, first, i FROM fo JOIN (SELECT id, max(i) AS i FROM uc GROUP BY 1) USING (id, i))""".replace("AGAIN", again).replace("SIZE", str(size))
+pr AS MATERIALIZED (SELECT id, closed AS a, i - 1 AS b FROM fo WHERE closed >= 0 UNION ALL SELECT id, first, i FROM fo JOIN (SELECT id, max(i) AS i FROM uc GROUP BY 1) USING (id, i))""".replace("AGAIN", again).replace("SIZE", str(size)).replace("BODIES", bodies)
 
 
 @query("c5_divide_sections", f"WITH RECURSIVE {_units(120, 25)} SELECT pr.id, row_number() OVER (PARTITION BY pr.id ORDER BY a, b) AS part, count(*) OVER (PARTITION BY pr.id) AS total, x.off AS char_start, y.off + y.len AS char_end FROM pr JOIN un x ON x.id = pr.id AND x.i = a JOIN un y ON y.id = pr.id AND y.i = b")
@@ -127,7 +130,15 @@ def c9(spark, sf_dir):
     return d.select("doc_id", C.article_number(section, F.when(F.col("doc_id") % 4 == 0, F.col("doc_id").cast("string")).otherwise("")).alias("article_number"))
 
 
-@query("c8_split_articles", f"""WITH {_LINES} SELECT id, 'Artículo ' || (i + 1) AS section, (i + 1)::varchar AS article_number, 'TÍTULO ' || (i // 6 + 1) || CASE WHEN i % 6 >= 3 THEN ' > CAPÍTULO ' || (i // 3 + 1) ELSE '' END || ' > Artículo ' || (i + 1) AS path, 'Artículo ' || (i + 1) || '.' || chr(10) || 'x' || length(line) || CASE WHEN i % 3 = 2 THEN '' ELSE chr(10) END || '' AS content FROM ll""".replace(" || CASE WHEN i % 3 = 2 THEN '' ELSE chr(10) END || ''", ""))
+_HEADING = r"(?i)^((?:ART[IÍ]CULO|Art\.)\s+[0-9]+[A-Za-z\-]*\.?(?:\s+[^\n.]+)?(?:\.|\n))"
+_ARTICLES = f"""art AS (SELECT id, i, id * 1000000 + i AS key, {strip_sql("'Artículo ' || (i + 1) || '.' || chr(10) || line")} AS content FROM ll),
+sec AS (SELECT *, substr(regexp_replace(trim(regexp_extract(content, '{_HEADING}', 1)), '[.:\n]+$', ''), 1, 120) AS section FROM art)"""
+_LONG = "SELECT key AS id, content AS body FROM art WHERE length(content) > 4000"
+
+
+@query("c8_split_articles", f"""WITH RECURSIVE {_LINES}, {_ARTICLES}, {_units(1111, 0, _LONG)},
+piece AS (SELECT pr.id AS key, row_number() OVER (PARTITION BY pr.id ORDER BY a, b) AS part, {strip_sql('substr(body, x.off::int + 1, (y.off + y.len - x.off)::int)')} AS piece FROM pr JOIN un x ON x.id = pr.id AND x.i = a JOIN un y ON y.id = pr.id AND y.i = b JOIN bd ON bd.id = pr.id)
+SELECT s.id, coalesce(part, 1) AS part, section || CASE WHEN part IS NULL THEN '' ELSE ' (parte ' || part || ')' END AS section, (i + 1)::varchar AS article_number, 'TÍTULO ' || (i // 6 + 1) || CASE WHEN i % 6 >= 3 THEN ' > CAPÍTULO ' || (i // 3 + 1) ELSE '' END || ' > ' || section AS path, md5(coalesce(piece, content)) AS digest FROM sec s LEFT JOIN piece USING (key)""")
 def c8(spark, sf_dir):
     """Every line as an article, under a title every sixth and a chapter every other third."""
     from lectern.operators.upload_chunking import split_articles
@@ -135,6 +146,6 @@ def c8(spark, sf_dir):
     docs = load(spark, sf_dir, "documents").where("text <> ''").select(F.col("doc_id").alias("id"), F.split("text", "\n").alias("lines"))
     head = lambda line, i: F.concat(
         F.when(i % 6 == 0, F.concat(F.lit("TÍTULO "), F.floor(i / 6 + 1).cast("string"), F.lit("\n"))).otherwise(""), F.when(i % 6 == 3, F.concat(F.lit("CAPÍTULO "), F.floor(i / 3 + 1).cast("string"), F.lit("\n"))).otherwise(""),
-        F.lit("Artículo "), (i + 1).cast("string"), F.lit(".\nx"), F.length(line).cast("string"))
+        F.lit("Artículo "), (i + 1).cast("string"), F.lit(".\n"), line)
     text = F.concat(F.lit("preámbulo\n"), F.array_join(F.transform("lines", head), "\n"))
-    return split_articles(docs.select("id", text.alias("text"))).select("id", "section", "article_number", "path", "content")
+    return split_articles(docs.select("id", text.alias("text"))).select("id", "part", "section", "article_number", "path", F.md5("content").alias("digest"))
