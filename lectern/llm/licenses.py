@@ -201,6 +201,13 @@ def scan(text: str | None, templates: tuple[tuple[str, str], ...]) -> list[dict]
 FOUND = "array<struct<start:long,end:long,template:string,reduction:double,coverage:double,verdict:string,missing:string,added:string>>"
 
 
+def anchor_pattern(anchors: list[str]) -> str:
+    """Matches where an anchor may begin a word; letters are only tried at the start of one, and the first letter first."""
+    if not anchors:
+        return "(?!)"
+    return f"(?iu)(?<![a-z_])(?=[{''.join(sorted({re.escape(w[0]) for w in anchors}))}])(?:{'|'.join(map(re.escape, anchors))})"
+
+
 def scan_documents(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each notice: doc_id, its place in code points, template, size reduction, wording differences.
 
@@ -211,7 +218,7 @@ def scan_documents(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_co
     confirmed first.
     """
     chosen = tuple(sorted(templates.items()))
-    cues = "(?iu)" + "|".join(re.escape(w) for w in sorted(prepared(chosen).anchors)) if prepared(chosen).anchors else "(?!)"
+    cues = anchor_pattern(sorted(prepared(chosen).anchors))
 
     @F.pandas_udf(FOUND)
     def scanned(texts: pd.Series) -> pd.Series:
