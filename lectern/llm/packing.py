@@ -18,9 +18,9 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import held_here, written
@@ -31,7 +31,9 @@ END_ID = 0
 #: Fillings tried at a node, steps spent to find them, and nodes visited in all.
 FILLINGS, STEPS, NODES = 4, 300, 6000
 #: Words that a worker remembers, and as many from before.
-WORD_MEMORY = 400_000
+WORD_MEMORY = 250_000
+#: Rows of a batch whose texts are Python strings at a time.
+ROWS = 1000
 #: Characters of text whose words are looked up together, and the least character that the spelled-out pattern doesn't know.
 STRETCH, NARROW = 1 << 20, 0x250
 _WIDE, _EDGE = re.compile(f"[^\\x00-{chr(NARROW - 1)}]"), re.compile("[!-~](?= )")
@@ -70,11 +72,10 @@ def stretches(text: str, most: int = STRETCH) -> Iterator[str]:
     yield text[a:]
 
 
-class WordIds(dict):
+class WordIds:
     """word -> its ids by the library as little-endian unsigned 32-bit; when full, forgets words not met since it was last full."""
 
     def __init__(self, path: str, pattern: str):
-        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -83,6 +84,7 @@ class WordIds(dict):
         self.merges = Tokenizer(library.model)
         self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.symbols = dict(enumerate(byte_symbols()))
+        self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
         self.any_words = regex.compile(pattern).findall
         spelled = narrow(pattern)
@@ -113,14 +115,13 @@ class WordIds(dict):
 
     def learn(self, lists: list[list[str]]) -> None:
         """Makes all words of the lists known."""
-        if len(self) > WORD_MEMORY:
-            self.before = dict(self)
-            self.clear()
-        unmet = set(itertools.chain.from_iterable(lists)).difference(self)
+        if len(self.known) > WORD_MEMORY:
+            self.known, self.before = {}, self.known
+        unmet = set(itertools.chain.from_iterable(lists)).difference(self.known)
         met = unmet.intersection(self.before)
-        self.update(zip(met, map(self.before.__getitem__, met), strict=True))
+        self.known.update(zip(met, map(self.before.__getitem__, met), strict=True))
         fresh = [*unmet.difference(met)]
-        self.update(zip(fresh, self.encode(fresh), strict=True))
+        self.known.update(zip(fresh, self.encode(fresh), strict=True))
 
     def parts(self, text: str) -> Iterator[bytes | list[str]]:
         """A stretch's words, and the ids of special tokens between them."""
@@ -133,7 +134,7 @@ class WordIds(dict):
     def ids_of(self, held: list[list[bytes | list[str]]]) -> list[bytes]:
         """Ids of texts given as their parts."""
         self.learn([p for parts in held for p in parts if isinstance(p, list)])
-        find = self.__getitem__
+        find = self.known.__getitem__
         return [b"".join(p if isinstance(p, bytes) else b"".join(map(find, p)) for p in parts) for parts in held]
 
     def of_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
@@ -164,16 +165,20 @@ def cut(n: int, size: int) -> list[tuple[int, int]]:
 def pieces(docs: DataFrame, path: str, pattern: str, size: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every document's ids followed by END_ID."""
 
-    @F.pandas_udf("array<struct<start:long,length:long,ids_crc32:long>>")
-    def tokenised(texts: pd.Series) -> pd.Series:
+    def tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = held_here(("packing", path, pattern), lambda: WordIds(path, pattern))
-        out = []
-        for own in ids.of_all(texts):
-            got = own + END_ID.to_bytes(4, "little")
-            out.append([{"start": a, "length": n, "ids_crc32": zlib.crc32(got[4 * a : 4 * (a + n)])} for a, n in cut(len(got) // 4, size)])
-        return pd.Series(out)
-
-    return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(tokenised(F.col(text_col))).alias("piece", "p")).select("doc_id", "piece", "p.*")
+        for batch in batches:
+            for first in range(0, batch.num_rows, ROWS):
+                part, rows = batch.slice(first, ROWS), []
+                for row, own in enumerate(ids.of_all(part.column(1).to_pylist())):
+                    got = own + END_ID.to_bytes(4, "little")
+                    rows += [(row, k, a, n, zlib.crc32(got[4 * a : 4 * (a + n)])) for k, (a, n) in enumerate(cut(len(got) // 4, size))]
+                row, *numbers = zip(*rows, strict=True)
+                columns = [part.column(0).take(pa.array(row)), *map(pa.array, numbers, (pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tokenised, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 # ---- the solution on counts ---------------------------------------------------
