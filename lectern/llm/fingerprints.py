@@ -22,7 +22,7 @@ from .shared import byte_words, written
 
 BINS, BITS, SHINGLE = 512, 4, 5
 #: Rows of a run of neighbouring ids: one in RUNS of all, within bounds.
-RUNS, LEAST_IN_RUN, MOST_IN_RUN = 400, 100, 200_000
+RUNS, LEAST_IN_RUN, MOST_IN_RUN = 400, 100, 50_000
 _LOW = np.uint64((1 << BITS) - 1)
 
 
@@ -154,12 +154,14 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), order_key(F.col(id_col), text).alias("key"))
+    n = docs.count()
     if per_run is None:
-        per_run = min(MOST_IN_RUN, max(LEAST_IN_RUN, docs.count() // RUNS))
+        per_run = min(MOST_IN_RUN, max(LEAST_IN_RUN, n // RUNS))
     starts = run_starts(rows.select("key"), per_run)
     if not starts:
         return docs.sparkSession.createDataFrame([], schema)
-    dealt = in_runs(rows, starts).repartition("run").sortWithinPartitions("run", "lent", "key").select("id", "text", "run", "lent")
+    parts = min(len(starts), 8 + n // 8192)  # tasks grow in number, not in size
+    dealt = in_runs(rows, starts).repartition(parts, "run").sortWithinPartitions("run", "lent", "key").select("id", "text", "run", "lent")
 
     def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, run, names = None, None, [c.split()[0] for c in schema.split(", ")]
