@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -45,11 +47,20 @@ def forget(df: DataFrame) -> None:
 _HELD: dict = {}
 
 
+def given_back() -> None:
+    """Returns what the process has freed to the system, where its C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def held_here(key: object, make: Callable[[], object]) -> object:
     """What a Python worker keeps between batches and tasks: the thing made for `key`, and nothing of an earlier operator."""
     if key not in _HELD:
         _HELD.clear()
-        pa.default_memory_pool().release_unused()
+        given_back()
         _HELD[key] = make()
     return _HELD[key]
 
