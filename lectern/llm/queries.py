@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lectern.sources.tables import load
 
-from . import decontamination, fingerprints, language_id, language_model, licenses, packing, simhash, token_counts, toxicity, url_filter
+from . import alignment, decontamination, fingerprints, language_id, language_model, licenses, packing, simhash, token_counts, toxicity, url_filter
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +52,10 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(load(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_kneser_ney": op2_kneser_ney,
@@ -63,6 +67,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_token_counts": op9_token_counts,
     "op10_simhash_dedup": op10_simhash_dedup,
+    "op11_alignment": op11_alignment,
 }
 
 ORACLE: dict[str, str] = {
