@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lectern.sources.tables import load
 
-from . import alignment, decontamination, fingerprints, language_id, language_model, licenses, packing, simhash, token_counts, toxicity, url_filter
+from . import alignment, decontamination, fingerprints, language_id, language_model, licenses, packing, simhash, token_counts, toxicity, url_filter, whitening
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_documents(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(load(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_kneser_ney": op2_kneser_ney,
@@ -68,6 +72,7 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_simhash_dedup": op10_simhash_dedup,
     "op11_alignment": op11_alignment,
+    "op12_whitening": op12_whitening,
 }
 
 ORACLE: dict[str, str] = {
