@@ -13,6 +13,7 @@ pair is left in the shuffle of the others.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 import json
@@ -33,7 +34,7 @@ from .token_counts import byte_symbols
 
 CHUNK, FAN, HOT = 1 << 16, 16, 400_000
 #: Short stretches that a worker remembers, and as many from before; their length.
-UNITS, LONGEST = 250_000, 64
+UNITS, LONGEST = 120_000, 64
 #: Places where the sides may be cut without changing a token: before a blank that follows a visible
 #: character of ASCII (left), before a blank that follows anything else than a blank (right).
 _LEFT_EDGE, _RIGHT_EDGE, _UNIT = re.compile("[!-~](?= )"), re.compile("[^ ▁](?= )"), re.compile("(?<=[!-~])(?= )")
@@ -49,10 +50,8 @@ class LeftIds:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         special = {t["id"] for t in spec["added_tokens"]}
@@ -61,12 +60,20 @@ class LeftIds:
         merged = [spec["model"]["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in spec["model"]["merges"]]
         #: merges stand in the order of their ids, so that the lowest rank is the lowest id
         self.ranked = tiktoken.Encoding("left", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}) if merged == sorted(merged) else None
-        self.bytes = [b""] * (max(self.library.get_vocab().values()) + 1)
+        self.bytes = [b""] * (max([*special, *ranks.values()]) + 1)
         for b, i in ranks.items():
             self.bytes[i] = b
         self.widths = [*map(len, self.bytes)]
         self.width = np.array(self.widths, np.int64)
 
+    @functools.cached_property
+    def library(self):  # noqa: ANN201
+        from tokenizers import Tokenizer
+
+        made = Tokenizer.from_file(self.path)
+        made.encode_special_tokens = True
+        return made
+
     def of(self, text: str) -> list[int]:
         if not text:
             return []
@@ -312,19 +319,16 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, chunk: int = CHUNK, id_co
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     long = F.octet_length("text") > chunk
-
-    def table(batch: pa.RecordBatch, made: list[tuple], fields: str) -> pa.RecordBatch:
-        names = [f.split(" ")[0] for f in fields.split(", ")]
-        kinds = {"string": pa.string(), "long": pa.int64(), "array<long>": pa.list_(pa.int64())}
-        columns = zip(*made, strict=True) if made else ([] for _ in names)
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, kinds[f.split(" ")[1]]) for c, f in zip(columns, fields.split(", "), strict=True))], names=["rid", "doc_id", *names])
+    row_of, parts_of = ([f.split(" ")[0] for f in fields.split(", ")] for fields in (ROW, PART))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = held(a_path, b_path)
         for batch in batches:
-            for first in range(0, batch.num_rows, 500):
-                part = batch.slice(first, 500)
-                yield table(part, [*map(row, aligner.whole(part.column(2).to_pylist()))], ROW)
+            for first in range(0, batch.num_rows, 200):
+                part = batch.slice(first, 200)
+                made = zip(*map(row, aligner.whole(part.column(2).to_pylist())), strict=True)
+                kinds = [*[pa.int64()] * 4, pa.string(), *[pa.list_(pa.int64())] * 2]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *map(pa.array, made, kinds)], names=["rid", "doc_id", *row_of])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -338,22 +342,18 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, chunk: int = CHUNK, id_co
         aligner = held(a_path, b_path)
         for batch in batches:
             made = [packed(aligner.part(*x)) for x in batch[RANGE].itertuples(index=False, name=None)]
-            yield pd.concat([batch[["rid", "doc_id", "k"]], pd.DataFrame(made, columns=[f.split(" ")[0] for f in PART.split(", ")])], axis=1)
+            yield pd.concat([batch[["rid", "doc_id", "k"]], pd.DataFrame(made, columns=parts_of)], axis=1)
 
-    def joined(part: pd.DataFrame) -> pd.DataFrame:
-        aligner, part = held(a_path, b_path), part.sort_values("k")
-        names = [f.split(" ")[0] for f in PART.split(", ")]
-        f = None
-        for x in map(unpacked, *(part[n] for n in names)):
-            f = x if f is None else aligner.compose(f, x)
-        return pd.DataFrame([[part["rid"].iloc[0], part["doc_id"].iloc[0], part["k"].iloc[0] // FAN, *packed(f)]], columns=["rid", "doc_id", "k", *names])
+    def joined(last: bool):  # noqa: ANN202
+        def neighbours(part: pd.DataFrame) -> pd.DataFrame:
+            aligner, part = held(a_path, b_path), part.sort_values("k")
+            f = None
+            for x in map(unpacked, *(part[n] for n in parts_of)):
+                f = x if f is None else aligner.compose(f, x)
+            rid, doc_id, k = (part[c].iloc[0] for c in ("rid", "doc_id", "k"))
+            return pd.DataFrame([[rid, doc_id, *row(aligner.finished(f))] if last else [rid, doc_id, k // FAN, *packed(f)]], columns=["rid", "doc_id", *(row_of if last else ["k", *parts_of])])
 
-    def closed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        aligner = held(a_path, b_path)
-        names = [f.split(" ")[0] for f in PART.split(", ")]
-        for batch in batches:
-            made = [row(aligner.finished(unpacked(*x))) for x in batch[names].itertuples(index=False, name=None)]
-            yield pd.concat([batch[["rid", "doc_id"]], pd.DataFrame(made, columns=[f.split(" ")[0] for f in ROW.split(", ")])], axis=1)
+        return neighbours
 
     short = rows.where(~long).mapInArrow(whole, f"rid long, doc_id {kind}, {ROW}")
     largest = rows.where(long).agg(F.max(F.octet_length("text"))).first()[0]
@@ -362,10 +362,12 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, chunk: int = CHUNK, id_co
     parts = rows.where(long).mapInArrow(cut, f"rid long, doc_id {kind}, k long, lead string, lead_at long, both string, left string, right string, at long")
     tree = parts.repartition("rid", "k").mapInPandas(first, f"rid long, doc_id {kind}, k long, {PART}")
     width = 4 * largest // chunk + 2  # a range has a quarter of `chunk` characters or more
-    while width > 1:
-        tree = tree.groupBy("rid", (F.col("k") / FAN).cast("long").alias("of")).applyInPandas(joined, f"rid long, doc_id {kind}, k long, {PART}")
+    while width:
         width = -(-width // FAN)
-    return short.unionByName(tree.mapInPandas(closed, f"rid long, doc_id {kind}, {ROW}"))
+        last = width == 1
+        tree = tree.groupBy("rid", (F.col("k") / FAN).cast("long").alias("of")).applyInPandas(joined(last), f"rid long, doc_id {kind}, {ROW if last else 'k long, ' + PART}")
+        width -= last
+    return short.unionByName(tree)
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
