@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lectern.sources.tables import load
 
-from . import alignment, decontamination, fingerprints, language_id, language_model, licenses, packing, simhash, token_counts, toxicity, url_filter, whitening
+from . import alignment, bpe, decontamination, fingerprints, language_id, language_model, licenses, packing, simhash, token_counts, toxicity, url_filter, whitening
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(load(spark, sf_dir, "embeddings"))
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_kneser_ney": op2_kneser_ney,
@@ -73,6 +77,7 @@ QUERIES = {
     "op10_simhash_dedup": op10_simhash_dedup,
     "op11_alignment": op11_alignment,
     "op12_whitening": op12_whitening,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
 ORACLE: dict[str, str] = {
