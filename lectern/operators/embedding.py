@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -123,8 +123,8 @@ def unit_rows(vectors: pd.Series) -> np.ndarray:
 def blocks(df: DataFrame, id_col: str, extra: str | None = None, keys: str | None = None) -> DataFrame:
     """(ids, rows, extra, cell): up to BLOCK_ROWS vectors of length 1 as one row, for products of blocks.
 
-    `extra` is an array<int> of each row (filters it passes, or the one it asks for); with `keys`, an
-    int column, rows of one key make their own blocks.
+    `extra` is an array<string> of each row, for masks of blocks; with `keys`, an int column, rows of
+    one key make their own blocks.
     """
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -134,11 +134,15 @@ def blocks(df: DataFrame, id_col: str, extra: str | None = None, keys: str | Non
                     part = own.iloc[a : a + BLOCK_ROWS]
                     yield pd.DataFrame({"ids": [part.id.to_numpy()], "rows": [unit_rows(part.vector).tobytes()], "extra": [[*part.extra]], "cell": [cell]})
 
-    given = df.where("vector is not null").select(F.col(id_col).alias("id"), "vector", (F.col(extra) if extra else F.array().cast("array<int>")).alias("extra"), (F.col(keys) if keys else F.lit(0)).cast("int").alias("cell"))
-    return given.mapInPandas(pack, "ids array<long>, rows binary, extra array<array<int>>, cell int")
+    given = df.where("vector is not null").select(F.col(id_col).alias("id"), "vector", (F.col(extra) if extra else F.array().cast("array<string>")).alias("extra"), (F.col(keys) if keys else F.lit(0)).cast("int").alias("cell"))
+    return given.mapInPandas(pack, "ids array<long>, rows binary, extra array<array<string>>, cell int")
 
 
-def best_of_pairs(pairs: DataFrame, k: int, floor: float, filtered: bool) -> DataFrame:
+#: From what rows and what queries carry to whether each row may be found by each query.
+Mask = Callable[[Sequence, Sequence], np.ndarray]
+
+
+def best_of_pairs(pairs: DataFrame, k: int, floor: float, mask: Mask | None = None) -> DataFrame:
     """(query_id, id, score) of the best k of each pair of blocks (ids, rows, extra; q_ids, q_rows, q_extra)."""
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -146,12 +150,8 @@ def best_of_pairs(pairs: DataFrame, k: int, floor: float, filtered: bool) -> Dat
             for p in frame.itertuples():
                 ids, asked = np.asarray(p.ids), np.asarray(p.q_ids)
                 cos = (np.frombuffer(p.rows).reshape(len(ids), -1) @ np.frombuffer(p.q_rows).reshape(len(asked), -1).T).round(9)  # equal texts tie exactly
-                if filtered:
-                    wanted = np.array([e[0] for e in p.q_extra])
-                    passes = np.zeros((len(ids), int(max(wanted.max(), *(max(e, default=0) for e in p.extra))) + 1), bool)
-                    for row, e in zip(passes, p.extra, strict=True):
-                        row[np.asarray(e, int)] = True
-                    cos = np.where(passes[:, wanted], cos, -np.inf)
+                if mask:
+                    cos = np.where(mask(p.extra, p.q_extra), cos, -np.inf)
                 order = np.lexsort((np.broadcast_to(ids[:, None], cos.shape), -cos), axis=0)[:k]
                 top = np.take_along_axis(cos, order, 0)
                 keep = top >= floor
@@ -169,22 +169,21 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "id", F.greatest(F.lit(0.0), "score").alias("score"), "rank")
 
 
-def nearest(base: DataFrame, queries: DataFrame, k: int, floor: float, passes: str | None = None, asks: str | None = None) -> DataFrame:
+def nearest(base: DataFrame, queries: DataFrame, k: int, floor: float, facts: str | None = None, demands: str | None = None, mask: Mask | None = None) -> DataFrame:
     """(query_id, id, score, rank): the k rows of `base` (id, vector) of the largest cosine with each query, at `floor` or above.
 
     Both sides are packed into blocks, and every block of queries meets every block of the base in
     some task: a stated query set against all rows. The query blocks are written once, and broadcast
-    if they are few; nothing goes through the driver. With `passes` (array<int> of the base) and
-    `asks` (int of the queries) only rows that pass a query's filter are ranked for it.
+    if they are few; nothing goes through the driver. With `mask` only rows that it lets pass by their
+    `facts` are ranked for a query and its `demands` (both array<string>).
     """
-    wanted = queries.withColumn("_asks", F.array(F.col(asks).cast("int"))) if asks else queries
-    q = stored(_asked(blocks(wanted, "query_id", "_asks" if asks else None)), "query-blocks")
+    q = stored(_asked(blocks(queries, "query_id", demands)), "query-blocks")
     size = q.agg(F.coalesce(F.sum(F.length("q_rows")), F.lit(0))).first()[0]
-    b = blocks(base, "id", passes)
+    b = blocks(base, "id", facts)
     if size > BROADCAST_BYTES:
         b = stored(b, "base-blocks")
     pairs = b.drop("cell").crossJoin(F.broadcast(q.drop("cell")) if size <= BROADCAST_BYTES else q.drop("cell"))
-    return _ranked(best_of_pairs(pairs, k, floor, bool(asks)), k)
+    return _ranked(best_of_pairs(pairs, k, floor, mask), k)
 
 
 def centres_of(x: np.ndarray, cells: int, seed: int, rounds: int = 8) -> np.ndarray:
@@ -235,4 +234,4 @@ def nearest_by_cells(base: DataFrame, queries: DataFrame, k: int, floor: float,
     split = lambda df, n: df.where("vector is not null").withColumn("cell", F.explode(cells_of("vector", F.lit(n))))
     asked = stored(_asked(blocks(split(queries, looks), "query_id", keys="cell")), "query-blocks")
     pairs = blocks(split(base, 1), "id", keys="cell").join(asked, "cell").drop("cell")
-    return _ranked(best_of_pairs(pairs, k, floor, False), k)
+    return _ranked(best_of_pairs(pairs, k, floor), k)

@@ -1,20 +1,19 @@
-"""Retrieval as joins of a query table with a chunk table: lexical arm, fusion, reranking, gate, packing."""
+"""Retrieval as joins of a query table with a chunk table: filters, fusion, reranking, gate, packing."""
 
 from __future__ import annotations
 
+import bisect
+import json
 from collections.abc import Callable, Sequence
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.sources.tables import stored
 
 RRF_K, SEMANTIC_WEIGHT, LEXICAL_WEIGHT, TOP_K, RERANK_K = 60, 0.7, 0.3, 20, 5
 MIN_EVIDENCE, MIN_CHUNKS, CONTEXT_TOKENS = 0.35, 1, 12_000
-#: Terms of a query set that are broadcast to the postings.
-BROADCAST_TERMS = 500_000
 
 
 def ranked(df: DataFrame, by: str, *order: Column, k: int | None = None, name: str = "rank") -> DataFrame:
@@ -42,90 +41,41 @@ def apply_filters(candidates: DataFrame, filters: DataFrame, model: str) -> Data
     return j.where(passes(F.col, lambda c: F.col(f"_wanted.{c}"), model)).drop("_wanted")
 
 
-def filter_numbers(rows: DataFrame, filters: DataFrame, model: str, most: int = 10_000) -> tuple[DataFrame, DataFrame]:
-    """(rows with `passes`: numbers of the distinct filters that each passes, query_id with the number of its filter in `asks`).
-
-    The distinct filters of a query set travel with the plan; more than `most` are refused.
-    """
-    own = F.struct(*[F.col(c) for c in filters.columns if c != "query_id"])
-    keyed = filters.select("query_id", own.alias("wanted"), F.to_json(own).alias("key"))
-    one = stored(keyed.groupBy("key").agg(F.first("wanted").alias("wanted")).withColumn("asks", F.row_number().over(Window.orderBy("key")) - 1), "filters")
-    if (n := one.count()) > most:
-        raise ValueError(f"{n} distinct filters; at most {most} are searched at once")
-    all_ = F.broadcast(one.agg(F.collect_list(F.struct("asks", "wanted")).alias("_all")))  # one row
-    held = F.transform(F.filter("_all", lambda f: passes(F.col, lambda c: f.wanted[c], model)), lambda f: f.asks)
-    return rows.crossJoin(all_).withColumn("passes", held).drop("_all"), keyed.join(F.broadcast(one.select("key", "asks")), "key").select("query_id", "asks")
-
-
-def stem(term: Column) -> Column:
-    """A light plural stem for terms of over four letters."""
-    return F.when(F.length(term) > 4, F.regexp_replace(term, "(es|s)$", "")).otherwise(term)
-
-
-def positioned_terms(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    rows = df.select(F.col(id_col), F.posexplode(T.folded_terms(T.fold_confusables(F.col(text_col)))).alias("pos", "t"))
-    return rows.where(~F.col("t").isin(*T.STOP_WORDS) & (F.length("t") > 1)).withColumn("term", stem(F.col("t"))).drop("t")
-
-
-def lexical_index(chunks: DataFrame) -> DataFrame:
-    """Postings: (term, chunk_id, positions)."""
-    return positioned_terms(chunks, "chunk_id", "content").groupBy("term", "chunk_id").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
-
-
-def parse_query(queries: DataFrame) -> DataFrame:
-    """(query_id, grp, part, i, term, kind): `or` parts groups, quotes hold phrases, a minus excludes."""
-    parts = queries.select("query_id", F.posexplode(F.regexp_extract_all("query", F.lit(r'(-?"[^"]+"|\S+)'), 1)).alias("part", "raw"))
-    w = Window.partitionBy("query_id").orderBy("part")
-    grouped = parts.withColumn("grp", F.sum((F.lower("raw") == "or").cast("int")).over(w)).where("lower(raw) <> 'or'")
-    kind = F.when(F.col("raw").startswith("-"), "not").when(F.col("raw").startswith('"'), "phrase").otherwise("word")
-    terms = positioned_terms(grouped.withColumn("kind", kind).withColumn("key", F.struct("query_id", "grp", "part", "kind")), "key", "raw")
-    return terms.select("key.query_id", "key.grp", "key.part", F.col("pos").alias("i"), "term", "key.kind")
+def facts(row: Callable[[str], Column]) -> Column:
+    """What filters ask of a row, as array<string>: the columns of LISTS, and the date, whose text sorts as it does."""
+    return F.array(*[row(c).cast("string") for c in LISTS], row("publication_date").cast("string"))
 
 
-def window_score(places: Sequence[int], terms: Sequence[str], needed: int) -> float:
-    """Sum of 1 / (1 + gap) over the minimal windows that hold all terms, in one pass over places in order."""
-    last: dict[str, int] = {}  # in order of their last places
-    total, before = 0.0, -1
-    for place, term in zip(places, terms, strict=True):
-        last.pop(term, None)
-        last[term] = place
-        start = next(iter(last.values()))
-        if len(last) == needed and start > before:
-            total += 1.0 / (1 + place - start + 1 - needed)
-            before = start
-    return total
+def demands(wanted: Callable[[str], Column]) -> Column:
+    """A query's filters as one text in an array<string>, as `block_mask` reads them."""
+    lists = [F.transform(wanted(name), lambda x: x.cast("string")) for name in LISTS.values()]
+    days = F.array(wanted("published_after").cast("string"), wanted("published_before").cast("string"))
+    return F.array(F.to_json(F.array(*[F.coalesce(x, F.array().cast("array<string>")) for x in lists], days), {"ignoreNullFields": "false"}))
 
 
-def lexical_search(parsed: DataFrame, index: DataFrame, k: int = TOP_K, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(query_id, chunk_id, score, rank): chunks that hold all of a group's terms and phrases and nothing excluded.
+def block_mask(rows: Sequence[Sequence[str | None]], asked: Sequence[Sequence[str]]) -> np.ndarray:
+    """Which row of a block passes which query's filters.
 
-    The score adds 1 / (1 + gap) over the minimal windows that hold all terms. Query terms are few
-    beside the postings and are broadcast up to BROADCAST_TERMS, so that a frequent term's postings
-    stay where they are. `keep` narrows (query_id, chunk_id, score) before the best k are taken.
+    For each column, every distinct value of the block has a bitmap of the queries that let it
+    pass; a row's bitmap is the conjunction of those of its values. Queries carry their own
+    filters, so that there may be any number of distinct ones.
     """
-    parsed = stored(parsed, "query-terms")
-    few = F.broadcast if parsed.count() <= BROADCAST_TERMS else lambda df: df
-    wanted = parsed.where("kind <> 'not'").select("query_id", "grp", "term").distinct()
-    needs = wanted.groupBy("query_id", "grp").agg(F.count("*").alias("needed"))
-    phrases = parsed.where("kind = 'phrase'")
-    sizes = phrases.groupBy("query_id", "grp", "part").agg(F.count("*").alias("size"))
-    asked = sizes.groupBy("query_id", "grp").agg(F.count("*").alias("asked"))
-    key = ["query_id", "grp", "chunk_id"]
-    hits = index.join(few(wanted.join(needs, ["query_id", "grp"])), "term")
-    spots = F.array_sort(F.flatten(F.collect_list(F.transform("positions", lambda p: F.struct(p.alias("p"), F.col("term").alias("t"))))))
-    full = hits.groupBy(*key, "needed").agg(F.count("*").alias("held"), spots.alias("spots")).where("held = needed")
-    barred = index.join(few(parsed.where("kind = 'not'").select("query_id", "grp", "term").distinct()), "term").select(*key).distinct()
-    starts = index.join(few(phrases.select("query_id", "grp", "part", "i", "term")), "term").select("query_id", "grp", "part", "i", "chunk_id", F.explode("positions").alias("p")).withColumn("start", F.col("p") - F.col("i"))
-    whole = starts.groupBy("query_id", "grp", "part", "chunk_id", "start").agg(F.count("*").alias("n")).join(few(sizes), ["query_id", "grp", "part"]).where("n = size").select("query_id", "grp", "part", "chunk_id").distinct()
-    having = whole.groupBy(*key).agg(F.count("*").alias("phrases"))
-    kept = full.join(barred, key, "left_anti").join(few(asked), ["query_id", "grp"], "left").join(having, key, "left").where("asked is null or phrases = asked")
-
-    @F.pandas_udf("double")
-    def scored(places: pd.Series, terms: pd.Series, needed: pd.Series) -> pd.Series:
-        return pd.Series([window_score(*x) for x in zip(places, terms, needed, strict=True)], dtype="float64")
-
-    best = kept.select(*key, scored("spots.p", "spots.t", "needed").alias("score")).groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
-    return ranked(keep(best) if keep else best, "query_id", F.desc(F.round("score", 9)), F.col("chunk_id"), k=k)
+    columns, wanted = [*zip(*rows, strict=True)], [json.loads(a[0]) for a in asked]
+    mask = np.ones((len(rows), len(asked)), bool)
+    for c, column in enumerate(columns):
+        values = sorted({v for v in column if v is not None})
+        place = {v: i for i, v in enumerate(values)} | {None: len(values)}  # the last bitmap is that of null
+        maps = np.ones((len(values) + 1, len(asked)), bool)
+        for j, own in enumerate(wanted):
+            if c < len(LISTS) and own[c]:
+                maps[:, j] = False
+                maps[[place[v] for v in own[c] if v is not None and v in place], j] = True
+            elif c == len(LISTS):
+                after, before = own[c]
+                maps[: bisect.bisect_left(values, after) if after else 0, j] = False
+                maps[bisect.bisect_right(values, before) if before else len(values) : len(values), j] = False
+        mask &= maps[[place[v] for v in column]]
+    return mask
 
 
 def rrf_fuse(semantic: DataFrame, lexical: DataFrame, k: int = TOP_K) -> DataFrame:

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from lectern.functions import text as T
 from lectern.operators import embedding as E
 from lectern.operators import evaluation as J
+from lectern.operators import lexical as L
 from lectern.operators import retrieval as R
 from lectern.operators.corpus import ACTIVE_MODEL
-from lectern.sources.tables import load, stored
+from lectern.sources.tables import kept, load, stored, version
 
 from .views import cte, view
 
@@ -99,28 +100,46 @@ _LEX = ",\n".join([_BASE, POSTINGS, PARSED, LEXICAL])
 ALL = ",\n".join([_LEX, _embed("pv", "pieces", "chunk_id", "content"), _embed("qv", "asked", "query_id", "text"), SEMANTIC, FUSED, RERANKED])
 
 
-def vectors(spark, sf_dir):
-    """Pieces and queries as vectors."""
-    return E.hash_embed(pieces(spark, sf_dir), "chunk_id", "content", DIM), E.hash_embed(asked(spark, sf_dir), "query_id", "text", DIM).withColumnRenamed("id", "query_id")
+def index(spark, sf_dir):
+    """The pieces' lexical index, written once for each version of the documents."""
+    path = kept(spark, "lexical-index", version(load(spark, sf_dir, "documents")), lambda at: L.LexicalIndex.write(pieces(spark, sf_dir), at))
+    return L.LexicalIndex(spark, path)
+
+
+def piece_vectors(spark, sf_dir):
+    """The pieces' vectors (id, document_id, vector), written once for each version of the documents."""
+    made = lambda at: E.hash_embed(pieces(spark, sf_dir), "chunk_id", "content", DIM).withColumn("document_id", F.floor(F.col("id") / 100_000).cast("long")).write.parquet(at)
+    return spark.read.schema("id long, vector array<double>, document_id long").parquet(kept(spark, "piece-vectors", version(load(spark, sf_dir, "documents")), made))
+
+
+def query_vectors(spark, sf_dir):
+    return E.hash_embed(asked(spark, sf_dir), "query_id", "text", DIM).withColumnRenamed("id", "query_id")
 
 
 def semantic(spark, sf_dir):
-    base, q = vectors(spark, sf_dir)
-    return E.nearest(base, q, R.TOP_K, FLOOR).withColumnRenamed("id", "chunk_id")
+    return E.nearest(piece_vectors(spark, sf_dir), query_vectors(spark, sf_dir), R.TOP_K, FLOOR).withColumnRenamed("id", "chunk_id")
 
 
 def lexical(spark, sf_dir):
-    return R.lexical_search(R.parse_query(asked(spark, sf_dir)), R.lexical_index(pieces(spark, sf_dir)))
+    return L.lexical_search(L.parse_query(asked(spark, sf_dir)), index(spark, sf_dir), R.TOP_K)
 
 
 def fused(spark, sf_dir):
-    return R.rrf_fuse(semantic(spark, sf_dir), lexical(spark, sf_dir))
+    """The best of both arms; a few rows for each query, written so that both arms run once."""
+    return stored(R.rrf_fuse(semantic(spark, sf_dir), lexical(spark, sf_dir)), "fused")
 
 
 def reranked(spark, sf_dir, f=None):
     f = fused(spark, sf_dir) if f is None else f
     q = asked(spark, sf_dir).select("query_id", F.col("text").alias("query"))
-    return R.rerank_overlap(q, f.join(pieces(spark, sf_dir).select("chunk_id", "content"), "chunk_id"))
+    return R.rerank_overlap(q, with_content(spark, sf_dir, f))
+
+
+def with_content(spark, sf_dir, f):
+    """Results with their pieces' texts; `f` has TOP_K rows for a query, and the documents of these are cut into pieces, no others."""
+    d = load(spark, sf_dir, "documents").select("doc_id", "text")
+    few = L.few(f.select(F.floor(F.col("chunk_id") / 100_000).cast("long").alias("doc_id"), F.pmod("chunk_id", F.lit(100_000)).cast("int").alias("pos"), *f.columns))
+    return d.join(few, "doc_id").withColumn("content", F.get(F.split("text", "\n"), F.col("pos"))).select(*f.columns, F.col("doc_id").alias("document_id"), "content")
 
 
 @query("c10_hash_embed", ",\n".join([cte("pieces"), _embed("pv", "pieces", "chunk_id", "content")]) + " SELECT id, list_transform(vector, lambda x: round(x, 6)) AS vector FROM pv")
@@ -175,19 +194,21 @@ def meta(spark, sf_dir):
 @query("d1_apply_filters", ",\n".join([cte("corpus", "pieces"), ASKED, POSTINGS, PARSED, FILTERS_SQL, f"m AS ({META.format('corpus')})"]) + f" SELECT DISTINCT query_id, document_id FROM (SELECT DISTINCT query_id, document_id FROM parsed JOIN spots USING (term) JOIN pieces USING (chunk_id)) c JOIN f USING (query_id) JOIN m USING (document_id) WHERE {_PASS}")
 def d1(spark, sf_dir):
     """The documents that share a term with a query, narrowed by the query's filters."""
-    terms = F.broadcast(R.parse_query(asked(spark, sf_dir)).select("query_id", "term").distinct())
-    shared = R.positioned_terms(pieces(spark, sf_dir), "document_id", "content").join(terms, "term").select("query_id", "document_id").distinct()
+    terms = stored(L.parse_query(asked(spark, sf_dir)).select("query_id", "term").distinct(), "query-terms")
+    held = L.exploded(index(spark, sf_dir).of(terms).join(L.few(terms), "term"), "query_id")
+    shared = held.select("query_id", F.floor(F.col("chunk_id") / 100_000).cast("long").alias("document_id")).distinct()
     return R.apply_filters(shared.join(meta(spark, sf_dir), "document_id"), filters(spark, sf_dir), ACTIVE_MODEL).select("query_id", "document_id")
 
 
 @query("d2_lexical_index", ",\n".join([cte("pieces"), POSTINGS]) + " SELECT term, chunk_id, list_sort(list(pos::int)) AS positions FROM spots GROUP BY 1, 2")
 def d2(spark, sf_dir):
-    return R.lexical_index(pieces(spark, sf_dir))
+    """The stored index as postings; the first of all queries that need it writes it."""
+    return index(spark, sf_dir).postings()
 
 
 @query("d3_parse_query", "WITH " + ",\n".join([ASKED, PARSED]) + " SELECT * FROM parsed")
 def d3(spark, sf_dir):
-    return R.parse_query(asked(spark, sf_dir))
+    return L.parse_query(asked(spark, sf_dir))
 
 
 @query("d4_lexical_search", _LEX + " SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM lex")
@@ -262,7 +283,7 @@ fold AS (SELECT query_id, n, chunk_id, cost, 400::bigint - cost AS left_, true A
 @query("d10_pack_context", ",\n".join([ALL, _PACK]) + " SELECT query_id, chunk_id, kept AS n FROM fold WHERE took")
 def d10(spark, sf_dir):
     """The fused results packed into 400 tokens."""
-    c = fused(spark, sf_dir).join(pieces(spark, sf_dir), "chunk_id").select("query_id", "rank", "chunk_id", T.estimate_tokens(F.col("content")).cast("long").alias("cost"))
+    c = with_content(spark, sf_dir, fused(spark, sf_dir)).select("query_id", "rank", "chunk_id", T.estimate_tokens(F.col("content")).cast("long").alias("cost"))
     return R.pack_context(c, 400)
 
 
@@ -271,17 +292,17 @@ _SUMMARY = " SELECT a.query_id, coalesce(s.n, 0) AS semantic, coalesce(x.n, 0) A
 
 @query("d11_retrieval_summary", ALL + _SUMMARY.format("false"))
 def d11(spark, sf_dir):
-    s, x = semantic(spark, sf_dir), lexical(spark, sf_dir)
-    f = R.rrf_fuse(s, x)
-    return R.retrieval_summary(asked(spark, sf_dir), s, x, f, reranked(spark, sf_dir, f))
+    s, x = stored(semantic(spark, sf_dir), "semantic"), stored(lexical(spark, sf_dir), "lexical")
+    f = stored(R.rrf_fuse(s, x), "fused")
+    return R.retrieval_summary(asked(spark, sf_dir), s, x, f, stored(reranked(spark, sf_dir, f), "reranked"))
 
 
 @query("d12_semantic_only", ALL.replace("lex AS (SELECT * FROM (SELECT *,", "lex AS (SELECT * FROM (SELECT * FROM (SELECT *,").replace("FROM bestl) WHERE rank <= 20)", "FROM bestl) WHERE rank <= 20) WHERE false)") + _SUMMARY.format("true"))
 def d12(spark, sf_dir):
-    s = semantic(spark, sf_dir)
+    s = stored(semantic(spark, sf_dir), "semantic")
     none = s.limit(0)
-    f = R.rrf_fuse(s, none)
-    return R.retrieval_summary(asked(spark, sf_dir), s, none, f, reranked(spark, sf_dir, f), degraded=True)
+    f = stored(R.rrf_fuse(s, none), "fused")
+    return R.retrieval_summary(asked(spark, sf_dir), s, none, f, stored(reranked(spark, sf_dir, f), "reranked"), degraded=True)
 
 
 _NARROW = ",\n".join([FILTERS_SQL, f"m AS ({META.format('corpus')}), cm AS (SELECT chunk_id, m.* FROM pieces JOIN m USING (document_id))"])
@@ -293,17 +314,17 @@ _FILTERED = ",\n".join([cte("pieces", "corpus"), ASKED, _NARROW, POSTINGS, PARSE
 @query("d13_retrieve", _FILTERED + ", gated AS (SELECT query_id FROM reranked GROUP BY 1 HAVING arg_min(rerank_score, rerank_rank) >= 0.35) SELECT query_id, chunk_id, document_id, rerank_rank AS n, rerank_score FROM reranked JOIN gated USING (query_id) JOIN pieces USING (chunk_id)")
 def d13(spark, sf_dir):
     """Filters before both arms' limits, fusion, reranking, the evidence gate and packing; five pieces never exceed the default budget on these tables."""
-    p = pieces(spark, sf_dir)
     wanted = filters(spark, sf_dir)
-    rows, asks = R.filter_numbers(p.join(meta(spark, sf_dir), "document_id"), wanted, ACTIVE_MODEL)
-    base = E.hash_embed(p, "chunk_id", "content", DIM).join(rows.select(F.col("chunk_id").alias("id"), "passes"), "id")
-    q = E.hash_embed(asked(spark, sf_dir), "query_id", "text", DIM).withColumnRenamed("id", "query_id").join(asks, "query_id")
-    s = E.nearest(base, q, R.TOP_K, FLOOR, "passes", "asks").withColumnRenamed("id", "chunk_id")
-    narrowed = lambda df: R.apply_filters(df.join(rows.drop("passes", "content"), "chunk_id"), wanted, ACTIVE_MODEL).select("query_id", "chunk_id", "score")
-    x = R.lexical_search(R.parse_query(asked(spark, sf_dir)), R.lexical_index(p), keep=narrowed)
-    r = stored(reranked(spark, sf_dir, R.rrf_fuse(s, x)), "reranked")
+    about = meta(spark, sf_dir)
+    usable = about.where(F.col("has_vector") & (F.col("embedding_model") == ACTIVE_MODEL)).select("document_id", R.facts(F.col).alias("facts"))
+    base = piece_vectors(spark, sf_dir).join(usable, "document_id")
+    q = query_vectors(spark, sf_dir).join(wanted.select("query_id", R.demands(F.col).alias("demands")), "query_id")
+    s = E.nearest(base, q, R.TOP_K, FLOOR, "facts", "demands", R.block_mask).withColumnRenamed("id", "chunk_id")
+    narrowed = lambda df: R.apply_filters(df.withColumn("document_id", F.floor(F.col("chunk_id") / 100_000).cast("long")).join(about, "document_id"), wanted, ACTIVE_MODEL).select("query_id", "chunk_id", "score")
+    x = L.lexical_search(L.parse_query(asked(spark, sf_dir)), index(spark, sf_dir), R.TOP_K, narrowed)
+    r = stored(reranked(spark, sf_dir, stored(R.rrf_fuse(s, x), "fused")), "reranked")
     enough = R.evidence_gate(asked(spark, sf_dir), r.withColumnRenamed("rerank_rank", "rank")).where("sufficient").select("query_id")
-    c = r.join(enough, "query_id", "left_semi").join(p, "chunk_id").select("query_id", F.col("rerank_rank").alias("rank"), "chunk_id", "document_id", "rerank_score", T.estimate_tokens(F.col("content")).cast("long").alias("cost"))
+    c = with_content(spark, sf_dir, r.join(enough, "query_id", "left_semi")).select("query_id", F.col("rerank_rank").alias("rank"), "chunk_id", "document_id", "rerank_score", T.estimate_tokens(F.col("content")).cast("long").alias("cost"))
     return R.pack_context(c).join(c, ["query_id", "chunk_id"]).select("query_id", "chunk_id", "document_id", "n", "rerank_score")
 
 
@@ -354,9 +375,9 @@ cases AS (SELECT a.query_id, CASE WHEN recall IS NULL OR first <= 1 THEN 1.0 ELS
 
 
 def cases(spark, sf_dir, rows=None):
-    r = reranked(spark, sf_dir) if rows is None else rows
+    r = stored(reranked(spark, sf_dir), "reranked") if rows is None else rows
     item = F.when(F.col("chunk_id") % 10 == 0, F.lit(None)).otherwise(F.concat(F.lit(" D"), "document_id", F.lit(" ")))
-    results = r.join(pieces(spark, sf_dir).select("chunk_id", "document_id"), "chunk_id").select("query_id", F.col("rerank_rank").alias("rank"), item.alias("item"))
+    results = r.withColumn("document_id", F.floor(F.col("chunk_id") / 100_000).cast("long")).select("query_id", F.col("rerank_rank").alias("rank"), item.alias("item"))
     b = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("wanted"))
     expected = J.containing(load(spark, sf_dir, "documents"), b).select("query_id", F.concat(F.lit("d"), "doc_id").alias("item"))
     return J.evaluate_cases(asked(spark, sf_dir), results, expected)

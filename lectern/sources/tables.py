@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import hashlib
+import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,14 +17,21 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def workspace(spark: SparkSession, tag: str) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; a temporary one where that is unset and the session is local, as in tests."""
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which driver and executors share; a temporary folder, for all of the session, where that is unset and the session is local, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir names the folder that executors share; it is unset")
         at = tempfile.mkdtemp(prefix="lectern-")
-    return f"{at}/{tag}-{uuid.uuid4().hex}"
+        atexit.register(shutil.rmtree, at, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at
+
+
+def workspace(spark: SparkSession, tag: str) -> str:
+    """A new folder in the shared one."""
+    return f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
@@ -28,3 +39,27 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     path = workspace(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def version(*tables: DataFrame) -> str:
+    """A digest of the files that the tables are read from: their names, sizes and times."""
+    digest = hashlib.sha256()
+    for table in tables:
+        files = table.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+        digest.update(str(sorted(map(tuple, files.collect()))).encode())  # a row for each file
+    return digest.hexdigest()[:24]
+
+
+def kept(spark: SparkSession, tag: str, of: str, make: Callable[[str], None]) -> str:
+    """The folder that `make` fills for the version `of` of its inputs; made by the first that asks and found by all others.
+
+    It is filled under another name first, so that a folder that is there is whole.
+    """
+    path, fs = f"{shared_folder(spark)}/{tag}-{of}", spark._jvm.org.apache.hadoop.fs.Path
+    store = fs(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(fs(path)):
+        new = f"{path}-{uuid.uuid4().hex}"
+        make(new)
+        if store.exists(fs(path)) or not store.rename(fs(new), fs(path)):  # another session was first
+            store.delete(fs(new), True)
+    return path

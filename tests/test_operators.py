@@ -1,8 +1,10 @@
 """Operators on small tables: empty and null inputs, plans, and what SQL does not show."""
 
+import json
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
@@ -84,9 +86,10 @@ def test_nearest_by_blocks_and_cells(spark, monkeypatch):
     assert len(near & set(whole)) >= 0.9 * len([k for k in whole if k[0] != 900]) and all(whole[q, q] == 1 for q in range(0, 300, 50))
     monkeypatch.setattr(E, "BROADCAST_BYTES", -1)  # query blocks meet base blocks without a broadcast
     assert whole == {(r.query_id, r.id): r.rank for r in E.nearest(base.repartition(5), queries.repartition(3), 10, 0.0).collect()}
-    odd = base.withColumn("passes", F.expr("case when id % 2 = 1 then array(0, 1) else array(1) end"))
-    asked = queries.withColumn("asks", (F.col("query_id") % 100 == 0).cast("int"))
-    got = E.nearest(odd, asked, 10, -1.0, "passes", "asks").collect()
+    odd = base.withColumn("facts", F.array((F.col("id") % 2).cast("string")))
+    asked = queries.withColumn("demands", F.array((F.col("query_id") % 100 == 0).cast("string")))
+    mask = lambda rows, asked: np.array([[r[0] == "1" or a[0] == "true" for a in asked] for r in rows])
+    got = E.nearest(odd, asked, 10, -1.0, "facts", "demands", mask).collect()
     assert all(r.id % 2 == 1 for r in got if r.query_id % 100) and any(r.id % 2 == 0 for r in got) and {r.rank for r in got} == set(range(1, 11))
     assert E.nearest(base.limit(0), queries, 10, 0.0).count() == E.nearest(base, queries.limit(0), 10, 0.0).count() == E.nearest_by_cells(base.limit(0), queries, 10, 0.0).count() == 0
 
@@ -102,10 +105,29 @@ def test_filters_come_before_the_limit(spark):
     got = {(r.query_id, r.document_id) for r in R.apply_filters(pairs, filters, "m").collect()}
     live = {i for i in range(40) if i % 3 and i % 5 > 0}
     assert got == {(1, i) for i in live if i % 2} | {(2, i) for i in live & {7, 8, 9, 11}} | {(4, i) for i in live}
-    numbered, asks = R.filter_numbers(chunks, filters, "m")
-    passes = {r.document_id: set(r.passes) for r in numbered.collect()}
-    for r in asks.collect():
-        assert {i for i, p in passes.items() if r.asks in p} == {i for q, i in got if q == r.query_id}
+    pairs = chunks.select("document_id", R.facts(F.col).alias("f")).where("document_id in (%s)" % ",".join(map(str, live))).collect()
+    wanted = filters.select("query_id", R.demands(F.col).alias("d")).collect()
+    mask = R.block_mask([r.f for r in pairs], [r.d for r in wanted])
+    assert {(w.query_id, r.document_id) for i, r in enumerate(pairs) for j, w in enumerate(wanted) if mask[i, j]} == {x for x in got if x[0] < 4}
+
+
+def test_block_mask_takes_any_number_of_distinct_filters(spark):
+    """20,000 queries, each with filters of its own, against every row of a block, by plain comparison."""
+    rng = random.Random(4)
+    pick = lambda values: rng.choice(values)
+    rows = [[pick(["CIVIL", "PENAL", None]), pick(["en", "fr"]), pick(["a", None]), pick(["LEY", "AUTO"]), "VIGENTE", str(rng.randrange(500)), pick([None, f"20{rng.randrange(10, 30)}-01-05"])] for _ in range(60)]
+    asked, wanted = [], []
+    for q in range(20_000):
+        lists = [rng.sample(v, rng.randrange(0, 2)) for v in (["CIVIL", "PENAL"], ["en", "fr"], ["a", "b"], ["LEY"], ["VIGENTE", "DEROGADO"])] + [[str(q % 500), str(q // 40)] if q % 3 else []]
+        days = [pick([None, f"20{rng.randrange(10, 30)}-01-05"]), pick([None, f"20{rng.randrange(10, 30)}-01-05"])]
+        wanted.append((lists, days))
+        asked.append([json.dumps([*lists, days])])
+    mask = R.block_mask(rows, asked)
+    for j in rng.sample(range(20_000), 500):
+        lists, (after, before) = wanted[j]
+        for i, row in enumerate(rows):
+            ok = all(not own or v in own for own, v in zip(lists, row[:6], strict=True)) and (row[6] is None or (not after or row[6] >= after) and (not before or row[6] <= before))
+            assert mask[i, j] == ok
 
 
 def test_packing_skips_what_does_not_fit(spark):
@@ -167,7 +189,7 @@ def test_embedding_seam_refuses(spark):
 
 
 def test_window_score():
-    from lectern.operators.retrieval import window_score
+    from lectern.operators.lexical import window_score
 
     rng = random.Random(2)
     for _ in range(200):
