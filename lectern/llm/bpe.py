@@ -1,31 +1,36 @@
-"""Byte-level encoding and decoding by folds of ranked merges, in Spark expressions alone.
+"""Byte-level encoding and decoding by folds of ranked merges in Spark expressions.
 
 A word is written as its bytes, one character of ISO-8859-1 each, and marked symbol by symbol. The
 entries of the rank map that occur in the word, lowest rank first, are folded over it: each joins
 its two parts wherever they stand side by side. The rank map is a literal of the plan, split into
 buckets by hash, because a lookup in a map goes through all its keys.
 
-The words of a corpus are counted over all texts. The most frequent ones are encoded once and
-become a literal as well, of a bounded number of words; what it lacks is folded where it stands.
+The words of a corpus are counted over all texts, in Arrow batches. The most frequent ones, of a
+bounded number, are encoded and decoded once. Batches of texts then take what is known of these, and
+leave other words where they stand; the same expressions fold them there.
 """
 
 from __future__ import annotations
 
 import base64
-import functools
 import json
-from collections.abc import Callable, Iterable
+import re
+import uuid
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .alignment import frequent
-from .shared import written
+from .packing import _WIDE, narrow, stretches
+from .shared import held_here, written
 
-#: Words that are encoded once, and their longest; the buckets of their literal.
-WORDS, LONGEST, BUCKETS = 300_000, 40, 1 << 16
+#: Words that are encoded once, and their longest; rows of a batch that are held at a time.
+WORDS, LONGEST, ROWS = 400_000, 40, 200
 _OPEN, _CLOSE = "\u0100", "\u0101"  # stand for no byte
 
 
@@ -92,41 +97,60 @@ class Ranks:
         return F.array_join(F.transform(ids, lambda i: F.get(self.pieces, i)), "")
 
 
-def ranges(members: Iterable[int]) -> str:
-    """A character set's contents for the given code points."""
-    out: list[list[int]] = []
-    for c in members:
-        if out and out[-1][1] == c - 1:
-            out[-1][1] = c
-        else:
-            out.append([c, c])
-    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in out)
+class Splitter:
+    """All matches of a pattern in a text; texts of common characters take a spelled-out form of it."""
 
+    def __init__(self, pattern: str):
+        spelled = narrow(pattern)
+        self.any = regex.compile(pattern).findall
+        self.common = re.compile(spelled).findall if spelled else self.any
 
-@functools.cache
-def known_late(category: str, spark: SparkSession) -> str:
-    """What a class of characters has got since the session's own Unicode tables, as contents of a character set."""
-    point = F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32")
-    every = spark.range(0x110000).where("id not between 55296 and 57343")
-    own = {r.id for r in every.where(point.rlike(category)).collect()}
-    return ranges(c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and c not in own and regex.match(category, chr(c)))
+    def __call__(self, text: str | None) -> Iterator[list[str]]:
+        """The words of the whole text, in lists for its stretches."""
+        for part in stretches(text or ""):
+            if part:
+                yield self.any(part) if _WIDE.search(part) else self.common(part)
 
 
-def split_words(text: Column, pattern: str, spark: SparkSession) -> Column:
-    """All matches of the pattern, its classes in the sense of Unicode; none for null."""
-    sets = {c: c + known_late(c, spark) for c in (r"\p{L}", r"\p{N}")} | {r"\s": r"\p{IsWhite_Space}", r"\S": r"\P{IsWhite_Space}"}
-    spelled, inside = [], False
-    for part in regex.findall(r"\\p\{\w+\}|\\.|.", pattern):
-        inside = part == "[" or inside and part != "]"
-        spelled.append(part if part not in sets else sets[part] if inside else f"[{sets[part]}]")
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("".join(spelled)), F.lit(0))
+def word_counts(texts: DataFrame, pattern: str) -> DataFrame:
+    """word, count over all texts (one column); each batch is counted before the shuffle."""
 
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = held_here(("split", pattern), lambda: Splitter(pattern))
+        for batch in batches:
+            n: Counter = Counter()
+            for first in range(0, batch.num_rows, ROWS):
+                for text in batch.column(0).slice(first, ROWS).to_pylist():
+                    for part in words(text):
+                        n.update(part)
+                if len(n) > WORDS or first + ROWS >= batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([*n], pa.string()), pa.array([*n.values()], pa.int64())], names=["word", "n"])
+                    n.clear()
 
-def common_words(words: DataFrame, most: int) -> DataFrame:
-    """Of (words: array of a text), the words that most texts have, `most` at most."""
-    each = words.select(F.explode(F.array_distinct("words")).alias("word")).where(F.length("word") <= LONGEST)
-    counted = written(each.groupBy("word").agg(F.count("*").alias("count")).where("count > 1"), "bpe-words")
-    return counted.where(F.col("count") >= frequent(counted, most)).select("word")
+    return texts.mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("count"))
+
+
+class Known:
+    """What is known of frequent words: the decimals of their ids, and the bytes that these give."""
+
+    def __init__(self, table: bytes, pattern: str):
+        word, self.ids, held = (c.to_pylist() for c in pa.ipc.open_stream(table).read_all().columns)
+        self.bytes = [w if b == w else b for w, b in zip(word, held, strict=True)]  # one string for both where they are equal
+        self.place = {w: i for i, w in enumerate(word)}
+        self.split = Splitter(pattern)
+
+    def parts(self, text: str | None) -> Iterator[tuple[str | None, str | None, str | None]]:
+        """The text in order: runs of known words as (ids, bytes, null), other words as (null, null, word)."""
+        for words in self.split(text):
+            at = [*map(self.place.get, words)]
+            unmet = [i for i, p in enumerate(at) if p is None] if None in at else []
+            a = 0
+            for b in [*unmet, len(at)]:
+                if a < b:
+                    yield " ".join([self.ids[p] for p in at[a:b]]), "".join([self.bytes[p] for p in at[a:b]]), None
+                if b < len(at):
+                    yield None, None, words[b]
+                a = b + 1
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -136,12 +160,33 @@ def round_trip(docs: DataFrame, path: str, pattern: str, words: int = WORDS, id_
     are kept, one row each; an empty table gives an empty result; other columns are not read. Texts
     and words are taken whole, however long.
     """
-    ranks = Ranks(path)
-    split = docs.select(F.col(id_col).alias("doc_id"), split_words(F.col(text_col), pattern, docs.sparkSession).alias("words"))
+    spark, ranks = docs.sparkSession, Ranks(path)
     entry = lambda w: let(ranks.encode(w), lambda ids: F.struct(F.array_join(ids.cast("array<string>"), " ").alias("i"), ranks.decode(ids).alias("b")))
-    known = common_words(split, words).select("word", entry(F.col("word")).alias("e")).select("word", "e.i", "e.b").collect()  # `words` rows at most
-    find = literal(((r.word, {"i": r.i, "b": r.b}) for r in known), "struct<i:string,b:string>", BUCKETS)
-    found = F.transform("words", lambda w: F.coalesce(find(w), entry(w)))
+    counts = written(word_counts(docs.select(text_col), pattern).where((F.col("count") > 1) & (F.length("word") <= LONGEST)), "bpe-words")
+    top = counts.where(F.col("count") >= frequent(counts, words)).select("word", entry(F.col("word")).alias("e")).select("word", "e.i", "e.b").toArrow()  # `words` rows at most
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, top.schema) as stream:
+        stream.write_table(top)
+    sent = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
+
+    own = uuid.uuid4().hex
+
+    def looked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = held_here(("bpe", own), lambda: Known(sent.value, pattern))
+        for batch in batches:
+            for first in range(0, batch.num_rows, ROWS):
+                rows = batch.slice(first, ROWS)
+                ends, parts = [0], []
+                for text in rows.column(1).to_pylist():
+                    parts += known.parts(text)
+                    ends.append(len(parts))
+                ids, held, word = zip(*parts, strict=True) if parts else ((), (), ())
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in (ids, held, word)], ["i", "b", "w"]))
+                yield pa.RecordBatch.from_arrays([rows.column(0), lists], names=["doc_id", "parts"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    split = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(looked, f"doc_id {kind}, parts array<struct<i:string,b:string,w:string>>")
+    found = F.transform("parts", lambda p: F.when(p.w.isNull(), F.struct(p.i.alias("i"), p.b.alias("b"))).otherwise(entry(p.w)))
     said = let(found, lambda e: F.struct(F.array_join(e.i, " ").alias("ids"), F.array_join(e.b, "").alias("bytes")))
     n = F.when(F.col("x.ids") == "", 0).otherwise(F.length("x.ids") - F.length(F.replace("x.ids", F.lit(" "), F.lit(""))) + 1)
     return split.select("doc_id", said.alias("x")).select("doc_id", n.cast("long").alias("n_tokens"), F.sha2(F.col("x.ids").cast("binary"), 256).alias("ids_sha256"), F.sha2(F.encode("x.bytes", "ISO-8859-1"), 256).alias("decoded_sha256"))
