@@ -45,7 +45,7 @@ def fold_confusables(text: Column) -> Column:
 def folded(text: Column) -> Column:
     """fold_confusables of a composed text; plain expressions, so that it may stand in a lambda."""
     plain = F.translate(text, "".join(ONE_FOR_ONE) + DROPPED, "".join(ONE_FOR_ONE.values()))
-    return F.replace(plain, F.lit(ELLIPSIS[0]), F.lit(ELLIPSIS[1]))
+    return F.when(text.rlike(r"[^\x00-\x08\x0a-\x7f]"), F.replace(plain, F.lit(ELLIPSIS[0]), F.lit(ELLIPSIS[1]))).otherwise(text)  # all that is folded is a tab or no ASCII
 
 
 def stripped(text: Column) -> Column:
@@ -111,8 +111,9 @@ def estimate_tokens_ceil4(text: Column) -> Column:
 
 
 def folded_terms(text: Column) -> Column:
-    """Lower-cased words without accents."""
-    return F.regexp_extract_all(F.translate(F.lower(text), "áéíóúüñ", "aeiouun"), F.lit(r"(?U)(\w+)"), 1)
+    """Lower-cased words without accents; a text of ASCII alone has none, and takes the shorter way to the same words."""
+    wide = F.regexp_extract_all(F.translate(F.lower(text), "áéíóúüñ", "aeiouun"), F.lit(r"(?U)(\w+)"), 1)
+    return F.when(text.rlike(r"[^\x00-\x7f]"), wide).otherwise(F.regexp_extract_all(F.lower(text), F.lit(r"\w+"), 0))
 
 
 # Greetings and help phrases, without accents.

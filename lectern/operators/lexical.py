@@ -30,7 +30,8 @@ BLOCKS = "bucket int, term string, cell long, low long, most int, n int, chunks
 
 def stem(term: Column) -> Column:
     """A light plural stem for terms of over four letters."""
-    return F.when(F.length(term) > 4, F.regexp_replace(term, "(es|s)$", "")).otherwise(term)
+    cut = F.when(term.endswith("es"), 2).when(term.endswith("s"), 1).otherwise(0)
+    return F.when(F.length(term) > 4, F.substring(term, F.lit(1), F.length(term) - cut)).otherwise(term)
 
 
 def positioned_terms(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -179,16 +180,21 @@ class Search:
         """(query_id, chunk_id, score) of all chunks of these cells (query_id, grp, cell) that answer the query."""
         terms = stored(cells.select("query_id", "grp", "cell").join(few(self.asked), ["query_id", "grp"]), "query-cells")
         hits = exploded(self.blocks.join(few(terms), ["term", "cell"]), "query_id", "grp", "needed", "term", "wanted", "barred")
-        spots = F.sort_array(F.flatten(F.collect_list(F.when(F.col("wanted") == 1, F.transform("positions", lambda p: F.struct(p.alias("p"), F.col("term").alias("t")))))))
-        full = hits.groupBy("query_id", "grp", "needed", "chunk_id").agg(F.sum("wanted").alias("held"), F.max("barred").alias("barred"), spots.alias("spots")).where("held = needed and barred = 0")
+        marked = F.transform("positions", lambda p: F.struct(p.alias("p"), F.col("term").alias("t")))
+        spots = F.sort_array(F.flatten(F.collect_list(F.when((F.col("wanted") == 1) & (F.col("needed") > 1), marked))))
+        places = F.sum(F.when(F.col("wanted") == 1, F.size("positions")))
+        held = F.sum("wanted").alias("held"), F.max("barred").alias("barred"), places.cast("double").alias("places"), spots.alias("spots")
+        full = hits.groupBy("query_id", "grp", "needed", "chunk_id").agg(*held).where("held = needed and barred = 0")
 
         @F.pandas_udf("double")
         def scored(places: pd.Series, terms: pd.Series, needed: pd.Series, phrases: pd.Series) -> pd.Series:
             return pd.Series([window_score(p, t, n) if says(p, t, f) else None for p, t, n, f in zip(places, terms, needed, phrases, strict=True)], dtype="float64")
 
-        asked = full.join(few(self.phrases), ["query_id", "grp"], "left")
-        made = asked.select("query_id", "chunk_id", scored("spots.p", "spots.t", "needed", "phrases").alias("score")).where("score is not null")
-        return made.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
+        # every place of a single term is a window of its own, and a phrase in itself
+        alone = full.where("needed = 1").select("query_id", "chunk_id", F.col("places").alias("score"))
+        several = full.where("needed > 1").join(few(self.phrases), ["query_id", "grp"], "left")
+        made = several.select("query_id", "chunk_id", scored("spots.p", "spots.t", "needed", "phrases").alias("score")).where("score is not null")
+        return alone.unionByName(made).groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
 
     def best(self, k: int, keep: Callable[[DataFrame], DataFrame] | None, first: int) -> tuple[DataFrame, DataFrame]:
         """(the best k of each query with their rank, the cells that were read)."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.operators import chunking as C
-from lectern.sources.tables import load
+from lectern.sources.tables import load, spread
 
 from .text import SPACE, strip_sql
 
@@ -25,7 +25,7 @@ def query(name, sql=None):
 
 
 def legal(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents").where("text <> ''").select(F.col("doc_id").alias("id"), F.split("text", "\n").alias("lines"))
+    docs = spread(load(spark, sf_dir, "documents"), "doc_id").where("text <> ''").select(F.col("doc_id").alias("id"), F.split("text", "\n").alias("lines"))
     head = lambda line, i: F.concat(
         F.when(i % 12 == 0, F.concat(F.lit("TÍTULO "), i.cast("string"), F.lit("\n"))).otherwise(""), F.when(i % 4 == 0, F.concat(F.lit("CAPÍTULO "), i.cast("string"), F.lit("\n"))).otherwise(""),
         F.when(i % 5 == 4, F.lit("PARÁGRAFO. ")).otherwise(F.concat(F.lit("ARTÍCULO "), (i + 1).cast("string"), F.lit(". "))), line)
@@ -86,7 +86,7 @@ def c4(spark, sf_dir):
 
 
 def bodies(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.trim(F.regexp_replace("text", r"(?U)^\s+|\s+$", "")).alias("body")).where("body <> ''")
+    return spread(load(spark, sf_dir, "documents"), "doc_id").select(F.col("doc_id").alias("id"), F.trim(F.regexp_replace("text", r"(?U)^\s+|\s+$", "")).alias("body")).where("body <> ''")
 
 
 _BODIES = "SELECT doc_id AS id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS body FROM documents WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''"
@@ -125,7 +125,7 @@ def c7(spark, sf_dir):
 
 @query("c9_article_number", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN doc_id::varchar WHEN doc_id % 4 < 3 THEN (doc_id % 50) || 'A' END AS article_number FROM documents")
 def c9(spark, sf_dir):
-    d = load(spark, sf_dir, "documents")
+    d = spread(load(spark, sf_dir, "documents"), "doc_id")
     section = F.expr("case doc_id % 4 when 1 then 'Capítulo 2 > ARTÍCULO ' || cast(doc_id % 50 as string) || 'A' when 2 then 'articulo  ' || cast(doc_id % 50 as string) || 'A. x' else 'Título 4' end")
     return d.select("doc_id", C.article_number(section, F.when(F.col("doc_id") % 4 == 0, F.col("doc_id").cast("string")).otherwise("")).alias("article_number"))
 
@@ -143,7 +143,7 @@ def c8(spark, sf_dir):
     """Every line as an article, under a title every sixth and a chapter every other third."""
     from lectern.operators.upload_chunking import split_articles
 
-    docs = load(spark, sf_dir, "documents").where("text <> ''").select(F.col("doc_id").alias("id"), F.split("text", "\n").alias("lines"))
+    docs = spread(load(spark, sf_dir, "documents"), "doc_id").where("text <> ''").select(F.col("doc_id").alias("id"), F.split("text", "\n").alias("lines"))
     head = lambda line, i: F.concat(
         F.when(i % 6 == 0, F.concat(F.lit("TÍTULO "), F.floor(i / 6 + 1).cast("string"), F.lit("\n"))).otherwise(""), F.when(i % 6 == 3, F.concat(F.lit("CAPÍTULO "), F.floor(i / 3 + 1).cast("string"), F.lit("\n"))).otherwise(""),
         F.lit("Artículo "), (i + 1).cast("string"), F.lit(".\n"), line)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.sources.tables import load
+from lectern.sources.tables import load, spread
 
 from .views import cte, view
 
@@ -29,7 +29,7 @@ NOISY = """noisy AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN replace(replace(
 
 
 def noisy(spark, sf_dir):
-    return spark.sql(f"WITH {NOISY.replace('FROM documents', 'FROM {documents}')} SELECT * FROM noisy", documents=load(spark, sf_dir, "documents"))
+    return spark.sql(f"WITH {NOISY.replace('FROM documents', 'FROM {documents}')} SELECT * FROM noisy", documents=spread(load(spark, sf_dir, "documents"), "doc_id"))
 
 
 

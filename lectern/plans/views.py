@@ -9,7 +9,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.sources.tables import load
+from lectern.sources.tables import load, spread
 
 TYPES = ("LEY", "DECRETO", "SENTENCIA", "AUTO", "CODIGO", "OTRO")
 STATUSES = ("VIGENTE", "DEROGADO", "MODIFICADO", "INEXEQUIBLE", "DESCONOCIDO", "VIGENTE")
@@ -62,4 +62,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     used = [t for t in _TABLES if re.search(rf"(FROM|JOIN) {t}\b", text)]
     for t in used:
         text = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", text)
-    return spark.sql(text, **{t: load(spark, sf_dir, t) for t in used})
+    tables = {t: load(spark, sf_dir, t) for t in used}
+    if name == "pieces":
+        tables["documents"] = spread(tables["documents"].select("doc_id", "text"), "doc_id")
+    return spark.sql(text, **tables)

@@ -17,6 +17,17 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str, split_mb: int = 64) -> DataFrame:
+    """`df`, read from files, dealt out by `key` if its files are too small to give every core a split of its own; larger tables stay as they lie.
+
+    A small table comes in one row group, which one task would read and work on alone.
+    """
+    spark = df.sparkSession
+    path, cores = spark._jvm.org.apache.hadoop.fs.Path, spark.sparkContext.defaultParallelism
+    size = sum(path(f).getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path(f)).getLen() for f in df.inputFiles()[: cores + 1])
+    return df.repartition(2 * cores, key) if size < (cores * split_mb) << 20 else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir, which driver and executors share; a temporary folder, for all of the session, where that is unset and the session is local, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None)
