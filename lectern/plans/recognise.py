@@ -62,11 +62,13 @@ def b13(spark, sf_dir):
     return headers(spark, sf_dir).select("doc_id", G.court(F.col("text")).alias("court"))
 
 
-_AREA_TEXT = "substr(text, 1, 50) || CASE doc_id % 4 WHEN 0 THEN ' el trabajador y su Salario por despido' WHEN 1 THEN ' delito y salario' WHEN 2 THEN ' pensión de invalidez del afiliado, divorcio' ELSE '' END"
+_AREA_TEXT = "CASE doc_id % 4 WHEN 0 THEN 'el trabajador y su Salario por despido ' WHEN 1 THEN 'delito y salario ' WHEN 2 THEN 'pensión de invalidez del afiliado, divorcio ' ELSE '' END || coalesce(text, '')"
+_AREA_SCORES = ", ".join("{'n': " + " + ".join(f"contains(low, '{t}')::int" for t in terms) + f", 'area': '{area}'}}" for area, terms in G.AREAS.items())
 
 
-@query("b14_legal_area", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'LABORAL' WHEN 2 THEN 'SEGURIDAD_SOCIAL' END AS area FROM documents")
+@query("b14_legal_area", f"WITH t AS (SELECT doc_id, lower(substr({_AREA_TEXT}, 1, 20000)) AS low FROM documents), s AS (SELECT doc_id, list_reverse_sort([{_AREA_SCORES}]) AS s FROM t) SELECT doc_id, CASE WHEN s[1].n >= 2 AND s[1].n > s[2].n THEN s[1].area END AS area FROM s")
 def b14(spark, sf_dir):
+    """The whole texts behind a sentence that names terms of one area, of two, or of none."""
     return load(spark, sf_dir, "documents").select("doc_id", G.legal_area(F.expr(_AREA_TEXT)).alias("area"))
 
 
@@ -91,13 +93,17 @@ def b18(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", G.case_fields(F.expr(_CASE_TEXT)).alias("c")).select("doc_id", "c.*")
 
 
-_CLAUSE_TEXT = "'Cláusula primera: ' || substr(replace(text, chr(10), ' '), 1, 20 + CAST(doc_id % 200 AS INT)) || chr(10) || 'HECHO dos. corto' || chr(10) || 'artículo tercero- el pago será puntual'"
+_CLAUSE_TEXT = "'Cláusula primera: ' || coalesce(text, '') || chr(10) || 'HECHO dos. corto' || chr(10) || 'artículo tercero- el pago será puntual' || chr(10) || coalesce(text, '') || chr(10) || 'Pretensión CUARTA parte: ' || coalesce(text, '')"
+_CLAUSE = "(?im)^\\s*(?:cl[aá]usula|art[ií]culo|hecho|pretensi[oó]n)\\s+([^\\n:.]{1,40})[:.\\-]\\s*([^\\n]+)"
+_TITLE = "list_aggregate(list_transform(string_split(trim({x}.t), ' '), lambda w: upper(w[1]) || lower(w[2:])), 'string_agg', ' ')".format(x="x")
 
 
-@query("b19_key_clauses", "WITH s AS (SELECT doc_id, regexp_replace(substr(replace(text, chr(10), ' '), 1, 20 + (doc_id % 200)::int), '^\\s+', '') AS s FROM documents) SELECT doc_id, CASE WHEN length(trim(s)) > 10 THEN 'Primera=' || substr(trim(s), 1, 140) || CASE WHEN length(s) > 140 THEN '...' ELSE '' END || ';' ELSE '' END || 'Tercero=el pago será puntual' AS clauses FROM s WHERE s <> ''")
+@query("b19_key_clauses", f"""WITH d AS (SELECT doc_id, {_CLAUSE_TEXT} AS t FROM documents), z AS (SELECT doc_id, list_transform(list_zip(regexp_extract_all(t, '{_CLAUSE}', 1), regexp_extract_all(t, '{_CLAUSE}', 2))[1:5], lambda x: {{'t': x[1], 's': x[2]}}) AS z FROM d)
+SELECT doc_id, coalesce(array_to_string(list_transform(list_filter(z, lambda x: length(trim(x.s)) > 10), lambda x: {_TITLE} || '=' || substr(trim(x.s), 1, 140) || CASE WHEN length(x.s) > 140 THEN '...' ELSE '' END), ';'), '') AS clauses FROM z""")
 def b19(spark, sf_dir):
+    """The whole texts under, between and behind clauses."""
     c = F.array_join(F.transform(G.key_clauses(F.expr(_CLAUSE_TEXT)), lambda x: F.concat(x.title, F.lit("="), x.summary)), ";")
-    return load(spark, sf_dir, "documents").where("trim(replace(text, chr(10), ' ')) <> ''").select("doc_id", c.alias("clauses"))
+    return load(spark, sf_dir, "documents").select("doc_id", c.alias("clauses"))
 
 
 # ---- pages ------------------------------------------------------------------------
@@ -142,10 +148,15 @@ def a7(spark, sf_dir):
     return load(spark, sf_dir, "pages").select("page_id", H.html_canonical(marked).alias("canonical"))
 
 
-@query("a10_portal_fields", "SELECT page_id, '0' || page_id % 9 + 1 || '/03/2001' AS issued, CASE WHEN page_id % 2 = 0 THEN '01/01/2002' END AS effective, 'Diario ' || page_id AS medium, ['Tema ' || page_id] AS topics, 'Texto ' || page_id AS text FROM pages".replace("'0' || page_id % 9 + 1 || '/03/2001'", "'0' || (page_id % 9 + 1) || '/03/2001'"))
+_RECORD = "'<main><div>Fecha de Expedición: 0' || (page_id % 9 + 1) || '/03/2001<br>' || CASE WHEN page_id % 2 = 0 THEN 'Fecha de Entrada en Vigencia: 01/01/2002<br>' ELSE '' END || 'Medio de Publicación: Diario ' || page_id || '</div><ul><li>Tema <b>' || page_id || '</b></li><li>Concepto x</li><li>abc</li></ul><div>' || CASE WHEN page_id % 5 = 3 THEN '' ELSE '" + H.DISCLAIMER + "' END || ' Nota<br>Texto ' || page_id || '</div></main>' || coalesce(html, '')"
+_FIELD = "nullif(trim(regexp_extract(t, '(?m)^{}(.*)$', 1)), '')"
+_TOPICS = "list_filter(list_transform(regexp_extract_all(h, '(?is)<li\\b[^>]*>(.*?)</li\\s*>', 1), lambda x: trim(regexp_replace(x, '<[^>]*>', '', 'g'))), lambda x: length(x) > 3 AND NOT regexp_matches(lower(x), '" + "|".join(H.NO_TOPIC) + "'))"
+
+
+@query("a10_portal_fields", f"WITH h AS (SELECT page_id, {_RECORD} AS h FROM pages), t AS (SELECT page_id, h, {_WHOLE} AS t FROM h), i AS (SELECT *, instr(t, '{H.DISCLAIMER}') AS i FROM t) SELECT page_id, {', '.join(_FIELD.format(label) + ' AS ' + name for name, label in H.LABELS.items())}, {_TOPICS} AS topics, CASE WHEN i > 0 THEN regexp_replace(substr(t, i + {len(H.DISCLAIMER)}), '^[^\n]*\n', '') ELSE t END AS text FROM i")
 def a10(spark, sf_dir):
-    made = F.expr(f"'<main><div>Fecha de Expedición: 0' || (page_id % 9 + 1) || '/03/2001<br>' || case when page_id % 2 = 0 then 'Fecha de Entrada en Vigencia: 01/01/2002<br>' else '' end || 'Medio de Publicación: Diario ' || page_id || '</div><ul><li>Tema ' || page_id || '</li><li>Concepto x</li><li>abc</li></ul><div>{H.DISCLAIMER} Nota<br>Texto ' || page_id || '</div></main>'")
-    return H.portal_fields(load(spark, sf_dir, "pages").select("page_id", made.alias("html")))
+    """Whole pages behind a record, some of them without its disclaimer."""
+    return H.portal_fields(load(spark, sf_dir, "pages").select("page_id", F.expr(_RECORD).alias("html")))
 
 
 @query("a11_article_rows", "SELECT page_id, page_id % 13 + 1 AS title, k AS position, 'Artículo ' || k AS number, 'Texto ' || k || ' de ' || page_id AS text FROM (SELECT page_id, unnest(generate_series(0, page_id % 4)) AS k FROM pages)")

@@ -345,8 +345,8 @@ def d15(spark, sf_dir):
     return c.where(F.lower("title").contains("documento 1") & (F.col("legal_area") == "CIVIL")).select("document_id", "title", "publication_date").orderBy(F.desc_nulls_last("publication_date"), "document_id")
 
 
-WEB = "SELECT page_id % 20 AS query_id, page_id AS pos, CASE WHEN page_id % 9 = 0 THEN '' WHEN page_id % 50 = 7 THEN 'https://search.example' ELSE 'http://r.example/' || CAST(page_id % 50 AS VARCHAR(9)) END AS url, CASE WHEN page_id % 4 = 0 THEN '' ELSE url END AS title, html AS snippet FROM {}"
-SAID = "SELECT item_id AS query_id, CASE item_id % 3 WHEN 0 THEN text WHEN 1 THEN 'twenty characters....' END AS answer FROM {} WHERE item_id < 20"
+WEB = "SELECT CAST(floor(page_id / 40) AS BIGINT) AS query_id, page_id AS pos, CASE WHEN page_id % 9 = 0 THEN '' WHEN page_id % 50 = 7 THEN 'https://search.example' ELSE 'http://r.example/' || CAST(page_id % 50 AS VARCHAR(9)) END AS url, CASE WHEN page_id % 4 = 0 THEN '' ELSE url END AS title, html AS snippet FROM {}"
+SAID = "SELECT item_id AS query_id, CASE item_id % 3 WHEN 0 THEN text WHEN 1 THEN 'twenty characters....' END AS answer FROM {}"
 
 
 @query("d16_dedup_results", f"""WITH w AS ({WEB.format('pages').replace('ELSE url END AS title', 'ELSE pages.url END AS title')}), s AS ({SAID.format('benchmark')}), a AS (SELECT query_id, -1 AS pos, 'https://search.example' AS url, 'Síntesis de información actualizada' AS title, answer AS snippet FROM s WHERE length(answer) > 20 UNION ALL SELECT query_id, pos, url, coalesce(nullif(title, ''), 'Fuente Web'), snippet FROM w),
