@@ -184,54 +184,3 @@ def nearest(base: DataFrame, queries: DataFrame, k: int, floor: float, facts: st
         b = stored(b, "base-blocks")
     pairs = b.drop("cell").crossJoin(F.broadcast(q.drop("cell")) if size <= BROADCAST_BYTES else q.drop("cell"))
     return _ranked(best_of_pairs(pairs, k, floor, mask), k)
-
-
-def centres_of(x: np.ndarray, cells: int, seed: int, rounds: int = 8) -> np.ndarray:
-    """Centres of length 1 of `cells` groups of the rows of x, by rounds of nearest centre and mean."""
-    rng = np.random.default_rng(seed)
-    c = x[rng.choice(len(x), min(cells, len(x)), replace=False)]
-    for _ in range(rounds):
-        own = (x @ c.T).argmax(axis=1)
-        sums = np.zeros_like(c)
-        np.add.at(sums, own, x)
-        norm = np.linalg.norm(sums, axis=1, keepdims=True)
-        c = np.where(norm > 0, sums / np.maximum(norm, 1e-300), c)
-    return c
-
-
-def probes_for(x: np.ndarray, c: np.ndarray, k: int, recall: float, asked: int = 200) -> int:
-    """The fewest cells to look into so that sampled rows find that share of their k nearest in the sample."""
-    q = x[:: max(1, len(x) // asked)]
-    true = np.argsort(-(q @ x.T), axis=1, kind="stable")[:, :k]
-    own = (x @ c.T).argmax(axis=1)
-    place = np.argsort(np.argsort(-(q @ c.T), axis=1, kind="stable"), axis=1)  # of each cell in each query's order
-    at = np.take_along_axis(place, own[true], axis=1)
-    return next((p for p in range(1, len(c)) if (at < p).mean() >= recall), len(c))
-
-
-def nearest_by_cells(base: DataFrame, queries: DataFrame, k: int, floor: float, sample: int = 5000, recall: float = 0.97, seed: int = 3) -> DataFrame:
-    """Approximate `nearest`: every row is indexed in the cell of its nearest centre, a query looks into its nearest cells only.
-
-    The centres, as many as the root of the number of rows, are fitted on at most `sample` rows
-    (those of least hashed id), and so is the number of cells that a query looks into: the fewest
-    that find `recall` of the neighbours within the sample. All rows are indexed.
-    """
-    spark = base.sparkSession
-    few = base.where("vector is not null").orderBy(F.xxhash64("id"), "id").limit(sample).select("vector").toPandas()
-    if not len(few):
-        return nearest(base, queries, k, floor)
-    x = unit_rows(few.vector)
-    cells = int(min(max(16, math.isqrt(base.count())), 4096, len(x)))
-    c = centres_of(x, cells, seed)
-    looks = probes_for(x, c, k, recall)
-    sent = spark.sparkContext.broadcast(c)  # at most 4096 rows
-
-    @F.pandas_udf("array<int>")
-    def cells_of(vectors: pd.Series, n: pd.Series) -> pd.Series:
-        order = np.argsort(-(unit_rows(vectors) @ sent.value.T), axis=1, kind="stable")[:, : int(n.iloc[0])].astype(np.int32)
-        return pd.Series([*order])
-
-    split = lambda df, n: df.where("vector is not null").withColumn("cell", F.explode(cells_of("vector", F.lit(n))))
-    asked = stored(_asked(blocks(split(queries, looks), "query_id", keys="cell")), "query-blocks")
-    pairs = blocks(split(base, 1), "id", keys="cell").join(asked, "cell").drop("cell")
-    return _ranked(best_of_pairs(pairs, k, floor), k)

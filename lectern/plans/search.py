@@ -9,8 +9,9 @@ from lectern.operators import embedding as E
 from lectern.operators import evaluation as J
 from lectern.operators import lexical as L
 from lectern.operators import retrieval as R
+from lectern.operators import vector_index as V
 from lectern.operators.corpus import ACTIVE_MODEL
-from lectern.sources.tables import kept, load, stored, version
+from lectern.sources.tables import kept, load, spread, stored, version
 
 from .views import cte, view
 
@@ -222,9 +223,22 @@ def d5(spark, sf_dir):
     return E.nearest(v, v.where("id % 50 = 0").withColumnRenamed("id", "query_id"), 20, 0.1).withColumn("score", F.round("score", 6))
 
 
-def approximate(spark, sf_dir):
-    v = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return E.nearest_by_cells(v, v.where("id % 50 = 0").withColumnRenamed("id", "query_id"), 20, 0.1)
+def vector_index(spark, sf_dir):
+    """The index of all embeddings, written once for each version of the table."""
+    table = load(spark, sf_dir, "embeddings")
+    base = spread(table.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), "id")
+    return V.VectorIndex(spark, kept(spark, "vector-index", version(table), lambda at: V.VectorIndex.write(base, at, 20)))
+
+
+def approximate(spark, sf_dir, tally=False):
+    q = load(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return vector_index(spark, sf_dir).search(q, 20, 0.1, tally)
+
+
+@query("d6_vector_index", "SELECT vec_id AS id FROM embeddings WHERE embedding IS NOT NULL")
+def d6_index(spark, sf_dir):
+    """Every row that the stored index holds; the first query that needs the index writes it."""
+    return vector_index(spark, sf_dir).blocks.select(F.explode("ids").alias("id"))
 
 
 @query("d6_approximate_search")
@@ -232,12 +246,14 @@ def d6(spark, sf_dir):
     return approximate(spark, sf_dir)
 
 
-@query("d6_recall", "SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 50 = 0")
+@query("d6_recall", "SELECT count(*) AS queries, true AS enough, true AS fewer FROM embeddings WHERE vec_id % 50 = 0")
 def d6_recall(spark, sf_dir):
-    """Whether the approximate search finds 0.9 or more of what the exact one does."""
+    """Whether the approximate search finds 0.9 or more of what the exact one does, and scores fewer rows exactly than all of them."""
     true, got = d5(spark, sf_dir).select("query_id", "id"), approximate(spark, sf_dir).select("query_id", "id", F.lit(1).alias("hit"))
     share = true.join(got, ["query_id", "id"], "left").agg((F.count("hit") / F.count("*")).alias("recall"))
-    return load(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").agg(F.count("*").alias("queries")).join(share).select("queries", (F.col("recall") >= 0.9).alias("enough"))
+    scored = approximate(spark, sf_dir, tally=True).agg(F.sum("scored").alias("scored"))
+    asked, rows = load(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").agg(F.count("*").alias("queries")), load(spark, sf_dir, "embeddings").agg(F.count("*").alias("rows"))
+    return asked.join(share).join(scored).join(rows).select("queries", (F.col("recall") >= 0.9).alias("enough"), (F.col("scored") < F.col("queries") * F.col("rows")).alias("fewer"))
 
 
 @query("d7_rrf_fusion", ALL + " SELECT query_id, chunk_id, semantic_rank, lexical_rank, round(fusion_score, 9) AS fusion_score, retrieval_source, rank FROM fused")

@@ -17,14 +17,21 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def files_of(table: DataFrame, most: int | None = None) -> list[tuple[str, int, int]]:
+    """Name, bytes and time of change of the files that a table is read from, `most` of them at most."""
+    spark = table.sparkSession
+    path, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    told = (path(f).getFileSystem(conf).getFileStatus(path(f)) for f in table.inputFiles()[:most])
+    return [(s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in told]
+
+
 def spread(df: DataFrame, key: str, split_mb: int = 64) -> DataFrame:
     """`df`, read from files, dealt out by `key` if its files are too small to give every core a split of its own; larger tables stay as they lie.
 
     A small table comes in one row group, which one task would read and work on alone.
     """
-    spark = df.sparkSession
-    path, cores = spark._jvm.org.apache.hadoop.fs.Path, spark.sparkContext.defaultParallelism
-    size = sum(path(f).getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path(f)).getLen() for f in df.inputFiles()[: cores + 1])
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = sum(n for _, n, _ in files_of(df, cores + 1))
     return df.repartition(2 * cores, key) if size < (cores * split_mb) << 20 else df
 
 
@@ -54,11 +61,7 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
 
 def version(*tables: DataFrame) -> str:
     """A digest of the files that the tables are read from: their names, sizes and times."""
-    digest = hashlib.sha256()
-    for table in tables:
-        files = table.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
-        digest.update(str(sorted(map(tuple, files.collect()))).encode())  # a row for each file
-    return digest.hexdigest()[:24]
+    return hashlib.sha256(str([sorted(files_of(t)) for t in tables]).encode()).hexdigest()[:24]
 
 
 def kept(spark: SparkSession, tag: str, of: str, make: Callable[[str], None]) -> str:
