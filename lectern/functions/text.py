@@ -30,7 +30,7 @@ def _nfc(texts: pd.Series) -> pd.Series:
 
 def composed(text: Column) -> Column:
     """The text in Unicode's composed form (NFC); only texts with a character that can change are handed to Python."""
-    return F.coalesce(_nfc(F.when(text.rlike(f"[^{COMPOSED}]"), text)), text)
+    return F.coalesce(_nfc(F.when(text.rlike(r"[^\x00-\x7f]") & ~text.rlike(f"^[{COMPOSED}]*+\\z"), text)), text)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

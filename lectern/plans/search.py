@@ -145,7 +145,8 @@ def with_content(spark, sf_dir, f):
 
 @query("c10_hash_embed", ",\n".join([cte("pieces"), _embed("pv", "pieces", "chunk_id", "content")]) + " SELECT id, list_transform(vector, lambda x: round(x, 6)) AS vector FROM pv")
 def c10(spark, sf_dir):
-    return E.hash_embed(pieces(spark, sf_dir), "chunk_id", "content", DIM).select("id", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
+    """The stored vectors of all pieces; the first of all queries that need them writes them."""
+    return piece_vectors(spark, sf_dir).select("id", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
 
 
 @query("c11_embed_seam", ",\n".join([cte("pieces"), _embed("pv", "pieces", "chunk_id", "content")]) + " SELECT id AS chunk_id, list_transform(vector, lambda x: round(x::float::double, 5)) AS vector FROM pv")

@@ -32,7 +32,7 @@ def s2(spark, sf_dir):
 
 @query("s3_quota_stream", "SELECT user_id, date_trunc('month', ts)::timestamp AS month, sum(floor(abs(value))::bigint) AS tokens, count(*) AS requests FROM events GROUP BY 1, 2")
 def s3(spark, sf_dir):
-    return S.run_latest(S.quota_stream(events(spark, sf_dir), F.floor(F.abs("value")).cast("long")), workspace(spark, "quota"), "user_id", "month")
+    return S.run_latest(S.quota_stream(events(spark, sf_dir), F.floor(F.abs("value")).cast("long")), workspace(spark, "quota"), "user_id", "month").drop("closed")
 
 
 @query("s4_dedup_stream", "SELECT event_id FROM events")
@@ -111,4 +111,4 @@ def s1(spark, sf_dir):
     S.ingest_stream(spark, f"{folder}/*", f"{state}/rows", f"{state}/state")
     d.select(F.concat("slug", F.lit("_again")).alias("slug"), F.regexp_replace("value", "\n$", "").alias("value")).write.partitionBy("slug").text(f"{folder}/b")
     S.ingest_stream(spark, f"{folder}/*", f"{state}/rows", f"{state}/state")
-    return spark.read.parquet(f"{state}/rows").select(F.regexp_extract("path", "slug=([^/]+)", 1).alias("slug"), "content_hash", "action")
+    return spark.read.parquet(f"{state}/rows/rows").select(F.regexp_extract("path", "slug=([^/]+)", 1).alias("slug"), "content_hash", "action")

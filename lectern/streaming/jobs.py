@@ -2,17 +2,33 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from lectern.functions import text as T
-from lectern.sources.files import decoded, size_guard
+from lectern.sources.files import MOST_BYTES, decoded, size_guard
 
 LATE = "10 minutes"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings for the time of a job."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
@@ -34,8 +50,8 @@ def run_latest(stream: DataFrame, folder: str, *keys: str) -> DataFrame:
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
 
-    q = stream.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
+    with settings(stream.sparkSession, **{"spark.sql.streaming.stateStore.providerClass": ROCKSDB}):
+        stream.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     rows = stream.sparkSession.read.parquet(f"{folder}/rows")
     return rows.withColumn("n_", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("batch")))).where("n_ = 1").drop("n_", "batch")
 
@@ -46,9 +62,46 @@ def rate_stream(events: DataFrame, unit: str, limit: int) -> DataFrame:
     return n.where(F.col("requests") > limit).select("user_id", F.col("w.start").alias("window_start"), "requests")
 
 
-def quota_stream(events: DataFrame, tokens: Column) -> DataFrame:
-    """Running totals by user and month."""
-    return events.groupBy("user_id", F.date_trunc("month", "ts").alias("month")).agg(F.sum(tokens).alias("tokens"), F.count("*").alias("requests"))
+class MonthTotals(StatefulProcessor):
+    """Totals of one user's month; an event-time timer drops them once no event of the month is waited for any more."""
+
+    def __init__(self, days: int) -> None:
+        self.days = days
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.totals = handle, handle.getValueState("totals", "tokens long, requests long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        known = self.totals.exists()
+        tokens, requests = self.totals.get() if known else (0, 0)
+        for frame in rows:
+            tokens, requests = tokens + int(frame["tokens"].sum()), requests + len(frame)
+        self.totals.update((tokens, requests))
+        if not known:
+            closed = (pd.Timestamp(key[1]) + pd.DateOffset(months=1, days=self.days)).timestamp() * 1000
+            self.handle.registerTimer(max(int(closed), timerValues.getCurrentWatermarkInMs() + 1))
+        yield pd.DataFrame({"user_id": [key[0]], "month": [key[1]], "tokens": [tokens], "requests": [requests], "closed": [False]})
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        tokens, requests = self.totals.get()
+        self.totals.clear()
+        yield pd.DataFrame({"user_id": [key[0]], "month": [key[1]], "tokens": [tokens], "requests": [requests], "closed": [True]})
+
+    def close(self) -> None:
+        pass
+
+
+def quota_stream(events: DataFrame, tokens: Column, days: int = 3) -> DataFrame:
+    """(user_id, month, tokens, requests, closed): running totals by user and month.
+
+    Events come up to `days` days of event time late. When the watermark has passed the month by so
+    much, the totals are given once more as closed and leave the state, which so holds two months
+    for each user at most; events of a closed month are dropped. Needs the state store of ROCKSDB.
+    """
+    rows = events.withWatermark("ts", f"{days} days").select("user_id", "ts", F.date_format(F.date_trunc("month", "ts"), "yyyy-MM-dd").alias("month"), tokens.alias("tokens"))
+    shape = f"user_id {dict(events.dtypes)['user_id']}, month string, tokens long, requests long, closed boolean"
+    totals = rows.groupBy("user_id", "month").transformWithStateInPandas(MonthTotals(days), shape, "update", "eventTime")
+    return totals.withColumn("month", F.to_timestamp("month"))
 
 
 def dedup_stream(events: DataFrame, key: str) -> DataFrame:
@@ -87,30 +140,48 @@ def accumulate_tokens(events: DataFrame, idle_ms: int = 600_000) -> DataFrame:
     return events.withWatermark("ts", LATE).groupBy("job").applyInPandasWithState(step, f"job long, {shape}", shape, "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def ingest_stream(spark: SparkSession, folder: str, target: str, state: str) -> None:
-    """New text files become rows of `target`: path, text (cleaned), content_hash (SHA-256 of the bytes), action.
+class FirstOfHash(StatefulProcessor):
+    """Files (path, content_hash, content) of one hash to the same with an action; the state is the path that the content first came under."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.stored = handle.getValueState("stored", "path string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        known, first, content, paths = self.stored.exists(), None, None, []
+        for frame in rows:
+            paths += frame["path"].tolist()
+            if not known and (first is None or frame["path"].min() < first):
+                first, content = frame["path"].min(), frame["content"].iloc[0]
+        if not known:
+            self.stored.update((first,))
+        yield pd.DataFrame({"path": paths, "content_hash": key[0], "action": ["NEW" if p == first else "UNCHANGED" for p in paths], "content": [content if p == first else None for p in paths]})
+
+    def close(self) -> None:
+        pass
+
+
+def ingest_stream(spark: SparkSession, folder: str, target: str, state: str, most: int = MOST_BYTES) -> None:
+    """New files become rows of `target`/rows: path, content_hash (SHA-256 of the bytes), action, text (cleaned).
 
     action is NEW, or UNCHANGED for bytes that are stored already, under this or another path; an
-    unchanged file has no text. Each batch overwrites its own part, so a batch that is run again
-    leaves one result.
+    unchanged file has no text. Whether bytes are stored is the state of their hash, so that a batch
+    costs what its own files cost, however many came before. Files of over `most` bytes, which are not
+    read, empty and blank ones go to `target`/rejects with the reason. Each batch overwrites its own
+    part, so that a batch that is run again leaves one result.
     """
     shape = "path string, modificationTime timestamp, length long, content binary"
-    files = spark.readStream.format("binaryFile").schema(shape).option("recursiveFileLookup", "true").load(folder).where(size_guard(F.col("length")).isNull())
+    files = spark.readStream.format("binaryFile").schema(shape).option("recursiveFileLookup", "true").load(folder)
+    why = size_guard(F.col("length"), most)
+    read = files.where(why.isNull()).select("path", F.sha2("content", 256).alias("content_hash"), "content")
+    acted = read.groupBy("content_hash").transformWithStateInPandas(FirstOfHash(), "path string, content_hash string, action string, content binary", "append", "none")
+    refused = files.where(why.isNotNull()).select("path", F.lit(None).cast("string").alias("content_hash"), why.alias("action"), F.lit(None).cast("binary").alias("content"))
 
     def put(batch: DataFrame, number: int) -> None:
-        docs = batch.select("path", T.clean_text(decoded(F.col("content")).text).text.alias("text"), F.sha2("content", 256).alias("content_hash"))
-        first = docs.groupBy("content_hash").agg(F.min("path").alias("first"))
-        parts = [p for p in known() if p != number]
-        if parts:
-            old = spark.read.parquet(*[f"{target}/batch={p}" for p in parts]).where("action = 'NEW'").select("content_hash")
-            first = first.join(old, "content_hash", "left_anti")
-        new = F.col("path").eqNullSafe(F.col("first"))
-        out = docs.join(first, "content_hash", "left").select("path", F.when(new, F.col("text")).alias("text"), "content_hash", F.when(new, "NEW").otherwise("UNCHANGED").alias("action"))
-        out.write.mode("overwrite").parquet(f"{target}/batch={number}")
-
-    def known() -> list[int]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(target)
-        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        return [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(path) if "=" in s.getPath().getName()] if fs.exists(path) else []
-
-    files.writeStream.foreachBatch(put).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+        known = F.col("action").isin("NEW", "UNCHANGED")
+        texts = batch.withColumn("raw", decoded(F.col("content")).text).withColumn("blank", F.coalesce(F.regexp_replace("raw", r"(?U)\s", "") == "", F.lit(False))).persist()
+        texts.where(known & ~F.col("blank")).select("path", T.clean_text(F.col("raw")).text.alias("text"), "content_hash", "action").write.mode("overwrite").parquet(f"{target}/rows/batch={number}")
+        texts.where(~known | F.col("blank")).select("path", F.when(known, "no text").otherwise(F.col("action")).alias("reason")).write.mode("overwrite").parquet(f"{target}/rejects/batch={number}")
+        texts.unpersist()
+
+    with settings(spark, **{"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.execution.arrow.maxRecordsPerBatch": "16"}):  # contents are large
+        acted.unionByName(refused).writeStream.foreachBatch(put).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()

@@ -1,8 +1,10 @@
 """Operators on small tables: empty and null inputs, plans, and what SQL does not show."""
 
+import datetime
 import json
 import random
 import re
+import shutil
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -153,13 +155,44 @@ def test_ingest_stream_skips_what_it_has(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.txt").write_text("uno-\ndos")
     (tmp_path / "in/b.txt").write_text("tres")
-    run = lambda: S.ingest_stream(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out", f"file://{tmp_path}/state")
+    (tmp_path / "in/e.txt").write_text(" \n")
+    run = lambda: S.ingest_stream(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out", f"file://{tmp_path}/state", most=30)
     run()
+    old = {r.path[-5:] for r in spark.read.parquet(f"file://{tmp_path}/out/rows").collect()}
+    assert old == {"a.txt", "b.txt"}
+    shutil.move(tmp_path / "out/rows", tmp_path / "elsewhere")  # what is stored is known by state, not by reading all of it again
     (tmp_path / "in/c.txt").write_text("tres")
     (tmp_path / "in/d.txt").write_text("cuatro")
+    (tmp_path / "in/f.txt").write_text("x" * 31)
+    (tmp_path / "in/g.txt").write_text("cuatro")
     run()
-    rows = spark.read.parquet(f"file://{tmp_path}/out").collect()
-    assert sorted((r.path[-5:], r.action, r.text) for r in rows) == [("a.txt", "NEW", "unodos"), ("b.txt", "NEW", "tres"), ("c.txt", "UNCHANGED", None), ("d.txt", "NEW", "cuatro")]
+    rows = spark.read.parquet(f"file://{tmp_path}/out/rows").collect()
+    assert sorted((r.path[-5:], r.action, r.text) for r in rows) == [("c.txt", "UNCHANGED", None), ("d.txt", "NEW", "cuatro"), ("g.txt", "UNCHANGED", None)]
+    assert {(r.path[-5:], r.reason) for r in spark.read.parquet(f"file://{tmp_path}/out/rejects").collect()} == {("e.txt", "no text"), ("f.txt", "too large")}
+
+
+def test_months_close_and_leave_the_state(spark, tmp_path):
+    def add(name, *rows):
+        frame = spark.createDataFrame([(u, datetime.datetime.fromisoformat(t), n) for u, t, n in rows], "user_id long, ts timestamp, n long")
+        frame.coalesce(1).write.parquet(f"{tmp_path}/{name}")
+        shutil.copy(next((tmp_path / name).glob("part-*.parquet")), tmp_path / "in" / f"{name}.parquet")
+
+    (tmp_path / "in").mkdir()
+    def run():
+        stream = spark.readStream.schema("user_id long, ts timestamp, n long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        S.run_latest(S.quota_stream(stream, F.col("n")), str(tmp_path / "out"), "user_id", "month")
+        return spark.read.parquet(f"{tmp_path}/out/rows").collect()
+
+    add("a", (1, "2024-01-10", 5), (1, "2024-01-20", 7), (2, "2024-01-31", 1))
+    assert {(r.user_id, r.tokens, r.closed) for r in run()} == {(1, 12, False), (2, 1, False)}
+    add("b", (1, "2024-02-02", 3), (1, "2024-01-31T12:00:00", 2))  # late, but waited for
+    assert {(r.user_id, r.month.month, r.tokens) for r in run()} >= {(1, 1, 14), (1, 2, 3)}
+    add("c", (2, "2024-02-20", 9))
+    rows = run()
+    assert {(r.user_id, r.month.month, r.tokens) for r in rows if r.closed} == {(1, 1, 14), (2, 1, 1)}
+    add("d", (1, "2024-01-15", 100), (1, "2024-02-21", 4))  # its month is closed
+    rows = run()
+    assert max(r.tokens for r in rows) == 14 and (1, 2, 7) in {(r.user_id, r.month.month, r.tokens) for r in rows}
 
 
 def test_composed_forms(spark):
