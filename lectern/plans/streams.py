@@ -57,35 +57,39 @@ def s6(spark, sf_dir):
     return S.run_latest(S.accumulate_tokens(tokens), workspace(spark, "tokens"), "job")
 
 
-#: Texts that a source's documents are dealt to.
-FILES = 16
+#: The guard of the written texts; a small one, so that small tables have several parts too.
+GUARD = 1 << 19
 
 
 def texts(spark, sf_dir):
-    """All documents under header blocks, in FILES texts for each source, in the shared folder."""
+    """All documents under header blocks, in texts by source and part, in the shared folder."""
     d = load(spark, sf_dir, "documents")
-    slug = F.concat("source", F.lit("_"), (F.col("doc_id") % FILES).cast("string"))
     folder = workspace(spark, "corpus")
-    write_corpus(d.select(slug.alias("slug"), F.col("doc_id").alias("document_id"), F.concat(F.lit("Norma "), "source").alias("name"), F.col("doc_id").cast("string").alias("number"), F.lit("X").alias("issuer"), F.lit("VIGENTE").alias("status"), F.lit("http://x").alias("url"), "text"), folder)
+    write_corpus(d.select(F.col("source").alias("slug"), F.col("doc_id").alias("document_id"), F.concat(F.lit("Norma "), "source").alias("name"), F.col("doc_id").cast("string").alias("number"), F.lit("X").alias("issuer"), F.lit("VIGENTE").alias("status"), F.lit("http://x").alias("url"), "text"), folder, GUARD)
     return folder
 
 
+def name_of(path):
+    """slug-part of a written text."""
+    return F.regexp_replace(F.regexp_extract(path, "slug=(.+)/part=[0-9]+/", 1), "$", F.concat(F.lit("-"), F.regexp_extract(path, "/part=([0-9]+)/", 1)))
+
+
 _HEAD = "upper('Norma ' || source) || chr(10) || repeat('=', 80) || chr(10) || chr(10) || 'Identificador Oficial: ' || doc_id || chr(10) || 'Emisor: X' || chr(10) || 'Estado de Vigencia: VIGENTE' || chr(10) || 'Fuente Oficial: http://x' || chr(10) || chr(10) || repeat('=', 80) || chr(10) || chr(10) || text || chr(10)"
-_FILES = f"p AS (SELECT source || '_' || doc_id % {FILES} AS slug, string_agg({_HEAD}, '' ORDER BY doc_id) AS t, count(*) AS n FROM documents GROUP BY 1)"
+_FILES = f"b AS (SELECT source, doc_id, {_HEAD} AS v FROM documents), starts AS (SELECT *, sum(strlen(v)) OVER (PARTITION BY source ORDER BY doc_id) - strlen(v) AS start FROM b), p AS (SELECT source || '-' || (start // {GUARD // 2})::bigint AS slug, string_agg(v, '' ORDER BY doc_id) AS t, count(*) AS n FROM starts GROUP BY 1)"
 
 
 @query("a1_scan_text", f"WITH {_FILES} SELECT slug, 'utf-8' AS encoding, sha256(t) AS content_hash, length(t) AS chars FROM p")
 def a1(spark, sf_dir):
     """Every document, written by the sink and scanned again."""
     found, _ = scan_text(spark, texts(spark, sf_dir))
-    return found.select(F.regexp_extract("path", "slug=([^/]+)", 1).alias("slug"), "encoding", "content_hash", F.length("text").alias("chars"))
+    return found.select(name_of(F.col("path")).alias("slug"), "encoding", "content_hash", F.length("text").alias("chars"))
 
 
 @query("a2_scan_corpus", f"WITH {_FILES} SELECT slug, strlen(t) AS size, NULL::varchar AS reason FROM p")
 def a2(spark, sf_dir):
-    """The written folder holds one text for each slug, and nothing that is skipped."""
+    """The written folder holds the texts of all slugs, and nothing that is skipped."""
     kept, skipped = scan_corpus(spark, texts(spark, sf_dir))
-    slug = F.regexp_extract("path", "slug=([^/]+)", 1).alias("slug")
+    slug = name_of(F.col("path")).alias("slug")
     return kept.select(slug, "size", F.lit(None).cast("string").alias("reason")).unionAll(skipped.select(slug, "size", "reason"))
 
 
@@ -95,11 +99,14 @@ def a3(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", size_guard(F.octet_length("text"), 4000).alias("reason"))
 
 
-@query("a13_write_corpus", f"WITH {_FILES} SELECT slug, n AS documents, len(string_split(t, chr(10))) - 1 AS lines FROM p")
+@query("a13_write_corpus", f"WITH {_FILES} SELECT regexp_replace(slug, '-[0-9]+$', '') AS slug, count(*) AS files, sum(strlen(t))::bigint AS bytes, max(strlen(t)) <= greatest({GUARD}, {GUARD // 2} + 200000) AS guarded, sum(n)::bigint AS documents, sum(len(string_split(t, chr(10))) - 1)::bigint AS lines FROM p GROUP BY 1")
 def a13(spark, sf_dir):
-    """Lines and header blocks of each written text."""
-    lines = spark.read.text(texts(spark, sf_dir))
-    return lines.groupBy("slug").agg(F.count_if(F.col("value").startswith("Identificador Oficial: ")).alias("documents"), F.count("*").alias("lines"))
+    """Files, bytes, header blocks and lines of each slug, and whether its files keep to the guard, for documents of up to 200,000 bytes."""
+    folder = texts(spark, sf_dir)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.regexp_extract("path", "slug=(.+)/part=", 1).alias("slug"), "length")
+    files = files.groupBy("slug").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"), (F.max("length") <= max(GUARD, GUARD // 2 + 200_000)).alias("guarded"))
+    lines = spark.read.text(folder).groupBy("slug").agg(F.count_if(F.col("value").startswith("Identificador Oficial: ")).alias("documents"), F.count("*").alias("lines"))
+    return files.join(lines, "slug")
 
 
 @query("s1_ingest_stream", f"WITH {_FILES}, c AS (SELECT slug, sha256(t) AS content_hash, row_number() OVER (PARTITION BY sha256(t) ORDER BY slug) AS nth FROM p) SELECT slug, content_hash, CASE WHEN nth = 1 THEN 'NEW' ELSE 'UNCHANGED' END AS action FROM c UNION ALL SELECT slug || '_again', content_hash, 'UNCHANGED' FROM c")
@@ -107,7 +114,8 @@ def s1(spark, sf_dir):
     """The written texts, ingested; then the same bytes again under other names, by a second run that goes on from the first one's state."""
     folder, state = workspace(spark, "incoming"), workspace(spark, "ingest")
     d = spark.read.text(texts(spark, sf_dir), wholetext=True)
-    d.select(F.col("slug"), F.regexp_replace("value", "\n$", "").alias("value")).write.partitionBy("slug").text(f"{folder}/a")
+    d = d.withColumn("slug", F.concat_ws("-", "slug", "part"))
+    d.select("slug", F.regexp_replace("value", "\n$", "").alias("value")).write.partitionBy("slug").text(f"{folder}/a")
     S.ingest_stream(spark, f"{folder}/*", f"{state}/rows", f"{state}/state")
     d.select(F.concat("slug", F.lit("_again")).alias("slug"), F.regexp_replace("value", "\n$", "").alias("value")).write.partitionBy("slug").text(f"{folder}/b")
     S.ingest_stream(spark, f"{folder}/*", f"{state}/rows", f"{state}/state")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .tables import stored
+
 SUFFIXES = ("txt", "md", "html", "htm", "xhtml")
 DOCUMENTATION = ("readme", "license", "licence", "changelog", "contributing", "notice")
 MOST_BYTES = 50 * 1024 * 1024
@@ -51,13 +53,32 @@ def scan_text(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return read.where(~blank), read.where(blank).select("path", F.lit("no text").alias("reason")).unionAll(odd)
 
 
-def write_corpus(docs: DataFrame, folder: str) -> None:
-    """One text below a folder for each slug, its documents in order of `document_id` under header blocks.
+def parts_of(docs: DataFrame, size: Column, limit: int) -> DataFrame:
+    """(slug, document_id, part): the number of the stretch of `limit` bytes, of a slug's documents in order, that a document begins in.
+
+    A running sum without a group in one task: sums run within ranges of (slug, document_id), and
+    start from the totals of the ranges before, of which a slug has as many as there are tasks.
+    """
+    ranged = docs.select("slug", "document_id", size.cast("long").alias("size")).repartitionByRange("slug", "document_id").withColumn("range", F.spark_partition_id())
+    ranged = stored(ranged, "corpus-ranges")  # so that every use sees the same ranges
+    before = F.sum("total").over(Window.partitionBy("slug").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = ranged.groupBy("slug", "range").agg(F.sum("size").alias("total")).select("slug", "range", F.coalesce(before, F.lit(0)).alias("start"))
+    within = F.sum("size").over(Window.partitionBy("slug", "range").orderBy("document_id").rowsBetween(Window.unboundedPreceding, -1))
+    placed = ranged.withColumn("within", F.coalesce(within, F.lit(0))).join(F.broadcast(starts) if starts.count() <= 100_000 else starts, ["slug", "range"])
+    return placed.select("slug", "document_id", F.floor((F.col("start") + F.col("within")) / limit).cast("long").alias("part"))
+
+
+def write_corpus(docs: DataFrame, folder: str, most: int = MOST_BYTES) -> None:
+    """Texts below a folder for each slug and part, documents in order of `document_id` under header blocks.
 
-    docs (slug, document_id, name, number, issuer, status, url, text). A slug is written by one task, so
-    a slug should hold no more documents than a file may.
+    docs (slug, document_id, name, number, issuer, status, url, text), one row for each slug and
+    document_id. A text holds the documents that begin in one stretch of most / 2 bytes of their
+    slug, so that none goes beyond `most` bytes, the guard of the scans, but for a document of over
+    half as many; and a slug is written by as many tasks as it has parts.
     """
     rule = "=" * 80
     head = F.concat_ws("\n", F.upper("name"), F.lit(rule), F.lit(""), F.concat(F.lit("Identificador Oficial: "), "number"), F.concat(F.lit("Emisor: "), "issuer"), F.concat(F.lit("Estado de Vigencia: "), "status"), F.concat(F.lit("Fuente Oficial: "), "url"), F.lit(""), F.lit(rule), F.lit(""), "text")
-    ordered = docs.select("slug", "document_id", head.alias("value")).repartition("slug").sortWithinPartitions("slug", "document_id")
-    ordered.select("slug", "value").write.partitionBy("slug").mode("overwrite").text(folder)
+    blocks = docs.select("slug", "document_id", head.alias("value"))
+    parts = parts_of(blocks, F.octet_length("value") + 1, most // 2)
+    placed = blocks.join(parts, ["slug", "document_id"]).repartition("slug", "part").sortWithinPartitions("slug", "part", "document_id")
+    placed.select("slug", "part", "value").write.partitionBy("slug", "part").mode("overwrite").text(folder)

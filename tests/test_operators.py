@@ -244,3 +244,18 @@ def test_containing(spark):
     items = [(10, "one two three four five"), (11, "a b"), (12, "ero one two three four fi"), (13, None)]
     got = containing(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "query_id long, wanted string"))
     assert sorted(map(tuple, got.collect())) == sorted((d, q) for d, t in docs for q, w in items if t and w and w in t)
+
+
+def test_written_texts_keep_to_the_guard(spark, tmp_path):
+    """One slug with most of all documents, in parts of bounded size that follow each other in order."""
+    from lectern.sources.files import write_corpus
+
+    rng = random.Random(6)
+    rows = [("hot" if i % 10 else f"s{i % 3}", i, "n", str(i), "x", "v", "u", "t" * rng.randrange(300)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "slug string, document_id long, name string, number string, issuer string, status string, url string, text string").repartition(5)
+    write_corpus(docs, str(tmp_path / "out"), most=4000)
+    written = {(f.parent.parent.name, int(f.parent.name[5:])): f.read_text() for f in (tmp_path / "out").rglob("part-*.txt")}
+    assert len(written) > 30 and max(map(len, written.values())) <= 4000
+    for slug in ("hot", "s0"):
+        whole = "".join(t for (s, _), t in sorted(written.items()) if s == f"slug={slug}")
+        assert re.findall(r"Identificador Oficial: (\d+)", whole) == [str(i) for s, i, *_ in rows if s == slug]
