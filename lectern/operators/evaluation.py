@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +22,8 @@ def containing(docs: DataFrame, items: DataFrame, broadcast_rows: int = 100_000)
     """(doc_id, query_id): documents (doc_id, text) that contain the text `wanted` of an item (query_id, wanted).
 
     An item's second to fourth word stand whole in such a document, so documents are joined by runs
-    of three words first and compared after that. Items of under five words have no such run and are
-    held against all documents.
+    of three words first and compared after that. Items of under five words have no such run; an
+    automaton finds all of them in one pass over a text.
     """
     words = lambda c: F.split(c, r"\s+")
     run = lambda w, i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
@@ -29,7 +34,39 @@ def containing(docs: DataFrame, items: DataFrame, broadcast_rows: int = 100_000)
     runs = cut.select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: run(F.col("w"), i))).alias("h"))
     met = runs.join(few(long.select("query_id", "h")), "h").select("doc_id", "query_id").distinct().join(few(long.select("query_id", "wanted")), "query_id")
     found = docs.join(met, "doc_id").where(F.contains("text", "wanted")).select("doc_id", "query_id")
-    return found.unionAll(docs.join(F.broadcast(short), F.contains("text", "wanted")).select("doc_id", "query_id") if not short.isEmpty() else found.limit(0))
+    return found.unionAll(spotted(docs, short))
+
+
+def spotted(docs: DataFrame, items: DataFrame, group: int = 50_000) -> DataFrame:
+    """`containing` for any items, by an Aho-Corasick automaton in each task.
+
+    Items travel with the plan, `group` of them at most; a larger set is cut by hash into as many
+    passes over the documents as it needs.
+    """
+    spark, kinds = docs.sparkSession, (dict(docs.dtypes)["doc_id"], dict(items.dtypes)["query_id"])
+    shape = f"doc_id {kinds[0]}, query_id {kinds[1]}"
+    groups, out = -(-items.count() // group), spark.createDataFrame([], shape)
+    for g in range(groups):
+        own = items.where(F.pmod(F.xxhash64("query_id", "wanted"), F.lit(groups)) == g)
+        sent = spark.sparkContext.broadcast([tuple(r) for r in own.select("query_id", "wanted").collect()])
+
+        def found(batches: Iterator[pd.DataFrame], sent: Broadcast = sent) -> Iterator[pd.DataFrame]:
+            automaton, everywhere, by_text = ahocorasick.Automaton(), [], {}
+            for query_id, wanted in sent.value:
+                by_text.setdefault(wanted, []).append(query_id)
+            everywhere = by_text.pop("", [])  # every text contains the empty one
+            for wanted, ids in by_text.items():
+                automaton.add_word(wanted, (wanted, ids))
+            automaton.make_automaton()
+            for batch in batches:
+                rows = []
+                for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+                    held = dict(hit for _, hit in automaton.iter(text)) if by_text else {}
+                    rows += [(doc_id, i) for ids in (everywhere, *held.values()) for i in ids]
+                yield pd.DataFrame(rows, columns=["doc_id", "query_id"])
+
+        out = out.unionAll(docs.where("text is not null").select("doc_id", "text").mapInPandas(found, shape))
+    return out
 
 
 def evaluate_cases(queries: DataFrame, results: DataFrame, expected: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:

@@ -150,13 +150,38 @@ def arm_contribution(fused: DataFrame) -> DataFrame:
     return p.withColumn("hybrid_share", F.round(F.col("HYBRID") / (F.col("SEMANTIC") + F.col("LEXICAL") + F.col("HYBRID")), 6))
 
 
+def trigrams(title: Column) -> Column:
+    """Distinct trigrams of a title's words, which are padded by two blanks before and one behind."""
+    words = F.split(F.trim(F.regexp_replace(F.lower(title), r"[^a-z0-9áéíóúüñ]+", " ")), " ")
+    of = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substring(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3)))
+    return F.array_distinct(F.flatten(F.transform(words, of)))
+
+
+def title_pairs(queries: DataFrame, titles: DataFrame, threshold: float) -> DataFrame:
+    """(query_id, title_id, nq, nt, q, t): pairs that can be alike enough, with their trigrams.
+
+    In the order from the rarest trigram among the titles, two sets of likeness t share one of the
+    first n - ceil(t n) + 1 of each, and their sizes agree to t; so the most frequent trigrams pair
+    nothing, and sizes apart are left out.
+    """
+    t = titles.select("title_id", F.explode(trigrams(F.col("title"))).alias("g"))
+    q = queries.select("query_id", F.explode(trigrams(F.col("title"))).alias("g"))
+    often = t.groupBy("g").agg(F.count("*").alias("df"))
+    few = F.broadcast if often.count() <= 200_000 else lambda df: df  # trigrams of an alphabet
+
+    def ordered(rows: DataFrame, key: str, n: str) -> DataFrame:
+        held = rows.join(few(often), "g", "left").groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "g"))).alias("s")).withColumn(n, F.size("s"))
+        first = F.col(n) - F.ceil(F.lit(threshold) * F.col(n) - 1e-5) + 1
+        return held.select(key, n, F.col("s.g").alias(key[0]), F.explode(F.slice(F.col("s.g"), F.lit(1), first.cast("int"))).alias("g"))
+
+    met = ordered(q, "query_id", "nq").join(ordered(t, "title_id", "nt"), "g")
+    return met.where(F.least("nq", "nt") >= F.lit(threshold) * F.greatest("nq", "nt") - 1e-5).drop("g").dropDuplicates(["query_id", "title_id"])
+
+
 def fuzzy_title(queries: DataFrame, titles: DataFrame, threshold: float = 0.3, k: int = 5) -> DataFrame:
-    """(query_id, title_id, similarity, rank) by the Jaccard similarity of padded trigrams."""
-    gram = lambda c: F.array_distinct(F.flatten(F.transform(F.split(F.trim(F.regexp_replace(F.lower(c), r"[^a-z0-9áéíóúüñ]+", " ")), " "), lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substring(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3))))))
-    q = queries.select("query_id", gram(F.col("title")).alias("g")).withColumn("nq", F.size("g"))
-    t = titles.select("title_id", gram(F.col("title")).alias("g")).withColumn("nt", F.size("g"))
-    shared = q.select("query_id", "nq", F.explode("g").alias("g")).join(t.select("title_id", "nt", F.explode("g").alias("g")), "g").groupBy("query_id", "nq", "title_id", "nt").agg(F.count("*").alias("n"))
-    s = shared.select("query_id", "title_id", F.round(F.col("n") / (F.col("nq") + F.col("nt") - F.col("n")), 6).alias("similarity")).where(F.col("similarity") >= threshold)
+    """(query_id, title_id, similarity, rank) by the Jaccard similarity of padded trigrams, at `threshold` or above."""
+    pairs = title_pairs(queries, titles, threshold).withColumn("n", F.size(F.array_intersect("q", "t")))
+    s = pairs.select("query_id", "title_id", F.round(F.col("n") / (F.col("nq") + F.col("nt") - F.col("n")), 6).alias("similarity")).where(F.col("similarity") >= threshold)
     return ranked(s, "query_id", F.desc("similarity"), F.col("title_id"), k=k)
 
 

@@ -259,3 +259,35 @@ def test_written_texts_keep_to_the_guard(spark, tmp_path):
     for slug in ("hot", "s0"):
         whole = "".join(t for (s, _), t in sorted(written.items()) if s == f"slug={slug}")
         assert re.findall(r"Identificador Oficial: (\d+)", whole) == [str(i) for s, i, *_ in rows if s == slug]
+
+
+def test_short_items_are_spotted_in_groups(spark):
+    from lectern.operators.evaluation import containing, spotted
+
+    rng = random.Random(2)
+    docs = [(i, None if i == 3 else "".join(rng.choices("ab c", k=rng.randrange(40)))) for i in range(60)]
+    items = [(100 + j, "".join(rng.choices("ab c", k=rng.randrange(5)))) for j in range(80)]
+    want = sorted((d, q) for d, t in docs for q, w in items if t is not None and w in t)
+    frame, asked = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "query_id long, wanted string")
+    for group in (7, 1000):
+        assert sorted(map(tuple, spotted(frame, asked, group).collect())) == want
+    both = containing(frame, asked)
+    assert sorted(map(tuple, both.collect())) == want and "NestedLoop" not in both._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fuzzy_titles_try_few_pairs(spark):
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(150)]
+    titles = [(i, " ".join(["ley general", *rng.sample(vocabulary, rng.randrange(1, 5))])) for i in range(300)] + [(900, ""), (901, None)]
+    grams = lambda t: {("  " + w + " ")[i : i + 3] for w in t.split() for i in range(len(w) + 1)}
+    t = spark.createDataFrame(titles, "title_id long, title string")
+    q = t.where("title_id % 20 = 0").withColumnRenamed("title_id", "query_id")
+    likeness = lambda a, b: round(len(grams(a) & grams(b)) / len(grams(a) | grams(b)), 6)
+    for threshold in (0.3, 0.6):
+        want = {}
+        for i, a in titles[:300:20]:
+            alike = sorted((-likeness(a, b), j) for j, b in titles[:300] if likeness(a, b) >= threshold)[:5]
+            want |= {(i, j): (-s, r + 1) for r, (s, j) in enumerate(alike)}
+        got = {(r.query_id, r.title_id): (r.similarity, r.rank) for r in R.fuzzy_title(q, t, threshold).collect() if r.query_id < 900 and r.title_id < 900}
+        assert got == want
+    assert R.title_pairs(q, t, 0.6).count() < 0.2 * 15 * 300 and R.title_pairs(q, t, 0.6).count() < R.title_pairs(q, t, 0.3).count()
