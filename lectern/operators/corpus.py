@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.sources.tables import stored
+
+#: Buckets of a stored table.
+BUCKETS = 64
 ACTIVE_MODEL = "hash/words-64"
 #: Status derived from a relation, by strength.
 STRENGTH = {"DEROGADO": 4, "INEXEQUIBLE": 3, "PARCIALMENTE_DEROGADO": 2, "MODIFICADO": 1}
@@ -32,9 +38,9 @@ def derive_status(docs: DataFrame, relations: DataFrame, as_of: str) -> DataFram
     return docs.join(best, "document_id", "left").select("document_id", F.coalesce("derived", F.when(F.col("status") == "DESCONOCIDO", "DESCONOCIDO").otherwise("VIGENTE")).alias("status"))
 
 
-def upsert_documents(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+def upsert_documents(current: DataFrame, incoming: DataFrame) -> DataFrame:
     """Incoming fields win; a curated status stays unless another than the default comes, an address unless one comes."""
-    s, i = stored.alias("s"), incoming.alias("i")
+    s, i = current.alias("s"), incoming.alias("i")
     given = F.when(F.col("i.status") != "DESCONOCIDO", F.col("i.status"))
     return s.join(i, F.col("s.document_id") == F.col("i.document_id"), "full_outer").select(
         F.coalesce("i.document_id", "s.document_id").alias("document_id"), F.coalesce("i.title", "s.title").alias("title"),
@@ -47,6 +53,35 @@ def replace_chunks(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(new.select("document_id").distinct(), "document_id", "left_anti").select(*new.columns).unionByName(new)
 
 
+class BucketStore:
+    """A table below a folder in buckets of a key's hash, of which a change rewrites those that it touches alone."""
+
+    def __init__(self, spark: SparkSession, path: str, key: str = "document_id", buckets: int = BUCKETS):
+        self.spark, self.path, self.key, self.buckets = spark, path, key, buckets
+
+    def bucketed(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("bucket", F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int"))
+
+    def write(self, df: DataFrame) -> None:
+        self.bucketed(df).repartition("bucket").write.partitionBy("bucket").parquet(self.path)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.parquet(self.path).drop("bucket")
+
+    def merge(self, incoming: DataFrame, combine: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+        """Replaces the touched buckets by combine(their rows, incoming), which must keep a row in each; their numbers, `buckets` at most, go through the driver.
+
+        What replaces them is written aside first, since it is read from them; so a merge that is
+        run again gives the same.
+        """
+        numbered = self.bucketed(incoming)
+        touched = [r.bucket for r in numbered.select("bucket").distinct().collect()]
+        table = self.spark.read.parquet(self.path)
+        old = table.where(F.col("bucket").isin(touched)).drop("bucket")
+        new = stored(self.bucketed(combine(old, incoming)).repartition("bucket"), "merged")
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
+
+
 def find_duplicates(incoming: DataFrame, current: DataFrame) -> DataFrame:
     """incoming that is there already, by external id within its source or else by content."""
     by_id = current.where("external_id is not null").groupBy("source_name", "external_id").agg(F.min("document_id").alias("by_id"))
@@ -77,8 +112,8 @@ def stale_vectors(docs: DataFrame, model: str = ACTIVE_MODEL) -> DataFrame:
 def ingest_report(plan: DataFrame, chunks: DataFrame) -> DataFrame:
     """One row: processed, stored, skipped, failed, chunks, labelled chunks, and whether the run failed."""
     p = plan.agg(F.count("*").alias("processed"), F.count_if(F.col("action").isin("NEW", "REPLACE")).alias("stored"), F.count_if(F.col("action") == "UNCHANGED").alias("skipped"), F.count_if(F.col("action") == "REFUSED_CITED").alias("failed"))
-    stored = plan.where("action in ('NEW', 'REPLACE')").select("document_id")
-    c = chunks.join(stored, "document_id", "left_semi").agg(F.count("*").alias("chunks"), F.count_if(F.length("content") > 200).alias("long_chunks"))
+    kept = plan.where("action in ('NEW', 'REPLACE')").select("document_id")
+    c = chunks.join(kept, "document_id", "left_semi").agg(F.count("*").alias("chunks"), F.count_if(F.length("content") > 200).alias("long_chunks"))
     return p.join(c).withColumn("exit_failed", F.col("failed") > 0)
 
 

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.sources.files import parts_of
+
+#: Bytes of a part of a conversation.
+PART_BYTES = 1 << 20
 
 
 def last_question(turns: DataFrame) -> DataFrame:
@@ -35,18 +39,30 @@ def list_threads(threads: DataFrame, turns: DataFrame) -> DataFrame:
     return threads.join(n, "conv_id", "left").select("conv_id", F.coalesce("title", F.lit("Nueva consulta")).alias("title"), F.coalesce("messages", F.lit(0)).alias("messages"), F.unix_millis("created_at").alias("created_ms"), F.unix_millis("updated_at").alias("updated_ms")).orderBy(F.desc_nulls_last("updated_ms"), "conv_id")
 
 
-def thread_detail(turns: DataFrame) -> DataFrame:
-    """One row for each conversation with its turns in order."""
-    rows = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-    return turns.groupBy("conv_id").agg(F.array_join(F.transform(rows, lambda t: F.concat_ws(": ", t.role, t.text)), "\n").alias("transcript"), F.count("*").alias("turns"))
+def in_parts(turns: DataFrame, line: Column, between: str, limit: int) -> DataFrame:
+    """(conv_id, part, text, turns): each conversation's lines in order of turn, in parts of about `limit` bytes.
+
+    A part holds the lines that begin in one stretch of `limit` bytes of the conversation, so a row
+    is bounded however long a conversation is, and no task gathers one. turns has one row for each
+    conv_id and turn.
+    """
+    rows = turns.select(F.col("conv_id").alias("slug"), F.col("turn").alias("document_id"), line.alias("line"))
+    parts = parts_of(rows, F.octet_length("line") + len(between.encode()), limit)
+    own = F.transform(F.sort_array(F.collect_list(F.struct("document_id", "line"))), lambda t: t.line)
+    return rows.join(parts, ["slug", "document_id"]).groupBy(F.col("slug").alias("conv_id"), "part").agg(F.array_join(own, between).alias("text"), F.count("*").alias("turns"))
+
+
+def thread_detail(turns: DataFrame, limit: int = PART_BYTES) -> DataFrame:
+    """(conv_id, part, transcript, turns): each conversation's turns in order, a long one in several parts."""
+    return in_parts(turns, F.concat_ws(": ", "role", "text"), "\n", limit).withColumnRenamed("text", "transcript")
 
 
-def export_threads(turns: DataFrame) -> DataFrame:
-    """One Markdown document for each conversation."""
+def export_threads(turns: DataFrame, limit: int = PART_BYTES) -> DataFrame:
+    """(conv_id, part, markdown): one Markdown document for each conversation, a long one in parts that follow each other."""
     heading = F.when(F.col("role") == "user", F.lit("## Pregunta")).when(F.col("role") == "assistant", F.lit("## Respuesta")).otherwise(F.lit("## Sistema"))
-    rows = turns.select("conv_id", "turn", F.concat_ws("\n\n", heading, "text").alias("part"))
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("turn", "part"))), lambda t: t.part)
-    return rows.groupBy("conv_id").agg(F.concat(F.lit("# Conversación "), F.col("conv_id"), F.lit("\n\n"), F.array_join(parts, "\n\n")).alias("markdown"))
+    parts = in_parts(turns, F.concat_ws("\n\n", heading, "text"), "\n\n", limit)
+    title = F.when(F.col("part") == 0, F.concat(F.lit("# Conversación "), F.col("conv_id"), F.lit("\n\n"))).otherwise("")
+    return parts.select("conv_id", "part", F.concat(title, "text").alias("markdown"))
 
 
 def sync_threads(stored: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.operators import citations, corpus, quality
-from lectern.sources.tables import load, stored
+from lectern.sources.tables import load, stored, workspace
 
 from . import search
 from .views import STATUSES, TYPES, cte, view
@@ -101,19 +101,27 @@ def f2(spark, sf_dir):
     return corpus.derive_status(view(spark, sf_dir, "corpus"), view(spark, sf_dir, "relations"), "2015-06-30")
 
 
+def merged(spark, current, incoming, combine):
+    """The current rows stored in buckets, and these after a merge of the incoming ones."""
+    store = corpus.BucketStore(spark, workspace(spark, "store"))
+    store.write(current)
+    store.merge(incoming, combine)
+    return store.read()
+
+
 @query("f3_upsert_documents", cte("corpus") + """ SELECT document_id, CASE WHEN document_id % 4 = 0 THEN 'Nuevo ' || title ELSE title END AS title, CASE WHEN document_id % 8 = 0 THEN 'MODIFICADO' ELSE status END AS status, CASE WHEN document_id % 12 = 0 THEN 'http://nuevo.example/' ELSE source_url END AS source_url FROM corpus
 UNION ALL SELECT document_id + 5000000, 'Nuevo ' || title, CASE WHEN document_id % 8 = 0 THEN 'MODIFICADO' ELSE 'DESCONOCIDO' END, CASE WHEN document_id % 12 = 0 THEN 'http://nuevo.example/' END FROM corpus WHERE document_id % 4 = 0""")
 def f3(spark, sf_dir):
     c = view(spark, sf_dir, "corpus").select("document_id", "title", "status", "source_url")
     new = c.where("document_id % 4 = 0").selectExpr("explode(array(document_id, document_id + 5000000)) as document_id", "'Nuevo ' || title as title", "case when document_id % 8 = 0 then 'MODIFICADO' else 'DESCONOCIDO' end as status", "case when document_id % 12 = 0 then 'http://nuevo.example/' else '' end as source_url")
-    return corpus.upsert_documents(c, new)
+    return merged(spark, c, new, corpus.upsert_documents)
 
 
 @query("f4_replace_chunks", cte("pieces") + " SELECT document_id, chunk_index, content FROM pieces WHERE document_id % 3 > 0 OR document_id NOT IN (SELECT document_id FROM pieces WHERE document_id % 3 = 0 AND chunk_index = 0) UNION ALL SELECT document_id, chunk_index, content || ' (v2)' FROM pieces WHERE document_id % 3 = 0 AND chunk_index = 0")
 def f4(spark, sf_dir):
     p = pieces(spark, sf_dir).select("document_id", "chunk_index", "content")
     new = p.where("document_id % 3 = 0 and chunk_index = 0").withColumn("content", F.concat("content", F.lit(" (v2)")))
-    return corpus.replace_chunks(p, new)
+    return merged(spark, p, new, corpus.replace_chunks)
 
 
 @query("f5_find_duplicates", _HASHED + f", i AS ({INCOMING.format('h')}), a AS (SELECT source_name, external_id, min(document_id) AS x FROM h WHERE external_id IS NOT NULL GROUP BY ALL), b AS (SELECT content_hash, min(document_id) AS y FROM h GROUP BY 1) SELECT document_id, coalesce(x, y) AS existing_id, CASE WHEN x IS NOT NULL THEN 'external_id' ELSE 'content_hash' END AS reason FROM i LEFT JOIN a ON i.source_name = a.source_name AND i.external_id = a.external_id LEFT JOIN b ON i.content_hash = b.content_hash WHERE x IS NOT NULL OR y IS NOT NULL")

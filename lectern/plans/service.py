@@ -87,9 +87,20 @@ def conversations(spark, sf_dir):
     return load(spark, sf_dir, "conversations")
 
 
-@query("a15_export_threads", """SELECT conv_id, '# Conversación ' || conv_id || chr(10) || chr(10) || string_agg(CASE role WHEN 'user' THEN '## Pregunta' WHEN 'assistant' THEN '## Respuesta' ELSE '## Sistema' END || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS markdown FROM conversations GROUP BY conv_id""")
+#: Bytes of a part, few enough that the longer conversations have several.
+PART = 600
+
+
+def _parts(line, between):
+    return f"l AS (SELECT conv_id, turn, {line} AS line FROM conversations), s AS (SELECT *, sum(strlen(line) + {between}) OVER (PARTITION BY conv_id ORDER BY turn) - strlen(line) - {between} AS start FROM l), p AS (SELECT conv_id, turn, line, (start // {PART})::bigint AS part FROM s)"
+
+
+_MARK = "CASE role WHEN 'user' THEN '## Pregunta' WHEN 'assistant' THEN '## Respuesta' ELSE '## Sistema' END || chr(10) || chr(10) || text"
+
+
+@query("a15_export_threads", f"WITH {_parts(_MARK, 2)} SELECT conv_id, part, CASE WHEN part = 0 THEN '# Conversación ' || conv_id || chr(10) || chr(10) ELSE '' END || string_agg(line, chr(10) || chr(10) ORDER BY turn) AS markdown FROM p GROUP BY conv_id, part")
 def a15(spark, sf_dir):
-    return threads.export_threads(conversations(spark, sf_dir))
+    return threads.export_threads(conversations(spark, sf_dir), PART)
 
 
 @query("h1_last_question", "SELECT conv_id, arg_max(text, turn) AS question, max(turn) AS turn FROM conversations WHERE role = 'user' GROUP BY 1")
@@ -124,9 +135,9 @@ def h4(spark, sf_dir):
     return threads.list_threads(thread_table(spark, sf_dir), conversations(spark, sf_dir))
 
 
-@query("h5_thread_detail", "SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS transcript, count(*) AS turns FROM conversations GROUP BY 1")
+@query("h5_thread_detail", "WITH " + _parts("role || ': ' || text", 1) + " SELECT conv_id, part, string_agg(line, chr(10) ORDER BY turn) AS transcript, count(*) AS turns FROM p GROUP BY conv_id, part")
 def h5(spark, sf_dir):
-    return threads.thread_detail(conversations(spark, sf_dir))
+    return threads.thread_detail(conversations(spark, sf_dir), PART)
 
 
 @query("h6_sync_threads", f"WITH t AS ({_THREADS}) SELECT conv_id + (conv_id % 2) * 100000 AS conv_id, CASE WHEN conv_id % 2 = 1 THEN title WHEN conv_id % 4 = 0 THEN 'nuevo' ELSE title END AS title, created_at, CASE WHEN conv_id % 2 = 0 THEN updated_at + INTERVAL 1 HOUR ELSE updated_at END AS updated_at FROM t UNION ALL SELECT conv_id, title, created_at, updated_at FROM t WHERE conv_id % 2 = 1")

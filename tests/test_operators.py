@@ -291,3 +291,34 @@ def test_fuzzy_titles_try_few_pairs(spark):
         got = {(r.query_id, r.title_id): (r.similarity, r.rank) for r in R.fuzzy_title(q, t, threshold).collect() if r.query_id < 900 and r.title_id < 900}
         assert got == want
     assert R.title_pairs(q, t, 0.6).count() < 0.2 * 15 * 300 and R.title_pairs(q, t, 0.6).count() < R.title_pairs(q, t, 0.3).count()
+
+
+def test_a_merge_leaves_untouched_buckets_alone(spark, tmp_path):
+    from lectern.operators import corpus
+
+    store = corpus.BucketStore(spark, str(tmp_path / "store"), buckets=16)
+    store.write(spark.createDataFrame([(i, f"t{i}", "VIGENTE", f"u{i}") for i in range(200)], "document_id long, title string, status string, source_url string"))
+    files = lambda: {f.relative_to(tmp_path): f.stat().st_mtime_ns for f in (tmp_path / "store").rglob("part-*.parquet")}
+    before = files()
+    new = [(7, "new", "DESCONOCIDO", ""), (9000, "fresh", "DEROGADO", "v")]
+    touched = {f"bucket={r.bucket}" for r in store.bucketed(spark.createDataFrame([(i,) for i, *_ in new], "document_id long")).collect()}
+    for _ in range(2):  # the same once more changes nothing
+        store.merge(spark.createDataFrame(new, "document_id long, title string, status string, source_url string"), corpus.upsert_documents)
+        after = files()
+        kept = {f: t for f, t in before.items() if f.parent.name not in touched}
+        assert kept.items() <= after.items() and not {f for f in before if f.parent.name in touched} & set(after)
+        rows = {r.document_id: tuple(r)[1:] for r in store.read().collect()}
+        assert rows == {i: (f"t{i}", "VIGENTE", f"u{i}") for i in range(200)} | {7: ("new", "VIGENTE", "u7"), 9000: ("fresh", "DEROGADO", "v")}
+
+
+def test_a_thread_of_a_million_turns(spark):
+    from lectern.operators.threads import thread_detail
+
+    turns = spark.range(1_000_000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.concat(F.lit("t"), "id").alias("text"))
+    few = spark.createDataFrame([(2, 1, "user", "b"), (2, 0, "user", "a")], "conv_id int, turn long, role string, text string")
+    parts = thread_detail(turns.unionAll(few), 1 << 20).cache()
+    assert parts.agg(F.sum("turns")).first()[0] == 1_000_002 and parts.where("conv_id = 1").count() > 12
+    assert parts.agg(F.max(F.octet_length("transcript"))).first()[0] <= (1 << 20) + 20
+    assert parts.where("conv_id = 2").first().transcript == "user: a\nuser: b"
+    ends = parts.where("conv_id = 1").select("part", F.regexp_extract("transcript", r"^user: t(\d+)", 1).cast("long").alias("a"), F.regexp_extract("transcript", r"t(\d+)$", 1).cast("long").alias("b"), "turns").orderBy("part").collect()
+    assert [r.b - r.a + 1 for r in ends] == [r.turns for r in ends] and all(x.b + 1 == y.a for x, y in zip(ends, ends[1:]))
