@@ -48,6 +48,30 @@ def latency_breakdown(logs: DataFrame) -> DataFrame:
     return per.join(F.broadcast(whole)).select("stage", F.round("mean", 6).alias("mean"), F.round("median", 6).alias("median"), F.round("p95", 6).alias("p95"), F.round(F.col("total") / F.col("all"), 6).alias("share"))
 
 
+def stage_rows(logs: DataFrame, *keys: Column) -> DataFrame:
+    pairs = ", ".join(f"'{s}', cast({s}_latency_ms as bigint)" for s in STAGES)
+    return logs.select(*keys, F.expr(f"stack({len(STAGES)}, {pairs}) as (stage, ms)")).where("ms is not null")
+
+
+def latency_sketches(logs: DataFrame, k: int = 400) -> DataFrame:
+    """(day, stage, n, total, sketch): a mergeable quantile sketch (KLL) of each day's latencies, to be stored.
+
+    A new day is sketched by itself. A rank read from merged sketches is off by about 2.3 / k^0.9 at
+    most, about one in a hundred for 400, whatever the number of days.
+    """
+    rows = stage_rows(logs, F.to_date("created_at").alias("day"))
+    return rows.groupBy("day", "stage").agg(F.count("*").alias("n"), F.sum("ms").alias("total"), F.kll_sketch_agg_bigint("ms", k).alias("sketch"))
+
+
+def latency_from_sketches(sketches: DataFrame, ranks: dict[str, float] | None = None) -> DataFrame:
+    """(stage, n, mean, quantiles by name, share) over the stored days that are given, of which no latency is read again."""
+    ranks = ranks or {"median": 0.5, "p95": 0.95}
+    per = sketches.groupBy("stage").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.kll_merge_agg_bigint("sketch").alias("sketch"))
+    whole = per.agg(F.sum("total").alias("all"))  # one row
+    quantiles = [F.kll_sketch_get_quantile_bigint("sketch", F.lit(r)).alias(name) for name, r in ranks.items()]
+    return per.join(F.broadcast(whole)).select("stage", "n", F.round(F.col("total") / F.col("n"), 6).alias("mean"), *quantiles, F.round(F.col("total") / F.col("all"), 6).alias("share"))
+
+
 def model_cost(logs: DataFrame) -> DataFrame:
     """Tokens by model and role, with totals over all endpoints."""
     answer = logs.select(F.col("model"), F.lit("answer").alias("role"), "endpoint", (F.coalesce("input_tokens", F.lit(0)) + F.coalesce("output_tokens", F.lit(0))).alias("tokens"))

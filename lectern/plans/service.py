@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.operators import settlement, telemetry, threads
-from lectern.sources.tables import load
+from lectern.sources.tables import load, stored
 
 from .views import cte, view
 
@@ -66,6 +66,20 @@ def g5(spark, sf_dir):
     return telemetry.latency_breakdown(usage(spark, sf_dir))
 
 
+_STAGE_ROWS = "s AS (UNPIVOT (SELECT embedding_latency_ms AS embedding, retrieval_latency_ms AS retrieval, rerank_latency_ms AS rerank, llm_latency_ms AS llm, verification_latency_ms AS verification FROM usage) ON embedding, retrieval, rerank, llm, verification INTO NAME stage VALUE ms)"
+
+
+@query("g5_latency_sketches", cte("usage") + f", {_STAGE_ROWS} SELECT stage, count(*) AS n, round(avg(ms), 6) AS mean, round(sum(ms) / (SELECT sum(ms) FROM s), 6) AS share, true AS median_near, true AS p95_near FROM s GROUP BY 1")
+def g5_sketches(spark, sf_dir):
+    """Each day sketched and stored by itself, all days merged; and whether the exact ranks of the quantiles read lie within 0.02."""
+    logs = usage(spark, sf_dir)
+    days = stored(telemetry.latency_sketches(logs), "latency-days")
+    got = telemetry.latency_from_sketches(days)
+    below = telemetry.stage_rows(logs).join(F.broadcast(got.select("stage", "median", "p95")), "stage").groupBy("stage")  # five rows
+    near = lambda c, rank: ((F.avg((F.col("ms") < F.col(c)).cast("int")) <= rank + 0.02) & (F.avg((F.col("ms") <= F.col(c)).cast("int")) >= rank - 0.02)).alias(f"{c}_near")
+    return got.join(below.agg(near("median", 0.5), near("p95", 0.95)), "stage").select("stage", "n", "mean", "share", "median_near", "p95_near")
+
+
 @query("g6_model_cost", cte("usage") + """, u AS (SELECT model, 'answer' AS role, endpoint, coalesce(input_tokens, 0) + coalesce(output_tokens, 0) AS tokens FROM usage UNION ALL SELECT verifier_model, 'verifier', endpoint, coalesce(verifier_input_tokens, 0) + coalesce(verifier_output_tokens, 0) FROM usage WHERE verifier_model IS NOT NULL)
 SELECT role, model, endpoint, sum(tokens) AS tokens, count(*) AS requests, grouping_id(role, model, endpoint) AS level FROM u GROUP BY ROLLUP (role, model, endpoint) HAVING grouping_id(role, model, endpoint) IN (0, 1, 3)""")
 def g6(spark, sf_dir):

@@ -322,3 +322,20 @@ def test_a_thread_of_a_million_turns(spark):
     assert parts.where("conv_id = 2").first().transcript == "user: a\nuser: b"
     ends = parts.where("conv_id = 1").select("part", F.regexp_extract("transcript", r"^user: t(\d+)", 1).cast("long").alias("a"), F.regexp_extract("transcript", r"t(\d+)$", 1).cast("long").alias("b"), "turns").orderBy("part").collect()
     assert [r.b - r.a + 1 for r in ends] == [r.turns for r in ends] and all(x.b + 1 == y.a for x, y in zip(ends, ends[1:]))
+
+
+def test_sketches_of_days_merge_within_the_bound(spark):
+    from lectern.operators import telemetry
+
+    rng = random.Random(3)
+    rows = [(datetime.datetime(2024, 1, 1 + i % 20), *(int(rng.paretovariate(1.2) * 10) for _ in telemetry.STAGES)) for i in range(8000)]
+    logs = spark.createDataFrame(rows, "created_at timestamp, " + ", ".join(f"{s}_latency_ms long" for s in telemetry.STAGES))
+    one_by_one = [telemetry.latency_sketches(logs.where(F.dayofmonth("created_at") == d)) for d in (3, 7, 11)]
+    days = one_by_one[0].unionAll(one_by_one[1]).unionAll(one_by_one[2])
+    got = {r.stage: r for r in telemetry.latency_from_sketches(days, {"q10": 0.1, "median": 0.5, "p99": 0.99}).collect()}
+    for i, stage in enumerate(telemetry.STAGES):
+        own = sorted(r[1 + i] for r in rows if r[0].day in (3, 7, 11))
+        assert got[stage].n == len(own) and abs(got[stage].mean - sum(own) / len(own)) < 1e-5
+        for name, rank in (("q10", 0.1), ("median", 0.5), ("p99", 0.99)):
+            value = got[stage][name]
+            assert sum(x < value for x in own) / len(own) <= rank + 0.02 and sum(x <= value for x in own) / len(own) >= rank - 0.02
