@@ -13,19 +13,18 @@ from lectern.functions.text import estimate_tokens, stripped
 
 CHUNK_SIZE, OVERLAP, MIN_SIZE = 1000, 200, 100
 _ORDINAL, _SEP = r"(?:[oº°ª]\.?)?", r"\s*(?:[.\-–:)]|\s)"
-_ROMAN = "[IVXLCDM]+"
-# Headings as (kind, label, depth, pattern), outermost first.
+# Headings as (kind, label, depth, pattern). A line that fits several is of the outermost kind, of two at one depth the first.
 HEADINGS = (
-    ("LIBRO", "Libro", 1, rf"(?iu)^\s*LIBRO\s+({_ROMAN}|\d+|PRIMERO|SEGUNDO|TERCERO|CUARTO|QUINTO){_ORDINAL}\b"),
-    ("PARTE", "Parte", 1, rf"(?iu)^\s*PARTE\s+({_ROMAN}|\d+|PRIMERA|SEGUNDA|TERCERA|CUARTA)\b"),
-    ("TITULO", "Título", 2, rf"(?iu)^\s*T[IÍ]TULO\s+({_ROMAN}|\d+|PRELIMINAR|[ÚU]NICO){_ORDINAL}\b"),
-    ("CAPITULO", "Capítulo", 3, rf"(?iu)^\s*CAP[IÍ]TULO\s+({_ROMAN}|\d+|[ÚU]NICO){_ORDINAL}\b"),
-    ("SECCION", "Sección", 4, rf"(?iu)^\s*SECCI[OÓ]N\s+({_ROMAN}|\d+|[ÚU]NICA){_ORDINAL}\b"),
-    ("SUBSECCION", "Subsección", 5, rf"(?iu)^\s*SUBSECCI[OÓ]N\s+({_ROMAN}|\d+|[ÚU]NICA){_ORDINAL}\b"),
-    ("ARTICULO", "Artículo", 6, rf"(?iu)^\s*(?:ART[IÍ]CULOS?|ARTS?\.?)\s+(\d+[A-Za-z]?|{_ROMAN}|[ÚU]NICO|TRANSITORIO){_ORDINAL}{_SEP}"),
+    ("ARTICULO", "Artículo", 6, rf"(?iu)^\s*(?:ART[IÍ]CULOS?|ARTS?\.?)\s+(\d+[A-Za-z]?|[IVXLCDM]+|[ÚU]NICO|TRANSITORIO){_ORDINAL}{_SEP}"),
+    ("PARAGRAFO", "Parágrafo", 7, rf"(?iu)^\s*(?:PAR[AÁ]GRAFOS?|PAR[AÁ]GS?\.?|PAR\.)\s*(\d+|[IVXLCDM]+|[ÚU]NICO|TRANSITORIO)?{_ORDINAL}{_SEP}"),
+    ("LIBRO", "Libro", 1, rf"(?iu)^\s*LIBRO\s+([IVXLCDM]+|\d+|PRIMERO|SEGUNDO|TERCERO|CUARTO|QUINTO){_ORDINAL}\b"),
+    ("PARTE", "Parte", 1, rf"(?iu)^\s*PARTE\s+([IVXLCDM]+|\d+|PRIMERA|SEGUNDA|TERCERA|CUARTA)\b"),
+    ("TITULO", "Título", 2, rf"(?iu)^\s*T[IÍ]TULO\s+([IVXLCDM]+|\d+|PRELIMINAR|[ÚU]NICO){_ORDINAL}\b"),
+    ("CAPITULO", "Capítulo", 3, rf"(?iu)^\s*CAP[IÍ]TULO\s+([IVXLCDM]+|\d+|[ÚU]NICO){_ORDINAL}\b"),
+    ("SUBSECCION", "Subsección", 5, rf"(?iu)^\s*SUBSECCI[OÓ]N\s+([IVXLCDM]+|\d+|[ÚU]NICA){_ORDINAL}\b"),
+    ("SECCION", "Sección", 4, rf"(?iu)^\s*SECCI[OÓ]N\s+([IVXLCDM]+|\d+|[ÚU]NICA){_ORDINAL}\b"),
     ("CONSIDERANDO", "Considerando", 6, r"(?iu)^\s*(CONSIDERANDO|CONSIDERACIONES(?:\s+DE\s+LA\s+CORTE)?)\s*:?\s*$"),
     ("RESUELVE", "Resuelve", 6, r"(?iu)^\s*(RESUELVE|DECIDE|DECRETA|ORDENA|FALLA)\s*:?\s*$"),
-    ("PARAGRAFO", "Parágrafo", 7, rf"(?iu)^\s*(?:PAR[AÁ]GRAFOS?|PAR[AÁ]GS?\.?|PAR\.)\s*(\d+|{_ROMAN}|[ÚU]NICO|TRANSITORIO)?{_ORDINAL}{_SEP}"),
     ("NUMERAL", "Numeral", 8, r"(?iu)^\s*(PRIMERO|SEGUNDO|TERCERO|CUARTO|QUINTO|SEXTO|S[EÉ]PTIMO|OCTAVO|NOVENO|D[EÉ]CIMO)\s*[.\-–:]"),
     ("NUMERAL", "Numeral", 8, r"^\s*(\d+(?:\.\d+)*)\s*[.)]\s+(?=[A-ZÁÉÍÓÚÑa-záéíóúñ])"),
     ("LITERAL", "Literal", 9, r"^\s*(?:LITERAL\s+)?([a-z])\s*[.)]\s+(?=[A-ZÁÉÍÓÚÑa-záéíóúñ])"),
@@ -45,7 +44,7 @@ def find_sections(docs: DataFrame) -> DataFrame:
     last = F.lead("n").over(w).isNull()
     text = F.when(last, F.col("line")).otherwise(F.concat("line", F.lit("\n")))
     hit = F.lit(None).cast("struct<kind:string,label:string,depth:int,number:string>")
-    for kind, label, depth, pattern in reversed(HEADINGS):
+    for kind, label, depth, pattern in sorted(HEADINGS, key=lambda h: h[2])[::-1]:
         number = F.nullif(F.trim(F.regexp_extract("t", pattern, 1)), F.lit(""))
         number = F.when(F.upper(number) == kind, F.lit(None)).otherwise(number)
         hit = F.when(F.col("t").rlike(pattern), F.struct(F.lit(kind).alias("kind"), F.lit(label).alias("label"), F.lit(depth).alias("depth"), number.alias("number"))).otherwise(hit)

@@ -78,6 +78,14 @@ def test_headings(spark):
     assert got == {1: [("ARTICULO", "15A", 0)], 2: [("ARTICULO", "7", 0)], 4: [("PARAGRAFO", "1", 0)], 5: [("CONSIDERANDO", None, 0), ("RESUELVE", None, 20), ("NUMERAL", "PRIMERO", 29)]}
 
 
+def test_a_line_that_fits_several_headings_is_of_the_outermost_kind(spark):
+    lines = ["PRIMERO. Uno", "PARTE SEGUNDA", "c. Texto", "ARTÍCULO I. Algo", "PAR. 1. Algo", "SUBSECCIÓN 1", "DECIDE", "3.1. Texto", "PARÁGRAFO. Solo"]
+    got = {r.id: (r.kind, r.depth) for r in C.find_sections(spark.createDataFrame([*enumerate(lines)], "id long, text string")).collect()}
+    for i, line in enumerate(lines):
+        fits = [(depth, k, kind) for k, (kind, _, depth, pattern) in enumerate(C.HEADINGS) if re.search(pattern.replace("(?iu)", "(?i)"), line)]
+        assert got[i] == (min(fits)[2], min(fits)[0])
+
+
 def test_nearest_by_blocks(spark, monkeypatch):
     rng = random.Random(2)
     rows = [(i, [rng.gauss(0, 1) for _ in range(16)]) for i in range(300)] + [(900, [0.0] * 16), (901, None)]
