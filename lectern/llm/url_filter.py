@@ -53,10 +53,11 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 def spread_join(big: DataFrame, small: DataFrame, keys: list[str], weight: str, share: int) -> DataFrame:
     """`big` with the row of `small` for its keys; every key is there once, with the number of `big`'s rows as `weight`.
 
-    A key of over `share` rows is dealt to as many tasks as it has shares.
+    A key of over `share` rows is dealt to as many tasks as it has shares, by a hash of the whole row,
+    so that a stage that runs again deals it the same way.
     """
     hot = small.where(F.col(weight) > share).select(*keys, F.ceil(F.col(weight) / share).cast("int").alias("_parts"))
-    dealt = big.join(F.broadcast(hot), keys, "left").withColumn("_part", F.coalesce(F.floor(F.rand(7) * F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
+    dealt = big.join(F.broadcast(hot), keys, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(*big.columns), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
     copies = F.sequence(F.lit(0), F.when(F.col(weight) > share, F.ceil(F.col(weight) / share).cast("int") - 1).otherwise(F.lit(0)))
     return dealt.join(small.withColumn("_part", F.explode(copies)).drop(weight), [*keys, "_part"]).drop("_part")
 
