@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
@@ -13,6 +16,7 @@ from lectern.operators import vector_index as V
 from lectern.operators.corpus import ACTIVE_MODEL
 from lectern.sources.tables import kept, load, spread, stored, version
 
+from . import views
 from .views import cte, view
 
 QUERIES, ORACLE = {}, {}
@@ -101,16 +105,21 @@ _LEX = ",\n".join([_BASE, POSTINGS, PARSED, LEXICAL])
 ALL = ",\n".join([_LEX, _embed("pv", "pieces", "chunk_id", "content"), _embed("qv", "asked", "query_id", "text"), SEMANTIC, FUSED, RERANKED])
 
 
+def of_code(*modules):
+    """A digest of the modules that make what is stored, so that a change of theirs makes it anew."""
+    return hashlib.sha256(b"".join(Path(m.__file__).read_bytes() for m in (T, views, *modules))).hexdigest()[:8]
+
+
 def index(spark, sf_dir):
     """The pieces' lexical index, written once for each version of the documents."""
-    path = kept(spark, "lexical-index", version(load(spark, sf_dir, "documents")), lambda at: L.LexicalIndex.write(pieces(spark, sf_dir), at))
+    path = kept(spark, "lexical-index", f"{version(load(spark, sf_dir, 'documents'))}-{of_code(L)}", lambda at: L.LexicalIndex.write(pieces(spark, sf_dir), at))
     return L.LexicalIndex(spark, path)
 
 
 def piece_vectors(spark, sf_dir):
     """The pieces' vectors (id, document_id, vector), written once for each version of the documents."""
     made = lambda at: E.hash_embed(pieces(spark, sf_dir), "chunk_id", "content", DIM).withColumn("document_id", F.floor(F.col("id") / 100_000).cast("long")).write.parquet(at)
-    return spark.read.schema("id long, vector array<double>, document_id long").parquet(kept(spark, "piece-vectors", version(load(spark, sf_dir, "documents")), made))
+    return spark.read.schema("id long, vector array<double>, document_id long").parquet(kept(spark, "piece-vectors", f"{version(load(spark, sf_dir, 'documents'))}-{of_code(E)}", made))
 
 
 def query_vectors(spark, sf_dir):
@@ -228,7 +237,7 @@ def vector_index(spark, sf_dir):
     """The index of all embeddings, written once for each version of the table."""
     table = load(spark, sf_dir, "embeddings")
     base = spread(table.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), "id")
-    return V.VectorIndex(spark, kept(spark, "vector-index", version(table), lambda at: V.VectorIndex.write(base, at, 20)))
+    return V.VectorIndex(spark, kept(spark, "vector-index", f"{version(table)}-{of_code(E, V)}", lambda at: V.VectorIndex.write(base, at, 20)))
 
 
 def approximate(spark, sf_dir, tally=False):
