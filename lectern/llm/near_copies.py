@@ -7,8 +7,9 @@ values: a pair of likeness 0.8 shares none of BANDS bands of ROWS values with a
 (1 - 0.8^ROWS)^BANDS, 6 in a billion. In a shard the SimHash fingerprints form a BK-tree, and each
 member is paired with its nearest earlier one within RADIUS bits. Every link is confirmed by the
 exact sets. Members of a shard that stay apart are then held against one of them, and what that
-leaves apart against each other, so that no link is lost and a large group of copies costs about
-one pair for each member.
+leaves apart against all that share one of their rarest shingles, so that no link is lost, a large
+group of copies costs about one pair for each member, and a passage that many unlike texts share
+pairs none of them.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ LIKENESS = 0.8
 BANDS, ROWS = 48, 5
 #: Bits within which a BK-tree is searched (texts of likeness 0.8 differ in 10 on average), and the members of a tree.
 RADIUS, TREE = 20, 256
-#: Rounds that hold a band's members against one of them, before all pairs left apart are tried.
+#: Rounds that hold a band's members against one of them, before those left apart are paired by their rarest shingles.
 STARS = 2
 _CHUNK, _SLICE = 2048, 128
 
@@ -124,6 +125,28 @@ def tree_pairs(shared: DataFrame) -> DataFrame:
     return trees.select(F.explode(nearest("m.fp", "m.bits")).alias("e")).select(F.least("e.a", "e.b").alias("a"), F.greatest("e.a", "e.b").alias("b")).distinct()
 
 
+def rare_pairs(members: DataFrame, sets: DataFrame, likeness: float) -> DataFrame:
+    """(a, b): members (fp, root) of different roots that can be like enough, by their rarest shingles.
+
+    Sets that are like enough share one of the first n - ceil(likeness n) + 1 shingles of each in any
+    common order. The order is by the number of members that hold a shingle, so that a passage that
+    many members share comes last, and shingles of one member alone, which come first, pair nothing.
+    Pairs whose sizes, or whose shingles around the place of the shared one, cannot reach the
+    likeness are dropped within the join.
+    """
+    held = sets.join(members, "fp").select("fp", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    often = held.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+    own = held.join(often, "s").groupBy("fp", "root", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("t"))  # of one text
+    first = (F.size("t") - F.ceil(F.lit(likeness) * F.col("n") - 1e-9) + 1).cast("int")
+    met = own.where(first > 0).select("fp", "root", "n", F.size("t").alias("c"), F.posexplode(F.slice("t", F.lit(1), first)).alias("i", "t")).select("fp", "root", "n", "c", "i", F.col("t.s").alias("s"))
+    other = met.select("s", F.col("fp").alias("b"), F.col("root").alias("other"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("i").alias("j"))
+    # of shingles that anyone shares, those before this one and those from it on bound what the two have in common
+    most = F.least("i", "j") + F.least(F.col("c") - F.col("i"), F.col("d") - F.col("j"))
+    enough = most >= F.ceil((F.col("n") + F.col("m")) * F.lit(likeness / (1 + likeness)) - 1e-9)
+    fits = enough & (F.least("n", "m") >= F.lit(likeness) * F.greatest("n", "m") - 1e-9) & (F.col("root") != F.col("other"))
+    return met.join(other, "s").where((F.col("fp") < F.col("b")) & fits).select(F.col("fp").alias("a"), "b")
+
+
 def linked(shared: DataFrame, sets: DataFrame, likeness: float) -> DataFrame:
     """(node, root) of the components over all pairs that share a band and are like enough."""
     edges = written(confirmed(tree_pairs(shared), sets, likeness), "near-copies-edges")
@@ -136,8 +159,7 @@ def linked(shared: DataFrame, sets: DataFrame, likeness: float) -> DataFrame:
             one = left.groupBy("key").agg(F.max_by(F.struct("fp", "root"), F.xxhash64("fp", F.lit(star))).alias("one"))
             pairs = left.join(one, "key").where("root <> one.root").select(F.least("fp", "one.fp").alias("a"), F.greatest("fp", "one.fp").alias("b"))
         else:
-            other = left.select("key", F.col("fp").alias("b"), F.col("root").alias("other"))
-            pairs = left.join(other, "key").where("root < other").select(F.least("fp", "b").alias("a"), F.greatest("fp", "b").alias("b"))
+            pairs = rare_pairs(left.select("fp", "root").distinct(), sets, likeness)
         edges = edges.unionAll(written(confirmed(pairs.distinct(), sets, likeness), "near-copies-edges"))
     return components(edges)
 

@@ -1,6 +1,8 @@
 import random
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from lectern.llm import near_copies, simhash
 
 
@@ -50,6 +52,25 @@ def test_edited_copies_against_all_pairs(spark):
     assert len(got) < len({shingles(t) for _, t in rows}) - 50
 
 
+def test_a_passage_that_many_texts_share_pairs_none_of_them(spark):
+    """Unlike texts under one long passage, some with a copy: all links are found, few pairs are tried."""
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(90)]
+    texts = [[*passage, *(f"t{k}x{i}" for i in range(rng.randrange(40, 120)))] for k in range(150)]
+    texts += [edited(rng, rng.choice(texts[:150]), 3) for _ in range(30)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    least = slow_least(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(docs).collect()}
+    assert got == least and len(set(got.values())) < len(rows)
+    sets = near_copies.shingled(docs).dropDuplicates(["fp"])
+    members = sets.select("fp", F.col("fp").alias("root"))
+    pairs = {(r.a, r.b) for r in near_copies.rare_pairs(members, sets, 0.8).collect()}
+    whole = {r.fp: set(r.shingles) for r in sets.collect()}
+    alike = {(a, b) for a in whole for b in whole if a < b and len(whole[a] & whole[b]) >= 0.8 * len(whole[a] | whole[b])}
+    assert alike and alike <= pairs and len(pairs) < 2 * len(rows)
+
+
 def test_rows_that_stay(spark):
     """Clashing column names, rows without an id, repeated rows and rows of one id with different texts."""
     long = " ".join(f"w{i}" for i in range(70_000))
