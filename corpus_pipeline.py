@@ -15,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm import decontamination, language_id, near_copies, packing, toxicity
-from lectern.llm.shared import written
+from lectern.llm.shared import given_back, written
 from lectern.sources.tables import load
 
 
@@ -26,7 +26,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts predicted to be toxic (a score of 0.5 or more) go; null and empty texts stay, repeated rows fare alike."""
-    return toxicity.keep_clean(docs, load(spark, sf_dir, "labels"))
+    kept = toxicity.keep_clean(docs, load(spark, sf_dir, "labels"))
+    given_back()  # what the driver trained with
+    return kept
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
