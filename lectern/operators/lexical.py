@@ -25,6 +25,8 @@ from lectern.sources.tables import stored
 CELL, BLOCK, BUCKETS, TASK_CHARS, FIRST = 1024, 1024, 32, 1 << 30, 8
 #: Rows of a query set's terms, and of chosen cells, that are broadcast.
 BROADCAST_ROWS = 500_000
+#: Terms of a query set that are handed to the scan.
+FEW_TERMS = 1000
 BLOCKS = "bucket int, term string, cell long, low long, most int, n int, chunks array<long>, positions array<array<int>>"
 
 
@@ -138,9 +140,11 @@ class LexicalIndex:
         return exploded(self.blocks, "term")
 
     def of(self, terms: DataFrame) -> DataFrame:
-        """The blocks in the folders of these terms (at most BUCKETS numbers are asked for)."""
-        held = [r.bucket for r in terms.select(bucket(F.col("term")).alias("bucket")).distinct().collect()]
-        return self.blocks.where(F.col("bucket").isin(held)) if len(held) < BUCKETS else self.blocks
+        """The blocks of these terms if they are FEW_TERMS at most, so that the scan drops all others; else those in their folders."""
+        some = [r.term for r in terms.select("term").distinct().limit(FEW_TERMS + 1).collect()]
+        held = [r.bucket for r in terms.select(bucket(F.col("term")).alias("bucket")).distinct().collect()]  # BUCKETS numbers at most
+        blocks = self.blocks.where(F.col("bucket").isin(held)) if len(held) < BUCKETS else self.blocks
+        return blocks.where(F.col("term").isin(some)) if 0 < len(some) <= FEW_TERMS else blocks
 
 
 def exploded(blocks: DataFrame, *columns: str) -> DataFrame:
