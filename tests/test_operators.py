@@ -347,3 +347,24 @@ def test_sketches_of_days_merge_within_the_bound(spark):
         for name, rank in (("q10", 0.1), ("median", 0.5), ("p99", 0.99)):
             value = got[stage][name]
             assert sum(x < value for x in own) / len(own) <= rank + 0.02 and sum(x <= value for x in own) / len(own) >= rank - 0.02
+
+
+def test_equal_titles_are_compared_once(spark):
+    names = [f"{a} {b}" for a in ("blue", "old", "cold") for b in ("ring", "plate", "bolt")]
+    titles = [(i, names[i % 9]) for i in range(900)] + [(900, None), (901, "")]
+    grams = lambda t: {("  " + w + " ")[i : i + 3] for w in t.split() for i in range(len(w) + 1)}
+    t = spark.createDataFrame(titles, "title_id long, title string")
+    q = t.where("title_id % 50 = 0").withColumnRenamed("title_id", "query_id")
+    want = set()
+    for i, a in titles[:900:50]:
+        alike = sorted((-round(len(grams(a) & grams(b)) / len(grams(a) | grams(b)), 6), j) for j, b in titles[:900])
+        want |= {(i, j, -s, r + 1) for r, (s, j) in enumerate(alike[:5]) if -s >= 0.3}
+    shown = []
+    whole = R.title_pairs
+    R.title_pairs = lambda *given: shown.append(whole(*given)) or shown[-1]
+    try:
+        got = R.fuzzy_title(q, t)
+    finally:
+        R.title_pairs = whole
+    assert {(r.query_id, r.title_id, r.similarity, r["rank"]) for r in got.collect() if r.query_id < 900} == want
+    assert shown[0].count() <= 81
