@@ -112,12 +112,17 @@ JURISDICTIONS = (
 )
 
 
+#: Abbreviations, which count as whole words only; e-mail addresses and keys hold their letters by chance.
+ABBREVIATIONS = ("cptss", "cgp", "cst", "cpaca")
+
+
 def first_class(text: Column, classes, default: str) -> Column:
     low, out = F.lower(text), F.lit(default)
+    holds = lambda w: low.contains(w) & low.rlike(rf"(?U)\b{w}\b(?![\w.+-]*@)") if w in ABBREVIATIONS else low.contains(w)
     for words, name in reversed(classes):
         hit = F.lit(False)
         for w in words:
-            hit = hit | low.contains(w)
+            hit = hit | holds(w)
         out = F.when(hit, F.lit(name)).otherwise(out)
     return out
 

@@ -72,7 +72,7 @@ def b14(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", G.legal_area(F.expr(_AREA_TEXT)).alias("area"))
 
 
-_CLASS_TEXT = "text || CASE doc_id % 5 WHEN 0 THEN ' ACCIÓN DE TUTELA' WHEN 1 THEN ' un contrato civil' WHEN 2 THEN ' la sentencia penal' WHEN 3 THEN ' recurso de queja laboral' ELSE '' END"
+_CLASS_TEXT = "coalesce(text, '') || CASE doc_id % 5 WHEN 0 THEN ' ACCIÓN DE TUTELA' WHEN 1 THEN ' un contrato civil' WHEN 2 THEN ' la sentencia penal' WHEN 3 THEN ' recurso de queja laboral' ELSE '' END"
 
 
 @query("b16_document_class", "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Acción de Tutela' WHEN 1 THEN 'Contrato / Minuta' WHEN 2 THEN 'Providencia / Sentencia Judicial' WHEN 3 THEN 'Recurso Procesal' ELSE 'Documento Jurídico General' END AS class FROM documents")
