@@ -95,3 +95,24 @@ def test_empty_corpus(spark, tmp_path):
     L.LexicalIndex.write(spark.createDataFrame([], "chunk_id long, content string"), str(tmp_path / "index"))
     parsed = L.parse_query(spark.createDataFrame([(1, "wak")], "query_id long, query string"))
     assert L.lexical_search(parsed, L.LexicalIndex(spark, str(tmp_path / "index"))).count() == 0
+
+
+@pytest.mark.parametrize("words", [1, 40, 1 << 21])
+def test_words_are_packed_where_their_chunks_stand(spark, tmp_path, monkeypatch, words):
+    """A term in every text, rows of one chunk, plurals and texts without words; no row for each word is dealt out."""
+    monkeypatch.setattr(L, "positioned_terms", None)
+    for name, value in {"CELL": 8, "BLOCK": 3, "TASK_CHARS": 300, "LEAST_CHARS": 300, "WORDS": words}.items():
+        monkeypatch.setattr(L, name, value)
+    texts = [(c, f"leyes de la norma n{c % 5} leyes casas") for c in range(60)] + [(7, "y otras leyes"), (900, "de la y"), (901, "")]
+    L.LexicalIndex.write(spark.createDataFrame(texts, "chunk_id long, content string"), str(tmp_path / "index"))
+    want = {}
+    for c, text in texts:
+        for i, w in words_of(text):
+            want.setdefault((w, c), []).append(i)
+    index = L.LexicalIndex(spark, str(tmp_path / "index"))
+    got = {}
+    for r in index.postings().collect():
+        assert (r.term, r.chunk_id) not in got
+        got[r.term, r.chunk_id] = r.positions
+    assert got == {k: sorted(p) for k, p in want.items()}
+    assert max(r.n for r in index.blocks.collect()) <= 3
