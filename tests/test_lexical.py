@@ -116,3 +116,16 @@ def test_words_are_packed_where_their_chunks_stand(spark, tmp_path, monkeypatch,
         got[r.term, r.chunk_id] = r.positions
     assert got == {k: sorted(p) for k, p in want.items()}
     assert max(r.n for r in index.blocks.collect()) <= 3
+
+
+def test_a_task_gathers_a_bounded_number_of_postings(spark, corpus, tmp_path, monkeypatch):
+    monkeypatch.setattr(L, "TASK_POSTINGS", 50)
+    monkeypatch.setattr(L, "CELL", 16)
+    L.LexicalIndex.write(spark.createDataFrame([*corpus.items()], "chunk_id long, content string"), str(tmp_path / "index"))
+    search = L.Search(L.parse_query(spark.createDataFrame([(2, "wak wbm")], "query_id long, query string")), L.LexicalIndex(spark, str(tmp_path / "index")))
+    cells = search.cells()
+    held = sum(1 for c, text in corpus.items() for t in ("wak", "wbm") if t in {w for _, w in words_of(text)})
+    size = cells.agg(F.sum("size")).first()[0]
+    assert 100 < size <= held
+    plan = search.scores(cells)._jdf.queryExecution().toString()
+    assert "hashpartitioning(query_id#" in plan and f", {size // 50 + 1}), REPARTITION_BY_NUM" in plan
