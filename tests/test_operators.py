@@ -368,3 +368,28 @@ def test_equal_titles_are_compared_once(spark):
         R.title_pairs = whole
     assert {(r.query_id, r.title_id, r.similarity, r["rank"]) for r in got.collect() if r.query_id < 900} == want
     assert shown[0].count() <= 81
+
+
+def test_hashed_vectors_and_best_of_blocks_equal_plain_ones(monkeypatch):
+    import hashlib
+
+    def plain(text, dim):
+        row = np.zeros(dim)
+        for w in re.findall(r"\w+", text):
+            h = hashlib.sha256(w.encode()).digest()
+            for o in (0, 4, 8, 12):
+                row[(h[o] << 8 | h[o + 1]) % dim] += 1 if h[o + 2] & 1 else -1
+        norm = np.sqrt(row @ row)
+        return row / norm if norm else np.eye(dim)[0]
+
+    rng = random.Random(2)
+    texts = [" ".join(f"é{rng.randrange(50)}" if i % 3 else f"w_{rng.randrange(200)}" for _ in range(rng.randrange(0, 40))) for i in range(80)] + ["", "..."]
+    monkeypatch.setattr(E, "WORD_MEMORY", 60)  # forgets words within a text
+    model = E.HashVectors(16)
+    assert np.array_equal(model(texts), [plain(t, 16) for t in texts]) and len(model.known) <= 60
+
+    cos, ids = np.random.default_rng(1).integers(-3, 4, (50, 9)) / 3, np.random.default_rng(2).permutation(50)
+    cos[4, 3], cos[:, 8] = np.nan, np.nan
+    for k in (1, 5, 50, 70):
+        want = [(q, r, cos[r, q]) for q in range(9) for r in sorted((r for r in range(50) if cos[r, q] >= 0.1), key=lambda r: (-cos[r, q], ids[r]))[:k]]
+        assert [*zip(*E.best_of_block(cos, ids, k, 0.1), strict=True)] == want
