@@ -93,6 +93,53 @@ def test_sample_is_bounded_by_words(spark):
     assert not net.emb[toxicity.word_buckets(b"huge")].any()
 
 
+def test_all_labelled_texts_are_learned_from(spark):
+    """Far more than any former sample; what only a few texts of each stretch of ids tell is known as well."""
+    n = 9000
+    rows = [(i, f"plain words here {'vilewretch' if i % 2 else 'nothing'} " + (f"scarce{i // 3000} " * (i % 3000 < 6)), "aa") for i in range(n)] + [(n, "long " * 300_000, "aa"), (n, "long " * 300_000, "aa"), (n, "long " * 300_000, "aa")]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5), spark.createDataFrame([(i, i % 2) for i in range(n)] + [(n, 0)], "doc_id long, toxic int")
+    held_by, names, language = toxicity.counted(docs)
+    at = lambda w: toxicity.word_buckets(w)[0]
+    assert held_by[at(b"plain")] == n and held_by[at(b"long")] == 3 and [held_by[at(b"scarce%d" % k)] for k in range(3)] == [6] * 3
+    assert names == ["aa"] and language[at(b"plain")] == 1
+    net = toxicity.fit(docs, marks)
+    assert net.emb[toxicity.word_buckets(b"long")].any(axis=1).all() and net.emb[toxicity.word_buckets(b"scarce0")].any()
+    scorer = toxicity.Scorer(net)
+    assert scorer.score("plain words here nothing") < 0.5 < scorer.score("plain words here vilewretch")
+
+
+def test_a_step_against_slopes_by_differences():
+    """The loss of a batch falls along what a step takes away, weight by weight; empty, short and long texts."""
+    rng, net, words = np.random.default_rng(2), toxicity.Network(), toxicity.Buckets()
+    net.emb = rng.normal(0, 0.4, net.emb.shape).astype(np.float32)
+    said, y = ["", "one", "one two", "a b c d one", "word " * 140_000 + "other a thing"], np.array([0, 1, 1, 0, 1])
+    texts, weight, sums = [[*words.of(t)] for t in said], np.array([1, 2, 1, 1, 3.0]), np.full(net.emb.shape, 100, np.float32)
+    assert len(texts[-1]) > 1
+    flat = toxicity.dense(net)
+    own = toxicity.Trainer(net, sums, np.full(len(flat), 100, np.float32), np.ones(toxicity.BUCKETS, bool))
+
+    def loss(emb, flat):
+        at = toxicity.Network()
+        at.emb = emb
+        toxicity.put_back(at, flat)
+        z = np.array([np.log(p / (1 - p)) for p in (plain_score(at, t if len(t) < 1000 else "word word word other a thing") for t in said)])
+        return float((weight * (np.log1p(np.exp(z)) - y * z)).mean())
+
+    own.step(texts, y, weight)
+    for k in [*range(len(flat) - 49, len(flat)), *rng.choice(24 * 8, 40, replace=False)]:
+        up, down = flat.copy(), flat.copy()
+        up[k] += 0.01
+        down[k] -= 0.01
+        slope = (loss(net.emb, up) - loss(net.emb, down)) / 0.02 + (1e-4 * flat[k] if k < len(flat) - 49 else 0)
+        assert abs(slope - (flat[k] - own.other[k]) * np.sqrt(own.other_sums[k]) / toxicity.RATE) < 0.01
+    for k in toxicity.word_buckets(b"one"):
+        up, down = net.emb.copy(), net.emb.copy()
+        up[k, 0] += 0.01
+        down[k, 0] -= 0.01
+        slope = (loss(up, flat) - loss(down, flat)) / 0.02
+        assert abs(slope - (net.emb[k, 0] - own.emb[k, 0]) * np.sqrt(own.sums[k, 0]) / toxicity.RATE) < 0.01
+
+
 def plain_language(model, text):
     """Codeword of least weighted exponential loss, bit by bit over the text's trigrams."""
     b = (" " + text.lower() + " ").encode().translate(language_id._SPACED)
