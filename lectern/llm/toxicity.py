@@ -22,7 +22,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import StorageLevel, TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .language_id import held_out, text_session
@@ -112,7 +112,9 @@ class Trainer:
     def windows(self, stretches: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Maxima of all filters over each stretch (before shifting; -inf where none fits), and the buckets under them (stretch, filter, place, bucket)."""
         ids, ends = np.concatenate(stretches), np.cumsum([*map(len, stretches)])
-        v = sum(self.emb[ids[:, c]] for c in range(ids.shape[1]))
+        v = self.emb.take(ids[:, 0], axis=0)
+        for c in range(1, ids.shape[1]):
+            v += self.emb.take(ids[:, c], axis=0)
         act = v @ self.filters[0]
         for j in range(1, max(WIDTHS)):
             act[:-j] += v[j:] @ self.filters[j]
@@ -202,16 +204,18 @@ class Buckets:
         part: list[bytes] = []
         for own in stretches(text or "", 4 * STRETCH):
             part = part[len(part) - max(WIDTHS) + 1 :] + text_words(own) if len(part) >= max(WIDTHS) else part + text_words(own)
-            fresh = [w for w in dict.fromkeys(part) if w not in self.rows]
-            if len(self.rows) + len(fresh) > WORD_MEMORY:
-                self.rows.clear()
-                fresh = list(dict.fromkeys(part))
-            if fresh:
+            at = [*map(self.rows.get, part)]
+            if None in at:
+                fresh = [w for w in dict.fromkeys(part) if w not in self.rows]
+                if len(self.rows) + len(fresh) > WORD_MEMORY:
+                    self.rows.clear()
+                    fresh = list(dict.fromkeys(part))
                 start = len(self.rows)
                 self.ids[start : start + len(fresh)] = [word_buckets(w) for w in fresh]
                 self.rows.update(zip(fresh, range(start, start + len(fresh)), strict=True))
+                at = [*map(self.rows.__getitem__, part)]
             if part:
-                yield self.ids[np.fromiter(map(self.rows.__getitem__, part), np.int64, len(part))]
+                yield self.ids.take(at, axis=0)
 
 
 class Scorer:
@@ -223,6 +227,9 @@ class Scorer:
 
     def indices(self, words: list[bytes]) -> np.ndarray:
         rows = self.rows
+        at = [*map(rows.get, words)]
+        if None not in at:
+            return np.array(at, np.int64)
         fresh = [w for w in dict.fromkeys(words) if w not in rows]
         if len(rows) + len(fresh) > WORD_MEMORY:
             rows.clear()
@@ -276,6 +283,16 @@ def bounded(rows: DataFrame, positive: int | None, negative: int | None, words:
     return sized.join(rows.sparkSession.createDataFrame(fits, "doc_id long, n long"), ["doc_id", "n"]).drop("n")
 
 
+def perhaps_labelled(rows: DataFrame, of: DataFrame, count: int) -> DataFrame:
+    """The rows whose id is in `of`, and about one in 33 others: a bitmap of hashed ids, 4 bytes for an id of `of`, is broadcast."""
+    at = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(32 * max(1, count))) + 1
+    bits = of.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    bit = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substring("bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = rows.withColumn("bucket", F.bitmap_bucket_number(at)).join(F.broadcast(bits), "bucket")
+    return found.where(F.floor(byte / F.pow(F.lit(2), bit % 8)) % 2 == 1).select(*rows.columns)
+
+
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
     for batch in batches:
         for first in range(0, batch.num_rows, ROWS):
@@ -287,16 +304,18 @@ def counted(rows: DataFrame) -> tuple[np.ndarray, list[str], np.ndarray]:
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, sums = held_here("toxicity-buckets", Buckets), {}
-        add = lambda key, at: sums.setdefault(key, np.zeros(BUCKETS, np.int32)).__setitem__(at, sums[key][at] + 1)
+
+        def add(key: tuple, at: np.ndarray) -> None:
+            if key not in sums:
+                sums[key] = np.zeros(BUCKETS, np.int32)
+            sums[key][at] += 1  # once for a bucket, however often it stands in `at`
+
         for part in rows_of(batches):
             for r in part:
-                held, own = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
-                for ids in words.of(r["text"]):
-                    held.append(np.unique(ids))
-                    own.append(np.unique(ids[:, 0]))
-                add((False, None), np.unique(np.concatenate(held)))
+                ids = np.concatenate([np.zeros((0, 1 + len(PREFIXES)), np.int32), *words.of(r["text"])])
+                add((False, None), ids.ravel())
                 if r["lang"] is not None:
-                    add((True, r["lang"]), np.unique(np.concatenate(own)))
+                    add((True, r["lang"]), ids[:, 0])
         for (known, lang), n in sums.items():
             for a in range(0, BUCKETS, SLICE):
                 yield pa.RecordBatch.from_pylist([{"of_lang": known, "lang": lang, "a": a, "n": n[a : a + SLICE].tobytes()}], pa.schema([("of_lang", pa.bool_()), ("lang", pa.string()), ("a", pa.int32()), ("n", pa.binary())]))
@@ -413,14 +432,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     Rows whose hashed id leaves 3 by 4 set the thresholds, all others train. What reaches the driver
     is of the network's size, and counts by language and logit.
     """
-    of = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").groupBy("doc_id").agg(F.max("y").alias("y"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).join(of, "doc_id")
+    of = written(labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").groupBy("doc_id").agg(F.max("y").alias("y")), "toxicity-labels")
+    count, h = of.count(), F.xxhash64("doc_id", F.lit(1)).alias("h")
+    tasks = max(1, min(count // TASK_TEXTS, docs.sparkSession.sparkContext.defaultParallelism))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    # labels are dealt out among the texts and meet them there, so that a labelled text is shuffled once and others are not
+    texts = perhaps_labelled(rows, of, count).select("*", F.lit(None).cast("int").alias("own"), F.lit(True).alias("is_text"), h)
+    marks = of.select("doc_id", F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("lang"), F.col("y").alias("own"), F.lit(False).alias("is_text"), h)
+    rows = texts.unionByName(marks).repartition(tasks, "h", "doc_id").withColumn("y", F.max("own").over(Window.partitionBy("h", "doc_id"))).where("is_text and y is not null")
     if not positive is negative is words is None:
         rows = bounded(rows, positive, negative, words)
-    tasks = max(1, min(of.count() // TASK_TEXTS, docs.sparkSession.sparkContext.defaultParallelism))
-    rows = rows.withColumn("h", F.xxhash64("doc_id", F.lit(1))).withColumn("later", F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 3)
+        rows = rows.repartition(tasks, "h", "doc_id")
+    rows = rows.withColumn("later", F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 3)
     # each task streams its rows, which are kept on the executors' disks until the network is made
-    rows = rows.repartition(tasks, "h").sortWithinPartitions("h", "doc_id", F.xxhash64("text")).select("text", "lang", "y", "later").persist(StorageLevel.DISK_ONLY)
+    rows = rows.sortWithinPartitions("h", "doc_id", F.xxhash64("text")).select("text", "lang", "y", "later").persist(StorageLevel.DISK_ONLY)
     try:
         n = {(r.later, r.y): r["count"] for r in rows.groupBy("later", "y").count().collect()}
         n1, n0 = (n.get((False, y), 0) for y in (1, 0))

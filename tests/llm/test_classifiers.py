@@ -108,6 +108,15 @@ def test_all_labelled_texts_are_learned_from(spark):
     assert scorer.score("plain words here nothing") < 0.5 < scorer.score("plain words here vilewretch")
 
 
+def test_no_labelled_row_is_left_out_before_the_join(spark):
+    for ids in ([], [7], [*range(0, 3000, 3)], [k * 10**14 - 5 * 10**17 for k in range(2000)]):
+        docs = spark.createDataFrame([(i,) for i in [*range(6000), *ids, *ids, None]], "doc_id long")
+        got = [r.doc_id for r in toxicity.perhaps_labelled(docs, spark.createDataFrame([(i,) for i in ids], "doc_id long"), len(ids)).collect()]
+        own = set(ids)
+        assert sorted(i for i in got if i in own) == sorted(r.doc_id for r in docs.collect() if r.doc_id in own)
+        assert sum(i not in own for i in got) < 6000 / 20
+
+
 def test_a_step_against_slopes_by_differences():
     """The loss of a batch falls along what a step takes away, weight by weight; empty, short and long texts."""
     rng, net, words = np.random.default_rng(2), toxicity.Network(), toxicity.Buckets()
