@@ -1,9 +1,9 @@
 """Byte-level encoding and decoding by folds of ranked merges in Spark expressions.
 
-A word is written as its bytes, one character of ISO-8859-1 each, and marked symbol by symbol. The
-entries of the rank map that occur in the word, lowest rank first, are folded over it: each joins
-its two parts wherever they stand side by side. The rank map is a literal of the plan, split into
-buckets by hash, because a lookup in a map goes through all its keys.
+A word is written as its bytes, one character of ISO-8859-1 each. The entries of the rank map that
+occur in the word, lowest rank first, are folded over it: each replaces its two parts, wherever they
+stand side by side, by the one character that stands for the token. The rank map is a literal of the
+plan, split into buckets by hash, because a lookup in a map goes through all its keys.
 
 The words of a corpus are counted over all texts, in Arrow batches. The most frequent ones, of a
 bounded number, are encoded and decoded once. Batches of texts then take what is known of these, and
@@ -31,7 +31,8 @@ from .shared import held_here, written
 
 #: Words that are encoded once, and their longest; rows of a batch that are held at a time.
 WORDS, LONGEST, ROWS = 400_000, 40, 200
-_OPEN, _CLOSE = "\u0100", "\u0101"  # stand for no byte
+#: Character of the token of rank 0; those below stand for bytes.
+FIRST = 256
 
 
 def let(value: Column, of: Callable[[Column], Column]) -> Column:
@@ -58,39 +59,39 @@ def last_merge(token: str, ranks: dict[str, int]) -> int:
 
 
 class Ranks:
-    """A rank file as literals: the rank map, and the pieces that ids stand for."""
+    """A rank file as literals: the rank map, the two characters that each token joins, and what a character stands for."""
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a).decode("latin-1"): int(b) for a, b in map(bytes.split, f)}
-        self.width = max(map(len, ranks))
-        if self.width > 255:
-            raise ValueError(f"a token of {self.width} bytes; at most 255 are expected")
-        #: rank * 256 + bytes of the left part, 0 for a byte
-        self.find = literal(((t, r << 8 | (last_merge(t, ranks) if len(t) > 1 else 0)) for t, r in ranks.items()), "int", 1 << 14)
-        pieces = [""] * (max(ranks.values()) + 1)
+        self.width, most = max(map(len, ranks)), max(ranks.values()) + 1
+        if FIRST + most > 0xD800:
+            raise ValueError(f"ranks up to {most - 1}; characters for {0xD800 - FIRST} at most are expected")
+        letter = {t: t if len(t) == 1 else chr(FIRST + r) for t, r in ranks.items()}
+        self.find = literal(((t, r) for t, r in ranks.items() if len(t) > 1), "int", 1 << 14)
+        parts, pieces, ids = [""] * most, [""] * most, [*[None] * FIRST, *range(most)]
         for t, r in ranks.items():
             pieces[r] = t
-        self.pieces = F.from_json(F.lit(json.dumps(pieces, ensure_ascii=False)), "array<string>")
+            if len(t) > 1:
+                k = last_merge(t, ranks)
+                parts[r] = letter[t[:k]] + letter[t[k:]]
+            else:
+                ids[ord(t)] = r
+        held = lambda x, kind: F.from_json(F.lit(json.dumps(x, ensure_ascii=False)), f"array<{kind}>")
+        self.parts, self.letters, self.pieces = (held(x, "string") for x in (parts, [chr(FIRST + r) for r in range(most)], pieces))
+        self.ids = held(ids, "int")
 
     def encode(self, word: Column) -> Column:
         """Ids of a word of one byte or more, as array<int>."""
-        return let(F.split(F.decode(word.cast("binary"), "ISO-8859-1"), ""), self._folded)
-
-    def _folded(self, symbols: Column) -> Column:
-        n = F.size(symbols)
-        within = lambda window: F.filter(F.transform(F.sequence(F.lit(2), F.length(window)), lambda k: self.find(F.substring(window, F.lit(1), k))), lambda m: m.isNotNull())
-        entries = F.flatten(F.transform(F.sequence(F.lit(1), n - 1), lambda i: let(F.array_join(F.slice(symbols, i, self.width), ""), within)))
-        marked = F.concat(F.lit(_OPEN), F.array_join(symbols, _CLOSE + _OPEN), F.lit(_CLOSE))
-
-        def joined(word: Column, m: Column) -> Column:
-            token, k = F.get(self.pieces, F.shiftright(m, 8)), m.bitwiseAND(255)
-            apart = F.concat(F.lit(_OPEN), F.substring(token, F.lit(1), k), F.lit(_CLOSE + _OPEN), F.substring(token, k + 1, F.lit(256)), F.lit(_CLOSE))
-            return F.replace(word, apart, F.concat(F.lit(_OPEN), token, F.lit(_CLOSE)))
-
-        folded = F.when(n > 1, F.aggregate(F.sort_array(F.array_distinct(entries)), marked, joined)).otherwise(marked)
-        parts = F.filter(F.split(F.translate(folded, _OPEN, ""), _CLOSE), lambda part: part != "")
-        return F.transform(parts, lambda part: F.shiftright(self.find(part), 8))
+        folded = let(F.decode(word.cast("binary"), "ISO-8859-1"), self._folded)
+        return F.transform(F.split(folded, ""), lambda c: F.get(self.ids, F.ascii(c)))
+
+    def _folded(self, word: Column) -> Column:
+        n = F.length(word)
+        within = F.flatten(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.transform(F.sequence(F.lit(2), F.least(n - i + 1, F.lit(self.width))), lambda k: F.substring(word, i, k))))
+        entries = F.filter(F.transform(within, self.find), lambda r: r.isNotNull())
+        joined = lambda word, r: F.replace(word, F.get(self.parts, r), F.get(self.letters, r))
+        return F.when(n > 1, F.aggregate(F.sort_array(F.array_distinct(entries)), word, joined)).otherwise(word)
 
     def decode(self, ids: Column) -> Column:
         """The bytes that an array of ids stands for, one character of ISO-8859-1 each."""

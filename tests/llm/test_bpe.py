@@ -54,3 +54,11 @@ def test_ids_and_bytes_of_words(spark, library):
 
 def test_empty_table(spark):
     assert round_trip(spark.createDataFrame([], "doc_id long, text string"), PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_tokens_of_any_length(spark, tmp_path):
+    """Tokens are folded as single characters, so that a long one needs no room in the lookup's number."""
+    tokens = [bytes([b]) for b in range(256)] + [b"a" * (1 << k) for k in range(1, 10)]
+    (tmp_path / "ranks").write_bytes(b"".join(base64.b64encode(t) + f" {r}\n".encode() for r, t in enumerate(tokens)))
+    got = spark.createDataFrame([("a" * 700,)], "w string").select(Ranks(str(tmp_path / "ranks")).encode(F.col("w")).alias("ids")).first().ids
+    assert b"".join(tokens[i] for i in got) == b"a" * 700 and got == [264, 262, 260, 259, 258, 257]
