@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import held_here, written
+from .shared import held_here, small_batches, written
 from .token_counts import byte_symbols
 
 SEQUENCE = 2048
@@ -370,4 +370,6 @@ def pack_documents(docs: DataFrame, path: str, pattern: str, size: int = SEQUENC
     packed like others; ties between equal lengths go by a hash of the id, then by the id. An empty
     table gives an empty result; other columns are not read.
     """
-    return pack(written(pieces(docs, path, pattern, size, id_col, text_col), "pieces"), size)
+    with small_batches(docs.sparkSession, ROWS):
+        cuts = written(pieces(docs, path, pattern, size, id_col, text_col), "pieces")
+    return pack(cuts, size)

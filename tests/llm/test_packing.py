@@ -116,3 +116,13 @@ def test_rows(spark):
         assert at <= 2048
     assert len(by_seq) <= packing.lower_bound({n: [w[3] for w in want].count(n) for n in {w[3] for w in want}}, 2048) + 1
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string"), PATH, PATTERN).count() == 0
+
+
+def test_texts_come_in_small_batches(spark, monkeypatch):
+    """A worker is never handed more than ROWS texts at once, and the session's own setting holds again afterwards."""
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(name)
+    monkeypatch.setattr(packing, "written", lambda df, tag, made=packing.written: (seen.append(int(spark.conf.get(name))), made(df, tag))[1])
+    rows = [(k, "a b") for k in range(10)]
+    assert packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN).count() == 10
+    assert seen[0] <= packing.ROWS < 10_000 and spark.conf.get(name) == before
