@@ -27,15 +27,15 @@ from pyspark.sql import functions as F
 
 from .language_id import held_out, text_session
 from .packing import stretches
-from .shared import held_here, written
+from .shared import held_here, small_batches, written
 
 BUCKETS = 1 << 18
 PREFIXES = (4, 5, 6)
 DIM, WIDTHS, FILTERS = 8, (1, 2, 3), 8
 EPOCHS, BATCH, RATE = 6, 64, 0.05
 WORD_MEMORY = 150_000
-#: Texts that a task trains on at least, while others are idle; words (about) that it takes together; rows of a batch that are Python strings at a time.
-TASK_TEXTS, STRETCH, ROWS = 4096, 1 << 15, 256
+#: Texts that a task trains on at least, while others are idle; words (about) that it takes together; rows of a batch that are Python strings at a time, and rows of a batch.
+TASK_TEXTS, STRETCH, ROWS, BATCH_ROWS = 4096, 1 << 15, 256, 1024
 #: Buckets whose counts or changes travel in one row; steps of a logit's unit that thresholds lie on, and its largest size.
 SLICE, STEPS, LARGEST = 1 << 13, 128, 64
 _SPACED = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -218,6 +218,20 @@ class Buckets:
                 yield self.ids.take(at, axis=0)
 
 
+def laid_out(ids: np.ndarray) -> bytes:
+    """Buckets (word, 1 + prefixes): their number, and in 9 bytes a word, compressed, the low 16 bits of each, then the high two of all."""
+    high = (ids >> 16).astype(np.uint8) << np.arange(0, 2 * ids.shape[1], 2, dtype=np.uint8)
+    return len(ids).to_bytes(4, "little") + pa.compress(ids.astype("<u2").tobytes() + np.bitwise_or.reduce(high, axis=1).tobytes(), "zstd", asbytes=True)
+
+
+def taken_up(held: bytes) -> np.ndarray:
+    """The buckets that `laid_out` wrote."""
+    width, n = 1 + len(PREFIXES), int.from_bytes(held[:4], "little")
+    held = pa.decompress(held[4:], n * (2 * width + 1), "zstd", asbytes=True)
+    high = np.frombuffer(held, np.uint8, offset=2 * width * n)[:, None] >> np.arange(0, 2 * width, 2, dtype=np.uint8) & 3
+    return np.frombuffer(held, "<u2", n * width).reshape(n, width) | high.astype(np.int32) << 16
+
+
 class Scorer:
     """A worker's view of the network: word -> row of summed embeddings, up to a fixed number of words."""
 
@@ -299,11 +313,26 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
             yield batch.slice(first, ROWS).to_pylist()
 
 
+def with_buckets(rows: DataFrame) -> DataFrame:
+    """(lang, y, later, words, text): the buckets of every row's whole text, by stretches, so that rounds need not cut it again; the text only where thresholds are set."""
+    kind = pa.schema([("lang", pa.string()), ("y", pa.int32()), ("later", pa.bool_()), ("words", pa.list_(pa.binary())), ("text", pa.string())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = held_here("toxicity-buckets", Buckets)
+        for part in rows_of(batches):
+            yield pa.RecordBatch.from_pylist([r | {"words": [*map(laid_out, words.of(r["text"]))], "text": r["text"] if r["later"] else None} for r in part], kind)
+
+    return rows.select("text", "lang", "y", "later").mapInArrow(cut, "lang string, y int, later boolean, words array<binary>, text string")
+
+
 def counted(rows: DataFrame) -> tuple[np.ndarray, list[str], np.ndarray]:
-    """Over all rows: the texts that hold each bucket, the names of the languages, and the language (from 1; 0: none) that a word's bucket tells."""
+    """Over all rows (lang, and words or else text): the texts that hold each bucket, the names of the languages, and the language (from 1; 0: none) that a word's bucket tells."""
+
+    if "words" not in rows.columns:
+        rows = with_buckets(rows.select("text", "lang", F.lit(0).alias("y"), F.lit(False).alias("later")))
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, sums = held_here("toxicity-buckets", Buckets), {}
+        sums: dict[tuple, np.ndarray] = {}
 
         def add(key: tuple, at: np.ndarray) -> None:
             if key not in sums:
@@ -312,7 +341,7 @@ def counted(rows: DataFrame) -> tuple[np.ndarray, list[str], np.ndarray]:
 
         for part in rows_of(batches):
             for r in part:
-                ids = np.concatenate([np.zeros((0, 1 + len(PREFIXES)), np.int32), *words.of(r["text"])])
+                ids = np.concatenate([np.zeros((0, 1 + len(PREFIXES)), np.int32), *map(taken_up, r["words"])])
                 add((False, None), ids.ravel())
                 if r["lang"] is not None:
                     add((True, r["lang"]), ids[:, 0])
@@ -324,7 +353,7 @@ def counted(rows: DataFrame) -> tuple[np.ndarray, list[str], np.ndarray]:
         total = np.sum([np.frombuffer(x, "<i4") for x in part["n"]], axis=0, dtype=np.int64)
         return part.iloc[:1].assign(n=[total.tobytes()], total=[int(total.sum())])[["of_lang", "lang", "a", "n", "total"]]
 
-    sums = written(rows.mapInArrow(counts, "of_lang boolean, lang string, a int, n binary").groupBy("of_lang", "lang", "a").applyInPandas(summed, "of_lang boolean, lang string, a int, n binary, total long"), "toxicity-counts")
+    sums = written(rows.select("lang", "words").mapInArrow(counts, "of_lang boolean, lang string, a int, n binary").groupBy("of_lang", "lang", "a").applyInPandas(summed, "of_lang boolean, lang string, a int, n binary, total long"), "toxicity-counts")
     totals = {r.lang: r.total for r in sums.where("of_lang").groupBy("lang").agg(F.sum("total").alias("total")).collect()}
     names, held_by = sorted(totals), np.zeros(BUCKETS, np.int64)
     best, share, language = np.zeros(BUCKETS), np.zeros(BUCKETS), np.zeros(BUCKETS, np.int16)
@@ -347,13 +376,13 @@ def train(rows: DataFrame, net: Network, known: np.ndarray, weight: tuple[float,
 
     def trained(sent, epoch: int) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words, own, seen = held_here("toxicity-buckets", Buckets), Trainer(*sent.value), 0
+            own, seen = Trainer(*sent.value), 0
             part, rng = TaskContext.get().partitionId(), np.random.default_rng(epoch)
             start, at, wait = own.emb.copy(), own.sums.copy(), []
 
             def learn(picked: list[dict]) -> None:
                 y = np.array([r["y"] for r in picked])
-                own.step([[*words.of(r["text"])] for r in picked], y, np.where(y > 0, weight[1], weight[0]))
+                own.step([[*map(taken_up, r["words"])] for r in picked], y, np.where(y > 0, weight[1], weight[0]))
 
             for got in rows_of(batches):
                 wait += [got[i] for i in rng.permutation(len(got))]
@@ -392,7 +421,7 @@ def train(rows: DataFrame, net: Network, known: np.ndarray, weight: tuple[float,
 
     for epoch in range(EPOCHS):
         sent = context.broadcast((net, sums, other_sums, known))
-        changes = rows.mapInArrow(trained(sent, epoch), "a int, part int, n long, at binary, x binary, s binary").groupBy("a").applyInPandas(averaged, "a int, at binary, x binary, s binary").collect()
+        changes = rows.select("y", "words").mapInArrow(trained(sent, epoch), "a int, part int, n long, at binary, x binary, s binary").groupBy("a").applyInPandas(averaged, "a int, at binary, x binary, s binary").collect()
         for r in changes:  # the network's size at most
             x, s = np.frombuffer(r.x, "<f4"), np.frombuffer(r.s, "<f4")
             if r.a < 0:
@@ -445,7 +474,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         rows = rows.repartition(tasks, "h", "doc_id")
     rows = rows.withColumn("later", F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 3)
     # each task streams its rows, which are kept on the executors' disks until the network is made
-    rows = rows.sortWithinPartitions("h", "doc_id", F.xxhash64("text")).select("text", "lang", "y", "later").persist(StorageLevel.DISK_ONLY)
+    rows = with_buckets(rows.sortWithinPartitions("h", "doc_id", F.xxhash64("text"))).persist(StorageLevel.DISK_ONLY)
     try:
         n = {(r.later, r.y): r["count"] for r in rows.groupBy("later", "y").count().collect()}
         n1, n0 = (n.get((False, y), 0) for y in (1, 0))
@@ -483,7 +512,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     not read.
     """
     held = held_out(F.col(id_col), 5, 0)
-    net = fit(docs.where(~held), labels.where(~held_out(F.col(id_col), 5, 0)), id_col, text_col, lang_col, label_col, positive, negative)
+    with small_batches(docs.sparkSession, BATCH_ROWS):
+        net = fit(docs.where(~held), labels.where(~held_out(F.col(id_col), 5, 0)), id_col, text_col, lang_col, label_col, positive, negative)
     scored = docs.select(F.col(id_col).alias("doc_id"), held.alias("held_out"), toxicity(F.col(text_col), net).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
@@ -494,5 +524,6 @@ def keep_clean(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     Null and empty texts stay, as do rows without an id; an empty table gives an empty result.
     """
     id_col, name = options.get("id_col", "doc_id"), "_lectern_toxicity"
-    net = fit(docs.where(~held_out(F.col(id_col), 5, 0)), labels.where(~held_out(F.col(id_col), 5, 0)), **options)
+    with small_batches(docs.sparkSession, BATCH_ROWS):
+        net = fit(docs.where(~held_out(F.col(id_col), 5, 0)), labels.where(~held_out(F.col(id_col), 5, 0)), **options)
     return docs.withColumn(name, toxicity(F.col(options.get("text_col", "text")), net)).where(F.col(name) < 0.5).drop(name)

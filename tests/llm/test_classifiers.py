@@ -117,6 +117,18 @@ def test_no_labelled_row_is_left_out_before_the_join(spark):
         assert sum(i not in own for i in got) < 6000 / 20
 
 
+def test_training_rounds_read_buckets_instead_of_texts(spark):
+    """Texts are cut once, before the rounds; what is kept of them is what they give."""
+    words, texts_ = toxicity.Buckets(), [None, "", " . ", "One two ONE", "é ñandú 漢字", "word other " * 30000]
+    docs = spark.createDataFrame([(t, "x", i % 2, i == 3) for i, t in enumerate(texts_)], "text string, lang string, y int, later boolean").coalesce(1)
+    got = toxicity.with_buckets(docs).collect()
+    assert [r.text for r in got] == [None] * 3 + [texts_[3]] + [None] * 2 and [r.y for r in got] == [0, 1] * 3
+    for text, r in zip(texts_, got, strict=True):
+        own = [*words.of(text)]
+        assert len(own) == len(r.words) and all(np.array_equal(toxicity.taken_up(b), a) for a, b in zip(own, r.words))
+    assert len(got[-1].words) == 3 and sum(map(len, got[-1].words)) < len(texts_[-1])  # repeated words take less room than the text
+
+
 def test_a_step_against_slopes_by_differences():
     """The loss of a batch falls along what a step takes away, weight by weight; empty, short and long texts."""
     rng, net, words = np.random.default_rng(2), toxicity.Network(), toxicity.Buckets()
