@@ -15,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm import decontamination, language_id, near_copies, packing, toxicity
-from lectern.llm.shared import given_back, written
+from lectern.llm.shared import given_back, small_batches, written
 from lectern.sources.tables import load
 
 
@@ -54,10 +54,14 @@ STAGES = [("language", language), ("toxicity", toxic), ("near_duplicates", near_
 #: The classifiers and the packing have no SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
+#: Texts that a worker is handed at once; what an executor's workers hold of a batch adds to what the stages before left in its heap.
+ROWS = toxicity.BATCH_ROWS
+
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`, each written and read again before the next."""
     docs = load(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    with small_batches(spark, ROWS):
+        for name, stage in STAGES:
+            docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs

@@ -66,3 +66,12 @@ def test_empty_input(spark, tables):
     docs = spark.read.parquet(f"{tables[0]}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, tables[0]).count() == 0
+
+
+def test_all_stages_take_texts_in_small_batches(spark, tables, monkeypatch):
+    """No stage hands a worker more than ROWS texts at once, and the session's own setting holds again afterwards."""
+    name, seen, made = "spark.sql.execution.arrow.maxRecordsPerBatch", [], corpus_pipeline.written
+    before = spark.conf.get(name)
+    monkeypatch.setattr(corpus_pipeline, "written", lambda df, tag: (seen.append(int(spark.conf.get(name))), made(df, tag))[1])
+    corpus_pipeline.run(spark, tables[0])
+    assert len(seen) == len(corpus_pipeline.STAGES) and max(seen) <= corpus_pipeline.ROWS < int(before) and spark.conf.get(name) == before
