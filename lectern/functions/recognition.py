@@ -112,13 +112,13 @@ JURISDICTIONS = (
 )
 
 
-#: Abbreviations, which count as whole words only; e-mail addresses and keys hold their letters by chance.
-ABBREVIATIONS = ("cptss", "cgp", "cst", "cpaca")
+#: Words whose letters stand in others by chance, and the forms that count: abbreviations as whole words, which e-mail addresses and keys can hold; "laboral" and what derives from it, with any prefix.
+FORMS = {w: rf"(?U)\b{w}\b(?![\w.+-]*@)" for w in ("cptss", "cgp", "cst", "cpaca")} | {"laboral": r"(?U)laboral(?:es|mente|i\w*)?\b"}
 
 
 def first_class(text: Column, classes, default: str) -> Column:
     low, out = F.lower(text), F.lit(default)
-    holds = lambda w: low.contains(w) & low.rlike(rf"(?U)\b{w}\b(?![\w.+-]*@)") if w in ABBREVIATIONS else low.contains(w)
+    holds = lambda w: low.contains(w) & low.rlike(FORMS[w]) if w in FORMS else low.contains(w)
     for words, name in reversed(classes):
         hit = F.lit(False)
         for w in words:

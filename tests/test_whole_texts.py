@@ -20,3 +20,11 @@ def test_abbreviations_within_other_words_name_no_class(spark, tmp_path):
     other = "Jurisdicción Ordinaria (Colombia)"
     assert of("b17_jurisdiction_class") == {14: other, 19: other, 24: "Jurisdicción Laboral y Seguridad Social", 29: "Jurisdicción Civil y Comercial", 4: other, 0: "Jurisdicción Constitucional"}
     assert of("b16_document_class") == {14: "Documento Jurídico General", 19: "Documento Jurídico General", 24: "Documento Jurídico General", 29: "Demanda Civil / CGP", 4: "Documento Jurídico General", 0: "Acción de Tutela"}
+
+
+def test_laboral_within_another_word_names_no_class(spark, tmp_path):
+    rows = [(1, "de laborallmente y"), (2, "Eslaborall, ciónlaborala"), (4, "que laboralos!!"), (9, "derechos laborales."), (14, "lo SOCIOLABORAL"), (34, "una laboralista;"), (44, "riesgo laboral")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r["class"] for r in recognise.QUERIES["b17_jurisdiction_class"](spark, str(tmp_path)).collect()}
+    work = "Jurisdicción Laboral y Seguridad Social"
+    assert got == {1: "Jurisdicción Civil y Comercial", 2: "Jurisdicción Penal", 4: "Jurisdicción Ordinaria (Colombia)", 9: work, 14: work, 34: work, 44: work}
