@@ -393,3 +393,17 @@ def test_hashed_vectors_and_best_of_blocks_equal_plain_ones(monkeypatch):
     for k in (1, 5, 50, 70):
         want = [(q, r, cos[r, q]) for q in range(9) for r in sorted((r for r in range(50) if cos[r, q] >= 0.1), key=lambda r: (-cos[r, q], ids[r]))[:k]]
         assert [*zip(*E.best_of_block(cos, ids, k, 0.1), strict=True)] == want
+
+
+def test_truncated_vectors_equal_their_sql_bit_for_bit(spark, tmp_path):
+    import duckdb
+
+    from lectern.plans import search
+
+    rows = [(0, [1.0, -3e-7, 3e-7, -0.0, 0.0, -6e-7, *[0.0] * 20]), (1, [-0.5] * 64), (2, None), (3, [2.0, -1.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = {k: repr(v) for k, v in con.execute(search.ORACLE["c12_truncate_vector"]).fetchall()}
+    assert {r.vec_id: repr(r.vector) for r in search.QUERIES["c12_truncate_vector"](spark, str(tmp_path)).collect()} == want
+    assert want[0].startswith("[1.0, -0.0, 0.0, -0.0, 0.0, -1e-06")
