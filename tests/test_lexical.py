@@ -129,3 +129,42 @@ def test_a_task_gathers_a_bounded_number_of_postings(spark, corpus, tmp_path, mo
     assert 100 < size <= held
     plan = search.scores(cells)._jdf.queryExecution().toString()
     assert "hashpartitioning(query_id#" in plan and f", {size // 50 + 1}), REPARTITION_BY_NUM" in plan
+
+
+def test_blocks_are_scored_whole_and_some_at_a_time(spark, corpus, tmp_path, monkeypatch):
+    """A cell's blocks over several batches, a word twice in a phrase, and few cells for a single term; no row for each posting is dealt out."""
+    for name, value in {"CELL": 16, "BLOCK": 5, "SCORED": 7}.items():
+        monkeypatch.setattr(L, name, value)
+    queries = QUERIES | {9: ('"wak wak"', [([], [["wak", "wak"]], [])]), 10: ('wfp or "wak wbm wak" or wck wam', [(["wfp"], [], []), ([], [["wak", "wbm", "wak"]], []), (["wck", "wam"], [], [])])}
+    L.LexicalIndex.write(spark.createDataFrame([*corpus.items()], "chunk_id long, content string"), str(tmp_path / "index"))
+    parsed = L.parse_query(spark.createDataFrame([(q, text) for q, (text, _) in queries.items()], "query_id long, query string"))
+    search = L.Search(parsed, L.LexicalIndex(spark, str(tmp_path / "index")))
+    want = {q: [(c, round(s, 9)) for c, s in rows] for q, rows in plain_search(corpus, {q: g for q, (_, g) in queries.items()}, 400).items() if rows}
+    cells = search.cells()
+    every = {q: [] for q in want}
+    for r in search.scores(cells).collect():
+        every[r.query_id].append((r.chunk_id, round(r.score, 9)))
+    assert {q: sorted(rows) for q, rows in every.items()} == {q: sorted(rows) for q, rows in want.items()}
+    best, read = search.best(4, None, 1)
+    got = {q: [] for q in want}
+    for r in best.orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.chunk_id, round(r.score, 9)))
+    assert got == {q: rows[:4] for q, rows in want.items()}
+    assert read.where("query_id = 1").count() < cells.where("query_id = 1").count() / 2
+    assert "Generate" not in search.scores(cells, 4)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_window_scores_equal_the_plain_one():
+    import numpy as np
+
+    rng = random.Random(5)
+    rows, needed, want = [], [], []
+    for c in range(300):
+        m = rng.randint(1, 4)
+        terms = [*range(m), *(rng.randrange(m) for _ in range(rng.randrange(12)))]
+        rng.shuffle(terms)
+        places = sorted(rng.sample(range(60), len(terms)))
+        rows += [(p, c, t) for p, t in zip(places, terms, strict=True)]
+        needed.append(m)
+        want.append(L.window_score(places, terms, m))
+    assert L.window_scores(*map(np.array, zip(*rows, strict=True)), np.array(needed)).tolist() == want
