@@ -407,3 +407,16 @@ def test_truncated_vectors_equal_their_sql_bit_for_bit(spark, tmp_path):
     want = {k: repr(v) for k, v in con.execute(search.ORACLE["c12_truncate_vector"]).fetchall()}
     assert {r.vec_id: repr(r.vector) for r in search.QUERIES["c12_truncate_vector"](spark, str(tmp_path)).collect()} == want
     assert want[0].startswith("[1.0, -0.0, 0.0, -0.0, 0.0, -1e-06")
+
+
+def test_items_are_contained_alike_by_automaton_and_by_runs_of_words(spark):
+    from lectern.operators.evaluation import containing
+
+    rng = random.Random(8)
+    docs = [(i, None if i == 3 else " ".join(rng.choices(["a", "bc", "bcd", "ñe"], k=rng.randrange(30)))) for i in range(80)]
+    items = [(100 + j, " ".join(rng.choices(["a", "bc", "bcd", "ñe"], k=rng.randrange(1, 8)))) for j in range(60)] + [(990, None), (991, "")]
+    frame, asked = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "query_id long, wanted string")
+    want = sorted((d, q) for d, t in docs for q, w in items if t is not None and w is not None and w in t)
+    one, runs = containing(frame, asked), containing(frame, asked, chars=0)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, runs.collect())) == want
+    assert "Generate" not in one._jdf.queryExecution().executedPlan().toString()  # no row for each run of words
